@@ -58,11 +58,7 @@ def chapter_number(chapter_id_col: Column) -> Column:
 
 
 def is_noise_title(title: Column, titles: tuple[str, ...] = NOISE_TITLES) -> Column:
-    folded = F.lower(normalise_whitespace(title))
-    hit = folded.isin(*titles)
-    for prefix in titles:
-        hit = hit | folded.startswith(prefix + ":")
-    return hit
+    return F.substring_index(F.lower(normalise_whitespace(title)), ":", 1).isin(*titles)
 
 
 def safe_name(value: Column) -> Column:

@@ -6,6 +6,7 @@ from lectern.plans import registry
 
 MODULES = [
     "queries_retrieval",
+    "queries_corpus",
 ]
 
 for _module in MODULES:
