@@ -7,6 +7,8 @@ from lectern.plans import registry
 MODULES = [
     "queries_retrieval",
     "queries_corpus",
+    "queries_reading",
+    "queries_grounding",
 ]
 
 for _module in MODULES:

@@ -32,6 +32,8 @@ def compose(body: str) -> str:
         f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({VIEWS[n]})" for n in names
     )
     keyword = "WITH RECURSIVE" if any(n in RECURSIVE for n in names) else "WITH"
+    if body.lstrip().startswith("WITH "):
+        return f"{keyword} {ctes},\n{body.lstrip()[5:]}"
     return f"{keyword} {ctes}\n{body}"
 
 
