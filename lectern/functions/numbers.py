@@ -85,3 +85,9 @@ def tiered_cost(input_tokens: Column, cached: Column, write: Column, output_toke
 
 def _rate(value) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock timestamp, whatever the session time zone."""
+    seconds = F.unix_date(ts.cast("date")).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

@@ -9,6 +9,7 @@ MODULES = [
     "queries_corpus",
     "queries_reading",
     "queries_grounding",
+    "queries_scoring",
 ]
 
 for _module in MODULES:
