@@ -10,6 +10,7 @@ MODULES = [
     "queries_reading",
     "queries_grounding",
     "queries_scoring",
+    "queries_sections",
 ]
 
 for _module in MODULES:
