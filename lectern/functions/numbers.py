@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def basis_points(numerator: Column, denominator: Column, empty: int | None = None) -> Column:
     """floor(n * 10000 / d), at most 10000; ``empty`` (null or 0) when d is 0."""
     n, d = numerator.cast("long"), denominator.cast("long")
-    value = F.least(F.lit(10000).cast("long"), F.call_function("div", n * 10000, F.nullif(d, F.lit(0).cast("long"))))
+    # least() ignores nulls, so the empty case is decided before it.
+    value = F.when(d > 0, F.least(F.lit(10000).cast("long"), F.call_function("div", n * 10000, d)))
     return F.coalesce(value, F.lit(empty).cast("long")) if empty is not None else value
 
 

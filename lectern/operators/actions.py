@@ -74,3 +74,325 @@ def answer_requests(boundaries: DataFrame, candidates: DataFrame, evidence: Data
             spoiler_status(F.col("spoiler_mode")).alias("spoiler_status"),
         )
     )
+
+
+# --- context, concepts, explanation ----------------------------------------
+
+
+def concept_needs(appearances: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per concept and chapter: furthest endpoint its appearances need, and whether any is invalid.
+
+    All appearances in a chapter are visible exactly when the furthest one is,
+    so a much-cited concept shrinks to one row per chapter.
+    appearances(book_id, concept_id, block_id, start_char, end_char, text_fingerprint).
+    """
+    from lectern.operators.grounding import resolve_refs
+
+    checked = resolve_refs(appearances.withColumn("max_chapter", F.lit(None).cast("long")), blocks)
+    spots = blocks.select("book_id", "block_id", "spine_index", "ord")
+    return (
+        checked.join(spots, ["book_id", "block_id"], "left")
+        .groupBy("book_id", "concept_id", "spine_index")
+        .agg(
+            F.max(F.struct(F.col("ord").alias("end_ord"), F.col("end_char").alias("end_offset"))).alias("need"),
+            F.max(F.size("codes") > 0).alias("invalid"),
+        )
+    )
+
+
+def related_concepts(requests: DataFrame, needs: DataFrame, cover: DataFrame) -> DataFrame:
+    """Concepts of the current chapter whose every appearance the reader may see.
+
+    requests(request_id, session_id, spine_index); read-range mode.
+    """
+    here = needs.where("spine_index is not null").select("book_id", "concept_id", "spine_index")
+    pairs = requests.join(here, "spine_index").select("request_id", "session_id", "book_id", "concept_id")
+    every = pairs.join(needs, ["book_id", "concept_id"])
+    seen = cover.select(
+        "session_id", "spine_index", F.struct(F.col("end_ord"), F.col("end_offset")).alias("end")
+    )
+    return (
+        every.join(seen, ["session_id", "spine_index"], "left")
+        .groupBy("request_id", "concept_id")
+        .agg(F.min(~F.col("invalid") & F.coalesce(F.col("need") <= F.col("end"), F.lit(False))).alias("ok"))
+        .where("ok")
+        .drop("ok")
+    )
+
+
+def difficult_passages(selections: DataFrame, analyses: DataFrame) -> DataFrame:
+    """First difficult passage of the chapter that cites the selected block, by position."""
+    passages = analyses.select("spine_index", F.posexplode("difficult_passages").alias("pos", "p")).select(
+        "spine_index", F.col("p.source_ref.block_id").alias("block_id"), "pos", F.col("p.explanation").alias("explanation")
+    )
+    first = passages.groupBy("spine_index", "block_id").agg(F.min_by("explanation", "pos").alias("explanation"))
+    return selections.join(first, ["spine_index", "block_id"], "left")
+
+
+def readable_analyses(requests: DataFrame, analyses: DataFrame, citations: DataFrame, covered: DataFrame, visible: DataFrame) -> DataFrame:
+    """Requests whose current chapter is read in full and whose analysis cites only visible text.
+
+    citations(spine_index, block_id, end_char) are the chapter analysis refs,
+    visible(session_id, block_id, visible).
+    """
+    done = covered.where("completed").select("session_id", "spine_index")
+    open_requests = requests.join(done, ["session_id", "spine_index"], "left_semi").join(
+        analyses.select("spine_index"), "spine_index", "left_semi"
+    )
+    hidden = (
+        open_requests.join(citations.select("spine_index", "block_id", "end_char"), "spine_index")
+        .join(visible.select("session_id", "block_id", "visible"), ["session_id", "block_id"], "left")
+        .where("visible is null or end_char > visible")
+        .select("request_id")
+        .distinct()
+    )
+    return open_requests.join(hidden, "request_id", "left_anti")
+
+
+def explain_requests(requests: DataFrame, visible: DataFrame, passages: DataFrame, readable: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Explanation cards, or the reason a request is refused.
+
+    requests(request_id, session_id, spine_index, block_id, start_char,
+    end_char, text_fingerprint, selected_text).
+    """
+    from lectern.rules import blank
+
+    seen = visible.select("session_id", "block_id", "visible", F.col("text").alias("_t"), F.col("fp").alias("_fp"))
+    summary = analyses.select("spine_index", "summary")
+    has = readable.select("request_id", F.lit(True).alias("_has"))
+    joined = (
+        requests.join(seen, ["session_id", "block_id"], "left")
+        .join(passages.select("request_id", F.col("explanation").alias("_difficult")), "request_id", "left")
+        .join(has, "request_id", "left")
+        .join(summary, "spine_index", "left")
+    )
+    picked = F.expr("substring(_t, cast(start_char + 1 as int), cast(end_char - start_char as int))")
+    error = (
+        F.when(blank(F.col("selected_text")), "blank_selection")
+        .when(F.col("_t").isNull(), "outside_boundary")
+        .when(F.col("text_fingerprint") != F.col("_fp"), "fingerprint_mismatch")
+        .when(F.col("end_char") > F.col("visible"), "beyond_coverage")
+        .when(picked != F.col("selected_text"), "selection_mismatch")
+    )
+    difficult = F.col("_has") & F.col("_difficult").isNotNull()
+    explanation = (
+        F.when(difficult, F.col("_difficult")).when(F.col("_has"), F.col("summary.deep")).otherwise(NO_ANALYSIS)
+    )
+    return joined.select("request_id", "block_id", error.alias("error"), explanation.alias("_e"), difficult.alias("_d")).select(
+        "request_id",
+        "error",
+        F.when(F.col("error").isNull(), F.concat(F.lit("explanation-"), "block_id")).alias("card_id"),
+        F.when(F.col("error").isNull(), F.col("_e")).alias("explanation"),
+        F.when(F.col("error").isNull(), F.when(F.col("_d"), 9000).otherwise(6500)).cast("long").alias(
+            "confidence_basis_points"
+        ),
+    )
+
+
+# Fixed value: text used when a chapter has no analysis to show.
+NO_ANALYSIS = "该段暂无章节分析。"
+
+
+def append_unseen(nearby: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Nearby blocks, then retrieved blocks that are not among them."""
+    new = retrieved.join(nearby.select("request_id", "block_id"), ["request_id", "block_id"], "left_anti")
+    return (
+        nearby.select("request_id", "block_id")
+        .withColumn("origin", F.lit("nearby"))
+        .unionByName(new.select("request_id", "block_id").withColumn("origin", F.lit("retrieved")))
+    )
+
+
+# --- checkpoints, reflection, summaries -------------------------------------
+
+
+def checkpoint_requests(requests: DataFrame, cover: DataFrame, covered: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Checkpoint card id, or why it is withheld; read-range mode needs the whole last block."""
+    allowed = cover.select("session_id", "spine_index", F.lit(True).alias("_allowed"))
+    # The last block is fully read exactly when the chapter is completed.
+    done = covered.where("completed").select("session_id", "spine_index", F.lit(True).alias("_done"))
+    points = checkpoints.select("spine_index", "checkpoint_id", "grounding", F.size("source_refs").alias("_refs"))
+    keys = ["session_id", "spine_index"]
+    return (
+        requests.join(allowed, keys, "left")
+        .join(done, keys, "left")
+        .join(points, "spine_index", "left")
+        .select(
+            "request_id",
+            "session_id",
+            "spine_index",
+            F.when(F.col("_allowed").isNull(), "forbidden")
+            .when(F.col("_done").isNull(), "beyond_coverage")
+            .when(F.col("checkpoint_id").isNull(), "unavailable")
+            .alias("error"),
+            F.concat(F.lit("checkpoint-card-"), "checkpoint_id").alias("_card"),
+            F.when(F.col("_refs") > 0, 9000).otherwise(6000).cast("long").alias("confidence_basis_points"),
+        )
+        .withColumn("card_id", F.when(F.col("error").isNull(), F.col("_card")))
+        .drop("_card")
+    )
+
+
+# Reflection feedback for the bands from 7000, from 3000, below.
+FEEDBACK = ("复述覆盖了主要要点。", "已抓到部分要点，可以补充遗漏部分。", "建议重看本章要点后再复述一次。")
+
+
+def reflection_score(answers: DataFrame) -> DataFrame:
+    """Share of expected terms found in the answer, in basis points, with feedback.
+
+    answers(…, answer, expected_points array<string>).
+    """
+    from lectern.functions.numbers import basis_points
+    from lectern.functions.text import plain_terms
+
+    expected = F.array_distinct(F.flatten(F.transform("expected_points", plain_terms)))
+    matched = F.size(F.array_intersect(plain_terms(F.col("answer")), F.col("_expected")))
+    return (
+        answers.withColumn("_expected", expected)
+        .withColumn("score_basis_points", basis_points(matched, F.size("_expected"), empty=0))
+        .drop("_expected")
+        .withColumn(
+            "feedback",
+            F.when(F.col("score_basis_points") >= 7000, FEEDBACK[0])
+            .when(F.col("score_basis_points") >= 3000, FEEDBACK[1])
+            .otherwise(FEEDBACK[2]),
+        )
+    )
+
+
+def weak_concepts(reflections: DataFrame, checkpoints: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Concepts on the flashcards of chapters a session reflected on below 7000."""
+    weak = reflections.where("score_basis_points < 7000").select("session_id", "spine_index").distinct()
+    cards = checkpoints.select("spine_index", F.explode("flashcards").alias("c")).select(
+        "spine_index", F.explode("c.concept_ids").alias("concept_id")
+    )
+    return (
+        weak.join(cards.distinct(), "spine_index")
+        .join(concepts.select("concept_id", "name"), "concept_id")
+        .select("session_id", "concept_id", "name")
+        .distinct()
+    )
+
+
+def summary_cards(analyses_with_refs: DataFrame) -> DataFrame:
+    has = F.size("source_refs") > 0
+    return analyses_with_refs.select(
+        F.concat(F.lit("summary-"), "chapter_id").alias("card_id"),
+        "spine_index",
+        "title",
+        F.size("source_refs").cast("long").alias("n_refs"),
+        F.when(has, 9000).otherwise(6000).cast("long").alias("confidence_basis_points"),
+        F.when(has, "grounded").otherwise("inferred").alias("grounding"),
+        "source_refs",
+    )
+
+
+# --- card rules --------------------------------------------------------------
+
+# Follow-up actions an agent card may carry.
+KNOWN_ACTIONS = ("open_source", "ask", "explain", "quiz", "note", "export", "reflect")
+
+
+def citations_supplied(cards: DataFrame, offered: DataFrame) -> DataFrame:
+    """Card citations that do not equal an offered reference in all four fields."""
+    fields = ["request_id", "block_id", "start_char", "end_char", "text_fingerprint"]
+    return cards.join(offered.select(*fields).distinct(), fields, "left_anti")
+
+
+def card_issues(cards: DataFrame) -> DataFrame:
+    """Rules on the card alone; cards(request_id, card_id, title, confidence_basis_points,
+    grounding, n_refs, spoiler_status, spoiler_mode, actions array<string>)."""
+    from lectern.rules import blank, issue_rows
+
+    known = F.array(*[F.lit(a) for a in KNOWN_ACTIONS])
+    rules = [
+        (blank(F.col("card_id")) | blank(F.col("title")), "blank_id_or_title"),
+        (F.col("confidence_basis_points") > 10_000, "confidence_out_of_range"),
+        ((F.col("grounding") == "grounded") & (F.col("n_refs") == 0), "grounded_without_refs"),
+        (F.col("spoiler_status") != spoiler_status(F.col("spoiler_mode")), "status_mismatch"),
+        (F.size(F.array_except("actions", known)) > 0, "unknown_action"),
+    ]
+    return issue_rows(cards, ["request_id"], rules)
+
+
+def card_reference_issues(refs: DataFrame, blocks: DataFrame, cover: DataFrame) -> DataFrame:
+    """First failing check of each card reference: block, chapter allowed, range, fingerprint, read limit.
+
+    refs(request_id, session_id, block_id, start_char, end_char, text_fingerprint).
+    """
+    source = blocks.select("block_id", "spine_index", "ord", "n_chars", "fp")
+    joined = refs.join(source, "block_id", "left").join(cover, ["session_id", "spine_index"], "left")
+    visible = (
+        F.when(F.col("ord") < F.col("end_ord"), F.col("n_chars"))
+        .when(F.col("ord") == F.col("end_ord"), F.least("end_offset", "n_chars"))
+        .otherwise(F.lit(0))
+    )
+    code = (
+        F.when(F.col("fp").isNull(), "unknown_block")
+        .when(F.col("end_ord").isNull(), "outside_boundary")
+        .when((F.col("start_char") >= F.col("end_char")) | (F.col("end_char") > F.col("n_chars")), "invalid_range")
+        .when(F.col("text_fingerprint") != F.col("fp"), "fingerprint_mismatch")
+        .when(F.col("end_char") > visible, "beyond_coverage")
+    )
+    return joined.select("request_id", code.alias("code")).where("code is not null")
+
+
+# Text fields a protocol card of each kind must fill.
+REQUIRED_TEXT = {
+    "book_map": ("central_question", "thesis"),
+    "chapter_summary": ("chapter_id", "one_sentence", "short_summary"),
+    "explanation": ("passage", "explanation"),
+    "concept": ("concept_id", "name", "definition_in_this_book"),
+    "claim": ("claim_id", "claim"),
+    "checkpoint": ("checkpoint_id", "chapter_id"),
+    "flashcard": ("flashcard_id", "front", "back"),
+    "question": ("question_id", "prompt"),
+    "export": ("export_id", "file_name"),
+}
+
+
+def protocol_card_issues(cards: DataFrame) -> DataFrame:
+    """Rules of the nine protocol cards.
+
+    cards(card_id, book_id, title, card_type, fields map<string,string>, n_sources,
+    n_must_understand, action?, action_chapter?, n_action_concepts, n_action_sources).
+    """
+    from lectern.rules import blank, issue_rows
+
+    kind = F.col("card_type")
+    rules = [(blank(F.col(c)), f"blank_{c}") for c in ("card_id", "book_id", "title")]
+    for name, fields in REQUIRED_TEXT.items():
+        rules += [((kind == name) & blank(F.col("fields")[f]), f"blank_{f}") for f in fields]
+    rules += [
+        (kind.isin("explanation", "claim") & (F.col("n_sources") == 0), "missing_sources"),
+        ((kind == "checkpoint") & (F.col("n_must_understand") == 0), "empty_must_understand"),
+        ((F.col("action") == "explain_more") & (F.col("n_action_sources") == 0), "empty_action"),
+        (
+            (F.col("action") == "quiz_me") & blank(F.col("action_chapter")) & (F.col("n_action_concepts") == 0),
+            "empty_action",
+        ),
+        ((F.col("action") == "open_chapter") & blank(F.col("action_chapter")), "blank_action_chapter"),
+    ]
+    return issue_rows(cards, ["card_id", "card_type"], rules)
+
+
+def request_issues(requests: DataFrame) -> DataFrame:
+    """Rules on submitted requests.
+
+    requests(request_id, task, question?, selected_text?, answer?, chapter_id?,
+    progress_basis_points?, mode?, content_bytes?).
+    """
+    from lectern.rules import blank, issue_rows
+
+    task = F.col("task")
+    patch_fields = [F.col(c).isNull() for c in ("chapter_id", "progress_basis_points", "mode")]
+    rules = [
+        ((task == "ask") & blank(F.col("question")), "empty_question"),
+        ((task == "explain") & blank(F.col("selected_text")), "empty_selected_text"),
+        ((task == "reflect") & blank(F.col("answer")), "empty_answer"),
+        (task.isin("ask", "explain", "reflect") & blank(F.col("chapter_id")), "empty_chapter_id"),
+        (F.col("progress_basis_points") > 10_000, "progress_out_of_range"),
+        ((task == "patch") & patch_fields[0] & patch_fields[1] & patch_fields[2], "empty_patch"),
+        ((task == "upload") & (F.coalesce("content_bytes", F.lit(0)) == 0), "empty_content"),
+    ]
+    return issue_rows(requests, ["request_id"], rules)

@@ -2,11 +2,298 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.retrieval import WEIGHT, term_rows, top_ranked
+from lectern.rules import blank, violations
+
+EXCERPT_BYTES = 8192
+# Instruction and synthesis caps of the three profiles.
+PROFILES = {
+    "basic": ("Be concise: extract only the chapter's essential summary, ideas, and evidence.", 8),
+    "standard": (
+        "Balance coverage and cost: include the important concepts, claims, entities, and difficult passages.",
+        16,
+    ),
+    "deep": (
+        "Be comprehensive: preserve nuanced arguments, counterpoints, relations, and difficult passages.",
+        32,
+    ),
+}
+MAX_APPEARANCES, MAX_EVIDENCE = 3, 2
+STAGES = ("parse", "normalize", "chapter_analysis", "book_synthesis", "grounding_validation")
+
 
 def analyzable_chapters(chapters: DataFrame, through: int | None = None) -> DataFrame:
     """Content chapters with blocks, optionally below a spine index."""
     chosen = chapters.where(~F.col("is_noise") & (F.col("block_count") > 0))
     return chosen if through is None else chosen.where(F.col("spine_index") < through)
+
+
+def profile_settings(rows: DataFrame, profile: str = "profile") -> DataFrame:
+    """Instruction and object cap of each row's profile; null for an unknown one."""
+    name = F.col(profile)
+    instruction, cap = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for key, (text, n) in PROFILES.items():
+        instruction = F.when(name == key, text).otherwise(instruction)
+        cap = F.when(name == key, n).otherwise(cap)
+    return rows.withColumn("instruction", instruction).withColumn("max_objects", cap.cast("long"))
+
+
+def cap_references(objects: DataFrame, refs: str, limit: int = MAX_APPEARANCES) -> DataFrame:
+    return objects.withColumn(refs, F.slice(refs, 1, limit))
+
+
+def generated_issues(analyses: DataFrame) -> DataFrame:
+    """Array of blank summary fields per analysis."""
+    fields = ("one_sentence", "short", "deep", "role_in_book")
+    return analyses.withColumn("issues", violations([(blank(F.col(f"summary.{f}")), f"summary.{f}") for f in fields]))
+
+
+def analysis_key(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Identity hash over the listed columns; unknown ones stay in as null."""
+    packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return rows.withColumn("analysis_key", F.sha2(packed, 256))
+
+
+def reusable_packages(packages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Packages that answer a wanted (book, source, profile, through, key) as they are."""
+    keys = ["book_id", "source_hash", "profile", "analyzed_through", "analysis_key"]
+    ok = packages.where("complete and grounded and violations = 0")
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    return wanted.alias("w").join(ok.alias("p"), same, "left_semi")
+
+
+def chapters_to_analyze(chapters: DataFrame, saved: DataFrame, invalid: DataFrame, *, profile: str, version: str) -> DataFrame:
+    """Chapters without a saved analysis that still holds.
+
+    saved(book_id, spine_index, chapter_id, schema_version, analysis_profile,
+    source_content_hash, summary); invalid(book_id, spine_index) lists saved
+    chapters whose citations no longer resolve.
+    """
+    fresh = (
+        generated_issues(saved)
+        .where(
+            (F.col("schema_version") == version) & (F.col("analysis_profile") == profile) & (F.size("issues") == 0)
+        )
+        .join(invalid.select("book_id", "spine_index").distinct(), ["book_id", "spine_index"], "left_anti")
+        .select("book_id", "spine_index", "chapter_id", F.col("source_content_hash").alias("content_hash"))
+    )
+    return chapters.join(fresh, ["book_id", "spine_index", "chapter_id", "content_hash"], "left_anti")
+
+
+def prior_context(blocks: DataFrame, k: int = 8) -> DataFrame:
+    """Best earlier blocks of the book for every chapter.
+
+    blocks(book_id, spine_index, ord, text).  A chapter's query is all its
+    blocks, so query terms are the chapter's own postings.  A term counts only
+    the blocks of earlier chapters, which is a running sum over per-chapter
+    counts; terms worth nothing are dropped before the join.  Blocks above 8192
+    bytes count for the frequency but are not returned.
+    """
+    postings = term_rows(
+        blocks.withColumn("bytes", F.octet_length("text").cast("long")), ["book_id", "spine_index", "ord", "bytes"]
+    )
+    counted = postings.groupBy("book_id", "term", "spine_index").agg(F.count(F.lit(1)).alias("n"))
+    before = (
+        Window.partitionBy("book_id", "term").orderBy("spine_index").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    asked = (
+        counted.withColumn("df", F.sum("n").over(before))
+        .where("df > 0")
+        .select(
+            "book_id",
+            "term",
+            F.col("spine_index").alias("for_chapter"),
+            F.expr(f"{WEIGHT} div (df + 1)").alias("weight"),
+        )
+        .where("weight > 0")
+    )
+    scored = (
+        postings.where(F.col("bytes") <= EXCERPT_BYTES)
+        .join(asked, ["book_id", "term"])
+        .where("spine_index < for_chapter")
+        .groupBy("book_id", "for_chapter", "spine_index", "ord")
+        .agg(F.sum("weight").alias("score"))
+    )
+    return top_ranked(scored, ["book_id", "for_chapter"], ["spine_index", "ord"], k)
+
+
+def chapter_requests(chapters: DataFrame, excerpts: DataFrame, *, profile: str) -> DataFrame:
+    """One request row per chapter with earlier chapters and their excerpts.
+
+    chapters(book_id, spine_index, title, blocks array<string>); every earlier
+    chapter is listed, also without an excerpt.
+    """
+    listed = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("spine_index", "title"))).alias("_all"))
+    chosen = (
+        excerpts.groupBy("book_id", F.col("for_chapter").alias("spine_index"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("spine_index").alias("from_chapter"), "ord"))).alias("_x"))
+    )
+    empty = F.array().cast("array<struct<rank:bigint,from_chapter:bigint,ord:bigint>>")
+    prior = F.transform(
+        F.filter("_all", lambda c: c["spine_index"] < F.col("spine_index")),
+        lambda c: F.struct(
+            c["spine_index"].alias("spine_index"),
+            c["title"].alias("title"),
+            F.filter("_x", lambda x: x["from_chapter"] == c["spine_index"]).alias("excerpts"),
+        ),
+    )
+    joined = chapters.join(listed, "book_id").join(chosen, ["book_id", "spine_index"], "left")
+    return profile_settings(
+        joined.withColumn("_x", F.coalesce("_x", empty)).select(
+            "book_id",
+            "spine_index",
+            "title",
+            F.lit("chapter_analysis").alias("task"),
+            F.lit(profile).alias("profile"),
+            "blocks",
+            prior.alias("prior_chapters"),
+        )
+    )
+
+
+def synthesis_requests(books: DataFrame, analyses: DataFrame, part_chapters: int = 256) -> DataFrame:
+    """Book request rows in parts of consecutive chapters; a book without analyses is an error row."""
+    parts = analyses.groupBy("book_id", F.expr(f"spine_index div {part_chapters}").alias("part")).agg(
+        F.count(F.lit(1)).alias("chapters"),
+        F.array_sort(F.collect_list(F.struct("spine_index", "chapter_id"))).alias("chapter_analyses"),
+    )
+    return books.select("book_id").join(parts, "book_id", "left").withColumn(
+        "error", F.when(F.col("part").isNull(), "no_chapter_analyses")
+    )
+
+
+def registration_analysis(chapters: DataFrame) -> DataFrame:
+    """Deterministic placeholder analysis that proves the package path."""
+    label = F.when(blank(F.col("title")), F.col("chapter_id")).otherwise(F.col("title"))
+    return chapters.withColumn(
+        "summary",
+        F.struct(
+            F.format_string("Offline registration baseline for %s.", label).alias("one_sentence"),
+            F.format_string("Deterministic placeholder summary for %s.", label).alias("short"),
+            F.format_string(
+                "This placeholder proves the package and Studio registration path; it is not a quality judgment of %s.", label
+            ).alias("deep"),
+            F.lit("Preserves chapter order for the offline registration baseline.").alias("role_in_book"),
+        ),
+    )
+
+
+# Fixed value: text of the source-only baseline.
+UNAVAILABLE = "Source-only baseline: no precomputed interpretation."
+
+
+def source_only_analysis(chapters: DataFrame) -> DataFrame:
+    text = F.lit(UNAVAILABLE)
+    return chapters.withColumn(
+        "summary",
+        F.struct(
+            text.alias("one_sentence"), text.alias("short"), text.alias("deep"), text.alias("role_in_book")
+        ),
+    )
+
+
+def extract_answer(context: DataFrame) -> DataFrame:
+    """Distinct supplied block texts in order, joined by new lines; context(request_id, texts array<string>)."""
+    return context.withColumn("answer", F.array_join(F.array_distinct("texts"), "\n"))
+
+
+def analyze(requests: DataFrame, analyzer: Callable[[dict], dict], key: str, check: Callable[[dict], str | None], concurrency: int | None = None) -> DataFrame:
+    """Run a plug-in analyzer over request rows.
+
+    requests(key, request_json).  Each row gives (key, status, payload, error);
+    a failing request never stops the others.  The number of partitions bounds
+    how many calls run at once.
+    """
+    key_type = requests.schema[key].dataType.simpleString()
+    rows = requests.select(key, "request_json")
+    if concurrency is not None:
+        rows = rows.repartition(concurrency)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, text in zip(pdf[key], pdf["request_json"]):
+                try:
+                    payload = analyzer(json.loads(text))
+                    problem = check(payload)
+                    out.append((k, "invalid" if problem else "completed", json.dumps(payload, ensure_ascii=False), problem))
+                except Exception as error:  # recorded per request
+                    out.append((k, "failed", None, str(error)))
+            yield pd.DataFrame(out, columns=[key, "status", "payload", "error"])
+
+    return rows.mapInPandas(run, f"{key} {key_type}, status string, payload string, error string")
+
+
+def check_generated(payload: dict) -> str | None:
+    """Name of the first blank summary field of an analyzer's output."""
+    summary = payload.get("summary") or {}
+    for field in ("one_sentence", "short", "deep", "role_in_book"):
+        if not str(summary.get(field) or "").strip():
+            return f"summary.{field}"
+    return None
+
+
+def check_judgment(payload: dict) -> str | None:
+    """First problem of a judge's output: score 0..3, verdict, evidence, explicit hard failure."""
+    if payload.get("score") not in (0, 1, 2, 3):
+        return "score"
+    if payload.get("verdict") not in ("supports", "refutes", "insufficient"):
+        return "verdict"
+    if not str(payload.get("evidence") or "").strip():
+        return "evidence"
+    return None if isinstance(payload.get("hard_failure"), bool) else "hard_failure"
+
+
+def compile_status(chapters: DataFrame, analyses: DataFrame, synthesized: DataFrame, grounded: DataFrame) -> DataFrame:
+    """Stages reached, counts and completeness per book.
+
+    synthesized(book_id) and grounded(book_id, valid) list what exists.
+    """
+    total = chapters.groupBy("book_id").agg(
+        F.sum(F.when(~F.col("is_noise") & (F.col("block_count") > 0), 1).otherwise(0)).alias("total")
+    )
+    done = analyses.groupBy("book_id").agg(F.count(F.lit(1)).alias("done"))
+    has_synthesis = synthesized.select("book_id", F.lit(True).alias("_s")).distinct()
+    joined = (
+        total.join(done, "book_id", "left")
+        .join(has_synthesis, "book_id", "left")
+        .join(grounded.select("book_id", "valid"), "book_id", "left")
+    )
+    analyzed = F.coalesce("done", F.lit(0)) >= F.col("total")
+    synthesis = analyzed & F.col("_s").isNotNull()
+    complete = synthesis & F.coalesce("valid", F.lit(False))
+    reached = F.when(complete, 5).when(synthesis, 4).when(analyzed, 3).otherwise(2)
+    return joined.select(
+        "book_id",
+        F.slice(F.array(*[F.lit(s) for s in STAGES]), F.lit(1), reached).alias("ready_stages"),
+        F.coalesce("done", F.lit(0).cast("long")).alias("analyzed_chapters"),
+        F.col("total").alias("total_chapters"),
+        complete.alias("complete"),
+        F.when(synthesis & ~F.coalesce("valid", F.lit(False)), "grounding validation failed").alias("error"),
+    )
+
+
+def stage_progress(snapshots: DataFrame) -> DataFrame:
+    """Snapshots that are no prefix of the stage list or shrink; snapshots(book_id, seq, ready_stages)."""
+    order = Window.partitionBy("book_id").orderBy("seq")
+    stages = F.array(*[F.lit(s) for s in STAGES])
+    size = F.size("ready_stages")
+    return snapshots.select(
+        "book_id",
+        "seq",
+        (F.slice(stages, F.lit(1), size) != F.col("ready_stages")).alias("not_prefix"),
+        F.coalesce(size < F.lag(size).over(order), F.lit(False)).alias("shrinks"),
+    ).where("not_prefix or shrinks")
+
+
+def attempt_numbers(attempts: DataFrame) -> DataFrame:
+    """Attempts of a book numbered from one."""
+    order = Window.partitionBy("book_id").orderBy("seq")
+    return attempts.withColumn("attempt", F.row_number().over(order).cast("long"))

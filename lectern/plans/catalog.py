@@ -11,6 +11,8 @@ MODULES = [
     "queries_grounding",
     "queries_scoring",
     "queries_sections",
+    "queries_actions",
+    "queries_review",
 ]
 
 for _module in MODULES:
