@@ -226,7 +226,7 @@ def analyze(requests: DataFrame, analyzer: Callable[[dict], dict], key: str, che
                     out.append((k, "invalid" if problem else "completed", json.dumps(payload, ensure_ascii=False), problem))
                 except Exception as error:  # recorded per request
                     out.append((k, "failed", None, str(error)))
-            yield pd.DataFrame(out, columns=[key, "status", "payload", "error"])
+            yield pd.DataFrame(out, columns=[key, "status", "payload", "error"], dtype=object)
 
     return rows.mapInPandas(run, f"{key} {key_type}, status string, payload string, error string")
 

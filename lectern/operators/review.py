@@ -103,7 +103,7 @@ def json_diff(pairs: DataFrame, key: str, limit: int = DIFF_LIMIT) -> DataFrame:
                 found: list[tuple] = []
                 _collect("$", json.loads(left), json.loads(right), found, limit)
                 rows += [(k, i, *entry) for i, entry in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "path", "left", "right"])
+            yield pd.DataFrame(rows, columns=[key, "pos", "path", "left", "right"], dtype=object)
 
     schema = f"{key} {key_type}, pos bigint, path string, left string, right string"
     return pairs.select(key, "left_json", "right_json").mapInPandas(run, schema)

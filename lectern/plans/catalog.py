@@ -13,6 +13,8 @@ MODULES = [
     "queries_sections",
     "queries_actions",
     "queries_review",
+    "queries_io",
+    "queries_streaming",
 ]
 
 for _module in MODULES:

@@ -269,8 +269,12 @@ view(
 
 def highlights(spark, folder):
     """Every event marks a stretch of the block it names; some of them badly."""
-    spot = base.blocks(spark, folder).select("spine_index", F.col("ord").alias("_ord"), "block_id", F.col("text").alias("_t"))
-    ev = reader.events(spark, folder).withColumn("_ord", F.col("event_id") % 8)
+    return as_highlights(reader.events(spark, folder), base.blocks(spark, folder))
+
+
+def as_highlights(events, blocks):
+    spot = blocks.select("spine_index", F.col("ord").alias("_ord"), "block_id", F.col("text").alias("_t"))
+    ev = events.withColumn("_ord", F.col("event_id") % 8)
     return ev.join(spot, ["spine_index", "_ord"], "left").select(
         "event_id",
         "session_id",

@@ -446,7 +446,10 @@ view(
 
 
 def http_requests(spark, folder):
-    ev = reader.events(spark, folder)
+    return as_http(reader.events(spark, folder))
+
+
+def as_http(ev):
     kind = F.col("event_type")
     tail = (
         F.when(kind == "purchase", "")

@@ -14,7 +14,11 @@ from lectern.session import durable
 
 
 def events(spark, folder):
-    raw = base.table(spark, folder, "events")
+    return mapped(base.table(spark, folder, "events"))
+
+
+def mapped(raw):
+    """Reader columns of event rows, batch or stream."""
     k = F.get_json_object("props", "$.k").cast("long")
     return raw.select(
         "event_id",

@@ -150,7 +150,10 @@ view(
 
 def calls(spark, folder):
     """Events as provider calls: tokens from the value, phase from the type."""
-    ev = reader.events(spark, folder)
+    return as_calls(reader.events(spark, folder))
+
+
+def as_calls(ev):
     phase = F.create_map(
         F.lit("view"), F.lit("answer"), F.lit("click"), F.lit("compile"), F.lit("purchase"), F.lit("judge"),
         F.lit("error"), F.lit("answer"),
