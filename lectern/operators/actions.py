@@ -396,3 +396,38 @@ def request_issues(requests: DataFrame) -> DataFrame:
         ((task == "upload") & (F.coalesce("content_bytes", F.lit(0)) == 0), "empty_content"),
     ]
     return issue_rows(requests, ["request_id"], rules)
+
+
+def reflect_requests(requests: DataFrame, checkpoint_results: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Scored reflections of requests whose checkpoint is open and whose question exists.
+
+    requests(request_id, session_id, checkpoint_id, question_id, answer);
+    checkpoint_results comes from ``checkpoint_requests``.
+    """
+    from lectern.rules import blank
+
+    questions = checkpoints.select(
+        "checkpoint_id", "spine_index", F.explode(F.concat("recall_questions", "reflection_questions")).alias("q")
+    ).select("checkpoint_id", "spine_index", F.col("q.question_id").alias("question_id"), "q.expected_points")
+    known = checkpoints.select("checkpoint_id", "spine_index")
+    gate = checkpoint_results.select("session_id", "spine_index", F.col("error").alias("_gate"), F.lit(True).alias("_asked")).distinct()
+    joined = (
+        requests.join(known, "checkpoint_id", "left")
+        .join(gate, ["session_id", "spine_index"], "left")
+        .join(questions.drop("spine_index"), ["checkpoint_id", "question_id"], "left")
+    )
+    scored = reflection_score(joined.withColumn("expected_points", F.coalesce("expected_points", F.array().cast("array<string>"))))
+    missing = joined.select("request_id", F.col("expected_points").isNull().alias("_missing"))
+    return scored.join(missing, "request_id").select(
+        "request_id",
+        "session_id",
+        "spine_index",
+        F.when(blank(F.col("answer")), "blank_answer")
+        .when(F.col("spine_index").isNull(), "unknown_checkpoint")
+        .when(F.col("_asked").isNull(), "forbidden")
+        .when(F.col("_gate").isNotNull(), F.col("_gate"))
+        .when(F.col("_missing"), "unknown_question")
+        .alias("error"),
+        "score_basis_points",
+        "feedback",
+    )

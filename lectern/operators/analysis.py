@@ -297,3 +297,34 @@ def attempt_numbers(attempts: DataFrame) -> DataFrame:
     """Attempts of a book numbered from one."""
     order = Window.partitionBy("book_id").orderBy("seq")
     return attempts.withColumn("attempt", F.row_number().over(order).cast("long"))
+
+
+def reanalysis_requests(chapters: DataFrame, current: DataFrame, part: int = 8) -> DataFrame:
+    """Request rows to analyse chapters again: the existing analysis and the summaries just before it.
+
+    chapters(book_id, spine_index, chapter_id), current adds ``summary``.  Earlier
+    summaries are the last ``part`` ones of the book, found per bucket of
+    consecutive chapters so that no book is ordered in one task.
+    """
+    from lectern.operators.sections import running_before
+
+    width = 1024
+    named = current.select("book_id", "spine_index", F.col("summary.short").alias("short"))
+    # Buckets of dense positions are full, so a chapter sees its own bucket and,
+    # as a seed, the last rows of the bucket before.
+    placed = running_before(named.withColumn("_one", F.lit(1).cast("long")), "spine_index", "_one", "_place").drop("_one")
+    bucketed = placed.withColumn("_bucket", F.expr(f"_place div {width}")).drop("_place")
+    tail_rank = F.row_number().over(Window.partitionBy("book_id", "_bucket").orderBy(F.col("spine_index").desc()))
+    seed = bucketed.withColumn("_r", tail_rank).where(F.col("_r") <= part).drop("_r").withColumn("_bucket", F.col("_bucket") + 1)
+    rows = bucketed.withColumn("_own", F.lit(True)).unionByName(seed.withColumn("_own", F.lit(False)))
+    before = Window.partitionBy("book_id", "_bucket").orderBy("spine_index").rowsBetween(-part, -1)
+    seen = rows.withColumn("earlier_summaries", F.collect_list("short").over(before)).where("_own").drop("_own", "_bucket", "short")
+    return chapters.join(current.select("book_id", "spine_index", "summary"), ["book_id", "spine_index"]).join(
+        seen, ["book_id", "spine_index"]
+    ).withColumn("task", F.lit("chapter_reanalysis"))
+
+
+def ordered_results(analyses: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Analyses in spine order with their distinct artifacts sorted; artifacts(book_id, spine_index, artifact)."""
+    named = artifacts.groupBy("book_id", "spine_index").agg(F.array_sort(F.collect_set("artifact")).alias("artifacts"))
+    return analyses.join(named, ["book_id", "spine_index"], "left").orderBy("book_id", "spine_index")

@@ -15,6 +15,7 @@ MODULES = [
     "queries_review",
     "queries_io",
     "queries_streaming",
+    "queries_misc",
 ]
 
 for _module in MODULES:
