@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.prefix import numbered, with_previous
 from lectern.operators.retrieval import WEIGHT, term_rows, top_ranked
 from lectern.rules import blank, violations
 
@@ -125,35 +126,33 @@ def prior_context(blocks: DataFrame, k: int = 8) -> DataFrame:
 
 
 def chapter_requests(chapters: DataFrame, excerpts: DataFrame, *, profile: str) -> DataFrame:
-    """One request row per chapter with earlier chapters and their excerpts.
+    """One request row per chapter: its blocks, its excerpts, how many chapters precede it.
 
-    chapters(book_id, spine_index, title, blocks array<string>); every earlier
-    chapter is listed, also without an excerpt.
+    chapters(book_id, spine_index, title, blocks array<string>).  The list of
+    earlier chapters is the chapter table below this spine index; a copy in
+    every row would grow with the square of the book, so the row carries its
+    length and the at most eight excerpts, each with its chapter.
     """
-    listed = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("spine_index", "title"))).alias("_all"))
+    content = numbered(chapters, ["book_id"], "spine_index", "prior_chapters")
     chosen = (
         excerpts.groupBy("book_id", F.col("for_chapter").alias("spine_index"))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("spine_index").alias("from_chapter"), "ord"))).alias("_x"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("rank", F.col("spine_index").alias("from_chapter"), "ord"))).alias(
+                "prior_excerpts"
+            )
+        )
     )
     empty = F.array().cast("array<struct<rank:bigint,from_chapter:bigint,ord:bigint>>")
-    prior = F.transform(
-        F.filter("_all", lambda c: c["spine_index"] < F.col("spine_index")),
-        lambda c: F.struct(
-            c["spine_index"].alias("spine_index"),
-            c["title"].alias("title"),
-            F.filter("_x", lambda x: x["from_chapter"] == c["spine_index"]).alias("excerpts"),
-        ),
-    )
-    joined = chapters.join(listed, "book_id").join(chosen, ["book_id", "spine_index"], "left")
     return profile_settings(
-        joined.withColumn("_x", F.coalesce("_x", empty)).select(
+        content.join(chosen, ["book_id", "spine_index"], "left").select(
             "book_id",
             "spine_index",
             "title",
             F.lit("chapter_analysis").alias("task"),
             F.lit(profile).alias("profile"),
             "blocks",
-            prior.alias("prior_chapters"),
+            "prior_chapters",
+            F.coalesce("prior_excerpts", empty).alias("prior_excerpts"),
         )
     )
 
@@ -282,21 +281,19 @@ def compile_status(chapters: DataFrame, analyses: DataFrame, synthesized: DataFr
 
 def stage_progress(snapshots: DataFrame) -> DataFrame:
     """Snapshots that are no prefix of the stage list or shrink; snapshots(book_id, seq, ready_stages)."""
-    order = Window.partitionBy("book_id").orderBy("seq")
     stages = F.array(*[F.lit(s) for s in STAGES])
-    size = F.size("ready_stages")
-    return snapshots.select(
+    sized = snapshots.withColumn("_size", F.size("ready_stages"))
+    return with_previous(sized, ["book_id"], "seq", "_size", "_was").select(
         "book_id",
         "seq",
-        (F.slice(stages, F.lit(1), size) != F.col("ready_stages")).alias("not_prefix"),
-        F.coalesce(size < F.lag(size).over(order), F.lit(False)).alias("shrinks"),
+        (F.slice(stages, F.lit(1), F.col("_size")) != F.col("ready_stages")).alias("not_prefix"),
+        F.coalesce(F.col("_size") < F.col("_was"), F.lit(False)).alias("shrinks"),
     ).where("not_prefix or shrinks")
 
 
 def attempt_numbers(attempts: DataFrame) -> DataFrame:
     """Attempts of a book numbered from one."""
-    order = Window.partitionBy("book_id").orderBy("seq")
-    return attempts.withColumn("attempt", F.row_number().over(order).cast("long"))
+    return numbered(attempts, ["book_id"], "seq", "_n").withColumn("attempt", F.col("_n") + 1).drop("_n")
 
 
 def reanalysis_requests(chapters: DataFrame, current: DataFrame, part: int = 8) -> DataFrame:
@@ -306,13 +303,11 @@ def reanalysis_requests(chapters: DataFrame, current: DataFrame, part: int = 8)
     summaries are the last ``part`` ones of the book, found per bucket of
     consecutive chapters so that no book is ordered in one task.
     """
-    from lectern.operators.sections import running_before
-
     width = 1024
     named = current.select("book_id", "spine_index", F.col("summary.short").alias("short"))
     # Buckets of dense positions are full, so a chapter sees its own bucket and,
     # as a seed, the last rows of the bucket before.
-    placed = running_before(named.withColumn("_one", F.lit(1).cast("long")), "spine_index", "_one", "_place").drop("_one")
+    placed = numbered(named, ["book_id"], "spine_index", "_place")
     bucketed = placed.withColumn("_bucket", F.expr(f"_place div {width}")).drop("_place")
     tail_rank = F.row_number().over(Window.partitionBy("book_id", "_bucket").orderBy(F.col("spine_index").desc()))
     seed = bucketed.withColumn("_r", tail_rank).where(F.col("_r") <= part).drop("_r").withColumn("_bucket", F.col("_bucket") + 1)

@@ -199,10 +199,12 @@ def dangling_ids(references: DataFrame, declared: DataFrame) -> DataFrame:
     return references.join(declared.select("book_id", "kind", "id").distinct(), ["book_id", "kind", "id"], "left_anti")
 
 
-def exact_cover(analyzed: DataFrame, covering: DataFrame) -> DataFrame:
+def exact_cover(
+    analyzed: DataFrame, covering: DataFrame, subjects: tuple[str, ...] = ("role", "difficulty", "checkpoint")
+) -> DataFrame:
     """Chapters not covered exactly once; analyzed(book_id, spine_index), covering adds ``subject``."""
-    subjects = covering.select("subject").distinct()
-    wanted = analyzed.select("book_id", "spine_index", F.lit(1).alias("_wanted")).crossJoin(F.broadcast(subjects))
+    names = F.array(*[F.lit(s) for s in subjects])
+    wanted = analyzed.select("book_id", "spine_index", F.lit(1).alias("_wanted"), F.explode(names).alias("subject"))
     counted = covering.groupBy("subject", "book_id", "spine_index").agg(F.count(F.lit(1)).alias("n"))
     return (
         wanted.join(counted, ["subject", "book_id", "spine_index"], "full_outer")
@@ -308,16 +310,24 @@ def chapter_refs(analyses: DataFrame) -> DataFrame:
 
 
 def same_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: rows only left, rows only right (multiset comparison)."""
+    """Per key: rows only left, rows only right (multiset comparison on row digests)."""
     columns = left.columns
-    a = left.groupBy(*columns).agg(F.count(F.lit(1)).alias("_l"))
-    b = right.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_r"))
-    joined = a.alias("a").join(b.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns], "full_outer")
+
+    def digested(df: DataFrame, l_count: int, r_count: int) -> DataFrame:
+        row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+        return df.select(*keys, row.alias("_row"), F.lit(l_count).alias("_l"), F.lit(r_count).alias("_r"))
+
     zero = F.lit(0).cast("long")
-    left_n, right_n = F.coalesce("_l", zero), F.coalesce("_r", zero)
-    return joined.groupBy(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys]).agg(
-        F.sum(F.greatest(left_n - right_n, zero)).alias("only_left"),
-        F.sum(F.greatest(right_n - left_n, zero)).alias("only_right"),
+    return (
+        digested(left, 1, 0)
+        .unionByName(digested(right.select(*columns), 0, 1))
+        .groupBy(*keys, "_row")
+        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        .groupBy(*keys)
+        .agg(
+            F.sum(F.greatest(F.col("_l") - F.col("_r"), zero)).alias("only_left"),
+            F.sum(F.greatest(F.col("_r") - F.col("_l"), zero)).alias("only_right"),
+        )
     )
 
 

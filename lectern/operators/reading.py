@@ -307,6 +307,7 @@ def byte_budget_select(ranked: DataFrame, *, budget: int, k: int = 8, head: int
         return chosen
     rest = (
         ranked.where(F.col("rank") > head)
+        .join(open_requests.select("request_id"), "request_id", "left_semi")
         .join(open_requests, "request_id")
         .repartition("request_id")
         .sortWithinPartitions("request_id", "rank")

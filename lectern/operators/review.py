@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import basis_points
+from lectern.operators.prefix import numbered, with_previous
 from lectern.rules import blank
 
 METRICS = ("parse_quality", "source_ref_validity", "chapter_coverage", "claim_grounding", "concept_grounding")
@@ -22,15 +22,13 @@ DIFF_LIMIT = 500
 def version_history(base: DataFrame, edits: DataFrame) -> DataFrame:
     """Package value as revision 0, then edits in order; the newest is marked.
 
-    base(kind, id, value), edits(kind, id, seq, analyzer, value).  A window
-    covers the edits of one document.
+    base(kind, id, value), edits(kind, id, seq, analyzer, value).
     """
-    order = Window.partitionBy("kind", "id").orderBy("seq")
-    numbered = edits.withColumn("revision", F.row_number().over(order).cast("long"))
-    last = F.lead("seq").over(order).isNull()
-    edited = numbered.select(
+    counts = edits.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(edits, ["kind", "id"], "seq", "_at").withColumn("revision", F.col("_at") + 1)
+    edited = placed.join(counts, ["kind", "id"]).select(
         "kind", "id", "revision", F.concat(F.lit("v"), F.col("revision").cast("string")).alias("version_id"), "analyzer", "value",
-        last.alias("is_latest"),
+        (F.col("revision") == F.col("_n")).alias("is_latest"),
     )
     touched = edits.select("kind", "id").distinct().withColumn("_edited", F.lit(True))
     zero = base.join(touched, ["kind", "id"], "left").select(
@@ -193,10 +191,8 @@ def metric_regressions(history: DataFrame) -> DataFrame:
 
     A known value that becomes missing, unknown or lower is a regression.
     """
-    order = Window.partitionBy("book_id", "metric").orderBy("run")
-    before = F.lag("value").over(order)
     worse = (F.col("state") == "missing_required") | F.col("value").isNull() | (F.col("value") < F.col("previous"))
-    return history.withColumn("previous", before).withColumn(
+    return with_previous(history, ["book_id", "metric"], "run", "value", "previous").withColumn(
         "regressed", F.col("previous").isNotNull() & worse
     )
 

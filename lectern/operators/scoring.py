@@ -279,9 +279,10 @@ def change_counts(pairs: DataFrame) -> DataFrame:
 def comparable_runs(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame:
     """Manifest fields on which two runs differ; compiler may differ only for the source-only comparison."""
     names = [*fields, "compiler", "candidate"]
-    a = left.select(*[F.col(f).alias(f"l_{f}") for f in names])
-    b = right.select(*[F.col(f).alias(f"r_{f}") for f in names])
-    both = a.join(F.broadcast(b))
+    one = F.lit(1).alias("_one")
+    a = left.select(one, *[F.col(f).alias(f"l_{f}") for f in names])
+    b = right.select(one, *[F.col(f).alias(f"r_{f}") for f in names])
+    both = a.join(b, "_one")
 
     def source_only(side: str) -> Column:
         return (F.col(f"{side}_candidate") == "A1") & (F.col(f"{side}_compiler") == "source-only")
@@ -624,7 +625,7 @@ def provider_span(events: DataFrame, keys: list[str]) -> DataFrame:
 def acceptance_gate(runs: DataFrame) -> DataFrame:
     """At least three standard books, a deep run of one of them, a basic run, no duplicates.
 
-    runs(book_id, profile, passed, has_usage).  One row.
+    runs(book_id, profile, passed, has_usage).  Both sides are one-row totals.
     """
     per = runs.groupBy("book_id").agg(
         F.max((F.col("profile") == "standard") & F.col("passed")).alias("standard"),
@@ -639,8 +640,8 @@ def acceptance_gate(runs: DataFrame) -> DataFrame:
         F.max("basic").alias("has_basic"),
         F.min("usage").alias("full_usage"),
     )
-    duplicate = copies.agg((F.max("n") > 1).alias("duplicates"))
-    return gate.join(F.broadcast(duplicate)).withColumn(
+    duplicate = copies.agg((F.max("n") > 1).alias("duplicates")).withColumn("_one", F.lit(1))
+    return gate.withColumn("_one", F.lit(1)).join(duplicate, "_one").drop("_one").withColumn(
         "passed",
         (F.col("standard_books") >= 3)
         & F.col("deep_of_standard")

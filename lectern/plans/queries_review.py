@@ -284,8 +284,8 @@ def chapter_requests(spark, folder):
         "book_id",
         "spine_index",
         F.size("blocks").cast("long").alias("n_blocks"),
-        F.size("prior_chapters").cast("long").alias("n_prior"),
-        F.aggregate("prior_chapters", F.lit(0).cast("long"), lambda a, c: a + F.size(c["excerpts"])).alias("n_excerpts"),
+        F.col("prior_chapters").alias("n_prior"),
+        F.size("prior_excerpts").cast("long").alias("n_excerpts"),
         "max_objects",
     )
 
