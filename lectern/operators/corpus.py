@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.session import broadcast_if_small
+from lectern.session import broadcast_if_small, durable
 
 MERGE_LIMIT = 1200
 EDGE_LIMIT = 160
@@ -65,22 +65,24 @@ def repeated_boundary_lines(chapters: DataFrame, numerator: int = 3, denominator
     A chapter contributes at most two fingerprints, so a book has at most
     2 / ratio of them however long it is.
     """
-    content = chapters.where(~F.col("is_noise")).select("book_id", edge_fingerprints(F.col("items")).alias("edges"))
-    sizes = content.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    counted = (
-        content.select("book_id", F.explode_outer("edges").alias("fp"))
-        .where("fp is not null")
+    # One extra null entry per chapter counts the chapters in the same pass.
+    entries = F.concat(edge_fingerprints(F.col("items")), F.array(F.lit(None).cast("string")))
+    counted = durable(
+        chapters.where(~F.col("is_noise"))
+        .select("book_id", F.explode_outer(entries).alias("fp"))
         .groupBy("book_id", "fp")
         .agg(F.count(F.lit(1)).alias("chapters"))
         .where("chapters >= 2")
     )
+    sizes = counted.where("fp is null").select("book_id", F.col("chapters").alias("n"))
+    counted = counted.where("fp is not null")
     threshold = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
     return counted.join(broadcast_if_small(sizes), "book_id").where(F.col("chapters") >= threshold).drop("n")
 
 
 def drop_boundary_lines(chapters: DataFrame, repeated: DataFrame) -> DataFrame:
     """Remove every block whose fingerprint is repeated and an edge of that chapter."""
-    per_book = repeated.groupBy("book_id").agg(F.collect_set("fp").alias("repeated"))
+    per_book = durable(repeated.groupBy("book_id").agg(F.collect_set("fp").alias("repeated")))
     joined = chapters.join(broadcast_if_small(per_book), "book_id", "left")
     gone = F.array_intersect(F.coalesce("repeated", F.array().cast("array<string>")), edge_fingerprints(F.col("items")))
     kept = F.filter("items", lambda b: ~F.array_contains(F.col("gone"), T.fingerprint(b["text"])))

@@ -248,18 +248,21 @@ def retrieve(
     boundaries: DataFrame, candidates: DataFrame, *, context_limit: int = CONTEXT_LIMIT, k: int = 8
 ) -> DataFrame:
     """Ranked evidence per request within its scope and byte budget."""
-    sized = candidates.withColumn("bytes", F.octet_length("text").cast("long"))
+    place = ["scope_id", "spine_index", "ord"]
+    sized = candidates.select(*place, "visible", "text", F.octet_length("text").cast("long").alias("bytes"))
     asked = boundaries.where("error is null").select("scope_id", "request_id", "question")
     ranked = rank_blocks(
         sized,
         asked,
         query_key="request_id",
-        block_key=["block_id", "bytes", "visible", "fp"],
+        block_key=["bytes", "visible"],
         position=["spine_index", "ord"],
         scope=["scope_id"],
         k=None,
     )
-    return byte_budget_select(ranked, budget=context_limit // 2, k=k)
+    chosen = byte_budget_select(ranked, budget=context_limit // 2, k=k)
+    # Ids and fingerprints are looked up for the chosen blocks only.
+    return candidates.select(*place, "block_id", "fp").join(broadcast_if_small(chosen), place)
 
 
 def byte_budget_select(ranked: DataFrame, *, budget: int, k: int = 8, head: int = 64) -> DataFrame:

@@ -13,6 +13,7 @@ from lectern.functions import text as T
 from lectern.operators import actions, corpus
 from lectern.plans import base
 from lectern.plans.registry import view
+from lectern.session import durable
 from lectern.rules import blank
 
 EMPTY_REFS = f"array<{actions.REF}>"
@@ -93,6 +94,11 @@ def chapter_analyses(spark, folder):
     )
 
 
+def stored_analyses(spark, folder):
+    """The analyses as a written table, for queries that read them several times."""
+    return durable(chapter_analyses(spark, folder))
+
+
 def concepts(analyses):
     """Book-level concepts, one per chapter, related to the next chapter's."""
     return analyses.select(

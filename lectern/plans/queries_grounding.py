@@ -40,7 +40,7 @@ view(
 
 
 def resolved(spark, folder):
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
     return analyses, grounding.resolve_refs(package.citation_rows(analyses), base.blocks(spark, folder))
 
 
@@ -117,7 +117,7 @@ def declared_ids(analyses):
     """SELECT book_id, kind, id, count(*) AS n, 'duplicate_id' AS code FROM v_question_ids GROUP BY ALL HAVING count(*) > 1""",
 )
 def duplicate_ids(spark, folder):
-    return grounding.duplicate_ids(declared_ids(package.chapter_analyses(spark, folder)))
+    return grounding.duplicate_ids(declared_ids(package.stored_analyses(spark, folder)))
 
 
 view(
@@ -153,7 +153,7 @@ def references(analyses):
          SELECT 1 FROM v_question_ids q WHERE q.book_id = r.book_id AND q.kind = r.kind AND q.id = r.id)""",
 )
 def dangling_ids(spark, folder):
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
     return grounding.dangling_ids(references(analyses), declared_ids(analyses)).select("book_id", "kind", "owner", "id")
 
 
@@ -176,7 +176,7 @@ view(
        WHERE coalesce(n, 0) <> 1""",
 )
 def exact_cover(spark, folder):
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
 
     def as_cover(df, subject):
         return df.select(F.lit(subject).alias("subject"), "book_id", "spine_index")
@@ -223,7 +223,7 @@ def synthesis(analyses):
 
 @query("synthesis_rules", "SELECT book_id, kind, id, code FROM v_synthesis_issues")
 def synthesis_rules(spark, folder):
-    return synthesis(package.chapter_analyses(spark, folder))
+    return synthesis(package.stored_analyses(spark, folder))
 
 
 view(

@@ -84,7 +84,7 @@ def objects(analyses):
 
 
 def metric_rows(spark, folder, report):
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
     chapters = corpus.chapter_items(base.chapters_raw(spark, folder)).withColumn("block_count", F.size("items"))
     number = F.substring("book_id", 4, 9).cast("long")
     waivers = analyses.select("book_id").distinct().where(number % 3 == 0).select(
@@ -187,7 +187,7 @@ def evaluate_packages(spark, folder):
 )
 def apply_edits(spark, folder):
     """Every concept resubmitted as an edit; some name a concept that does not exist."""
-    concepts = package.concepts(package.chapter_analyses(spark, folder))
+    concepts = package.concepts(package.stored_analyses(spark, folder))
     proposed = concepts.select(
         F.col("concept_id").alias("edit_id"),
         "book_id",
@@ -603,7 +603,7 @@ def locate_blocks(spark, folder):
        FROM v_chapters c WHERE NOT is_noise AND spine_index NOT IN (SELECT spine_index FROM v_analyses)""",
 )
 def book_dashboard(spark, folder):
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
     chapters = corpus.chapter_items(base.chapters_raw(spark, folder)).withColumn("block_count", F.size("items").cast("long"))
     return review_dashboard(chapters, analyses)
 
