@@ -7,6 +7,7 @@ from lectern.operators import corpus
 from lectern.plans import base
 from lectern.plans.base import sql_norm
 from lectern.plans.registry import query, view
+from lectern.session import durable
 
 # The corpus repeats its furniture in about a tenth of a book's chapters; the
 # operator's default ratio of 3/5 is checked on a fixture in tests/.
@@ -186,12 +187,17 @@ def structure_counts(spark, folder):
 
 @query(
     "analyzable_chapters",
-    "SELECT book_id, spine_index, block_count FROM v_chapter_rows WHERE NOT is_noise AND block_count > 0 AND spine_index < 150",
+    "SELECT book_id, spine_index, block_count FROM v_chapter_rows WHERE NOT is_noise AND block_count > 0",
 )
 def analyzable_chapters(spark, folder):
     from lectern.operators import analysis
 
-    return analysis.analyzable_chapters(corpus.chapter_rows(normal_chapters(spark, folder)), through=150).select(
+    # A filter on the block count would otherwise be pushed below, with a second
+    # copy of the whole normalisation; the chapter table is written first.
+    stored = durable(
+        corpus.chapter_rows(normal_chapters(spark, folder)).select("book_id", "spine_index", "is_noise", "block_count")
+    )
+    return analysis.analyzable_chapters(stored).select(
         "book_id", "spine_index", "block_count"
     )
 

@@ -394,16 +394,16 @@ def export_vault(spark, folder):
 
 @query(
     "export_json",
-    """SELECT book_id, 'chapters' AS part, count(*) AS n FROM v_chapters WHERE spine_index % 3 = 0 GROUP BY ALL
-       UNION ALL SELECT book_id, 'chapter_analyses', count(*) FROM v_analyses WHERE spine_index % 3 = 0 GROUP BY ALL
+    """SELECT book_id, 'chapters' AS part, count(*) AS n FROM v_chapters WHERE length(title) > 30 GROUP BY ALL
+       UNION ALL SELECT a.book_id, 'chapter_analyses', count(*) FROM v_analyses a JOIN v_chapters c USING (spine_index) WHERE length(c.title) > 30 GROUP BY ALL
        UNION ALL SELECT book_id, 'concepts', count(*) FROM v_concepts GROUP BY ALL UNION ALL SELECT book_id, 'claims', count(*) FROM v_claims GROUP BY ALL""",
 )
 def export_json(spark, folder):
-    """Every third chapter selected; concepts and claims stay whole-book."""
+    """Chapters with a long title selected; concepts and claims stay whole-book."""
     chapters = base.chapters(spark, folder)
     analyses = package.chapter_analyses(spark, folder)
     rows = exports.export_json_rows(
-        chapters.where("spine_index % 3 = 0"), chapters, analyses, package.concepts(analyses), package.claims(analyses)
+        chapters.where("length(title) > 30"), chapters, analyses, package.concepts(analyses), package.claims(analyses)
     )
     return rows.groupBy("book_id", "part").agg(F.count(F.lit(1)).alias("n"))
 

@@ -24,6 +24,35 @@ def test_rank_blocks_prefers_rare_terms_and_reading_order(spark):
     assert [(r.block_id, r.score) for r in got] == [("b2", 50_000 + 25_000), ("b0", 25_000), ("b4", 25_000)]
 
 
+def rank_by_hand(blocks, queries, weight):
+    docs = {b: set(t.split()) for b, t in blocks}
+    out = set()
+    for qid, text in queries:
+        terms = set(text.split())
+        df = {t: sum(t in d for d in docs.values()) for t in terms}
+        scored = [(-sum(weight // (df[t] + 1) for t in terms & d), b) for b, d in docs.items()]
+        for rank, (score, b) in enumerate(sorted(x for x in scored if x[0] < 0)[:8], 1):
+            out.add((qid, b, -score, rank))
+    return out
+
+
+def test_rank_blocks_without_broadcast_and_with_weightless_terms(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    pick = lambda n: " ".join(rng.choice(words[: rng.choice([4, 30])]) for _ in range(n))
+    blocks = [(i, pick(8)) for i in range(120)]
+    queries = [(i, pick(5)) for i in range(15)]
+    table = spark.createDataFrame(blocks, "ord long, text string")
+    asked = spark.createDataFrame(queries, "qid long, question string")
+    monkeypatch.setattr(retrieval, "WEIGHT", 40)
+    wanted = rank_by_hand(blocks, queries, 40)
+    for small in (True, False):
+        monkeypatch.setattr(retrieval, "is_small", lambda df, *a, small=small: small)
+        monkeypatch.setattr(retrieval, "broadcast_if_small", lambda df, *a: df)
+        got = retrieval.rank_blocks(table, asked, query_key="qid", block_key=["ord"], position=["ord"]).collect()
+        assert {(r.qid, r.ord, r.score, r["rank"]) for r in got} == wanted
+
+
 def greedy(sizes, budget, k=8):
     left, picked = budget, []
     for i, size in enumerate(sizes):
@@ -178,3 +207,29 @@ def test_calibration_gate(spark):
     wrong = judged.withColumn("score", F.when(F.col("id") == 3, 2).otherwise(F.col("score")))
     assert scoring.calibration_agreement(samples, wrong, ["g"]).first().calibrated is False
     assert scoring.calibration_agreement(samples, judged.where("id > 0"), ["g"]).first().state == "not_evaluated"
+
+
+def test_analyzable_chapters(spark):
+    rows = [("b", 0, False, 2), ("b", 1, True, 2), ("b", 2, False, 0), ("b", 3, False, 1)]
+    df = spark.createDataFrame(rows, "book_id string, spine_index long, is_noise boolean, block_count long")
+    assert [r.spine_index for r in analysis.analyzable_chapters(df).collect()] == [0, 3]
+    assert [r.spine_index for r in analysis.analyzable_chapters(df, through=3).collect()] == [0]
+
+
+def test_two_level_prefixes(spark):
+    from lectern.operators import prefix
+
+    rng = random.Random(2)
+    rows, wanted = [], {}
+    for key in range(3):
+        total, previous = 0, None
+        for n, order in enumerate(sorted(rng.sample(range(500), 60))):
+            value = rng.randint(0, 9)
+            rows.append((key, order, value))
+            wanted[(key, order)] = (total, n, previous)
+            total, previous = total + value, value
+    df = spark.createDataFrame(rows, "k long, o long, v long").repartition(4)
+    out = prefix.running_before(df, ["k"], "o", "v", "total", width=37)
+    out = prefix.numbered(out, ["k"], "o", "n", width=37)
+    out = prefix.with_previous(out, ["k"], "o", "v", "previous", width=37)
+    assert {(r.k, r.o): (r.total, r.n, r.previous) for r in out.collect()} == wanted
