@@ -169,7 +169,10 @@ def synthesis_requests(books: DataFrame, analyses: DataFrame, part_chapters: int
 
 
 def registration_analysis(chapters: DataFrame) -> DataFrame:
-    """Deterministic placeholder analysis that proves the package path."""
+    """Deterministic placeholder analysis that proves the package path.
+
+    The four sentences are fixed values.
+    """
     label = F.when(blank(F.col("title")), F.col("chapter_id")).otherwise(F.col("title"))
     return chapters.withColumn(
         "summary",
