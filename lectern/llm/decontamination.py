@@ -37,10 +37,11 @@ NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 def marked_words(text: Column) -> Column:
     """Lower-case words without punctuation; a slot's word begins with the mark of its type and goes on with its value.
 
-    A name is a capitalised word that no sentence begins with; a unit follows a number.
+    A name is a capitalised word that no sentence begins with (words all in
+    capitals are not); a unit follows a number.
     """
     t = F.regexp_replace(text, r"[\x00-\x08\x0E-\x1F]", "")
-    t = F.regexp_replace(t, r"([^.!?\s]\s)(?=\p{Lu})", f"$1{NAME}")
+    t = F.regexp_replace(t, r"([^.!?\s]\s)(?=\p{Lu}\p{Ll})", f"$1{NAME}")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     numbers = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}]){NAME}?(\d[\d.,]*)", f"{NUMBER}$1")
     numbers = F.regexp_replace(numbers, rf"(?i)({NUMBER}[\d.,]*)(%)", f"$1 {UNIT}percent")
@@ -117,7 +118,10 @@ def contaminated(
     small = sum(r["n"] for r in counted) <= BROADCAST_WINDOWS
     matches = matched_windows(docs, windows, lengths, small, doc_id, doc_text)
     pairs = F.filter(F.arrays_zip("ivals", "dvals"), lambda p: p["ivals"] < " ")
+    # A window of little but slots fits anything: it counts only as a plain copy.
+    literal = F.size("ivals") - F.size("slots")
     matches = matches.withColumn("slots", pairs)
+    matches = matches.where((literal >= F.least(F.size("ivals"), F.lit(2))) | (F.col("ivals") == F.col("dvals")))
     along = matches.groupBy("doc_id", "item_id", "windows", "shift").agg(
         F.collect_set("ipos").alias("at"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),

@@ -169,7 +169,7 @@ def hot_pairs(open_lists: DataFrame, classes: DataFrame, percent: int, enough: i
         "v", "rep", "n", "c", "sketch", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
     )
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = key[1], key[2]
         left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
         names = np.unique(np.concatenate(pdf["sketch"].to_list()))

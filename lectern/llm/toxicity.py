@@ -287,8 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, lang_col: str | None = "lang") -> Mo
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column _score of every whole text; the model (a few MB, bounded by the sample) is broadcast."""
+def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``name`` for every whole text; the model (a few MB, bounded by the sample) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pd.Series(scorer.scores(batch.tolist()), dtype="float64")
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("_score", F.pandas_udf(run, "double")(empty_text(text_col)))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(empty_text(text_col)))
 
 
 def threshold_of(model: Model, lang: Column) -> Column:
@@ -317,15 +317,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
         threshold_of(model, F.col("lang")).alias("threshold"),
-        (F.col("_score") >= threshold_of(model, F.col("lang"))).alias("flagged"),
+        (F.col("score") >= threshold_of(model, F.col("lang"))).alias("flagged"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` below their language's threshold, with all their columns."""
     model = fit(docs, labels)
-    kept = score(docs, model).where(F.col("_score") < threshold_of(model, F.col("lang")))
-    return kept.drop("_score")
+    name = max([*docs.columns, "score"], key=len) + "_"  # no column of the input
+    kept = score(docs, model, name).where(F.col(name) < threshold_of(model, F.col("lang")))
+    return kept.drop(name)
