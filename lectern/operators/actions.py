@@ -103,16 +103,16 @@ def concept_needs(appearances: DataFrame, blocks: DataFrame) -> DataFrame:
 def related_concepts(requests: DataFrame, needs: DataFrame, cover: DataFrame) -> DataFrame:
     """Concepts of the current chapter whose every appearance the reader may see.
 
-    requests(request_id, session_id, spine_index); read-range mode.
+    requests(request_id, session_id, book_id, spine_index); read-range mode.
     """
     here = needs.where("spine_index is not null").select("book_id", "concept_id", "spine_index")
-    pairs = requests.join(here, "spine_index").select("request_id", "session_id", "book_id", "concept_id")
+    pairs = requests.join(here, ["book_id", "spine_index"]).select("request_id", "session_id", "book_id", "concept_id")
     every = pairs.join(needs, ["book_id", "concept_id"])
     seen = cover.select(
-        "session_id", "spine_index", F.struct(F.col("end_ord"), F.col("end_offset")).alias("end")
+        "session_id", "book_id", "spine_index", F.struct(F.col("end_ord"), F.col("end_offset")).alias("end")
     )
     return (
-        every.join(seen, ["session_id", "spine_index"], "left")
+        every.join(seen, ["session_id", "book_id", "spine_index"], "left")
         .groupBy("request_id", "concept_id")
         .agg(F.min(~F.col("invalid") & F.coalesce(F.col("need") <= F.col("end"), F.lit(False))).alias("ok"))
         .where("ok")
@@ -122,26 +122,28 @@ def related_concepts(requests: DataFrame, needs: DataFrame, cover: DataFrame) ->
 
 def difficult_passages(selections: DataFrame, analyses: DataFrame) -> DataFrame:
     """First difficult passage of the chapter that cites the selected block, by position."""
-    passages = analyses.select("spine_index", F.posexplode("difficult_passages").alias("pos", "p")).select(
-        "spine_index", F.col("p.source_ref.block_id").alias("block_id"), "pos", F.col("p.explanation").alias("explanation")
+    place = ["book_id", "spine_index"]
+    passages = analyses.select(*place, F.posexplode("difficult_passages").alias("pos", "p")).select(
+        *place, F.col("p.source_ref.block_id").alias("block_id"), "pos", F.col("p.explanation").alias("explanation")
     )
-    first = passages.groupBy("spine_index", "block_id").agg(F.min_by("explanation", "pos").alias("explanation"))
-    return selections.join(first, ["spine_index", "block_id"], "left")
+    first = passages.groupBy(*place, "block_id").agg(F.min_by("explanation", "pos").alias("explanation"))
+    return selections.join(first, [*place, "block_id"], "left")
 
 
 def readable_analyses(requests: DataFrame, analyses: DataFrame, citations: DataFrame, covered: DataFrame, visible: DataFrame) -> DataFrame:
     """Requests whose current chapter is read in full and whose analysis cites only visible text.
 
-    citations(spine_index, block_id, end_char) are the chapter analysis refs,
-    visible(session_id, block_id, visible).
+    citations(book_id, spine_index, block_id, end_char) are the chapter analysis
+    refs, visible(session_id, book_id, block_id, visible).
     """
-    done = covered.where("completed").select("session_id", "spine_index")
-    open_requests = requests.join(done, ["session_id", "spine_index"], "left_semi").join(
-        analyses.select("spine_index"), "spine_index", "left_semi"
+    place = ["book_id", "spine_index"]
+    done = covered.where("completed").select("session_id", *place)
+    open_requests = requests.join(done, ["session_id", *place], "left_semi").join(
+        analyses.select(*place), place, "left_semi"
     )
     hidden = (
-        open_requests.join(citations.select("spine_index", "block_id", "end_char"), "spine_index")
-        .join(visible.select("session_id", "block_id", "visible"), ["session_id", "block_id"], "left")
+        open_requests.join(citations.select(*place, "block_id", "end_char"), place)
+        .join(visible.select("session_id", "book_id", "block_id", "visible"), ["session_id", "book_id", "block_id"], "left")
         .where("visible is null or end_char > visible")
         .select("request_id")
         .distinct()
@@ -152,19 +154,19 @@ def readable_analyses(requests: DataFrame, analyses: DataFrame, citations: DataF
 def explain_requests(requests: DataFrame, visible: DataFrame, passages: DataFrame, readable: DataFrame, analyses: DataFrame) -> DataFrame:
     """Explanation cards, or the reason a request is refused.
 
-    requests(request_id, session_id, spine_index, block_id, start_char,
+    requests(request_id, session_id, book_id, spine_index, block_id, start_char,
     end_char, text_fingerprint, selected_text).
     """
     from lectern.rules import blank
 
-    seen = visible.select("session_id", "block_id", "visible", F.col("text").alias("_t"), F.col("fp").alias("_fp"))
-    summary = analyses.select("spine_index", "summary")
+    seen = visible.select("session_id", "book_id", "block_id", "visible", F.col("text").alias("_t"), F.col("fp").alias("_fp"))
+    summary = analyses.select("book_id", "spine_index", "summary")
     has = readable.select("request_id", F.lit(True).alias("_has"))
     joined = (
-        requests.join(seen, ["session_id", "block_id"], "left")
+        requests.join(seen, ["session_id", "book_id", "block_id"], "left")
         .join(passages.select("request_id", F.col("explanation").alias("_difficult")), "request_id", "left")
         .join(has, "request_id", "left")
-        .join(summary, "spine_index", "left")
+        .join(summary, ["book_id", "spine_index"], "left")
     )
     picked = F.expr("substring(_t, cast(start_char + 1 as int), cast(end_char - start_char as int))")
     error = (
@@ -208,19 +210,18 @@ def append_unseen(nearby: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 def checkpoint_requests(requests: DataFrame, cover: DataFrame, covered: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Checkpoint card id, or why it is withheld; read-range mode needs the whole last block."""
-    allowed = cover.select("session_id", "spine_index", F.lit(True).alias("_allowed"))
+    keys = ["session_id", "book_id", "spine_index"]
+    allowed = cover.select(*keys, F.lit(True).alias("_allowed"))
     # The last block is fully read exactly when the chapter is completed.
-    done = covered.where("completed").select("session_id", "spine_index", F.lit(True).alias("_done"))
-    points = checkpoints.select("spine_index", "checkpoint_id", "grounding", F.size("source_refs").alias("_refs"))
-    keys = ["session_id", "spine_index"]
+    done = covered.where("completed").select(*keys, F.lit(True).alias("_done"))
+    points = checkpoints.select("book_id", "spine_index", "checkpoint_id", "grounding", F.size("source_refs").alias("_refs"))
     return (
         requests.join(allowed, keys, "left")
         .join(done, keys, "left")
-        .join(points, "spine_index", "left")
+        .join(points, ["book_id", "spine_index"], "left")
         .select(
             "request_id",
-            "session_id",
-            "spine_index",
+            *keys,
             F.when(F.col("_allowed").isNull(), "forbidden")
             .when(F.col("_done").isNull(), "beyond_coverage")
             .when(F.col("checkpoint_id").isNull(), "unavailable")
@@ -262,13 +263,14 @@ def reflection_score(answers: DataFrame) -> DataFrame:
 
 def weak_concepts(reflections: DataFrame, checkpoints: DataFrame, concepts: DataFrame) -> DataFrame:
     """Concepts on the flashcards of chapters a session reflected on below 7000."""
-    weak = reflections.where("score_basis_points < 7000").select("session_id", "spine_index").distinct()
-    cards = checkpoints.select("spine_index", F.explode("flashcards").alias("c")).select(
-        "spine_index", F.explode("c.concept_ids").alias("concept_id")
+    place = ["book_id", "spine_index"]
+    weak = reflections.where("score_basis_points < 7000").select("session_id", *place).distinct()
+    cards = checkpoints.select(*place, F.explode("flashcards").alias("c")).select(
+        *place, F.explode("c.concept_ids").alias("concept_id")
     )
     return (
-        weak.join(cards.distinct(), "spine_index")
-        .join(concepts.select("concept_id", "name"), "concept_id")
+        weak.join(cards.distinct(), place)
+        .join(concepts.select("book_id", "concept_id", "name"), ["book_id", "concept_id"])
         .select("session_id", "concept_id", "name")
         .distinct()
     )
@@ -318,10 +320,10 @@ def card_issues(cards: DataFrame) -> DataFrame:
 def card_reference_issues(refs: DataFrame, blocks: DataFrame, cover: DataFrame) -> DataFrame:
     """First failing check of each card reference: block, chapter allowed, range, fingerprint, read limit.
 
-    refs(request_id, session_id, block_id, start_char, end_char, text_fingerprint).
+    refs(request_id, session_id, book_id, block_id, start_char, end_char, text_fingerprint).
     """
-    source = blocks.select("block_id", "spine_index", "ord", "n_chars", "fp")
-    joined = refs.join(source, "block_id", "left").join(cover, ["session_id", "spine_index"], "left")
+    source = blocks.select("book_id", "block_id", "spine_index", "ord", "n_chars", "fp")
+    joined = refs.join(source, ["book_id", "block_id"], "left").join(cover, ["session_id", "book_id", "spine_index"], "left")
     visible = (
         F.when(F.col("ord") < F.col("end_ord"), F.col("n_chars"))
         .when(F.col("ord") == F.col("end_ord"), F.least("end_offset", "n_chars"))
@@ -401,20 +403,20 @@ def request_issues(requests: DataFrame) -> DataFrame:
 def reflect_requests(requests: DataFrame, checkpoint_results: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Scored reflections of requests whose checkpoint is open and whose question exists.
 
-    requests(request_id, session_id, checkpoint_id, question_id, answer);
+    requests(request_id, session_id, book_id, checkpoint_id, question_id, answer);
     checkpoint_results comes from ``checkpoint_requests``.
     """
     from lectern.rules import blank
 
     questions = checkpoints.select(
-        "checkpoint_id", "spine_index", F.explode(F.concat("recall_questions", "reflection_questions")).alias("q")
-    ).select("checkpoint_id", "spine_index", F.col("q.question_id").alias("question_id"), "q.expected_points")
-    known = checkpoints.select("checkpoint_id", "spine_index")
-    gate = checkpoint_results.select("session_id", "spine_index", F.col("error").alias("_gate"), F.lit(True).alias("_asked")).distinct()
+        "book_id", "checkpoint_id", F.explode(F.concat("recall_questions", "reflection_questions")).alias("q")
+    ).select("book_id", "checkpoint_id", F.col("q.question_id").alias("question_id"), "q.expected_points")
+    known = checkpoints.select("book_id", "checkpoint_id", "spine_index")
+    gate = checkpoint_results.select("session_id", "book_id", "spine_index", F.col("error").alias("_gate"), F.lit(True).alias("_asked")).distinct()
     joined = (
-        requests.join(known, "checkpoint_id", "left")
-        .join(gate, ["session_id", "spine_index"], "left")
-        .join(questions.drop("spine_index"), ["checkpoint_id", "question_id"], "left")
+        requests.join(known, ["book_id", "checkpoint_id"], "left")
+        .join(gate, ["session_id", "book_id", "spine_index"], "left")
+        .join(questions, ["book_id", "checkpoint_id", "question_id"], "left")
     )
     scored = reflection_score(joined.withColumn("expected_points", F.coalesce("expected_points", F.array().cast("array<string>"))))
     missing = joined.select("request_id", F.col("expected_points").isNull().alias("_missing"))

@@ -125,26 +125,33 @@ def prior_context(blocks: DataFrame, k: int = 8) -> DataFrame:
     return top_ranked(scored, ["book_id", "for_chapter"], ["spine_index", "ord"], k)
 
 
-def chapter_requests(chapters: DataFrame, excerpts: DataFrame, *, profile: str) -> DataFrame:
-    """One request row per chapter: its blocks, its excerpts, how many chapters precede it.
+def earlier_chapters(chapters: DataFrame) -> DataFrame:
+    """Chapters of a book by place, from 0.  A request for the chapter at place n refers to places 0 to n - 1.
 
-    chapters(book_id, spine_index, title, blocks array<string>).  The list of
-    earlier chapters is the chapter table below this spine index; a copy in
-    every row would grow with the square of the book, so the row carries its
-    length and the at most eight excerpts, each with its chapter.
+    One table serves all requests of a book; a copy of the list in every request
+    would grow with the square of the book.
     """
-    content = numbered(chapters, ["book_id"], "spine_index", "prior_chapters")
-    chosen = (
-        excerpts.groupBy("book_id", F.col("for_chapter").alias("spine_index"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("rank", F.col("spine_index").alias("from_chapter"), "ord"))).alias(
-                "prior_excerpts"
-            )
-        )
+    return numbered(chapters, ["book_id"], "spine_index", "place")
+
+
+def chapter_requests(chapters: DataFrame, excerpts: DataFrame, blocks: DataFrame, *, profile: str) -> DataFrame:
+    """One request row per chapter: its blocks, its excerpts with id and text, how many chapters precede it.
+
+    chapters(book_id, spine_index, title, blocks array<string>),
+    excerpts(book_id, for_chapter, spine_index, ord, rank) are at most eight per
+    chapter, blocks(book_id, spine_index, ord, block_id, text).  The earlier
+    chapters themselves are the first ``prior_chapters`` rows of ``earlier_chapters``.
+    """
+    content = earlier_chapters(chapters).withColumnRenamed("place", "prior_chapters")
+    texts = excerpts.join(blocks.select("book_id", "spine_index", "ord", "block_id", "text"), ["book_id", "spine_index", "ord"])
+    entry = F.struct("rank", F.col("spine_index").alias("from_chapter"), "ord", "block_id", "text")
+    chosen = texts.groupBy("book_id", F.col("for_chapter").alias("spine_index")).agg(
+        F.array_sort(F.collect_list(entry)).alias("prior_excerpts")
     )
-    empty = F.array().cast("array<struct<rank:bigint,from_chapter:bigint,ord:bigint>>")
+    joined = content.join(chosen, ["book_id", "spine_index"], "left")
+    empty = F.array().cast(chosen.schema["prior_excerpts"].dataType)
     return profile_settings(
-        content.join(chosen, ["book_id", "spine_index"], "left").select(
+        joined.select(
             "book_id",
             "spine_index",
             "title",
@@ -157,17 +164,27 @@ def chapter_requests(chapters: DataFrame, excerpts: DataFrame, *, profile: str)
     )
 
 
-def synthesis_requests(books: DataFrame, analyses: DataFrame, part_chapters: int = 256) -> DataFrame:
-    """Book request rows in parts of consecutive chapters; a book without analyses is an error row."""
-    parts = analyses.groupBy("book_id", F.expr(f"spine_index div {part_chapters}").alias("part")).agg(
-        F.count(F.lit(1)).alias("chapters"),
-        F.array_sort(F.collect_list(F.struct("spine_index", "chapter_id"))).alias("chapter_analyses"),
-    )
-    return books.select("book_id").join(parts, "book_id", "left").withColumn(
-        "error", F.when(F.col("part").isNull(), "no_chapter_analyses")
+def synthesis_requests(books: DataFrame, analyses: DataFrame) -> DataFrame:
+    """One request row per book with the number of its analyses; a book without any is an error row.
+
+    The analyses are the rows of ``synthesis_chapters`` with that book.
+    """
+    counted = analyses.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"))
+    return books.select("book_id").join(counted, "book_id", "left").select(
+        "book_id",
+        F.lit("book_synthesis").alias("task"),
+        F.coalesce("chapters", F.lit(0).cast("long")).alias("chapters"),
+        F.when(F.col("chapters").isNull(), "no_chapter_analyses").alias("error"),
     )
 
 
+def synthesis_chapters(analyses: DataFrame) -> DataFrame:
+    """(book_id, place, spine_index, chapter_id, analysis): every whole analysis of a book, in order, as JSON."""
+    fields = [c for c in analyses.columns if c not in ("book_id", "spine_index", "chapter_id")]
+    rows = analyses.select("book_id", "spine_index", "chapter_id", F.to_json(F.struct(*fields)).alias("analysis"))
+    return earlier_chapters(rows)
+
+
 def registration_analysis(chapters: DataFrame) -> DataFrame:
     """Deterministic placeholder analysis that proves the package path.
 
@@ -299,27 +316,20 @@ def attempt_numbers(attempts: DataFrame) -> DataFrame:
     return numbered(attempts, ["book_id"], "seq", "_n").withColumn("attempt", F.col("_n") + 1).drop("_n")
 
 
-def reanalysis_requests(chapters: DataFrame, current: DataFrame, part: int = 8) -> DataFrame:
-    """Request rows to analyse chapters again: the existing analysis and the summaries just before it.
+def earlier_summaries(current: DataFrame) -> DataFrame:
+    """(book_id, place, spine_index, short): the present short summaries of a book by place, from 0."""
+    return earlier_chapters(current.select("book_id", "spine_index", F.col("summary.short").alias("short")))
+
+
+def reanalysis_requests(chapters: DataFrame, current: DataFrame) -> DataFrame:
+    """Request rows to analyse chapters again: the existing analysis and how many summaries precede it.
 
-    chapters(book_id, spine_index, chapter_id), current adds ``summary``.  Earlier
-    summaries are the last ``part`` ones of the book, found per bucket of
-    consecutive chapters so that no book is ordered in one task.
+    chapters(book_id, spine_index, chapter_id), current adds ``summary``.  The
+    earlier summaries, all of them, are the first ``n_earlier`` rows of
+    ``earlier_summaries`` of the book.
     """
-    width = 1024
-    named = current.select("book_id", "spine_index", F.col("summary.short").alias("short"))
-    # Buckets of dense positions are full, so a chapter sees its own bucket and,
-    # as a seed, the last rows of the bucket before.
-    placed = numbered(named, ["book_id"], "spine_index", "_place")
-    bucketed = placed.withColumn("_bucket", F.expr(f"_place div {width}")).drop("_place")
-    tail_rank = F.row_number().over(Window.partitionBy("book_id", "_bucket").orderBy(F.col("spine_index").desc()))
-    seed = bucketed.withColumn("_r", tail_rank).where(F.col("_r") <= part).drop("_r").withColumn("_bucket", F.col("_bucket") + 1)
-    rows = bucketed.withColumn("_own", F.lit(True)).unionByName(seed.withColumn("_own", F.lit(False)))
-    before = Window.partitionBy("book_id", "_bucket").orderBy("spine_index").rowsBetween(-part, -1)
-    seen = rows.withColumn("earlier_summaries", F.collect_list("short").over(before)).where("_own").drop("_own", "_bucket", "short")
-    return chapters.join(current.select("book_id", "spine_index", "summary"), ["book_id", "spine_index"]).join(
-        seen, ["book_id", "spine_index"]
-    ).withColumn("task", F.lit("chapter_reanalysis"))
+    placed = earlier_chapters(current.select("book_id", "spine_index", "summary")).withColumnRenamed("place", "n_earlier")
+    return chapters.join(placed, ["book_id", "spine_index"]).withColumn("task", F.lit("chapter_reanalysis"))
 
 
 def ordered_results(analyses: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """What a reader has confirmed as read, and what may be shown from it.
 
-Coverage is at most one endpoint (order, offset) per session and chapter; a
+A chapter is named by book and spine index, since books number their chapters
+alike.  Coverage is at most one endpoint (order, offset) per session and chapter; a
 block before the endpoint is visible in full, the endpoint block up to the
 offset, later blocks not at all.
 """
@@ -16,7 +17,8 @@ from lectern.operators.retrieval import rank_blocks
 from lectern.rules import first_violation
 from lectern.session import broadcast_if_small, durable
 
-BLOCK = ["book_id", "spine_index", "ord"]
+CHAPTER = ["book_id", "spine_index"]
+BLOCK = [*CHAPTER, "ord"]
 BUDGET_OVERHEAD = 256
 CONTEXT_LIMIT = 512 * 1024
 
@@ -24,12 +26,12 @@ CONTEXT_LIMIT = 512 * 1024
 def location_keys(locations: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     """Order key of each location, or the reason it is invalid.
 
-    locations(…, spine_index, ord?, char_offset?); a location without a block
-    sorts at the chapter start.
+    locations(…, book_id, spine_index, ord?, char_offset?); a location without a
+    block sorts at the chapter start.
     """
-    known = chapters.select("spine_index", F.lit(True).alias("known"))
-    sizes = blocks.select("spine_index", "ord", "block_id", "n_chars")
-    joined = locations.join(known, "spine_index", "left").join(sizes, ["spine_index", "ord"], "left")
+    known = chapters.select(*CHAPTER, F.lit(True).alias("known"))
+    sizes = blocks.select(*BLOCK, "block_id", "n_chars")
+    joined = locations.join(known, CHAPTER, "left").join(sizes, BLOCK, "left")
     offset = F.coalesce("char_offset", F.lit(0).cast("long"))
     return joined.withColumn(
         "error",
@@ -62,11 +64,11 @@ def coverage(read_events: DataFrame) -> DataFrame:
     offset = F.coalesce("char_offset", F.lit(0).cast("long"))
     return (
         read_events.where(F.col("ord").isNotNull())
-        .groupBy("session_id", "spine_index")
+        .groupBy("session_id", *CHAPTER)
         .agg(F.max(F.struct(F.col("ord").alias("ord"), offset.alias("char_offset"))).alias("end"))
         .select(
             "session_id",
-            "spine_index",
+            *CHAPTER,
             F.col("end.ord").alias("end_ord"),
             F.col("end.char_offset").alias("end_offset"),
         )
@@ -76,7 +78,7 @@ def coverage(read_events: DataFrame) -> DataFrame:
 def visible_chars(blocks: DataFrame, cover: DataFrame) -> DataFrame:
     """Blocks of every covered chapter with the characters the session may see."""
     return (
-        cover.join(blocks, "spine_index")
+        cover.join(blocks, CHAPTER)
         .withColumn(
             "visible",
             F.when(F.col("ord") < F.col("end_ord"), F.col("n_chars"))
@@ -92,8 +94,8 @@ def chapter_prefix(blocks: DataFrame) -> DataFrame:
 
     One chapter per window partition.
     """
-    before = Window.partitionBy("spine_index").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("spine_index")
+    before = Window.partitionBy(*CHAPTER).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*CHAPTER)
     return blocks.select(
         "book_id",
         "spine_index",
@@ -111,7 +113,7 @@ def covered_chapters(blocks: DataFrame, cover: DataFrame) -> DataFrame:
     expansion of a chapter's blocks for each of its readers.
     """
     ends = cover.withColumnRenamed("end_ord", "ord")
-    joined = ends.join(chapter_prefix(blocks), ["spine_index", "ord"])
+    joined = ends.join(chapter_prefix(blocks), BLOCK)
     shown = F.least("end_offset", "n_chars")
     return joined.select(
         "session_id",
@@ -128,13 +130,13 @@ def book_chars(blocks: DataFrame) -> DataFrame:
 
 def reading_progress(sessions: DataFrame, covered: DataFrame, totals: DataFrame) -> DataFrame:
     """floor(visible * 10000 / all) per session, 0 for an empty book."""
-    seen = covered.groupBy("session_id").agg(
+    seen = covered.groupBy("session_id", "book_id").agg(
         F.sum("visible").alias("visible"),
         F.sum(F.when(F.col("completed"), 1).otherwise(0)).alias("completed_chapters"),
     )
     return (
-        sessions.join(seen, "session_id", "left")
-        .join(broadcast_if_small(totals), "book_id", "left")
+        sessions.join(seen, ["session_id", "book_id"], "left")
+        .join(totals, "book_id", "left")
         .select(
             "session_id",
             "book_id",
@@ -148,7 +150,12 @@ def reading_progress(sessions: DataFrame, covered: DataFrame, totals: DataFrame)
 
 
 def session_state(events: DataFrame) -> DataFrame:
-    """Latest location and mode by arrival, revision one more per accepted patch."""
+    """Latest location and mode by time, revision one more per accepted patch.
+
+    events(session_id, ts, event_id, is_location, …, error): rows of
+    ``location_keys`` and mode changes; a rejected patch changes nothing.
+    """
+    events = events.where("error is null")
     at = F.struct("ts", "event_id")
     located = F.col("is_location")
     return events.groupBy("session_id").agg(
@@ -165,7 +172,7 @@ def excluded_chapters(sessions: DataFrame, chapters: DataFrame, allowed: DataFra
     content = chapters.where(~F.col("is_noise")).select("book_id", "spine_index")
     return (
         sessions.join(content, "book_id")
-        .join(allowed.select("session_id", "spine_index"), ["session_id", "spine_index"], "left_anti")
+        .join(allowed.select("session_id", *CHAPTER), ["session_id", *CHAPTER], "left_anti")
         .select("session_id", "book_id", "spine_index")
     )
 
@@ -179,7 +186,7 @@ def spoiler_boundary(
     chapter.  Scopes: ``s:`` a session's coverage, ``c:`` one chapter, ``b:`` a
     book.
     """
-    reach = cover.groupBy("session_id").agg(F.count(F.lit(1)).alias("covered"))
+    reach = cover.groupBy("session_id", "book_id").agg(F.count(F.lit(1)).alias("covered"))
     filled = blocks.select("book_id", "spine_index").distinct()
     sizes = (
         chapters.where(~F.col("is_noise"))
@@ -187,11 +194,11 @@ def spoiler_boundary(
         .groupBy("book_id")
         .agg(F.count(F.lit(1)).alias("content"), F.count("filled").alias("filled"))
     )
-    current = filled.select("spine_index", F.lit(1).cast("long").alias("here"))
+    current = filled.select(*CHAPTER, F.lit(1).cast("long").alias("here"))
     known = (
-        sessions.join(reach, "session_id", "left")
-        .join(broadcast_if_small(sizes), "book_id", "left")
-        .join(current, "spine_index", "left")
+        sessions.join(reach, ["session_id", "book_id"], "left")
+        .join(sizes, "book_id", "left")
+        .join(current, CHAPTER, "left")
     )
     zero = F.lit(0).cast("long")
     allowed = (
@@ -201,7 +208,7 @@ def spoiler_boundary(
     )
     scope = (
         F.when(F.col("spoiler_mode") == "read_range", F.concat(F.lit("s:"), "session_id"))
-        .when(F.col("spoiler_mode") == "current_chapter", F.concat(F.lit("c:"), F.col("spine_index").cast("string")))
+        .when(F.col("spoiler_mode") == "current_chapter", F.concat(F.lit("c:"), "book_id", F.lit(":"), F.col("spine_index").cast("string")))
         .otherwise(F.concat(F.lit("b:"), "book_id"))
     )
     joined = requests.join(known, "session_id", "left")
@@ -228,10 +235,10 @@ def scope_candidates(boundaries: DataFrame, cover: DataFrame, blocks: DataFrame)
     def scopes(mode: str, *keys: str) -> DataFrame:
         return wanted.where(F.col("spoiler_mode") == mode).select("scope_id", *keys).distinct()
 
-    chapter = scopes("current_chapter", F.col("current_spine").alias("spine_index"))
+    chapter = scopes("current_chapter", "book_id", F.col("current_spine").alias("spine_index"))
     endpoints = (
-        cover.join(broadcast_if_small(scopes("read_range", "session_id")), "session_id")
-        .select("scope_id", "spine_index", "end_ord", "end_offset")
+        cover.join(broadcast_if_small(scopes("read_range", "session_id", "book_id")), ["session_id", "book_id"])
+        .select("scope_id", *CHAPTER, "end_ord", "end_offset")
         .unionByName(chapter.withColumn("end_ord", far).withColumn("end_offset", far))
     )
     by_chapter = visible_chars(blocks, broadcast_if_small(endpoints)).where("visible > 0")
@@ -342,33 +349,33 @@ def _continue_budget(k: int, columns: list[str]):
 def nearby_blocks(selections: DataFrame, blocks: DataFrame) -> DataFrame:
     """Selected block with its neighbours, or the first three of the chapter.
 
-    selections(request_id, spine_index, block_id?).
+    selections(request_id, book_id, spine_index, block_id?).
     """
-    order = Window.partitionBy("spine_index").orderBy("ord")
+    order = Window.partitionBy(*CHAPTER).orderBy("ord")
     placed = blocks.withColumn("pos", F.row_number().over(order))
-    spot = placed.select("spine_index", F.col("block_id").alias("_sel"), F.col("pos").alias("_at"))
+    spot = placed.select(*CHAPTER, F.col("block_id").alias("_sel"), F.col("pos").alias("_at"))
     selected = (
         selections.where("block_id is not null")
         .withColumnRenamed("block_id", "_sel")
-        .join(spot, ["spine_index", "_sel"])
-        .select("request_id", "spine_index", F.explode(F.expr("array(_at - 1, _at, _at + 1)")).alias("pos"))
+        .join(spot, [*CHAPTER, "_sel"])
+        .select("request_id", *CHAPTER, F.explode(F.expr("array(_at - 1, _at, _at + 1)")).alias("pos"))
     )
     opening = selections.where("block_id is null").select(
-        "request_id", "spine_index", F.explode(F.expr("array(1, 2, 3)")).alias("pos")
+        "request_id", *CHAPTER, F.explode(F.expr("array(1, 2, 3)")).alias("pos")
     )
-    return selected.unionByName(opening).join(placed, ["spine_index", "pos"])
+    return selected.unionByName(opening).join(placed, [*CHAPTER, "pos"])
 
 
 def validate_highlights(highlights: DataFrame, blocks: DataFrame, sessions: DataFrame) -> DataFrame:
     """Highlights with the first broken rule, null when accepted.
 
-    highlights(…, session_id, spine_index, block_id, start_char, end_char, text).
+    highlights(…, session_id, book_id, spine_index, block_id, start_char, end_char, text).
     """
-    source = blocks.select("spine_index", "block_id", F.col("text").alias("_text"), F.col("n_chars").alias("_n"))
+    source = blocks.select(*CHAPTER, "block_id", F.col("text").alias("_text"), F.col("n_chars").alias("_n"))
     known = sessions.select("session_id", F.lit(True).alias("_session")).distinct()
     slice_ = F.expr("substring(_text, cast(start_char + 1 as int), cast(end_char - start_char as int))")
     return (
-        highlights.join(source, ["spine_index", "block_id"], "left")
+        highlights.join(source, [*CHAPTER, "block_id"], "left")
         .join(known, "session_id", "left")
         .withColumn(
             "error",
@@ -429,5 +436,5 @@ def state_matches_session(submitted: DataFrame, stored: DataFrame) -> DataFrame:
 def unread_limits(blocks: DataFrame, cover: DataFrame) -> DataFrame:
     """Allowed end offset per session and block, blocks up to the endpoint only."""
     return visible_chars(blocks, cover).join(
-        cover.select("session_id", "spine_index", "end_ord"), ["session_id", "spine_index"]
-    ).where("ord <= end_ord").select("session_id", "spine_index", "block_id", F.col("visible").alias("end_char"))
+        cover.select("session_id", *CHAPTER, "end_ord"), ["session_id", *CHAPTER]
+    ).where("ord <= end_ord").select("session_id", *CHAPTER, "block_id", F.col("visible").alias("end_char"))

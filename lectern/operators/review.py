@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import basis_points
 from lectern.operators.prefix import numbered, with_previous
 from lectern.rules import blank
+from lectern.session import durable
 
 METRICS = ("parse_quality", "source_ref_validity", "chapter_coverage", "claim_grounding", "concept_grounding")
 # Metrics that may be waived, dimensions of a semantic review.
@@ -86,48 +84,75 @@ def apply_edits(edits: DataFrame, blocks: DataFrame, declared: DataFrame) -> Dat
     )
 
 
+def _kind(v: Column) -> Column:
+    """Kind of a JSON value; a missing value is null, and whole numbers are apart from fractions."""
+    name = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    whole = (name == "DECIMAL") & F.schema_of_variant(v).endswith(",0)") & (F.length(F.to_json(v)) > 18)
+    return (
+        F.when(v.isNull() | name.isin("VOID", ""), "null")
+        .when(name.isin("DOUBLE", "FLOAT", "DECIMAL") & ~whole, "fraction")
+        .when(whole, "whole")
+        .when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "whole")
+        .otherwise(F.lower(name))
+    )
+
+
+def _shown(v: Column, kind: Column) -> Column:
+    text = F.to_json(v)
+    return F.when(kind == "null", "null").when((kind == "fraction") & text.rlike("^-?[0-9]+$"), F.concat(text, F.lit(".0"))).otherwise(text)
+
+
 def json_diff(pairs: DataFrame, key: str, limit: int = DIFF_LIMIT) -> DataFrame:
     """Leaf differences of two JSON documents, in document order, at most ``limit`` per pair.
 
-    pairs(key, left_json, right_json).  Objects compare over the union of their
-    keys, arrays by index to the longer length, a missing value equals null.
+    pairs(key, left_json, right_json).  Both documents are opened one level at a
+    time, all pairs together: objects over the union of their keys, arrays to the
+    longer length.  What is no pair of containers is a leaf; leaves differ in kind
+    (1, 1.0 and true are three) or in value, and a missing value equals null.
     """
-    key_type = pairs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, left, right in zip(pdf[key], pdf["left_json"], pdf["right_json"]):
-                found: list[tuple] = []
-                _collect("$", json.loads(left), json.loads(right), found, limit)
-                rows += [(k, i, *entry) for i, entry in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "path", "left", "right"], dtype=object)
-
-    schema = f"{key} {key_type}, pos bigint, path string, left string, right string"
-    return pairs.select(key, "left_json", "right_json").mapInPandas(run, schema)
-
-
-def _collect(path, left, right, found, limit):
-    if len(found) >= limit or (type(left) is type(right) and left == right):
-        return
-    if isinstance(left, dict) and isinstance(right, dict):
-        for name in sorted(set(left) | set(right)):
-            _collect(f"{path}.{name}", left.get(name), right.get(name), found, limit)
-    elif isinstance(left, list) and isinstance(right, list):
-        for i in range(max(len(left), len(right))):
-            _collect(
-                f"{path}[{i}]",
-                left[i] if i < len(left) else None,
-                right[i] if i < len(right) else None,
-                found,
-                limit,
-            )
-    else:
-        found.append((path, _dump(left), _dump(right)))
-
-
-def _dump(value):
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    rows = pairs.select(
+        key,
+        F.lit("$").alias("path"),
+        F.array().cast("array<string>").alias("place"),
+        F.parse_json("left_json").alias("l"),
+        F.parse_json("right_json").alias("r"),
+    )
+    leaves = None
+    while True:
+        level = durable(rows.withColumn("kl", _kind(F.col("l"))).withColumn("kr", _kind(F.col("r"))))
+        objects = (F.col("kl") == "object") & (F.col("kr") == "object")
+        arrays = (F.col("kl") == "array") & (F.col("kr") == "array")
+        number = (F.col("kl") == "fraction") & (F.col("kr") == "fraction")
+        left, right = _shown(F.col("l"), F.col("kl")), _shown(F.col("r"), F.col("kr"))
+        equal = (F.col("kl") == F.col("kr")) & F.when(number, left.cast("double") == right.cast("double")).otherwise(left == right)
+        found = level.where(~objects & ~arrays & ~equal).select(key, "path", "place", left.alias("left"), right.alias("right"))
+        leaves = found if leaves is None else leaves.unionByName(found)
+        fields = level.where(objects).select(
+            key, "path", "place", F.col("l").cast("map<string,variant>").alias("l"), F.col("r").cast("map<string,variant>").alias("r")
+        )
+        fields = fields.select("*", F.explode(F.array_union(F.map_keys("l"), F.map_keys("r"))).alias("name")).select(
+            key,
+            F.concat("path", F.lit("."), "name").alias("path"),
+            F.array_append("place", F.col("name")).alias("place"),
+            F.try_element_at("l", F.col("name")).alias("l"),
+            F.try_element_at("r", F.col("name")).alias("r"),
+        )
+        items = level.where(arrays).select(
+            key, "path", "place", F.col("l").cast("array<variant>").alias("l"), F.col("r").cast("array<variant>").alias("r")
+        )
+        longest = F.greatest(F.size("l"), F.size("r"))
+        items = items.where(longest > 0).select("*", F.explode(F.sequence(F.lit(0), longest - 1)).alias("at")).select(
+            key,
+            F.concat("path", F.lit("["), F.col("at").cast("string"), F.lit("]")).alias("path"),
+            F.array_append("place", F.lpad(F.col("at").cast("string"), 10, "0")).alias("place"),
+            F.get("l", F.col("at")).alias("l"),
+            F.get("r", F.col("at")).alias("r"),
+        )
+        if level.where(objects | arrays).isEmpty():
+            break
+        rows = fields.unionByName(items)
+    order = F.row_number().over(Window.partitionBy(key).orderBy("place"))
+    return leaves.withColumn("pos", order.cast("long") - 1).where(F.col("pos") < limit).select(key, "pos", "path", "left", "right")
 
 
 def eval_metrics(chapters: DataFrame, report: DataFrame, objects: DataFrame, waivers: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ CHANGES = ("improved", "regressed", "unchanged", "unassessed")
 def reference_failures(refs: DataFrame, blocks: DataFrame) -> DataFrame:
     """First failing check of every cited reference: identity, range, reading scope.
 
-    refs(attempt_id, block_id, start_char, end_char, text_fingerprint,
+    refs(attempt_id, book_id, block_id, start_char, end_char, text_fingerprint,
     limit_end?); a missing limit allows nothing.
     """
-    source = blocks.select("block_id", F.col("n_chars").alias("_n"), F.col("fp").alias("_fp"))
+    source = blocks.select("book_id", "block_id", F.col("n_chars").alias("_n"), F.col("fp").alias("_fp"))
     bad_identity = F.col("_n").isNull() | (F.col("text_fingerprint") != F.col("_fp"))
     start, end = F.col("start_char"), F.col("end_char")
     bad_range = start.isNull() | end.isNull() | (start < 0) | (end <= start) | (end > F.col("_n"))
@@ -32,7 +32,7 @@ def reference_failures(refs: DataFrame, blocks: DataFrame) -> DataFrame:
     code = (
         F.when(bad_identity, "source_identity").when(bad_range, "citation_range").when(out_of_scope, "reading_scope")
     )
-    return refs.join(source, "block_id", "left").select("attempt_id", code.alias("code")).where("code is not null")
+    return refs.join(source, ["book_id", "block_id"], "left").select("attempt_id", code.alias("code")).where("code is not null")
 
 
 def structural_score(
@@ -276,13 +276,15 @@ def change_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
-def comparable_runs(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame:
-    """Manifest fields on which two runs differ; compiler may differ only for the source-only comparison."""
+def comparable_runs(left: DataFrame, right: DataFrame, fields: list[str], pair: str = "pair_id") -> DataFrame:
+    """Manifest fields on which the two runs of each pair differ (pair_id, incomparable).
+
+    The compiler may differ only for the source-only comparison.
+    """
     names = [*fields, "compiler", "candidate"]
-    one = F.lit(1).alias("_one")
-    a = left.select(one, *[F.col(f).alias(f"l_{f}") for f in names])
-    b = right.select(one, *[F.col(f).alias(f"r_{f}") for f in names])
-    both = a.join(b, "_one")
+    a = left.select(pair, *[F.col(f).alias(f"l_{f}") for f in names])
+    b = right.select(pair, *[F.col(f).alias(f"r_{f}") for f in names])
+    both = a.join(b, pair)
 
     def source_only(side: str) -> Column:
         return (F.col(f"{side}_candidate") == "A1") & (F.col(f"{side}_compiler") == "source-only")
@@ -295,7 +297,7 @@ def comparable_runs(left: DataFrame, right: DataFrame, fields: list[str]) -> Dat
     allowed = (source_only("l") & compiled("r")) | (source_only("r") & compiled("l"))
     rules = [(~F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")), f) for f in fields]
     rules.append((~F.col("l_compiler").eqNullSafe(F.col("r_compiler")) & ~allowed, "compiler"))
-    return both.select(F.explode(violations(rules)).alias("incomparable"))
+    return both.select(pair, F.explode(violations(rules)).alias("incomparable"))
 
 
 def same_attempts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -565,12 +567,12 @@ def calibration_agreement(samples: DataFrame, judgments: DataFrame, keys: list[s
 
 
 def map_gold_anchors(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Anchors to blocks by href and exact text; anything but one match is an error.
+    """Anchors (book_id, href, text, …) to blocks of their book by href and exact text; anything but one match is an error.
 
     Matching is on the text fingerprint, so no text is shuffled.
     """
-    targets = blocks.groupBy("href", "fp").agg(F.count(F.lit(1)).alias("matches"), F.min("block_id").alias("block_id"))
-    return anchors.withColumn("fp", F.sha2("text", 256)).drop("text").join(targets, ["href", "fp"], "left").select(
+    targets = blocks.groupBy("book_id", "href", "fp").agg(F.count(F.lit(1)).alias("matches"), F.min("block_id").alias("block_id"))
+    return anchors.withColumn("fp", F.sha2("text", 256)).drop("text").join(targets, ["book_id", "href", "fp"], "left").select(
         *[c for c in anchors.columns if c != "text"],
         F.coalesce("matches", F.lit(0).cast("long")).alias("matches"),
         F.when(F.col("matches") == 1, F.col("block_id")).alias("block_id"),
@@ -679,7 +681,7 @@ def review_packets(trials: DataFrame, steps: DataFrame, limits: DataFrame, block
     """
     done = trials.where("status = 'completed'").select("attempt_id", "case_id", "artifact_hash")
     named = done.withColumn("packet_id", F.sha2(F.concat_ws("|", F.lit("packet"), "attempt_id", "artifact_hash"), 256))
-    evidence = limits.join(blocks.select("block_id", "text", "fp"), "block_id").select(
+    evidence = limits.join(blocks.select("book_id", "block_id", "text", "fp"), ["book_id", "block_id"]).select(
         "attempt_id",
         "block_id",
         F.expr("substring(text, 1, cast(end_char as int))").alias("text"),

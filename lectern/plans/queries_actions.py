@@ -38,7 +38,7 @@ def appearances(analyses):
 def related_concepts(spark, folder):
     blocks = base.blocks(spark, folder)
     needs = actions.concept_needs(appearances(package.chapter_analyses(spark, folder)), blocks)
-    asked = reader.sessions(spark, folder).select(F.col("session_id").alias("request_id"), "session_id", "spine_index")
+    asked = reader.sessions(spark, folder).select(F.col("session_id").alias("request_id"), "session_id", "book_id", "spine_index")
     return actions.related_concepts(durable(asked), needs, reader.coverage(spark, folder))
 
 
@@ -81,20 +81,21 @@ def _context(spark, folder):
 )
 def assemble_context(spark, folder):
     blocks, cover, _, asked, readable = _context(spark, folder)
-    near = reading.nearby_blocks(asked.select("request_id", "spine_index", "block_id"), blocks).select(
-        F.col("request_id").alias("session_id"), "block_id"
+    near = reading.nearby_blocks(asked.select("request_id", "book_id", "spine_index", "block_id"), blocks).select(
+        F.col("request_id").alias("session_id"), "book_id", "block_id"
     )
-    visible = reading.visible_chars(blocks, cover).where("visible > 0").select("session_id", "block_id", "visible")
-    shown = near.join(visible, ["session_id", "block_id"]).groupBy("session_id").agg(
+    visible = reading.visible_chars(blocks, cover).where("visible > 0").select("session_id", "book_id", "block_id", "visible")
+    shown = near.join(visible, ["session_id", "book_id", "block_id"]).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("nearby"), F.sum("visible").alias("nearby_chars")
     )
     has = readable.select("request_id", F.lit(True).alias("_has"))
-    allowed = cover.select("session_id", "spine_index", F.lit(True).alias("_allowed"))
+    place = ["session_id", "book_id", "spine_index"]
+    allowed = cover.select(*place, F.lit(True).alias("_allowed"))
     zero = F.lit(0).cast("long")
     return (
         asked.join(shown, "session_id", "left")
         .join(has, "request_id", "left")
-        .join(allowed, ["session_id", "spine_index"], "left")
+        .join(allowed, place, "left")
         .select(
             "request_id",
             F.coalesce("nearby", zero).alias("nearby"),
@@ -137,10 +138,11 @@ def difficult_passages(spark, folder):
 def explain_requests(spark, folder):
     """Readers select the opening of their block; in some lines they misquote it."""
     blocks, cover, analyses, asked, readable = _context(spark, folder)
-    spot = blocks.select("spine_index", "block_id", "ord", "n_chars", "text", "fp")
-    quoted = asked.join(spot, ["spine_index", "block_id"]).select(
+    spot = blocks.select("book_id", "spine_index", "block_id", "ord", "n_chars", "text", "fp")
+    quoted = asked.join(spot, ["book_id", "spine_index", "block_id"]).select(
         "request_id",
         "session_id",
+        "book_id",
         "spine_index",
         "block_id",
         F.lit(0).cast("long").alias("start_char"),
@@ -166,7 +168,7 @@ def explain_requests(spark, folder):
 )
 def checkpoint_requests(spark, folder):
     blocks, cover = base.blocks(spark, folder), reader.coverage(spark, folder)
-    asked = durable(reader.sessions(spark, folder)).select(F.col("session_id").alias("request_id"), "session_id", "spine_index")
+    asked = durable(reader.sessions(spark, folder)).select(F.col("session_id").alias("request_id"), "session_id", "book_id", "spine_index")
     points = package.checkpoints(package.chapter_analyses(spark, folder))
     return actions.checkpoint_requests(asked, cover, reading.covered_chapters(blocks, cover), points).select(
         "request_id", "spine_index", "error", "card_id"
@@ -187,7 +189,7 @@ def answered(spark, folder):
     """Assistant turns as answers about the chapter with the conversation's number."""
     conv = base.table(spark, folder, "conversations").where("role = 'assistant'").withColumnRenamed("text", "answer")
     ideas = package.chapter_analyses(spark, folder).select(
-        F.col("spine_index").alias("conv_id"), F.col("key_ideas").alias("expected_points")
+        "book_id", F.col("spine_index").alias("conv_id"), F.col("key_ideas").alias("expected_points")
     )
     return actions.reflection_score(conv.join(ideas, "conv_id"))
 
@@ -210,6 +212,7 @@ def weak_concepts(spark, folder):
     analyses = package.chapter_analyses(spark, folder)
     records = answered(spark, folder).select(
         F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("session_id"),
+        "book_id",
         F.col("conv_id").alias("spine_index"),
         "score_basis_points",
     )
@@ -266,12 +269,14 @@ view(
 
 
 def card_refs(spark, folder):
-    spot = base.blocks(spark, folder).where("ord = 0").select("spine_index", "block_id", "n_chars", "fp")
+    spot = base.blocks(spark, folder).where("ord = 0").select("book_id", "spine_index", "block_id", "n_chars", "fp")
     n = F.col("n")
     rows = cards(spark, folder).where("n_refs > 0").withColumn("spine_index", F.col("conv_id") % 20 + 20 * (F.col("turn") % 10))
-    return rows.join(spot, "spine_index").select(
+    rows = rows.withColumn("book_id", F.format_string("src%d", F.col("conv_id") % 20))
+    return rows.join(spot, ["book_id", "spine_index"]).select(
         "request_id",
         "session_id",
+        "book_id",
         F.when(n % 31 == 0, "gone").otherwise(F.col("block_id")).alias("block_id"),
         F.lit(0).cast("long").alias("start_char"),
         (F.least(F.col("n_chars"), n % 50) + F.when(n % 37 == 0, F.col("n_chars")).otherwise(0)).alias("end_char"),

@@ -543,13 +543,13 @@ def artifact_bytes(spark, folder):
 )
 def epub_documents(spark, folder):
     """Each chapter packed as an EPUB with one item per block, then parsed."""
-    from lectern.plans.epub_fixture import packed
+    from lectern.plans.epub_rows import archives
     from lectern.sources.epub import parse_epubs
 
     items = corpus.chapter_items(base.chapters_raw(spark, folder)).where("size(items) > 0").select(
         F.col("spine_index").cast("string").alias("path"), F.transform("items", lambda b: b["text"]).alias("texts")
     )
-    rows = parse_epubs(packed(items)).where("not is_nav or is_nav is null")
+    rows = parse_epubs(archives(items)).where("not is_nav or is_nav is null")
     return rows.groupBy(F.col("path").cast("long").alias("doc_id")).agg(
         F.count("html").alias("items"), F.max("error").alias("error")
     )

@@ -100,25 +100,36 @@ def ledger_config_rules(spark, folder):
 )
 def chapter_content(spark, folder):
     """Each document asks for the chapter with twice its number."""
-    asked = base.table(spark, folder, "documents").select(F.col("doc_id").alias("request_id"), (F.col("doc_id") * 2).alias("spine_index"))
-    return packages.chapter_content(asked, base.chapters(spark, folder), base.blocks(spark, folder))
+    asked = base.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("request_id"), F.format_string("src%d", F.col("doc_id") * 2 % 20).alias("book_id"), (F.col("doc_id") * 2).alias("spine_index")
+    )
+    return packages.chapter_content(asked, base.chapters(spark, folder), base.blocks(spark, folder)).drop("book_id")
 
 
 @query(
     "reanalysis_requests",
-    """SELECT book_id, spine_index, count(*) OVER w AS n_earlier, coalesce(sum(length(short)) OVER w, 0)::BIGINT AS earlier_chars
-       FROM (SELECT book_id, spine_index, CASE WHEN spine_index % 10 = 3 THEN '  ' ELSE substring(first_text, 1, 160) END AS short FROM v_analyses)
-       WINDOW w AS (PARTITION BY book_id ORDER BY spine_index ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""",
+    """SELECT book_id, spine_index, chapter_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS n_earlier, sha256(short) AS short_hash FROM v_shorts""",
 )
 def reanalysis_requests(spark, folder):
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
     made = analysis.reanalysis_requests(analyses.select("book_id", "spine_index", "chapter_id"), analyses)
-    return made.select(
-        "book_id",
-        "spine_index",
-        F.size("earlier_summaries").cast("long").alias("n_earlier"),
-        F.aggregate("earlier_summaries", F.lit(0).cast("long"), lambda a, s: a + F.char_length(s)).alias("earlier_chars"),
-    )
+    return made.select("book_id", "spine_index", "chapter_id", "n_earlier", F.sha2("summary.short", 256).alias("short_hash"))
+
+
+view(
+    "v_shorts",
+    """SELECT book_id, spine_index, chapter_id, CASE WHEN spine_index % 10 = 3 THEN '  ' ELSE substring(first_text, 1, 160) END AS short FROM v_analyses""",
+)
+
+
+@query(
+    "earlier_summaries",
+    "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS place, spine_index, sha256(short) AS short_hash FROM v_shorts",
+)
+def earlier_summaries(spark, folder):
+    """The list that every request of a book refers to by place."""
+    made = analysis.earlier_summaries(package.stored_analyses(spark, folder))
+    return made.select("book_id", "place", "spine_index", F.sha2("short", 256).alias("short_hash"))
 
 
 @query(
@@ -151,10 +162,10 @@ def reflect_requests(spark, folder):
     points = package.checkpoints(package.chapter_analyses(spark, folder))
     sessions = durable(reader.sessions(spark, folder))
     opened = actions.checkpoint_requests(
-        sessions.select(F.col("session_id").alias("request_id"), "session_id", "spine_index"), cover, reading.covered_chapters(blocks, cover), points
+        sessions.select(F.col("session_id").alias("request_id"), "session_id", "book_id", "spine_index"), cover, reading.covered_chapters(blocks, cover), points
     )
     n = F.char_length("text")
-    place = sessions.select("session_id", F.col("spine_index").cast("string").alias("_s"))
+    place = sessions.select("session_id", "book_id", F.col("spine_index").cast("string").alias("_s"))
     s = F.col("spine")
     turns = base.table(spark, folder, "conversations").where("role = 'assistant'").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
@@ -167,6 +178,7 @@ def reflect_requests(spark, folder):
     asked = turns.join(place, "session_id", "left").select(
         "request_id",
         "session_id",
+        "book_id",
         F.coalesce(F.concat(F.lit("checkpoint-"), "_s"), F.lit("none")).alias("checkpoint_id"),
         F.when(F.col("n") % 4 == 0, "other").otherwise(F.concat(F.lit("recall-"), own)).alias("question_id"),
         "answer",
@@ -214,7 +226,7 @@ def metric_baseline(spark, folder):
 
 @query(
     "comparable_runs",
-    """SELECT x AS incomparable FROM (SELECT unnest(['attempts', 'compiler']) AS x), (SELECT count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations)
+    """SELECT 'roles' AS pair_id, x AS incomparable FROM (SELECT unnest(['attempts', 'compiler']) AS x), (SELECT count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations)
        WHERE (x = 'attempts' AND u <> a) OR x = 'compiler'""",
 )
 def comparable_runs(spark, folder):
@@ -223,7 +235,7 @@ def comparable_runs(spark, folder):
 
     def manifest(role, compiler):
         return conv.where(F.col("role") == role).agg(F.count(F.lit(1)).alias("attempts")).select(
-            "attempts", F.lit("0.0").alias("protocol"), F.lit(compiler).alias("compiler"), F.lit("A0").alias("candidate")
+            F.lit("roles").alias("pair_id"), "attempts", F.lit("0.0").alias("protocol"), F.lit(compiler).alias("compiler"), F.lit("A0").alias("candidate")
         )
 
     return scoring.comparable_runs(

@@ -25,7 +25,7 @@ def location_keys(spark, folder):
 
 @query("session_coverage", "SELECT session_id, spine_index, end_ord, end_offset FROM v_coverage")
 def session_coverage(spark, folder):
-    return reader.coverage(spark, folder)
+    return reader.coverage(spark, folder).drop("book_id")
 
 
 @query("visible_chars", "SELECT session_id, spine_index, ord, block_id, visible FROM v_reading")
@@ -71,10 +71,12 @@ def reading_progress(spark, folder):
          arg_max_null(ord, (ts, event_id)) FILTER (is_location) AS ord,
          arg_max(char_offset, (ts, event_id)) FILTER (is_location) AS char_offset,
          arg_max(mode, (ts, event_id)) FILTER (mode IS NOT NULL) AS mode, count(*) + 1 AS revision
-       FROM v_events GROUP BY session_id""",
+       FROM (SELECT session_id, ts, event_id, spine_index, ord, char_offset, mode, is_location FROM v_located WHERE error IS NULL
+             UNION ALL SELECT session_id, ts, event_id, spine_index, ord, char_offset, mode, is_location FROM v_events WHERE NOT is_location)
+       GROUP BY session_id""",
 )
 def session_state(spark, folder):
-    return reading.session_state(reader.events(spark, folder))
+    return reading.session_state(reader.patches(spark, folder))
 
 
 @query(
@@ -94,7 +96,7 @@ view(
     "v_boundaries",
     """SELECT r.*, s.book_id, s.spine_index AS current_spine,
          CASE WHEN s.session_id IS NULL THEN NULL WHEN spoiler_mode = 'read_range' THEN 's:' || r.session_id
-              WHEN spoiler_mode = 'current_chapter' THEN 'c:' || s.spine_index ELSE 'b:' || s.book_id END AS scope_id,
+              WHEN spoiler_mode = 'current_chapter' THEN 'c:' || s.book_id || ':' || s.spine_index ELSE 'b:' || s.book_id END AS scope_id,
          CASE WHEN s.session_id IS NULL THEN NULL WHEN spoiler_mode = 'read_range' THEN coalesce(k.covered, 0)
               WHEN spoiler_mode = 'current_chapter' THEN coalesce(h.here, 0) ELSE coalesce(z.filled, 0) END AS allowed_chapters,
          z.content, CASE WHEN s.session_id IS NULL THEN 'unknown_session' END AS error
@@ -122,8 +124,8 @@ view(
     "v_candidates",
     """SELECT 's:' || session_id AS scope_id, spine_index, ord, block_id, fp, visible, substring(text, 1, CAST(visible AS BIGINT)) AS text
        FROM v_reading WHERE visible > 0 AND 's:' || session_id IN (SELECT scope_id FROM v_boundaries WHERE error IS NULL)
-       UNION ALL SELECT 'c:' || spine_index, spine_index, ord, block_id, fp, n_chars, text FROM v_blocks
-       WHERE 'c:' || spine_index IN (SELECT scope_id FROM v_boundaries WHERE error IS NULL)
+       UNION ALL SELECT 'c:' || book_id || ':' || spine_index, spine_index, ord, block_id, fp, n_chars, text FROM v_blocks
+       WHERE 'c:' || book_id || ':' || spine_index IN (SELECT scope_id FROM v_boundaries WHERE error IS NULL)
        UNION ALL SELECT 'b:' || book_id, spine_index, ord, block_id, fp, n_chars, text FROM v_blocks
        WHERE 'b:' || book_id IN (SELECT scope_id FROM v_boundaries WHERE error IS NULL)""",
 )
@@ -236,10 +238,10 @@ view(
 
 def selections(spark, folder):
     """The block (or only the chapter) each session looked at last."""
-    last = F.max_by(F.struct("spine_index", "block_id"), F.struct("ts", "event_id"))
+    last = F.max_by(F.struct("book_id", "spine_index", "block_id"), F.struct("ts", "event_id"))
     ok = reader.located(spark, folder).where("error is null")
     return ok.groupBy("session_id").agg(last.alias("at")).select(
-        F.col("session_id").alias("request_id"), "at.spine_index", "at.block_id"
+        F.col("session_id").alias("request_id"), "at.book_id", "at.spine_index", "at.block_id"
     )
 
 
@@ -273,11 +275,12 @@ def highlights(spark, folder):
 
 
 def as_highlights(events, blocks):
-    spot = blocks.select("spine_index", F.col("ord").alias("_ord"), "block_id", F.col("text").alias("_t"))
+    spot = blocks.select("book_id", "spine_index", F.col("ord").alias("_ord"), "block_id", F.col("text").alias("_t"))
     ev = events.withColumn("_ord", F.col("event_id") % 8)
-    return ev.join(spot, ["spine_index", "_ord"], "left").select(
+    return ev.join(spot, ["book_id", "spine_index", "_ord"], "left").select(
         "event_id",
         "session_id",
+        "book_id",
         "spine_index",
         F.coalesce("block_id", F.lit("none")).alias("block_id"),
         F.col("k").alias("start_char"),
@@ -379,4 +382,4 @@ def state_matches_session(spark, folder):
        JOIN v_coverage USING (session_id, spine_index) WHERE ord <= end_ord""",
 )
 def review_evidence_limits(spark, folder):
-    return reading.unread_limits(base.blocks(spark, folder), reader.coverage(spark, folder))
+    return reading.unread_limits(base.blocks(spark, folder), reader.coverage(spark, folder)).drop("book_id")

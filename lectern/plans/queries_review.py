@@ -238,7 +238,8 @@ def studio_snapshot(spark, folder):
 
 view(
     "v_sentences",
-    """SELECT spine_index AS book_id, ord AS spine_index, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS text FROM (
+    """SELECT spine_index AS book_id, ord AS spine_index, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS text,
+         'sentence-' || (generate_subscripts(p, 1) - 1) AS block_id FROM (
          SELECT spine_index, ord, string_split(text, '. ') AS p FROM v_blocks)""",
 )
 view(
@@ -260,7 +261,8 @@ def sentences(spark, folder):
     """Documents as books, lines as chapters, sentences as blocks."""
     rows = base.blocks(spark, folder).select("spine_index", "ord", F.posexplode(F.split("text", r"\. ")).alias("pos", "text"))
     return rows.select(
-        F.col("spine_index").alias("book_id"), F.col("ord").alias("spine_index"), F.col("pos").cast("long").alias("ord"), "text"
+        F.col("spine_index").alias("book_id"), F.col("ord").alias("spine_index"), F.col("pos").cast("long").alias("ord"), "text",
+        F.format_string("sentence-%d", "pos").alias("block_id"),
     )
 
 
@@ -272,20 +274,24 @@ def prior_context(spark, folder):
 @query(
     "chapter_requests",
     """SELECT b.spine_index AS book_id, b.ord AS spine_index, len(string_split(b.text, '. ')) AS n_blocks, row_number() OVER (PARTITION BY b.spine_index ORDER BY b.ord) - 1 AS n_prior,
-         coalesce(x.n, 0) AS n_excerpts, CAST(16 AS BIGINT) AS max_objects
-       FROM v_blocks b LEFT JOIN (SELECT book_id, for_chapter, count(*) AS n FROM v_prior GROUP BY ALL) x ON x.book_id = b.spine_index AND x.for_chapter = b.ord""",
+         sha256(b.text) AS blocks_hash, sha256(coalesce(x.joined, '')) AS excerpts_hash, CAST(16 AS BIGINT) AS max_objects
+       FROM v_blocks b LEFT JOIN (SELECT book_id, for_chapter, string_agg(s.block_id || '@' || p.spine_index || ':' || s.text, chr(10) ORDER BY p.rank) AS joined
+         FROM v_prior p JOIN v_sentences s USING (book_id, spine_index, ord) GROUP BY ALL) x ON x.book_id = b.spine_index AND x.for_chapter = b.ord""",
 )
 def chapter_requests(spark, folder):
     chapters = base.blocks(spark, folder).select(
         F.col("spine_index").alias("book_id"), F.col("ord").alias("spine_index"), F.substring("text", 1, 20).alias("title"), F.split("text", r"\. ").alias("blocks")
     )
-    made = analysis.chapter_requests(chapters, analysis.prior_context(sentences(spark, folder)), profile="standard")
+    rows = sentences(spark, folder)
+    made = analysis.chapter_requests(chapters, analysis.prior_context(rows), rows, profile="standard")
+    line = lambda x: F.concat(x["block_id"], F.lit("@"), x["from_chapter"].cast("string"), F.lit(":"), x["text"])
     return made.select(
         "book_id",
         "spine_index",
         F.size("blocks").cast("long").alias("n_blocks"),
         F.col("prior_chapters").alias("n_prior"),
-        F.size("prior_excerpts").cast("long").alias("n_excerpts"),
+        F.sha2(F.array_join("blocks", ". "), 256).alias("blocks_hash"),
+        F.sha2(F.array_join(F.transform("prior_excerpts", line), "\n"), 256).alias("excerpts_hash"),
         "max_objects",
     )
 
@@ -361,12 +367,39 @@ def generated_rules(spark, folder):
 
 @query(
     "synthesis_requests",
-    """SELECT b.book_id, spine_index // 256 AS part, count(a.spine_index) AS chapters, CASE WHEN count(a.spine_index) = 0 THEN 'no_chapter_analyses' END AS error
+    """SELECT b.book_id, count(a.spine_index) AS chapters, CASE WHEN count(a.spine_index) = 0 THEN 'no_chapter_analyses' END AS error
        FROM (SELECT DISTINCT book_id FROM v_chapters) b LEFT JOIN v_analyses a USING (book_id) GROUP BY ALL""",
 )
 def synthesis_requests(spark, folder):
     made = analysis.synthesis_requests(base.chapters(spark, folder).select("book_id").distinct(), package.chapter_analyses(spark, folder))
-    return made.select("book_id", "part", "chapters", "error")
+    return made.select("book_id", "chapters", "error")
+
+
+@query(
+    "synthesis_chapters",
+    """SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS place, spine_index, chapter_id, sha256(substring(joined, 1, 400)) AS deep_hash,
+         array_to_string(key_ideas, '|') AS key_ideas, source_content_hash FROM v_analyses""",
+)
+def synthesis_chapters(spark, folder):
+    """Every analysis that a book's synthesis request refers to, read back from its JSON."""
+    made = analysis.synthesis_chapters(package.stored_analyses(spark, folder))
+    doc = F.from_json("analysis", "summary struct<deep:string>, key_ideas array<string>, source_content_hash string")
+    return made.withColumn("d", doc).select(
+        "book_id", "place", "spine_index", "chapter_id", F.sha2("d.summary.deep", 256).alias("deep_hash"),
+        F.array_join("d.key_ideas", "|").alias("key_ideas"), "d.source_content_hash",
+    )
+
+
+@query(
+    "earlier_chapters",
+    "SELECT spine_index AS book_id, row_number() OVER (PARTITION BY spine_index ORDER BY ord) - 1 AS place, ord AS spine_index, substring(text, 1, 20) AS title FROM v_blocks",
+)
+def earlier_chapters(spark, folder):
+    """The list of chapters that analysis requests refer to by place."""
+    chapters = base.blocks(spark, folder).select(
+        F.col("spine_index").alias("book_id"), F.col("ord").alias("spine_index"), F.substring("text", 1, 20).alias("title")
+    )
+    return analysis.earlier_chapters(chapters).select("book_id", "place", "spine_index", "title")
 
 
 @query(
@@ -591,7 +624,7 @@ def package_listing(spark, folder):
 )
 def locate_blocks(spark, folder):
     """Every cited block id looked up."""
-    asked = package.citation_rows(package.chapter_analyses(spark, folder)).select("path", "block_id")
+    asked = package.citation_rows(package.chapter_analyses(spark, folder)).select("book_id", "path", "block_id")
     return packages.locate_blocks(asked, base.blocks(spark, folder)).select("path", "spine_index", "ord", "error")
 
 

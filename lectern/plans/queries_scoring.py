@@ -325,8 +325,8 @@ def evidence_recall(spark, folder):
          ON m.href = a.href AND m.text = a.raw""",
 )
 def map_gold_anchors(spark, folder):
-    anchors = base.lines(spark, folder).select("href", "ord", F.col("raw").alias("text"))
-    return scoring.map_gold_anchors(anchors, base.blocks(spark, folder))
+    anchors = base.lines(spark, folder).select("book_id", "href", "ord", F.col("raw").alias("text"))
+    return scoring.map_gold_anchors(anchors, base.blocks(spark, folder)).drop("book_id")
 
 
 @query(
@@ -686,7 +686,7 @@ def timing_summary(spark, folder):
        FROM v_trials t JOIN v_step_refs r USING (attempt_id) JOIN v_blocks b USING (block_id) WHERE t.status = 'completed'""",
 )
 def review_packets(spark, folder):
-    refs = suite_data.refs(spark, folder).select("attempt_id", "block_id", "end_char")
+    refs = suite_data.refs(spark, folder).select("attempt_id", "book_id", "block_id", "end_char")
     packets, _ = scoring.review_packets(
         suite_data.trials(spark, folder), suite_data.steps(spark, folder), refs, base.blocks(spark, folder)
     )
@@ -698,7 +698,7 @@ def review_bindings(spark, folder):
     _, bindings = scoring.review_packets(
         suite_data.trials(spark, folder),
         suite_data.steps(spark, folder),
-        suite_data.refs(spark, folder).select("attempt_id", "block_id", "end_char"),
+        suite_data.refs(spark, folder).select("attempt_id", "book_id", "block_id", "end_char"),
         base.blocks(spark, folder),
     )
     return bindings

@@ -20,21 +20,23 @@ def stream_events(spark, folder):
 
 @query("session_coverage_stream", "SELECT session_id, spine_index, end_ord, end_offset FROM v_coverage")
 def session_coverage_stream(spark, folder):
-    blocks = durable(base.blocks(spark, folder).select("spine_index", "ord", "block_id", "n_chars"))
+    blocks = durable(base.blocks(spark, folder).select("book_id", "spine_index", "ord", "block_id", "n_chars"))
     located = reading.location_keys(stream_events(spark, folder).where("is_location"), durable(base.chapters(spark, folder)), blocks)
     accepted = located.where("error is null and event_type in ('view', 'click')")
     rows = jobs.run_available(jobs.session_coverage_stream(accepted))
-    return jobs.latest(rows, ["session_id", "spine_index"])
+    return jobs.latest(rows, ["session_id", "book_id", "spine_index"]).drop("book_id")
 
 
 @query(
     "session_state_stream",
     """SELECT session_id, arg_max(spine_index, (ts, event_id)) FILTER (is_location) AS spine_index,
          arg_max(mode, (ts, event_id)) FILTER (mode IS NOT NULL) AS mode, count(*) + 1 AS revision
-       FROM v_events GROUP BY session_id""",
+       FROM (SELECT session_id, ts, event_id, spine_index, ord, char_offset, mode, is_location FROM v_located WHERE error IS NULL
+             UNION ALL SELECT session_id, ts, event_id, spine_index, ord, char_offset, mode, is_location FROM v_events WHERE NOT is_location)
+       GROUP BY session_id""",
 )
 def session_state_stream(spark, folder):
-    rows = jobs.run_available(jobs.session_state_stream(stream_events(spark, folder)))
+    rows = jobs.run_available(jobs.session_state_stream(reader.patches(spark, folder, stream_events(spark, folder))))
     return jobs.latest(rows, ["session_id"]).select("session_id", "spine_index", "mode", "revision")
 
 

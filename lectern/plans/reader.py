@@ -25,6 +25,7 @@ def mapped(raw):
         "ts",
         "user_id",
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
+        F.format_string("src%d", F.col("user_id") % 20).alias("book_id"),
         "event_type",
         "value",
         k.alias("k"),
@@ -121,6 +122,18 @@ def sessions(spark, folder):
     )
 
 
+def patches(spark, folder, rows=None):
+    """Location patches with their error, and mode changes, as one feed for the session state."""
+    from lectern.operators import reading
+
+    rows = events(spark, folder) if rows is None else rows
+    fields = ["session_id", "event_id", "ts", "book_id", "spine_index", "ord", "char_offset", "mode", "is_location"]
+    places = durable(base.blocks(spark, folder).select("book_id", "spine_index", "ord", "block_id", "n_chars"))
+    moved = reading.location_keys(rows.where("is_location"), durable(base.chapters(spark, folder)), places)
+    other = rows.where("not is_location").withColumn("error", F.lit(None).cast("string"))
+    return moved.select(*fields, "error").unionByName(other.select(*fields, "error"))
+
+
 def requests(spark, folder):
     turns = base.table(spark, folder, "conversations").where("role = 'user'")
     modes = F.array(F.lit("read_range"), F.lit("current_chapter"), F.lit("full_book"))

@@ -118,8 +118,9 @@ view(
 
 def refs(spark, folder):
     """One citation per answered step."""
-    spot = base.blocks(spark, folder).select("spine_index", "ord", "block_id", "fp", "n_chars")
+    spot = base.blocks(spark, folder).select("book_id", "spine_index", "ord", "block_id", "fp", "n_chars")
     rows = steps(spark, folder).where("has_cards").select(
+        F.format_string("src%d", F.col("conv_id") % 20).alias("book_id"),
         "attempt_id",
         "n",
         "turn",
@@ -127,7 +128,8 @@ def refs(spark, folder):
         (F.col("turn") % 3).alias("ord"),
     )
     n = F.col("n")
-    return rows.join(spot, ["spine_index", "ord"]).select(
+    return rows.join(spot, ["book_id", "spine_index", "ord"]).select(
+        "book_id",
         "attempt_id",
         "turn",
         F.when(n % 29 == 0, "nowhere").otherwise(F.col("block_id")).alias("block_id"),

@@ -111,8 +111,8 @@ def write_rows(rows: DataFrame, path: str, *order: str) -> None:
 
 def write_chapter_analyses(analyses: DataFrame, path: str) -> None:
     """One document per chapter under a stable path; rewriting replaces only the chapters given."""
-    keyed = analyses.repartitionByRange("book_id", "spine_index")
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").json(path)
+    keyed = analyses.repartitionByRange("book_id", "chapter_id")
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id", "chapter_id").json(path)
 
 
 def write_synthesis_documents(documents: dict[str, DataFrame], source_hash: DataFrame, version: str, path: str) -> None:

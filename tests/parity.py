@@ -39,9 +39,7 @@ def _cell(value):
 
 def normal(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(_cell(r[i]) for i in order) for r in rows) if False else sorted(
-        (tuple(_cell(r[i]) for i in order) for r in rows), key=repr
-    )
+    return sorted((tuple(_cell(r[i]) for i in order) for r in rows), key=repr)
 
 
 def compare(spark, con, name, fn, sql, folder):

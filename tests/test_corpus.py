@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus, sections
-from lectern.plans.epub_fixture import pack, page
+from lectern.plans.epub_rows import archive, document
 from lectern.sources import epub, markup
 
 ITEM = "array<struct<ord:bigint,kind:string,text:string>>"
@@ -70,7 +70,7 @@ def test_heading_levels(spark):
 
 
 def test_extract_blocks_kinds():
-    html = page(
+    html = document(
         '<h2 id="top">Title</h2><p>One <a epub:type="noteref" href="#n1">1</a></p><p>unclosed<p>next'
         "<ul><li>item<li>two</ul><blockquote><ul><li>q</li></ul><p>quote</p></blockquote>"
         '<figure><p>Caption</p><img src="f.jpg" alt="a"/></figure>'
@@ -104,60 +104,59 @@ def test_toc_rows():
     assert markup.parse_toc(nav) == [([0], 1, "A b", "a", False), ([0, 0], 2, "X", "a#x", True), ([1], 1, "C", "c", True)]
 
 
-NAV = '<nav epub:type="toc"><ol>{}</ol></nav>'
-BODIES = {
-    "a": '<h1 id="intro">Preface</h1><p>Preface material.</p><h1 id="one">Chapter I</h1><p>The bronze compass belongs to Mira. 青铜罗盘属于米拉。 🧭</p>'
-    '<h1 id="two">Chapter II</h1><p>Jon follows the northern river with the bronze compass.</p>',
-    "b": "<p>The second chapter continues across this file.</p>",
-    "c": '<h1 id="three">Chapter III</h1><p>The hidden password is NIGHTJAR.</p>',
-}
+# Two files: the first holds three entries, the last of which runs on into the second, where the fourth begins.
+PAGES = {
+    "ferry": [("open", "Timetable"), (None, "Boats leave on the hour."), ("salt", "Salt"), (None, "Crates are weighed twice, crête et sel."),
+              ("rope", "Rope"), (None, "Nobody ties the last knot.")],
+    "shore": [(None, "It is tied here instead."), ("lamp", "Lamp"), (None, "A lamp burns until ten. 🪔")],
+}
 
 
-def overlay(spark, second):
-    entries = [("Preface", "a.xhtml#intro"), ("Chapter I", "a.xhtml#one"), ("Chapter II", second), ("Chapter III", "c.xhtml#three")]
-    nav = NAV.format("".join(f'<li><a href="{h}">{t}</a></li>' for t, h in entries))
-    files = spark.createDataFrame([("book", bytearray(pack("Section fixture", BODIES, nav)))], "path string, content binary")
-    docs = epub.parse_epubs(files).withColumnRenamed("path", "book_id")
-    rows = markup.extract_blocks(docs.where("not is_nav"), ["book_id", "spine_index", "href"])
+def markup_of(rows):
+    return "".join(f'<h2 id="{anchor}">{text}</h2>' if anchor else f"<p>{text}</p>" for anchor, text in rows)
+
+
+def overlay(spark, third):
+    """Sections of the two files for a contents page whose third entry points to ``third``."""
+    targets = {"Timetable": "ferry.xhtml#open", "Salt": "ferry.xhtml#salt", "Rope": third, "Lamp": "shore.xhtml#lamp"}
+    entries = "".join(f'<li><a href="{href}">{label}</a></li>' for label, href in targets.items())
+    made = archive("Ferry", {name: markup_of(rows) for name, rows in PAGES.items()}, f'<nav epub:type="toc"><ol>{entries}</ol></nav>')
+    docs = epub.parse_epubs(spark.createDataFrame([("ferry", bytearray(made))], "path string, content binary"))
+    docs = docs.withColumnRenamed("path", "book_id")
+    pages, contents = docs.where("not is_nav"), docs.where("is_nav")
     from lectern.plans.base import with_identity
 
-    blocks = with_identity(rows)
-    physical = docs.where("not is_nav").select("book_id", "spine_index", "href", F.lit(False).alias("is_noise"))
+    blocks = with_identity(markup.extract_blocks(pages, ["book_id", "spine_index", "href"]))
+    physical = pages.select("book_id", "spine_index", "href", F.lit(False).alias("is_noise"))
     anchors = blocks.select("book_id", "href", F.explode("anchors").alias("fragment"), "ord", "block_id")
-    leaves = markup.extract_toc(docs.where("is_nav"), ["book_id"]).where("is_leaf").select("book_id", "pos", "label", "href")
+    leaves = markup.extract_toc(contents, ["book_id"]).where("is_leaf").select("book_id", "pos", "label", "href")
     return sections.build_sections(leaves, physical, blocks, anchors), blocks
 
 
-def test_section_overlay(spark):
-    built, blocks = overlay(spark, "a.xhtml#two")
-    got = [(r.chapter_id, r.title, r.start_position, r.end_position) for r in built.orderBy("section_index").collect()]
-    assert got == [
-        ("chapter_001", "Preface", 0, 2),
-        ("chapter_002", "Chapter I", 2, 4),
-        ("chapter_003", "Chapter II", 4, 7),
-        ("chapter_004", "Chapter III", 7, 9),
-    ]
+def test_sections_cross_files(spark):
+    built, blocks = overlay(spark, "ferry.xhtml#rope")
+    got = [(r.title, r.start_position, r.end_position) for r in built.orderBy("section_index").collect()]
+    assert got == [("Timetable", 0, 2), ("Salt", 2, 4), ("Rope", 4, 7), ("Lamp", 7, 9)]
     keyed = sections.section_blocks(built, blocks)
-    spans = keyed.groupBy("section_index").agg(F.countDistinct("spine_index").alias("n")).orderBy("section_index").collect()
-    assert [r.n for r in spans] == [1, 1, 2, 1]
+    files = {r.section_index: r.n for r in keyed.groupBy("section_index").agg(F.countDistinct("spine_index").alias("n")).collect()}
+    assert files == {0: 1, 1: 1, 2: 2, 3: 1}
     claimed = keyed.drop("ord")
-    assert sections.partition_check(built, claimed, blocks).count() == 0
-    short = claimed.where("not (section_index = 2 and section_ord = 1)")
-    assert [r.code for r in sections.partition_check(built, short, blocks).collect()] == ["block_not_in_section"]
+    assert sections.partition_check(built, claimed, blocks).isEmpty()
+    lost = claimed.where("section_index <> 2 or section_ord <> 1")
+    assert [r.code for r in sections.partition_check(built, lost, blocks).collect()] == ["block_not_in_section"]
 
 
-def test_missing_anchor_disables_the_overlay(spark):
-    built, _ = overlay(spark, "a.xhtml#missing")
-    assert built.count() == 0
+def test_an_entry_without_its_anchor_leaves_no_sections(spark):
+    assert overlay(spark, "ferry.xhtml#tide")[0].isEmpty()
 
 
 def test_broken_epub_is_one_error_row(spark):
-    bad = pack("x", {"a": "<p>unclosed"})
+    bad = archive("x", {"a": "<p>unclosed"})
     rows = spark.createDataFrame([("bad", bytearray(bad)), ("nozip", bytearray(b"x"))], "path string, content binary")
     got = epub.parse_epubs(rows).collect()
     assert len(got) == 2 and all(r.error and r.html is None for r in got)
 
 
 def test_read_epubs_from_a_folder(spark, tmp_path):
-    (tmp_path / "one.epub").write_bytes(pack("One", {"a": "<p>x</p>"}))
+    (tmp_path / "one.epub").write_bytes(archive("One", {"a": "<p>x</p>"}))
     assert epub.read_epubs(spark, str(tmp_path)).where("not is_nav").select("html").count() == 1

@@ -5,7 +5,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from lectern.operators import analysis, reading, retrieval, review, scoring
+from lectern.operators import actions, analysis, packages, reading, retrieval, review, scoring
 
 BUDGET = {
     "max_request_bytes": 100,
@@ -81,7 +81,8 @@ def test_visible_chars_and_progress(spark):
     rows = [("b", 0, o, f"b{o}", "f", n) for o, n in enumerate([10, 20, 30])] + [("b", 1, 0, "c0", "f", 40)]
     blocks = spark.createDataFrame(rows, "book_id string, spine_index long, ord long, block_id string, fp string, n_chars long")
     events = spark.createDataFrame(
-        [("s", 0, 1, 5), ("s", 0, 0, 10), ("s", 1, 0, 99), ("t", 0, None, 3)], "session_id string, spine_index long, ord long, char_offset long"
+        [("s", "b", 0, 1, 5), ("s", "b", 0, 0, 10), ("s", "b", 1, 0, 99), ("t", "b", 0, None, 3)],
+        "session_id string, book_id string, spine_index long, ord long, char_offset long",
     )
     cover = reading.coverage(events)
     seen = {(r.session_id, r.block_id): r.visible for r in reading.visible_chars(blocks, cover).collect()}
@@ -183,6 +184,81 @@ def test_json_diff(spark):
     ]
 
 
+def test_json_diff_tells_kinds_apart(spark):
+    pairs = [
+        (1, '{"a":1,"b":[1],"c":"1","d":1.0,"e":2.50}', '{"a":true,"b":[1.0],"c":1,"d":1,"e":2.5}'),
+        (2, '{"x":{"y":[{"z":1}]},"e":[]}', '{"x":{"y":[{"z":2},null]},"e":{}}'),
+        (3, "[1,2]", "[1,2]"),
+        (4, "7", "null"),
+    ]
+    got = review.json_diff(spark.createDataFrame(pairs, "id long, left_json string, right_json string"), "id").collect()
+    assert sorted((r.id, r.path, r.left, r.right) for r in got) == [
+        (1, "$.a", "1", "true"), (1, "$.b[0]", "1", "1.0"), (1, "$.c", '"1"', "1"), (1, "$.d", "1.0", "1"),
+        (2, "$.e", "[]", "{}"), (2, "$.x.y[0].z", "1", "2"), (4, "$", "7", "null"),
+    ]
+    many = '{"a":[' + ",".join(map(str, range(700))) + "]}"
+    cut = review.json_diff(spark.createDataFrame([(1, many, '{"a":[]}')], "id long, left_json string, right_json string"), "id")
+    assert sorted(r.pos for r in cut.collect()) == list(range(500))
+
+
+TWO = [("A", 0, 0, "same", "A opens."), ("A", 0, 1, "a1", "A goes on."), ("B", 0, 0, "same", "B opens, longer."), ("B", 0, 1, "b1", "B ends.")]
+
+
+def two_books(spark):
+    """Two books that number their chapters alike and share a block id."""
+    rows = [(b, s, o, i, f"f{i}", "page.xhtml", t, len(t)) for b, s, o, i, t in TWO]
+    blocks = spark.createDataFrame(rows, "book_id string, spine_index long, ord long, block_id string, fp string, href string, text string, n_chars long")
+    chapters = spark.createDataFrame([("A", 0, "a", False), ("B", 0, "b", False), ("B", 1, "c", False)], "book_id string, spine_index long, title string, is_noise boolean")
+    return blocks, chapters
+
+
+def test_nothing_of_another_book_is_visible(spark):
+    blocks, chapters = two_books(spark)
+    feed = [("s", 1, 1, "A", 0, 0, 5, None, True), ("t", 2, 2, "B", 0, 1, 7, None, True), ("s", 3, 3, "A", 1, None, None, None, True),
+            ("s", 4, 4, "A", 0, 0, 99, None, True)]
+    moves = spark.createDataFrame(feed, "session_id string, event_id long, ts long, book_id string, spine_index long, ord long, char_offset long, mode string, is_location boolean")
+    located = reading.location_keys(moves, chapters, blocks)
+    assert {r.event_id: r.error for r in located.collect()} == {1: None, 2: None, 3: "unknown_chapter", 4: "invalid_offset"}
+    cover = reading.coverage(located.where("error is null"))
+    seen = {(r.session_id, r.book_id, r.block_id): r.visible for r in reading.visible_chars(blocks, cover).collect()}
+    assert seen == {("s", "A", "same"): 5, ("s", "A", "a1"): 0, ("t", "B", "same"): 16, ("t", "B", "b1"): 7}
+    covered = reading.covered_chapters(blocks, cover)
+    assert {(r.session_id, r.book_id, r.visible, r.completed) for r in covered.collect()} == {("s", "A", 5, False), ("t", "B", 23, True)}
+    sessions = spark.createDataFrame([("s", "A", 0), ("t", "B", 0)], "session_id string, book_id string, spine_index long")
+    left = reading.excluded_chapters(sessions.drop("spine_index"), chapters, cover)
+    assert {(r.session_id, r.book_id, r.spine_index) for r in left.collect()} == {("t", "B", 1)}
+    near = reading.nearby_blocks(spark.createDataFrame([("q", "B", 0, "same"), ("p", "A", 0, None)], "request_id string, book_id string, spine_index long, block_id string"), blocks)
+    assert {(r.request_id, r.text) for r in near.collect()} == {("q", TWO[2][4]), ("q", TWO[3][4]), ("p", TWO[0][4]), ("p", TWO[1][4])}
+    asked = [("r1", "s", "What opens?", "read_range"), ("r2", "t", "What opens?", "current_chapter"), ("r3", "s", "What opens?", "current_chapter")]
+    bounds = reading.spoiler_boundary(spark.createDataFrame(asked, "request_id string, session_id string, question string, spoiler_mode string"), sessions, cover, chapters, blocks)
+    rows = {r.request_id: (r.scope_id, r.allowed_chapters, r.excluded_chapters) for r in bounds.collect()}
+    assert rows == {"r1": ("s:s", 1, 0), "r2": ("c:B:0", 1, 1), "r3": ("c:A:0", 1, 0)}
+    offered = {(r.scope_id, r.text) for r in reading.scope_candidates(bounds, cover, blocks).collect()}
+    assert offered == {("s:s", "A ope")} | {("c:A:0", t[4]) for t in TWO[:2]} | {("c:B:0", t[4]) for t in TWO[2:]}
+
+
+def test_rejected_patches_do_not_move_a_session(spark):
+    rows = [("s", 1, 10, 0, 0, 1, None, True, None), ("s", 2, 20, 9, None, None, None, True, "unknown_chapter"), ("s", 3, 30, None, None, None, "full_book", False, None)]
+    feed = spark.createDataFrame(rows, "session_id string, event_id long, ts long, spine_index long, ord long, char_offset long, mode string, is_location boolean, error string")
+    got = reading.session_state(feed).first()
+    assert (got.spine_index, got.ord, got.mode, got.revision) == (0, 0, "full_book", 3)
+
+
+def test_citations_and_anchors_stay_in_their_book(spark):
+    blocks, _ = two_books(spark)
+    refs = [("x", "s", "A", "same", 0, 3, "fsame"), ("y", "s", "B", "same", 0, 16, "fsame"), ("z", "s", "A", "b1", 0, 3, "fb1")]
+    refs = spark.createDataFrame(refs, "request_id string, session_id string, book_id string, block_id string, start_char long, end_char long, text_fingerprint string")
+    cover = spark.createDataFrame([("s", "A", 0, 0, 5)], "session_id string, book_id string, spine_index long, end_ord long, end_offset long")
+    got = {(r.request_id, r.code) for r in actions.card_reference_issues(refs, blocks, cover).collect()}
+    assert got == {("y", "outside_boundary"), ("z", "unknown_block")}
+    hashed = blocks.withColumn("fp", F.sha2("text", 256)).withColumn("text", F.when(F.col("ord") == 0, "Title").otherwise(F.col("text")))
+    hashed = hashed.withColumn("fp", F.sha2("text", 256))
+    anchors = spark.createDataFrame([("A", "page.xhtml", "Title"), ("B", "page.xhtml", "A goes on.")], "book_id string, href string, text string")
+    assert {(r.book_id, r.block_id, r.error) for r in scoring.map_gold_anchors(anchors, hashed).collect()} == {("A", "same", None), ("B", None, "lost")}
+    places = packages.locate_blocks(refs, blocks)
+    assert {(r.request_id, r.ord, r.error) for r in places.collect()} == {("x", 0, None), ("y", 0, None), ("z", None, "unknown_block")}
+
+
 def test_three_valued_outcomes(spark):
     scores = spark.createDataFrame([("a", None), ("a", True), ("b", True), ("b", True), ("c", False), ("c", True)], "case_id string, task_success boolean")
     cases = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "case_id string")

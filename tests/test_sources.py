@@ -12,13 +12,13 @@ def digest(text):
 
 
 def suite(tmp_path, **changes):
-    texts = {"baseline": "The river rose.", "partial": "Half a line 🧭"}
+    texts = {"baseline": "Bread is sold before noon.", "partial": "Only half 🥖 !"}
     book = {
-        "id": "river", "family": "river", "language": "en", "title": "River", "license": "CC0",
+        "id": "bakery", "family": "town", "language": "en", "title": "Bakery", "license": "CC0",
         "chapters": [{"href": "m.xhtml", "title": "M", "paragraphs": [{"id": k, "text": t, "sha256": digest(t)} for k, t in texts.items()]}],
     }
     case = {
-        "id": "c1", "book_id": "river", "suite": "regression", "dimensions": ["D01"], "applicability": "applicable",
+        "id": "c1", "book_id": "bakery", "suite": "regression", "dimensions": ["D01"], "applicability": "applicable",
         "steps": [{"task": "ask", "question": "Why?", "read": [{"anchor": "partial", "end_char": changes.get("end", 13)}]}],
         "budget": {"timeout_ms": 10, "max_calls": 1},
     }
@@ -27,7 +27,7 @@ def suite(tmp_path, **changes):
         (tmp_path / name).mkdir(parents=True)
     if changes.get("tamper"):
         book["chapters"][0]["paragraphs"][0]["text"] += " Again."
-    (tmp_path / "books" / "river.json").write_text(json.dumps(book, indent=2))
+    (tmp_path / "books" / "bakery.json").write_text(json.dumps(book, indent=2))
     (tmp_path / "cases" / "cases.jsonl").write_text(json.dumps(case) + "\n")
     (tmp_path / "gold" / "gold.jsonl").write_text(json.dumps(gold) + "\n")
     return [str(tmp_path / n) for n in ("books", "cases", "gold")]
@@ -51,6 +51,15 @@ def test_unreadable_calls_stay_in_the_ledger(spark, tmp_path):
     assert got == {"c1": ("completed", True), "two.json": ("interrupted", False)}
 
 
+def test_rewriting_a_chapter_leaves_the_others(spark, tmp_path):
+    schema = "book_id string, spine_index long, chapter_id string, note string"
+    write = lambda rows: exports.write_chapter_analyses(spark.createDataFrame(rows, schema), str(tmp_path / "out"))
+    write([("A", 0, "chapter_001", "old"), ("A", 1, "chapter_002", "old"), ("B", 0, "chapter_001", "old")])
+    write([("A", 1, "chapter_002", "new")])
+    rows = spark.read.schema(schema).json(str(tmp_path / "out")).collect()
+    assert {(r.book_id, r.chapter_id, r.note) for r in rows} == {("A", "chapter_001", "old"), ("A", "chapter_002", "new"), ("B", "chapter_001", "old")}
+
+
 def test_package_lines_report_bad_ones_and_skip_blanks(spark, tmp_path):
     (tmp_path / "blocks.jsonl").write_text('{"block_id": "a", "chapter_index": 0}\n\n{"block_id": "b"\n')
     rows = files.read_packages(spark, str(tmp_path)).cache()
