@@ -38,9 +38,11 @@ def evidence_refs(offered: DataFrame) -> DataFrame:
     )
 
 
-def answer_requests(boundaries: DataFrame, candidates: DataFrame, evidence: DataFrame) -> DataFrame:
+def answer_requests(boundaries: DataFrame, candidates: DataFrame, evidence: DataFrame, matched: DataFrame) -> DataFrame:
     """Evidence card, or an insufficient-evidence card where nothing matched.
 
+    matched(request_id) are requests with any ranked block; one of them without
+    evidence has matches that exceed the budget, which is an error and no card.
     At most eight blocks per request are gathered, in rank order.
     """
     texts = candidates.select("scope_id", "block_id", "text")
@@ -52,12 +54,16 @@ def answer_requests(boundaries: DataFrame, candidates: DataFrame, evidence: Data
         F.array_sort(F.collect_list(F.struct("rank", "text", ref.alias("ref")))).alias("found")
     )
     none = F.col("found").isNull()
-    return (
+    too_large = none & F.col("_matched").isNotNull()
+    known = matched.select("request_id", F.lit(True).alias("_matched")).distinct()
+    cards = (
         boundaries.where("error is null")
         .select("request_id", "question", "spoiler_mode")
         .join(gathered, "request_id", "left")
+        .join(known, "request_id", "left")
         .select(
             "request_id",
+            F.when(too_large, "context_too_large").alias("error"),
             F.lit("answer").alias("card_type"),
             F.lit("answer-evidence").alias("card_id"),
             F.when(none, TITLE_INSUFFICIENT).otherwise(TITLE_EVIDENCE).alias("title"),
@@ -74,6 +80,8 @@ def answer_requests(boundaries: DataFrame, candidates: DataFrame, evidence: Data
             spoiler_status(F.col("spoiler_mode")).alias("spoiler_status"),
         )
     )
+    kept = ("request_id", "error", "question")
+    return cards.select(*[c if c in kept else F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in cards.columns])
 
 
 # --- context, concepts, explanation ----------------------------------------

@@ -184,7 +184,8 @@ def spoiler_boundary(
 
     The whole-book mode is kept as a scope name and never expanded to rows per
     chapter.  Scopes: ``s:`` a session's coverage, ``c:`` one chapter, ``b:`` a
-    book.
+    book.  A request with a chapter in an optional column ``before`` has the part
+    of its scope below that chapter as a scope of its own.
     """
     reach = cover.groupBy("session_id", "book_id").agg(F.count(F.lit(1)).alias("covered"))
     filled = blocks.select("book_id", "spine_index").distinct()
@@ -211,6 +212,9 @@ def spoiler_boundary(
         .when(F.col("spoiler_mode") == "current_chapter", F.concat(F.lit("c:"), "book_id", F.lit(":"), F.col("spine_index").cast("string")))
         .otherwise(F.concat(F.lit("b:"), "book_id"))
     )
+    if "before" in requests.columns:
+        limit = F.col("before").isNotNull()
+        scope = F.when(limit, F.concat(scope, F.lit("<"), F.col("before").cast("string"))).otherwise(scope)
     joined = requests.join(known, "session_id", "left")
     ok = F.col("book_id").isNotNull()
     return joined.select(
@@ -230,19 +234,24 @@ def scope_candidates(boundaries: DataFrame, cover: DataFrame, blocks: DataFrame)
     Requests that share a scope share its rows.
     """
     wanted = boundaries.where("error is null")
+    if "before" not in wanted.columns:
+        wanted = wanted.withColumn("before", F.lit(None).cast("long"))
     far = F.lit(2**62).cast("long")
 
     def scopes(mode: str, *keys: str) -> DataFrame:
-        return wanted.where(F.col("spoiler_mode") == mode).select("scope_id", *keys).distinct()
+        return wanted.where(F.col("spoiler_mode") == mode).select("scope_id", "before", *keys).distinct()
+
+    below = "before is null or spine_index < before"
 
     chapter = scopes("current_chapter", "book_id", F.col("current_spine").alias("spine_index"))
     endpoints = (
         cover.join(broadcast_if_small(scopes("read_range", "session_id", "book_id")), ["session_id", "book_id"])
+        .where(below)
         .select("scope_id", *CHAPTER, "end_ord", "end_offset")
-        .unionByName(chapter.withColumn("end_ord", far).withColumn("end_offset", far))
+        .unionByName(chapter.where(below).drop("before").withColumn("end_ord", far).withColumn("end_offset", far))
     )
     by_chapter = visible_chars(blocks, broadcast_if_small(endpoints)).where("visible > 0")
-    by_book = blocks.join(broadcast_if_small(scopes("full_book", "book_id")), "book_id").withColumn(
+    by_book = blocks.join(broadcast_if_small(scopes("full_book", "book_id")), "book_id").where(below).withColumn(
         "visible", F.col("n_chars")
     )
     fields = ["scope_id", "visible", "book_id", "spine_index", "ord", "block_id", "fp", "n_chars"]
@@ -251,14 +260,12 @@ def scope_candidates(boundaries: DataFrame, cover: DataFrame, blocks: DataFrame)
     )
 
 
-def retrieve(
-    boundaries: DataFrame, candidates: DataFrame, *, context_limit: int = CONTEXT_LIMIT, k: int = 8
-) -> DataFrame:
-    """Ranked evidence per request within its scope and byte budget."""
+def ranked_candidates(boundaries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """All matching blocks of each request's scope in rank order, with their sizes."""
     place = ["scope_id", "spine_index", "ord"]
     sized = candidates.select(*place, "visible", "text", F.octet_length("text").cast("long").alias("bytes"))
     asked = boundaries.where("error is null").select("scope_id", "request_id", "question")
-    ranked = rank_blocks(
+    return rank_blocks(
         sized,
         asked,
         query_key="request_id",
@@ -267,6 +274,19 @@ def retrieve(
         scope=["scope_id"],
         k=None,
     )
+
+
+def retrieve(
+    boundaries: DataFrame,
+    candidates: DataFrame,
+    *,
+    context_limit: int = CONTEXT_LIMIT,
+    k: int = 8,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
+    """Ranked evidence per request within its scope and byte budget."""
+    place = ["scope_id", "spine_index", "ord"]
+    ranked = ranked_candidates(boundaries, candidates) if ranked is None else ranked
     chosen = byte_budget_select(ranked, budget=context_limit // 2, k=k)
     # Ids and fingerprints are looked up for the chosen blocks only.
     return candidates.select(*place, "block_id", "fp").join(broadcast_if_small(chosen), place)

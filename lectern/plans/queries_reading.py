@@ -6,6 +6,7 @@ from lectern.operators import actions, reading
 from lectern.plans import base, reader
 from lectern.plans.base import sql_terms
 from lectern.plans.registry import query, view
+from lectern.session import durable
 
 
 @query(
@@ -207,7 +208,8 @@ def answer_requests(spark, folder):
     cover = reader.coverage(spark, folder)
     bounds = reader.boundaries(spark, folder, cover)
     cand = reading.scope_candidates(bounds, cover, base.blocks(spark, folder))
-    cards = actions.answer_requests(bounds, cand, reading.retrieve(bounds, cand))
+    ranked = durable(reading.ranked_candidates(bounds, cand))
+    cards = actions.answer_requests(bounds, cand, reading.retrieve(bounds, cand, ranked=ranked), ranked)
     return cards.select(
         "request_id",
         F.size("source_refs").cast("long").alias("n_refs"),
@@ -220,6 +222,21 @@ def answer_requests(spark, folder):
     )
 
 
+@query(
+    "answer_outcomes",
+    """SELECT b.request_id, CASE WHEN m.request_id IS NOT NULL AND NOT m.fits THEN 'context_too_large' END AS error, m.request_id IS NULL AS unmatched
+       FROM v_boundaries b LEFT JOIN (SELECT request_id, bool_or(bytes + 256 <= 400) AS fits FROM v_ranked GROUP BY ALL) m USING (request_id) WHERE b.error IS NULL""",
+)
+def answer_outcomes(spark, folder):
+    """With a context of 800 bytes, matches of many requests do not fit: that is an error, not a lack of evidence."""
+    cover = reader.coverage(spark, folder)
+    bounds = reader.boundaries(spark, folder, cover)
+    cand = reading.scope_candidates(bounds, cover, base.blocks(spark, folder))
+    ranked = durable(reading.ranked_candidates(bounds, cand))
+    cards = actions.answer_requests(bounds, cand, reading.retrieve(bounds, cand, context_limit=800, ranked=ranked), ranked)
+    return cards.select("request_id", "error", F.coalesce("insufficient_evidence", F.lit(False)).alias("unmatched"))
+
+
 @query(
     "evidence_refs",
     """SELECT request_id, block_id, CAST(0 AS BIGINT) AS start_char, visible AS end_char, fp AS text_fingerprint
@@ -260,6 +277,43 @@ def nearby_blocks(spark, folder):
     )
 
 
+view(
+    "v_connect",
+    """SELECT s.session_id AS request_id, s.spine_index AS before, substring(b.text, 1, 60) AS question FROM v_selection s
+       JOIN v_blocks b ON b.spine_index = s.spine_index AND b.block_id = s.block_id""",
+)
+view(
+    "v_connect_terms",
+    f"""SELECT request_id, spine_index, ord, block_id, unnest({sql_terms('text')}) AS term FROM (
+         SELECT q.request_id, r.spine_index, r.ord, r.block_id, substring(r.text, 1, CAST(r.visible AS BIGINT)) AS text
+         FROM v_connect q JOIN v_reading r ON r.session_id = q.request_id AND r.visible > 0 AND r.spine_index < q.before)""",
+)
+view("v_connect_asked", f"SELECT request_id, unnest({sql_terms('question')}) AS term FROM v_connect")
+
+
+@query(
+    "connect_requests",
+    """SELECT request_id, block_id, rank FROM (
+         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, spine_index, ord) AS rank FROM (
+           SELECT t.request_id, t.spine_index, t.ord, t.block_id, CAST(sum(100000 // (d.df + 1)) AS BIGINT) AS score
+           FROM v_connect_terms t JOIN v_connect_asked a USING (request_id, term)
+           JOIN (SELECT request_id, term, count(*) AS df FROM v_connect_terms GROUP BY ALL) d USING (request_id, term) GROUP BY ALL) WHERE score > 0)
+       WHERE rank <= 8""",
+)
+def connect_requests(spark, folder):
+    """What the selected passage connects to in earlier chapters that the reader has read."""
+    blocks, cover = base.blocks(spark, folder), reader.coverage(spark, folder)
+    spot = blocks.select("book_id", "spine_index", "block_id", "text")
+    asked = selections(spark, folder).join(spot, ["book_id", "spine_index", "block_id"]).select(
+        "request_id", F.col("request_id").alias("session_id"), F.substring("text", 1, 60).alias("question"),
+        F.lit("read_range").alias("spoiler_mode"), F.col("spine_index").alias("before"),
+    )
+    bounds = durable(
+        reading.spoiler_boundary(durable(asked), reader.sessions(spark, folder), cover, base.chapters(spark, folder), blocks)
+    )
+    return reading.retrieve(bounds, reading.scope_candidates(bounds, cover, blocks)).select("request_id", "block_id", "rank")
+
+
 view(
     "v_highlights",
     """SELECT e.event_id, e.session_id, e.spine_index, coalesce(b.block_id, 'none') AS block_id, k AS start_char,
