@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.session import broadcast_if_small, durable
+from lectern.session import durable
 
 MERGE_LIMIT = 1200
 EDGE_LIMIT = 160
@@ -77,13 +77,13 @@ def repeated_boundary_lines(chapters: DataFrame, numerator: int = 3, denominator
     sizes = counted.where("fp is null").select("book_id", F.col("chapters").alias("n"))
     counted = counted.where("fp is not null")
     threshold = F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}")
-    return counted.join(broadcast_if_small(sizes), "book_id").where(F.col("chapters") >= threshold).drop("n")
+    return counted.join(sizes, "book_id").where(F.col("chapters") >= threshold).drop("n")
 
 
 def drop_boundary_lines(chapters: DataFrame, repeated: DataFrame) -> DataFrame:
     """Remove every block whose fingerprint is repeated and an edge of that chapter."""
     per_book = durable(repeated.groupBy("book_id").agg(F.collect_set("fp").alias("repeated")))
-    joined = chapters.join(broadcast_if_small(per_book), "book_id", "left")
+    joined = chapters.join(per_book, "book_id", "left")
     gone = F.array_intersect(F.coalesce("repeated", F.array().cast("array<string>")), edge_fingerprints(F.col("items")))
     kept = F.filter("items", lambda b: ~F.array_contains(F.col("gone"), T.fingerprint(b["text"])))
     return (

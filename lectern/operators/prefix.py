@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import broadcast_if_small
 
 WIDTH = 4096
 
@@ -32,7 +31,7 @@ def running_before(
     )
     return (
         bucketed.withColumn("_in", F.coalesce(F.sum(total).over(inside), zero))
-        .join(broadcast_if_small(totals), [*keys, "_bucket"])
+        .join(totals, [*keys, "_bucket"])
         .withColumn(name, F.col("_base") + F.col("_in"))
         .drop("_base", "_in", "_bucket")
     )
@@ -59,7 +58,7 @@ def with_previous(
     return (
         bucketed.withColumn("_first", F.row_number().over(inside) == 1)
         .withColumn("_lag", F.lag(value).over(inside))
-        .join(broadcast_if_small(ends), [*keys, "_bucket"])
+        .join(ends, [*keys, "_bucket"])
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
         .drop("_first", "_lag", "_carried", "_bucket")
     )

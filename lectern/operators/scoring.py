@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.numbers import basis_points
 from lectern.rules import blank, violations
-from lectern.session import broadcast_if_small
 
 # Review dimensions, case dimensions, comparison labels.
 REVIEW_DIMENSIONS = ("attribution", "citation_support", "key_point_coverage", "spoiler_boundary")
@@ -44,7 +43,7 @@ def structural_score(
     success is false on failure and otherwise unknown until a review sets it.
     """
     cased = trials.join(
-        broadcast_if_small(cases.select("case_id", "applicability", "max_calls", "n_steps")), "case_id"
+        cases.select("case_id", "applicability", "max_calls", "n_steps"), "case_id"
     )
     recorded = steps.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("_steps"))
     trial_codes = (
@@ -192,8 +191,8 @@ def bind_reviews(reviews: DataFrame, checks: DataFrame, trials: DataFrame, cases
     g = gold.select("case_id", F.col("gold_hash").alias("_g"), F.col("gold_status").alias("_gs"))
     joined = (
         reviews.join(t, "attempt_id", "left")
-        .join(broadcast_if_small(c), "case_id", "left")
-        .join(broadcast_if_small(g), "case_id", "left")
+        .join(c, "case_id", "left")
+        .join(g, "case_id", "left")
         .join(per, "attempt_id", "left")
         .join(copies, "attempt_id", "left")
     )
@@ -386,7 +385,7 @@ def budget_admission(calls: DataFrame, limits: dict) -> DataFrame:
         .groupBy("run_id")
         .agg(F.min(F.struct("seq", "reason")).alias("close"))
     )
-    joined = calls.join(broadcast_if_small(closing), "run_id", "left")
+    joined = calls.join(closing, "run_id", "left")
     return joined.withColumn(
         "reason",
         F.when(~fits, "request_bytes").when(F.col("seq") >= F.col("close.seq"), F.col("close.reason")),
@@ -518,7 +517,7 @@ def leakage(books: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("split") == "dev", 1).otherwise(0)).alias("dev"),
         F.sum(F.when(F.col("split") == "holdout", 1).otherwise(0)).alias("holdout"),
     ).where("dev > 0 and holdout > 0")
-    return long.join(broadcast_if_small(sides), ["reason", "key"]).select(
+    return long.join(sides, ["reason", "key"]).select(
         "book",
         "split",
         "reason",
@@ -666,7 +665,7 @@ def experiment_cost(events: DataFrame, keys: list[str]) -> DataFrame:
 def timing_summary(attempts: DataFrame, compilations: DataFrame) -> DataFrame:
     """Compile, reader and first-result time; compilations shared by attempts are deduplicated by id."""
     once = compilations.groupBy("compilation_id").agg(F.max("duration_ms").alias("compile_ms"))
-    return attempts.join(broadcast_if_small(once), "compilation_id").select(
+    return attempts.join(once, "compilation_id").select(
         "attempt_id",
         "reader_ms",
         "compile_ms",
