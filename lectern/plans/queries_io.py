@@ -49,13 +49,13 @@ def page_headings(spark, folder):
 
 @query(
     "heading_levels",
-    "SELECT DISTINCT string_split(string_split(url, '//')[2], '/')[1] AS book_id, CAST(1 AS BIGINT) AS level, CAST(1 AS BIGINT) AS normalised_level FROM pages",
+    """SELECT book_id, level, CAST(least(dense_rank() OVER (PARTITION BY book_id ORDER BY level), 6) AS BIGINT) AS normalised_level FROM (
+         SELECT DISTINCT CAST(spine_index AS VARCHAR) AS book_id, greatest(1, least(6, n_chars % 9)) AS level FROM v_blocks)""",
 )
 def heading_levels(spark, folder):
-    host = F.substring_index(F.substring_index("url", "//", -1), "/", 1).alias("book_id")
-    hosts = pages(spark, folder).select("page_id", host)
-    headings = markup.extract_blocks(pages(spark, folder), ["page_id"]).where("level is not null")
-    return corpus.heading_levels(headings.join(hosts, "page_id"))
+    """Documents as books whose lines are headings of a level from their length, some beyond 1 to 6."""
+    level = (F.col("n_chars") % 9).alias("level")
+    return corpus.heading_levels(base.blocks(spark, folder).select(F.col("spine_index").cast("string").alias("book_id"), level))
 
 
 @query(
@@ -394,29 +394,51 @@ def export_vault(spark, folder):
 
 @query(
     "export_json",
-    """SELECT book_id, 'chapters' AS part, count(*) AS n FROM v_chapters WHERE length(title) > 30 GROUP BY ALL
-       UNION ALL SELECT a.book_id, 'chapter_analyses', count(*) FROM v_analyses a JOIN v_chapters c USING (spine_index) WHERE length(c.title) > 30 GROUP BY ALL
-       UNION ALL SELECT book_id, 'concepts', count(*) FROM v_concepts GROUP BY ALL UNION ALL SELECT book_id, 'claims', count(*) FROM v_claims GROUP BY ALL""",
+    """SELECT book_id, 'chapters' AS part, spine_index AS pos, CAST(spine_index AS VARCHAR) AS id FROM v_chapters WHERE length(title) > 30
+       UNION ALL SELECT a.book_id, 'chapter_analyses', spine_index, a.chapter_id FROM v_analyses a JOIN v_chapters c USING (spine_index) WHERE length(c.title) > 30
+       UNION ALL SELECT d.* FROM (
+         SELECT book_id, 'concepts' AS part, spine_index, concept_id FROM v_concepts UNION ALL SELECT book_id, 'claims', spine_index, claim_id FROM v_claims
+         UNION ALL SELECT book_id, 'entities', spine_index, entity_id FROM v_entities UNION ALL SELECT book_id, 'checkpoints', spine_index, 'checkpoint-' || spine_index FROM v_analyses
+         UNION ALL SELECT book_id, 'book_map', spine_index, 'Carries the argument.' FROM v_cover WHERE subject = 'role'
+         UNION ALL SELECT book_id, 'structure', spine_index, CAST(spine_index AS VARCHAR) FROM v_chapters UNION ALL SELECT book_id, 'manifest', 0, '0.1' FROM v_chapters GROUP BY book_id) d
+       WHERE d.book_id IN (SELECT book_id FROM v_chapters WHERE length(title) > 30)""",
 )
 def export_json(spark, folder):
-    """Chapters with a long title selected; concepts and claims stay whole-book."""
+    """Chapters with a long title selected; everything else stays whole-book."""
     chapters = base.chapters(spark, folder)
-    analyses = package.chapter_analyses(spark, folder)
-    rows = exports.export_json_rows(
-        chapters.where("length(title) > 30"), chapters, analyses, package.concepts(analyses), package.claims(analyses)
+    analyses = package.stored_analyses(spark, folder)
+    whole = {
+        "concepts": (package.concepts(analyses), "concept_id"),
+        "claims": (package.claims(analyses), "claim_id"),
+        "entities": (package.entities(analyses), "entity_id"),
+        "checkpoints": (package.checkpoints(analyses), "checkpoint_id"),
+        "book_map": (package.chapter_roles(analyses), "role"),
+        "structure": (chapters.withColumn("id", F.col("spine_index").cast("string")), "id"),
+        "manifest": (chapters.select("book_id").distinct().select("book_id", F.lit(0).cast("long").alias("spine_index"), F.lit("0.1").alias("format_version")), "format_version"),
+    }
+    rows = exports.export_json_rows(chapters.where("length(title) > 30"), chapters, analyses, whole)
+    field = F.when(F.col("part") == "chapters", F.get_json_object("json", "$.spine_index")).when(
+        F.col("part") == "chapter_analyses", F.get_json_object("json", "$.chapter_id")
     )
-    return rows.groupBy("book_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    for name, (_, key) in whole.items():
+        field = field.when(F.col("part") == name, F.get_json_object("json", f"$.{key}"))
+    return rows.select("book_id", "part", F.col("spine_index").alias("pos"), field.alias("id"))
 
 
 @query(
     "structure_document",
-    """SELECT book_id, 0 AS pos, '{"spine_count":' || count(*) || ',"chapter_count":' || count(*) || '}' AS json FROM v_chapters GROUP BY ALL
-       UNION ALL SELECT book_id, spine_index, '{"spine_index":' || spine_index || ',"href":"' || href || '","title":' || to_json(title) || ',"block_count":' || block_count || ',"first_block_id":'
+    """SELECT book_id, 0 AS section, 0 AS pos, '{"title":"' || book_id || '","spine_count":' || count(*) || ',"chapter_count":' || count(*) FILTER (NOT is_noise) || '}' AS json FROM v_chapters GROUP BY book_id
+       UNION ALL SELECT book_id, 2, spine_index, '{"href":"' || href || '","linear":' || (NOT is_noise) || '}' FROM v_chapters
+       UNION ALL SELECT book_id, 3, spine_index, '{"label":' || to_json(title) || ',"href":"' || href || '","depth":1}' FROM v_chapters WHERE NOT is_noise
+       UNION ALL SELECT book_id, 1, spine_index, '{"spine_index":' || spine_index || ',"href":"' || href || '","title":' || to_json(title) || ',"block_count":' || block_count || ',"first_block_id":'
          || coalesce('"' || first_block_id || '"', 'null') || ',"last_block_id":' || coalesce('"' || last_block_id || '"', 'null') || ',"is_noise":' || is_noise || '}' FROM v_plain_rows""",
 )
 def structure_document(spark, folder):
     items = corpus.merge_paragraphs(corpus.chapter_items(base.chapters_raw(spark, folder)))
-    return exports.structure_rows(corpus.chapter_rows(items)).select("book_id", "pos", "json")
+    chapters = corpus.chapter_rows(items)
+    titles = chapters.select("book_id", F.col("book_id").alias("title")).distinct()
+    toc = chapters.where("not is_noise").select("book_id", F.col("spine_index").alias("pos"), F.col("title").alias("label"), "href", F.lit(1).alias("depth"))
+    return exports.structure_rows(chapters, titles, toc).select("book_id", F.col("section").cast("long").alias("section"), "pos", "json")
 
 
 view(
@@ -466,22 +488,35 @@ def chapter_analysis_files(spark, folder):
 
 @query(
     "synthesis_documents",
-    """SELECT book_id, 'concepts' AS document, '0.1' AS schema_version, count(*) AS n FROM v_concepts GROUP BY ALL
-       UNION ALL SELECT book_id, 'claims', '0.1', count(*) FROM v_claims GROUP BY ALL""",
+    """SELECT *, '0.1' AS schema_version, sha256(book_id) AS source_hash FROM (
+         SELECT book_id, 'concepts' AS document, concept_id AS id FROM v_concepts UNION ALL SELECT book_id, 'claims', claim_id FROM v_claims
+         UNION ALL SELECT book_id, 'entities', entity_id FROM v_entities UNION ALL SELECT book_id, 'checkpoints', 'checkpoint-' || spine_index FROM v_analyses
+         UNION ALL SELECT book_id, 'book_map', 'role-' || spine_index FROM v_cover WHERE subject = 'role'
+         UNION ALL SELECT book_id, 'recall_cards', id FROM v_deck)""",
 )
 def synthesis_documents(spark, folder):
+    """Six book-level documents written and read back, a row per object."""
     path = scratch(spark)
-    analyses = package.chapter_analyses(spark, folder)
+    analyses = package.stored_analyses(spark, folder)
     hashes = analyses.select("book_id").distinct().withColumn("source_hash", F.sha2("book_id", 256))
-    documents = {"concepts": package.concepts(analyses), "claims": package.claims(analyses)}
+    named = lambda df, key: df.withColumn("id", F.col(key))
+    roles = package.chapter_roles(analyses).withColumn("id", F.concat(F.lit("role-"), F.col("spine_index").cast("string")))
+    documents = {
+        "concepts": named(package.concepts(analyses), "concept_id"),
+        "claims": named(package.claims(analyses), "claim_id"),
+        "entities": named(package.entities(analyses), "entity_id"),
+        "checkpoints": named(package.checkpoints(analyses), "checkpoint_id"),
+        "book_map": roles,
+        "recall_cards": grounding.recall_deck(package.checkpoints(analyses)),
+    }
     exports.write_synthesis_documents(documents, hashes, "0.1", path)
     rows = [
-        spark.read.schema("book_id string, schema_version string, source_hash string").json(f"{path}/{name}").select(
-            "book_id", F.lit(name).alias("document"), "schema_version"
-        )
+        spark.read.schema("book_id string, id string, schema_version string, source_hash string")
+        .json(f"{path}/{name}")
+        .select("book_id", F.lit(name).alias("document"), "id", "schema_version", "source_hash")
         for name in documents
     ]
-    return base.union_all(rows).groupBy("book_id", "document", "schema_version").agg(F.count(F.lit(1)).alias("n"))
+    return base.union_all(rows)
 
 
 @query(
@@ -512,6 +547,19 @@ def benchmark_report(spark, folder):
     return exports.benchmark_report(qs.full_scores(spark, folder), suite_data.trials(spark, folder))
 
 
+@query(
+    "benchmark_report_groups",
+    """SELECT suite, language, count(*) AS attempts, count(*) FILTER (s.status = 'completed') AS completed, count(*) FILTER (passed) AS structural_passes,
+         count(*) FILTER (len(hard_failures) > 0) AS hard_failures, count(*) FILTER (semantic_state = 'evaluated') AS semantic_evaluated, count(*) FILTER (task_success) AS task_successes,
+         CAST(sum(call_count) AS BIGINT) AS calls, CASE WHEN bool_or(len(hard_failures) > 0 OR task_success IS FALSE) THEN 'fail' ELSE 'inconclusive' END AS quality
+       FROM v_full s JOIN v_trials t USING (attempt_id) JOIN (SELECT case_id, suite, language FROM v_cases) c ON c.case_id = t.case_id GROUP BY suite, language""",
+)
+def benchmark_report_groups(spark, folder):
+    """The report for each suite and language."""
+    trials = suite_data.trials(spark, folder).join(suite_data.cases(spark, folder).select("case_id", "suite", "language"), "case_id")
+    return exports.benchmark_report(qs.full_scores(spark, folder), trials, "suite", "language")
+
+
 @query(
     "export_summary",
     """SELECT count(*) AS attempts, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (passed) AS structural_passes, count(*) FILTER (len(hard_failures) > 0) AS hard_failures,
@@ -529,12 +577,28 @@ def report_markdown(spark, folder):
     return exports.report_markdown(qs.full_scores(spark, folder))
 
 
-@query("artifact_bytes")
+@query(
+    "artifact_bytes",
+    "SELECT source AS book_id, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source",
+)
 def artifact_bytes(spark, folder):
-    """Sizes of all given table files, read without their content (no SQL twin: sizes are not table data)."""
-    from lectern.sources.sizes import file_sizes
+    """Documents as the artifacts of their source."""
+    from lectern.sources import sizes
+
+    docs = base.table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("text").alias("content"))
+    return sizes.artifact_bytes(docs)
+
 
-    return file_sizes(spark, folder)
+@query(
+    "reader_event_files",
+    """SELECT event_id, session_id, book_id, ord, char_offset, mode FROM (SELECT *, 'src' || (user_id % 20) AS book_id FROM v_events)""",
+)
+def reader_event_files(spark, folder):
+    """The reader feed written as JSON lines and read back with its schema."""
+    path = scratch(spark)
+    feed = reader.events(spark, folder).select("event_id", "session_id", "book_id", "ord", "char_offset", "mode")
+    feed.write.json(path)
+    return files.read_reader_events(spark, path, feed.schema)
 
 
 @query(

@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions import numbers
 from lectern.functions import text as T
-from lectern.operators import actions, analysis, packages, reading, scoring
+from lectern.operators import actions, analysis, grounding, packages, reading, scoring
 from lectern.plans import base, package, reader
 from lectern.plans import queries_actions as qa
+from lectern.plans import queries_io as qio
 from lectern.plans import queries_review as qv
+from lectern.plans import queries_sections as qsec
 from lectern.plans import queries_grounding as qg
-from lectern.plans.registry import query, view
+from lectern.plans.registry import SQL, query, view
 from lectern.session import durable
 
 
@@ -241,3 +243,52 @@ def comparable_runs(spark, folder):
     return scoring.comparable_runs(
         manifest("user", "offline-registration"), manifest("assistant", "configured-provider"), ["protocol", "attempts"]
     )
+
+
+# Rule families of a package check and how each names its findings.
+_FAMILIES = {
+    "count_consistency": "'count_mismatch_' || measure",
+    "block_rules": "code",
+    "jsonl_equals_book": "CASE WHEN only_left + only_right > 0 THEN 'blocks_differ_from_book' END",
+    "stale_packages": "code",
+    "recall_matches": "CASE WHEN only_left + only_right > 0 THEN 'recall_cards_differ' END",
+    "exact_cover": "'cover_' || code || '_' || subject",
+    "path_rules": "CASE WHEN NOT valid THEN 'reading_paths' END",
+    "partition_check": "code",
+}
+
+
+@query(
+    "validate_packages",
+    """SELECT book_id, code, count(*) AS n FROM (SELECT book_id, code FROM v_synthesis_issues UNION ALL SELECT book_id, code FROM v_issues
+         UNION ALL SELECT book_id, 'duplicate_id' FROM (SELECT book_id FROM v_question_ids GROUP BY book_id, kind, id HAVING count(*) > 1)
+         UNION ALL SELECT book_id, 'dangling_id' FROM v_references r WHERE NOT EXISTS (SELECT 1 FROM v_question_ids q WHERE q.book_id = r.book_id AND q.kind = r.kind AND q.id = r.id)
+         """
+    + "".join(f"UNION ALL SELECT book_id, {code} FROM ({SQL[name]}) " for name, code in _FAMILIES.items())
+    + ") WHERE code IS NOT NULL GROUP BY ALL",
+)
+def validate_packages(spark, folder):
+    """All rule families together: codes and their numbers per book."""
+    analyses, checked = qg.resolved(spark, folder)
+    unsupported = grounding.claims_without_evidence(analyses, package.claims(analyses))
+    declared = qg.declared_ids(analyses)
+    found = {
+        "count_consistency": qg.count_consistency,
+        "block_rules": qg.block_rules,
+        "jsonl_equals_book": qio.jsonl_equals_book,
+        "stale_packages": qv.stale_packages,
+        "recall_matches": qg.recall_matches,
+        "exact_cover": qg.exact_cover,
+        "path_rules": qg.path_rules,
+        "partition_check": qsec.partition_check,
+    }
+    families = [fn(spark, folder).select("book_id", F.expr(_FAMILIES[name]).alias("code")).where("code is not null") for name, fn in found.items()]
+    return packages.package_violations(
+        [
+            qg.synthesis(analyses),
+            grounding.grounding_issues(checked, unsupported),
+            grounding.duplicate_ids(declared),
+            grounding.dangling_ids(qg.references(analyses), declared).withColumn("code", F.lit("dangling_id")),
+            *families,
+        ]
+    )

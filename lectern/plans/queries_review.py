@@ -581,26 +581,6 @@ def stale_packages(spark, folder):
     return packages.stale_packages(documents, manifests, "1")
 
 
-@query(
-    "validate_packages",
-    """SELECT book_id, code, count(*) AS n FROM (SELECT book_id, code FROM v_synthesis_issues UNION ALL SELECT book_id, code FROM v_issues
-         UNION ALL SELECT book_id, 'duplicate_id' FROM (SELECT book_id FROM v_question_ids GROUP BY book_id, kind, id HAVING count(*) > 1)
-         UNION ALL SELECT book_id, 'dangling_id' FROM v_references r WHERE NOT EXISTS (SELECT 1 FROM v_question_ids q WHERE q.book_id = r.book_id AND q.kind = r.kind AND q.id = r.id)) GROUP BY ALL""",
-)
-def validate_packages(spark, folder):
-    analyses, checked = qg.resolved(spark, folder)
-    unsupported = grounding.claims_without_evidence(analyses, package.claims(analyses))
-    declared = qg.declared_ids(analyses)
-    return packages.package_violations(
-        [
-            qg.synthesis(analyses),
-            grounding.grounding_issues(checked, unsupported),
-            grounding.duplicate_ids(declared),
-            grounding.dangling_ids(qg.references(analyses), declared).withColumn("code", F.lit("dangling_id")),
-        ]
-    )
-
-
 @query(
     "package_listing",
     """SELECT book_id, name, CASE WHEN name = 'blocks.jsonl' THEN 'application/x-ndjson' ELSE 'application/json' END AS media_type, '/v1/books/' || book_id || '/files/' || name AS href FROM (

@@ -54,23 +54,26 @@ def write_blocks_jsonl(blocks: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("book_id").json(path)
 
 
-def structure_rows(chapters: DataFrame, sections: DataFrame | None = None) -> DataFrame:
-    """Structure document as rows: one header and one row per chapter (section, pos, json)."""
+def structure_rows(chapters: DataFrame, titles: DataFrame, toc: DataFrame) -> DataFrame:
+    """Structure document as ordered rows (section, pos, json): header, chapters, spine, contents.
+
+    titles(book_id, title), toc(book_id, pos, label, href, depth).
+    """
     header = chapters.groupBy("book_id").agg(
-        F.count(F.lit(1)).alias("spine_count"), F.count(F.lit(1)).alias("chapter_count")
-    )
-    top = header.select(
-        "book_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("pos"),
-        F.to_json(F.struct("spine_count", "chapter_count")).alias("json"),
+        F.count(F.lit(1)).alias("spine_count"), F.sum(F.when(~F.col("is_noise"), 1).otherwise(0)).alias("chapter_count")
     )
-    body = chapters.select(
-        "book_id", F.lit(1).alias("section"), F.col("spine_index").alias("pos"),
-        F.to_json(
-            F.struct("spine_index", "href", "title", "block_count", "first_block_id", "last_block_id", "is_noise"),
-            {"ignoreNullFields": "false"},
-        ).alias("json"),
+
+    def part(df: DataFrame, section: int, pos: Column, *fields: str) -> DataFrame:
+        json = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        return df.select("book_id", F.lit(section).alias("section"), pos.cast("long").alias("pos"), json.alias("json"))
+
+    body = ("spine_index", "href", "title", "block_count", "first_block_id", "last_block_id", "is_noise")
+    return (
+        part(header.join(titles, "book_id", "left"), 0, F.lit(0), "title", "spine_count", "chapter_count")
+        .unionByName(part(chapters, 1, F.col("spine_index"), *body))
+        .unionByName(part(chapters.withColumn("linear", ~F.col("is_noise")), 2, F.col("spine_index"), "href", "linear"))
+        .unionByName(part(toc, 3, F.col("pos"), "label", "href", "depth"))
     )
-    return top.unionByName(body)
 
 
 def manifest_rows(counts: DataFrame, sections: DataFrame, profile: str) -> DataFrame:
@@ -218,8 +221,12 @@ def export_vault(chapters: DataFrame, analyses: DataFrame, notes: DataFrame) ->
     return files.unionByName(index)
 
 
-def export_json_rows(selected: DataFrame, chapters: DataFrame, analyses: DataFrame, concepts: DataFrame, claims: DataFrame) -> DataFrame:
-    """JSON export parts: chapters and analyses of the selection, concepts and claims of the whole book."""
+def export_json_rows(selected: DataFrame, chapters: DataFrame, analyses: DataFrame, whole: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """JSON export parts: chapters and analyses of the selection, every other document of its books whole.
+
+    whole: part -> (rows with book_id and spine_index, key column), e.g. concepts,
+    claims, entities, checkpoints, book map, manifest and structure.
+    """
     chosen = selected.select("book_id", "spine_index").distinct()
     books = chosen.select("book_id").distinct()
     keys = ["book_id", "spine_index"]
@@ -227,12 +234,13 @@ def export_json_rows(selected: DataFrame, chapters: DataFrame, analyses: DataFra
     def part(df: DataFrame, name: str, *fields: str) -> DataFrame:
         return df.select("book_id", F.lit(name).alias("part"), "spine_index", F.to_json(F.struct(*fields)).alias("json"))
 
-    return (
-        part(chapters.join(chosen, keys, "left_semi"), "chapters", "spine_index", "title", "href")
-        .unionByName(part(analyses.join(chosen, keys, "left_semi"), "chapter_analyses", "chapter_id", "summary", "key_ideas"))
-        .unionByName(part(concepts.join(books, "book_id", "left_semi"), "concepts", "concept_id", "name"))
-        .unionByName(part(claims.join(books, "book_id", "left_semi"), "claims", "claim_id", "claim"))
+    rows = part(chapters.join(chosen, keys, "left_semi"), "chapters", "spine_index", "title", "href").unionByName(
+        part(analyses.join(chosen, keys, "left_semi"), "chapter_analyses", "chapter_id", "summary", "key_ideas")
     )
+    for name, (df, key) in whole.items():
+        others = [c for c in df.columns if c not in (*keys, key)]
+        rows = rows.unionByName(part(df.join(books, "book_id", "left_semi"), name, key, *others))
+    return rows
 
 
 def markdown_to_blocks(documents: DataFrame, key: str, text: str = "markdown", size: int = 100) -> DataFrame:
@@ -260,10 +268,10 @@ def markdown_to_blocks(documents: DataFrame, key: str, text: str = "markdown", s
     )
 
 
-def benchmark_report(scores: DataFrame, trials: DataFrame) -> DataFrame:
-    """One-row totals of a run."""
+def benchmark_report(scores: DataFrame, trials: DataFrame, *groups: str) -> DataFrame:
+    """Totals of a run in one row, or in one row per group of attempts (columns of ``trials``)."""
     flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return scores.join(trials.select("attempt_id", "call_count"), "attempt_id").agg(
+    return scores.join(trials.select("attempt_id", "call_count", *groups), "attempt_id").groupBy(*groups).agg(
         F.count(F.lit(1)).alias("attempts"),
         flag(F.col("status") == "completed").alias("completed"),
         flag(F.col("passed")).alias("structural_passes"),

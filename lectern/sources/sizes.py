@@ -1,4 +1,4 @@
-"""File sizes without reading file content."""
+"""Sizes of artifacts: of rows that hold them, and of files without reading their content."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
 
 
-def artifact_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Number and total size of the files below a folder."""
-    return file_sizes(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+def artifact_bytes(artifacts: DataFrame) -> DataFrame:
+    """Number and total bytes of the artifacts of each book; artifacts(book_id, content)."""
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    return artifacts.groupBy("book_id").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"))
