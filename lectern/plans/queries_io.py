@@ -427,7 +427,7 @@ def export_json(spark, folder):
 
 @query(
     "structure_document",
-    """SELECT book_id, 0 AS section, 0 AS pos, '{"title":"' || book_id || '","spine_count":' || count(*) || ',"chapter_count":' || count(*) FILTER (NOT is_noise) || '}' AS json FROM v_chapters GROUP BY book_id
+    """SELECT book_id, CAST(0 AS BIGINT) AS section, 0 AS pos, '{"title":"' || book_id || '","spine_count":' || count(*) || ',"chapter_count":' || count(*) FILTER (NOT is_noise) || '}' AS json FROM v_chapters GROUP BY book_id
        UNION ALL SELECT book_id, 2, spine_index, '{"href":"' || href || '","linear":' || (NOT is_noise) || '}' FROM v_chapters
        UNION ALL SELECT book_id, 3, spine_index, '{"label":' || to_json(title) || ',"href":"' || href || '","depth":1}' FROM v_chapters WHERE NOT is_noise
        UNION ALL SELECT book_id, 1, spine_index, '{"spine_index":' || spine_index || ',"href":"' || href || '","title":' || to_json(title) || ',"block_count":' || block_count || ',"first_block_id":'
