@@ -52,12 +52,15 @@ def effective_documents(base: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
-def apply_edits(edits: DataFrame, blocks: DataFrame, declared: DataFrame) -> DataFrame:
-    """Accept an edit only if its document stays valid.
-
-    The package is valid before, and an edit replaces one document, so the
-    package stays valid exactly when that document does.
-    edits(edit_id, book_id, id, importance, grounding, refs array<ref>).
+def apply_edits(edits: DataFrame, blocks: DataFrame, declared: DataFrame, issues: DataFrame) -> DataFrame:
+    """Accept an edit of a chapter, concept or claim only if the whole package is valid with it.
+
+    edits(edit_id, kind, book_id, id, importance, grounding, refs array<ref>),
+    declared(book_id, kind, id), issues(book_id, kind, id): what the present
+    package violates, a row per finding.  An edit replaces one document, so what
+    counts is the findings of all other documents of its book and those of the
+    new one: an edit can be refused for the sake of another document, and one that
+    mends the last fault is accepted.
     """
     from lectern.operators.grounding import resolve_refs
     from lectern.rules import violations
@@ -68,19 +71,27 @@ def apply_edits(edits: DataFrame, blocks: DataFrame, declared: DataFrame) -> Dat
     bad = resolve_refs(cited, blocks).where("size(codes) > 0").groupBy("edit_id").agg(
         F.count(F.lit(1)).alias("_bad")
     )
-    known = declared.select("book_id", "id", F.lit(True).alias("_known")).distinct()
+    document = ["book_id", "kind", "id"]
+    known = declared.select(*document, F.lit(True).alias("_known")).distinct()
+    own = issues.groupBy(*document).agg(F.count(F.lit(1)).alias("_own"))
+    whole = own.groupBy("book_id").agg(F.sum("_own").alias("_all"))
+    zero = F.lit(0)
     rules = [
         (F.col("_known").isNull(), "unknown_document"),
         (F.col("importance") > 100, "score_out_of_range"),
         ((F.col("grounding") == "grounded") & (F.size("refs") == 0), "grounded_without_refs"),
+        ((F.col("kind") == "claim") & ((F.col("grounding") != "grounded") | (F.size("refs") == 0)), "claim_not_grounded"),
         (F.col("_bad") > 0, "violates_grounding"),
+        (F.coalesce("_all", zero) > F.coalesce("_own", zero), "package_invalid"),
     ]
     return (
-        edits.join(known, ["book_id", "id"], "left")
+        edits.join(known, document, "left")
         .join(bad, "edit_id", "left")
+        .join(own, document, "left")
+        .join(whole, "book_id", "left")
         .withColumn("rejected", F.array_join(violations(rules), ","))
         .withColumn("accepted", F.col("rejected") == "")
-        .drop("_known", "_bad")
+        .drop("_known", "_bad", "_own", "_all")
     )
 
 
@@ -257,18 +268,31 @@ def bind_semantic_review(reviews: DataFrame, checks: DataFrame, current: DataFra
     )
 
 
-def evaluate_packages(metrics: DataFrame, report: DataFrame, semantic: DataFrame) -> DataFrame:
-    """One verdict per book: valid, beta-ready, number of findings."""
+def evaluate_packages(metrics: DataFrame, report: DataFrame, semantic: DataFrame, previous: DataFrame) -> DataFrame:
+    """One verdict per book: valid, beta-ready, numbers of findings, regressions and waiver errors, fingerprint.
+
+    metrics(book_id, metric, state, value, waiver_error), previous(book_id,
+    metric, state, value): the run before.  The fingerprint is that of all metric
+    states and values, so equal verdicts of two runs can be told from equal runs.
+    """
+    run = lambda df, n: df.select("book_id", "metric", "state", "value", F.lit(n).cast("long").alias("run"))
+    worse = metric_regressions(run(previous, 0).unionByName(run(metrics, 1))).where("run = 1 and regressed")
+    worse = worse.groupBy("book_id").agg(F.count(F.lit(1)).alias("_worse"))
+    shown = F.concat_ws("=", "metric", F.concat_ws(":", "state", F.coalesce(F.col("value").cast("string"), F.lit("null"))))
+    # At most one row per metric and book.
     per = metrics.groupBy("book_id").agg(
         F.max(F.col("state") == "missing_required").alias("_missing"),
         F.sum(
             F.when((F.col("state") == "missing_required") | (F.col("value") < 8000), 1).otherwise(0)
         ).alias("_low"),
+        F.count("waiver_error").alias("waiver_errors"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(shown)), ";"), 256).alias("fingerprint"),
     )
     issues = F.col("error_count") + F.when(F.col("low_summary_coverage"), 1).otherwise(0)
     valid = F.col("valid") & ~F.col("_missing")
     return (
         report.join(per, "book_id")
+        .join(worse, "book_id", "left")
         .join(semantic.select("book_id", "semantic_basis_points"), "book_id", "left")
         .select(
             "book_id",
@@ -276,6 +300,9 @@ def evaluate_packages(metrics: DataFrame, report: DataFrame, semantic: DataFrame
             valid.alias("valid"),
             (valid & F.col("semantic_basis_points").eqNullSafe(F.lit(10_000))).alias("beta_ready"),
             (F.col("_low") + issues).alias("findings"),
+            F.coalesce("_worse", F.lit(0).cast("long")).alias("regressions"),
+            "waiver_errors",
+            "fingerprint",
         )
     )
 

@@ -169,35 +169,51 @@ def bind_semantic_review(spark, folder):
 @query(
     "evaluate_packages",
     """SELECT book_id, r.error_count = 0 AS structural_valid, r.error_count = 0 AND NOT m.missing AS valid, r.error_count = 0 AND NOT m.missing AND s.rejected IS NULL AND s.score = 10000 AS beta_ready,
-         m.low + r.error_count + CASE WHEN summary_coverage_basis_points < 5000 THEN 1 ELSE 0 END AS findings
-       FROM v_report r JOIN (SELECT book_id, bool_or(state = 'missing_required') AS missing, count(*) FILTER (state = 'missing_required' OR value < 8000) AS low FROM v_metrics GROUP BY ALL) m USING (book_id)
+         m.low + r.error_count + CASE WHEN summary_coverage_basis_points < 5000 THEN 1 ELSE 0 END AS findings, m.regressions, m.waiver_errors, m.fingerprint
+       FROM v_report r JOIN (SELECT book_id, bool_or(state = 'missing_required') AS missing, count(*) FILTER (state = 'missing_required' OR value < 8000) AS low, count(waiver_error) AS waiver_errors,
+           count(*) FILTER (value IS NOT NULL AND CAST(substring(book_id, 4) AS BIGINT) % 5 = 2) AS regressions,
+           sha256(string_agg(metric || '=' || state || ':' || coalesce(CAST(value AS VARCHAR), 'null'), ';' ORDER BY metric)) AS fingerprint FROM v_metrics GROUP BY book_id) m USING (book_id)
        LEFT JOIN v_semantic s USING (book_id)""",
 )
 def evaluate_packages(spark, folder):
+    """Against a run before in which every fifth book had one point more."""
     report = durable(qg.report(spark, folder))
-    return review.evaluate_packages(metric_rows(spark, folder, report), report, semantic(spark, folder))
+    now = durable(metric_rows(spark, folder, report))
+    more = F.when(F.substring("book_id", 4, 9).cast("long") % 5 == 2, 1).otherwise(0)
+    return review.evaluate_packages(now, report, semantic(spark, folder), now.withColumn("value", F.col("value") + more))
+
+
+view(
+    "v_concept_faults",
+    "SELECT book_id, id, count(*) AS n FROM v_synthesis_issues WHERE kind = 'concept' GROUP BY ALL",
+)
 
 
 @query(
     "apply_edits",
-    """SELECT concept_id AS edit_id, concat_ws(',', CASE WHEN spine_index % 12 = 5 THEN 'unknown_document' END, CASE WHEN importance > 100 THEN 'score_out_of_range' END,
-         CASE WHEN grounding = 'grounded' AND n_refs = 0 THEN 'grounded_without_refs' END, CASE WHEN coalesce(bad, false) THEN 'violates_grounding' END) AS rejected
+    """SELECT concept_id AS edit_id, concat_ws(',', CASE WHEN spine_index % 12 = 5 THEN 'unknown_document' END, CASE WHEN importance > 100 AND spine_index % 2 = 1 THEN 'score_out_of_range' END,
+         CASE WHEN grounding = 'grounded' AND n_refs = 0 THEN 'grounded_without_refs' END, CASE WHEN coalesce(bad, false) THEN 'violates_grounding' END,
+         CASE WHEN coalesce(t.n, 0) > CASE WHEN spine_index % 12 = 5 THEN 0 ELSE coalesce(o.n, 0) END THEN 'package_invalid' END) AS rejected
        FROM v_concepts c LEFT JOIN (SELECT r.spine_index, bool_or(b.block_id IS NULL OR r.end_char > b.n_chars OR r.start_char >= r.end_char OR r.text_fingerprint <> b.fp) AS bad
-         FROM v_ref_rows r LEFT JOIN v_blocks b USING (block_id) WHERE r.kind = 0 GROUP BY ALL) USING (spine_index)""",
+         FROM v_ref_rows r LEFT JOIN v_blocks b USING (block_id) WHERE r.kind = 0 GROUP BY ALL) USING (spine_index)
+       LEFT JOIN v_concept_faults o ON o.book_id = c.book_id AND o.id = c.concept_id LEFT JOIN (SELECT book_id, sum(n) AS n FROM v_concept_faults GROUP BY ALL) t ON t.book_id = c.book_id""",
 )
 def apply_edits(spark, folder):
-    """Every concept resubmitted as an edit; some name a concept that does not exist."""
+    """Every concept resubmitted as an edit, half of the scores mended; some name a concept that does not exist."""
     concepts = package.concepts(package.stored_analyses(spark, folder))
+    even = F.col("spine_index") % 2 == 0
     proposed = concepts.select(
         F.col("concept_id").alias("edit_id"),
+        F.lit("concept").alias("kind"),
         "book_id",
         F.when(F.col("spine_index") % 12 == 5, "concept-x").otherwise(F.col("concept_id")).alias("id"),
-        "importance",
+        F.when(even, F.least("importance", F.lit(100))).otherwise(F.col("importance")).alias("importance"),
         "grounding",
         F.col("appearances").alias("refs"),
     )
-    declared = concepts.select("book_id", F.col("concept_id").alias("id"))
-    return review.apply_edits(proposed, base.blocks(spark, folder), declared).select("edit_id", "rejected")
+    declared = concepts.select("book_id", F.lit("concept").alias("kind"), F.col("concept_id").alias("id"))
+    faults = qg.synthesis(package.stored_analyses(spark, folder)).where("kind = 'concept'")
+    return review.apply_edits(proposed, base.blocks(spark, folder), declared, faults).select("edit_id", "rejected")
 
 
 @query(
