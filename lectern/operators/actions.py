@@ -328,8 +328,14 @@ def card_issues(cards: DataFrame) -> DataFrame:
 def card_reference_issues(refs: DataFrame, blocks: DataFrame, cover: DataFrame) -> DataFrame:
     """First failing check of each card reference: block, chapter allowed, range, fingerprint, read limit.
 
-    refs(request_id, session_id, book_id, block_id, start_char, end_char, text_fingerprint).
+    refs(request_id, session_id, book_id, block_id, start_char, end_char,
+    text_fingerprint) and optionally spoiler_mode and current_spine; without a
+    mode the read range bounds a card.  ``current_chapter`` allows all of the
+    current chapter, ``full_book`` all of the book.
     """
+    if "spoiler_mode" not in refs.columns:
+        refs = refs.withColumn("spoiler_mode", F.lit("read_range")).withColumn("current_spine", F.lit(None).cast("long"))
+    mode = F.col("spoiler_mode")
     source = blocks.select("book_id", "block_id", "spine_index", "ord", "n_chars", "fp")
     joined = refs.join(source, ["book_id", "block_id"], "left").join(cover, ["session_id", "book_id", "spine_index"], "left")
     visible = (
@@ -339,10 +345,11 @@ def card_reference_issues(refs: DataFrame, blocks: DataFrame, cover: DataFrame)
     )
     code = (
         F.when(F.col("fp").isNull(), "unknown_block")
-        .when(F.col("end_ord").isNull(), "outside_boundary")
+        .when((mode == "read_range") & F.col("end_ord").isNull(), "outside_boundary")
+        .when((mode == "current_chapter") & ~F.col("spine_index").eqNullSafe(F.col("current_spine")), "outside_boundary")
         .when((F.col("start_char") >= F.col("end_char")) | (F.col("end_char") > F.col("n_chars")), "invalid_range")
         .when(F.col("text_fingerprint") != F.col("fp"), "fingerprint_mismatch")
-        .when(F.col("end_char") > visible, "beyond_coverage")
+        .when((mode == "read_range") & (F.col("end_char") > visible), "beyond_coverage")
     )
     return joined.select("request_id", code.alias("code")).where("code is not null")
 

@@ -301,6 +301,26 @@ def validate_cards(spark, folder):
     )
 
 
+@query(
+    "card_reference_modes",
+    """SELECT request_id, code FROM (SELECT r.request_id, CASE WHEN b.fp IS NULL THEN 'unknown_block'
+           WHEN mode = 'read_range' AND c.end_ord IS NULL OR mode = 'current_chapter' AND b.spine_index IS DISTINCT FROM s.spine_index THEN 'outside_boundary'
+           WHEN r.start_char >= r.end_char OR r.end_char > b.n_chars THEN 'invalid_range' WHEN r.text_fingerprint <> b.fp THEN 'fingerprint_mismatch'
+           WHEN mode = 'read_range' AND r.end_char > CASE WHEN b.ord < c.end_ord THEN b.n_chars WHEN b.ord = c.end_ord THEN least(c.end_offset, b.n_chars) ELSE 0 END THEN 'beyond_coverage' END AS code
+         FROM (SELECT *, ['read_range', 'current_chapter', 'full_book'][length(request_id) % 3 + 1] AS mode FROM v_card_refs) r
+         LEFT JOIN v_blocks b USING (block_id) LEFT JOIN v_coverage c ON c.session_id = r.session_id AND c.spine_index = b.spine_index LEFT JOIN v_sessions s ON s.session_id = r.session_id)
+       WHERE code IS NOT NULL""",
+)
+def card_reference_modes(spark, folder):
+    """The same citations under the three spoiler modes in turn."""
+    modes = F.array(F.lit("read_range"), F.lit("current_chapter"), F.lit("full_book"))
+    now = reader.sessions(spark, folder).select("session_id", F.col("spine_index").alias("current_spine"))
+    refs = card_refs(spark, folder).join(now, "session_id", "left").withColumn(
+        "spoiler_mode", F.element_at(modes, F.char_length("request_id") % 3 + 1)
+    )
+    return actions.card_reference_issues(refs, base.blocks(spark, folder), reader.coverage(spark, folder))
+
+
 @query(
     "citations_supplied",
     """SELECT r.request_id, r.block_id FROM v_card_refs r ANTI JOIN (

@@ -309,3 +309,26 @@ def test_two_level_prefixes(spark):
     out = prefix.numbered(out, ["k"], "o", "n", width=37)
     out = prefix.with_previous(out, ["k"], "o", "v", "previous", width=37)
     assert {(r.k, r.o): (r.total, r.n, r.previous) for r in out.collect()} == wanted
+
+
+def test_edits_are_judged_with_their_whole_package(spark):
+    blocks = spark.createDataFrame([("A", 0, 0, "b0", "f0", 10), ("B", 0, 0, "b0", "f1", 10)], "book_id string, spine_index long, ord long, block_id string, fp string, n_chars long")
+    ref = "array<struct<block_id:string,start_char:bigint,end_char:bigint,text_fingerprint:string>>"
+    good, wrong = [("b0", 0, 5, "f0")], [("b0", 0, 50, "f0")]
+    rows = [
+        ("plain", "concept", "A", "c1", 10, "grounded", good),
+        ("range", "chapter", "A", "chapter_001", 10, "grounded", wrong),
+        ("bare claim", "claim", "A", "k1", 10, "grounded", []),
+        ("other kind", "claim", "A", "c1", 10, "grounded", good),
+        ("mends", "concept", "B", "c1", 10, "inferred", []),
+        ("beside", "concept", "B", "c2", 10, "inferred", []),
+    ]
+    edits = spark.createDataFrame(rows, f"edit_id string, kind string, book_id string, id string, importance long, grounding string, refs {ref}")
+    declared = [("A", "concept", "c1"), ("A", "chapter", "chapter_001"), ("A", "claim", "k1"), ("B", "concept", "c1"), ("B", "concept", "c2")]
+    declared = spark.createDataFrame(declared, "book_id string, kind string, id string")
+    faults = spark.createDataFrame([("B", "concept", "c1")], "book_id string, kind string, id string")
+    got = {r.edit_id: r.rejected for r in review.apply_edits(edits, blocks, declared, faults).collect()}
+    assert got == {
+        "plain": "", "range": "violates_grounding", "bare claim": "grounded_without_refs,claim_not_grounded", "other kind": "unknown_document",
+        "mends": "", "beside": "package_invalid",
+    }
