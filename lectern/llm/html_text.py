@@ -80,8 +80,11 @@ class Block:
         self.good: bool | None = None
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate for certain, and whether it is an article's own container."""
+def _kind(tag: str, attributes: str, inside: bool, names: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate for certain, and whether it is an article's own container.
+
+    ``names``: whether the words of its class and id count.
+    """
     words: set[str] = set()
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -91,7 +94,7 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
             return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, False
-        if name in ("class", "id"):
+        if names and name in ("class", "id"):
             words.update(PARTS.findall(value))
     own = tag in ("article", "main")
     named = words & BOILER_NAMES and not (words & ARTICLE_NAMES and not words & {"comment", "comments", "ad", "ads", "sidebar"})
@@ -100,7 +103,7 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return bool(named) and not own, own
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str, names: bool = True) -> list[Block]:
     """Blocks in page order, with what their containers say about them."""
     page = SKIP.sub("", page)
     stack: list[tuple[str, bool, bool, int]] = []  # tag, boiler, inside an article, number of the article's box
@@ -147,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
                         break
             elif not m[3].endswith("/"):
                 _, boiler, inside, box = stack[-1] if stack else ("", False, False, 0)
-                bad, own = _kind(tag, m[3], inside)
+                bad, own = _kind(tag, m[3], inside, names)
                 if own and not inside:
                     boxes += 1
                     box = boxes
@@ -191,8 +194,12 @@ def decide(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks_of(page)
-    decide(found)
+    # A container of everything may be named after a part of it; a page left without text is read without names.
+    for names in (True, False):
+        found = blocks_of(page, names)
+        decide(found)
+        if any(b.good for b in found):
+            break
     return " ".join(b.text for b in found if b.good)
 
 

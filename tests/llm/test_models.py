@@ -150,6 +150,7 @@ MORE = "And that is what they said of it when the sun was over the hill and the
         (f"<div class='cookie notice'><p>{MORE}</p></div><div role=banner>{MORE}</div><div><p>{PROSE}</p></div>", PROSE),
         (f"<article><p>%%% xx yy</p><p>{'xyzzy plugh ' * 20}</p></article>", "%%% xx yy " + " ".join(["xyzzy plugh"] * 20)),
         (f"<p style='display:none'>x</p><div hidden>{MORE}</div><p>{PROSE}</p>", f"x {PROSE}"),
+        (f"<div class='page with-sidebar'><p>{PROSE}</p><nav>{MORE}</nav></div>", PROSE),
         ("1 < 2 and <3", "1 < 2 and <3"),
     ],
 )
