@@ -29,7 +29,8 @@ from lectern.llm.common import components, empty_text, forget, join_hot, shingle
 SKETCH = 64  # values kept per document
 KEYS = 16  # of these, values with an inverted list; two documents at 0.85 share none once in 1e13
 COLD = 64  # an inverted list of more distinct texts is hot
-ENOUGH = 8  # shared cold values a document needs for its hot lists to be superfluous
+ENOUGH = 8  # cold values a document needs for its hot lists to be superfluous
+HOT_LISTS = 6  # hot lists in which a document without enough cold values is looked for
 BLOCK = 256  # documents of a hot list that are compared with another such block at once
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be sent to every executor
 
@@ -117,30 +118,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored (id, text) of the documents in pairs; their ids are broadcast only while few."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored (id, text) of the named documents; the ids are broadcast only while few."""
+    ids = stored(ids.distinct(), "wanted-ids")
     small = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"))
     found = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
     # A repeated id counts with one of its rows.
-    found = stored(found.groupBy("id").agg(F.min("text").alias("text")), "pair-texts")
+    found = stored(found.groupBy("id").agg(F.min("text").alias("text")), "wanted-texts")
     forget(ids)
     return found
 
 
 def links(pairs: DataFrame, classes: DataFrame, fetch: Callable, words: int, percent: int) -> DataFrame:
     near = stored(estimated(pairs, classes, percent), "estimated")
-    texts = fetch(near)
+    texts = fetch(near.select(F.explode(F.array("a", "b")).alias("id")))
     found = stored(confirmed(near, texts, words, percent), "links")
     forget(near)
     return found
 
 
+def own_values(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, own): how many shingles of each full set occur in no other of these sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                sets = [shingle_set(t, words) for t in part["text"]]
+                values = np.concatenate(sets).astype(np.int64)
+                yield pd.DataFrame({"v": values, "rep": np.repeat(part["id"].to_numpy(), [len(s) for s in sets])})
+
+    values = texts.mapInPandas(run, "v long, rep long")
+    return (
+        values.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
+        .groupBy("rep").agg(F.count("*").alias("own"))
+    )
+
+
+def _possible(percent: int, na: str, nb: str, oa: str, ob: str) -> Column:
+    """Whether two sets with so many values of their own can reach the similarity: those values are not shared."""
+    most = F.least(F.col(na) - F.col(oa), F.col(nb) - F.col(ob))
+    return most * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
+
 def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each member of a list with the list's smallest id: one pair per member, whatever the list's length."""
     pairs = lists.where(F.col("leader") != F.col("rep")).where(_near_size("n", "leader_n", percent))
-    return pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    return pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+
+
+def hub_pairs(hot: DataFrame, percent: int) -> DataFrame:
+    """Each member of a hot list with the member that has the least of its own: the text the others were made from."""
+    rank = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("own").alias("own"))
+    hubs = hot.groupBy("v").agg(F.min(rank).alias("hub"), F.count("*").alias("m"))
+    hubs = stored(hubs.select("v", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.own").alias("hub_own"), "m"), "hubs")
+    total = hubs.agg(F.coalesce(F.sum("m"), F.lit(1))).first()[0]
+    pairs = join_hot(hot, hubs, "v", "m", total).where(F.col("hub") != F.col("rep"))
+    pairs = pairs.where(_possible(percent, "n", "hub_n", "own", "hub_own"))
+    return pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
 
 
 def cold_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
@@ -149,48 +185,59 @@ def cold_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     left = cold.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     right = cold.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     pairs = left.join(right.hint("merge"), "v").where("a < b and ca <> cb").where(_near_size("na", "nb", percent))
-    return pairs.select("a", "b").distinct()
+    return pairs.select("a", "b")
 
 
-def hot_pairs(open_lists: DataFrame, classes: DataFrame, percent: int, enough: int) -> DataFrame:
-    """Pairs of still unconnected members of hot lists, found block by block.
+def hot_pairs(hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs of hot lists whose members are still unconnected, found block by block.
 
-    Only documents without ``enough`` cold values need it: they consist of passages
-    that very many texts share.  The first hot lists of each are enough.
+    hot(v, rep, n, own, c).  In each list the members outside its largest
+    component are the queries, in blocks, against all members, in blocks.
     """
-    hot = open_lists.where((F.col("cold") < enough) & (F.col("hot_rank") <= 6))
-    hot = hot.select("v", "rep", "n", "c")
-    size = hot.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    size = size.where("c0 <> c1").select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = hot.join(size, "v").join(classes.select("rep", "sketch"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "v", "rep", "n", "c", "sketch", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+    sizes = hot.groupBy("v", "c").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("v").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    sizes = stored(sizes.where("parts > 1"), "open-hot-lists")
+    total = sizes.agg(F.coalesce(F.sum("all"), F.lit(1))).first()[0]
+    rows = stored(
+        join_hot(hot, sizes, "v", "all", total)
+        .join(classes.select("rep", "sketch"), "rep")
+        .withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
+        .withColumn("asks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")),
+        "hot-members",
+    )
+    fields = ["v", "rep", "n", "own", "c", "sketch"]
+    every = rows.select(
+        *fields, F.lit(False).alias("asked"),
+        F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("y"),
+    )
+    asking = rows.where("c <> main").select(
+        *fields, F.lit(True).alias("asked"),
+        F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asks")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"),
     )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = key[1], key[2]
-        left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
+        left, right = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
         names = np.unique(np.concatenate(pdf["sketch"].to_list()))
 
         def table(side):
             out = np.zeros((len(side), len(names)), np.float32)
-            for i, s in enumerate(side["sketch"]):
-                out[i, np.searchsorted(names, s)] = 1
+            for i, values in enumerate(side["sketch"]):
+                out[i, np.searchsorted(names, values)] = 1
             return out
 
         p, q = table(left), table(right)
-        same = p @ q.T
-        least = np.minimum.outer(p.sum(1), q.sum(1))
+        near = p @ q.T >= np.minimum.outer(p.sum(1), q.sum(1)) * (percent / 100 - 0.3)
         na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        fits = np.minimum.outer(na, nb) * 100 >= np.maximum.outer(na, nb) * percent
+        shared = np.minimum.outer(na - left["own"].to_numpy(), nb - right["own"].to_numpy())
+        fits = shared * (100 + percent) >= np.add.outer(na, nb) * percent
         apart = np.not_equal.outer(left["c"].to_numpy(), right["c"].to_numpy())
-        i, j = np.nonzero((same >= least * (percent / 100 - 0.3)) & fits & apart)
+        i, j = np.nonzero(near & fits & apart)
         a, b = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    return rows.groupBy("v", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return every.unionByName(asking).groupBy("v", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def all_links(
@@ -199,29 +246,48 @@ def all_links(
     """Stored links (a, b) whose components are those of all links among members of a list.
 
     ``lists``: v, rep, n, members, leader, leader_n, a row per list and member.
-    ``keys``: number of lists that a class may have.  The first round links every
-    member to its list's leader.  The second compares members that are still in
-    different components: all pairs of short lists, blocks of long lists.
+    ``keys``: number of lists that a class may have.  ``fetch``: texts of ids.
+
+    The first round links every member of a short list to its leader, and every
+    member of a long list to its hub.  The second compares members that are still
+    in different components: all pairs of short lists, blocks of long lists.
+
+    Long lists matter to classes without ``enough`` cold values only: they consist
+    of passages that very many texts share.  Of their full sets the values are
+    counted that no other such set has: a set with too many of its own has no link,
+    and two sets whose rest is too small for the similarity are no pair.  Copies of
+    one text with changes of their own, however many, thus need no comparison
+    among each other: what is close enough to another copy is close to the hub.
     """
     spark: SparkSession = lists.sparkSession
-    first = links(leader_pairs(lists, percent), classes, fetch, words, percent)
-    found = stored(components(first, spark), "components")
-    named = lists.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("v", "rep", "n", "members", F.coalesce("component", "rep").alias("c"))
-    spans = named.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    open_heads = stored(spans.select("v", "m"), "open-heads")
-    most = open_heads.agg(F.coalesce(F.sum("m"), F.lit(1))).first()[0]
-    open_lists = stored(join_hot(named, open_heads, "v", "m", most).drop("m"), "open-lists")
-    forget(open_heads, found)
-    # How many cold values a class has: its values less those in hot lists.
+    fetched = []
+
+    def texts_for(ids: DataFrame) -> DataFrame:
+        fetched.append(fetch(ids))
+        return fetched[-1]
+
     heat = lists.where(F.col("members") > COLD).groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("hots"))
-    listed = classes.join(heat, "rep").select("rep", (keys - F.size("hots")).alias("cold"), "hots")
-    hot_lists = open_lists.where(F.col("members") > COLD).join(listed, "rep")
-    hot_lists = hot_lists.withColumn("hot_rank", F.array_position("hots", F.col("v")))
-    second = cold_pairs(open_lists, percent).unionByName(hot_pairs(hot_lists, classes, percent, enough)).distinct()
-    more = links(second, classes, fetch, words, percent)
+    heat = classes.join(heat, "rep").where(keys - F.size("hots") < enough).select("rep", "n", "hots")
+    heat = stored(heat, "hot-classes")
+    texts = texts_for(heat.select(F.col("rep").alias("id")))
+    own = heat.join(own_values(texts, words), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    alive = stored(own.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "alive")
+    # Each class in its first hot lists; two that belong together share one of six but once in many thousands of pairs.
+    hot = stored(alive.select(F.explode(F.slice("hots", 1, HOT_LISTS)).alias("v"), "rep", "n", "own"), "hot-lists")
+    cold = lists.where(F.col("members") <= COLD)
+
+    pairs = leader_pairs(cold, percent).unionByName(hub_pairs(hot, percent)).distinct()
+    first = links(pairs, classes, texts_for, words, percent)
+    found = stored(components(first, spark), "components").withColumnRenamed("id", "rep")
+    component = F.coalesce("component", "rep").alias("c")
+    named = cold.join(found, "rep", "left").select("v", "rep", "n", "members", component)
+    spans = named.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
+    open_lists = stored(named.join(spans, "v", "left_semi"), "open-lists")
+    named_hot = stored(hot.join(found, "rep", "left").select("v", "rep", "n", "own", component), "named-hot-lists")
+    second = cold_pairs(open_lists, percent).unionByName(hot_pairs(named_hot, classes, percent)).distinct()
+    more = links(second, classes, texts_for, words, percent)
     both = stored(first.unionByName(more), "all-links")
-    forget(open_lists, first, more)
+    forget(heat, alive, hot, open_lists, named_hot, first, more, *fetched)
     return both
 
 
@@ -246,7 +312,7 @@ def near_groups(
     most = heads.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     lists = stored(join_hot(keys, heads, "v", "members", most), "lists")
     forget(heads)
-    fetch = lambda pairs: texts_of(docs, pairs, id_col, text_col)
+    fetch = lambda ids: texts_of(docs, ids, id_col, text_col)
     found = all_links(lists, classes, fetch, words, percent, F.least(prefix_of(percent), F.lit(KEYS)))
     forget(lists)
     joined = stored(components(found, docs.sparkSession), "components")
