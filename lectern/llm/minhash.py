@@ -188,8 +188,24 @@ def cold_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def hot_pairs(hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of hot lists whose members are still unconnected, found block by block.
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of a block of sets with another, by products of incidence tables ``width`` values wide."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = [[np.searchsorted(shared, np.intersect1d(s, shared, assume_unique=True)) for s in side] for side in (left, right)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), width):
+        tables = []
+        for side in places:
+            table = np.zeros((len(side), width), np.float32)
+            for i, own in enumerate(side):
+                table[i, own[np.searchsorted(own, at) : np.searchsorted(own, at + width)] - at] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of hot lists that are still unconnected, found block by block on full sets.
 
     hot(v, rep, n, own, c).  In each list the members outside its largest
     component are the queries, in blocks, against all members, in blocks.
@@ -198,14 +214,18 @@ def hot_pairs(hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sizes = sizes.groupBy("v").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("most"))
     sizes = stored(sizes.where("parts > 1"), "open-hot-lists")
     total = sizes.agg(F.coalesce(F.sum("all"), F.lit(1))).first()[0]
-    rows = stored(
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["id"], "set": [shingle_set(t, words).astype(np.int64) for t in batch["text"]]})
+
+    rows = (
         join_hot(hot, sizes, "v", "all", total)
-        .join(classes.select("rep", "sketch"), "rep")
         .withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-        .withColumn("asks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")),
-        "hot-members",
+        .withColumn("asks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
     )
-    fields = ["v", "rep", "n", "own", "c", "sketch"]
+    rows = stored(rows.join(texts.mapInPandas(gather, "rep long, set array<long>").hint("merge"), "rep"), "hot-members")
+    fields = ["v", "rep", "n", "own", "c", "set"]
     every = rows.select(
         *fields, F.lit(False).alias("asked"),
         F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("y"),
@@ -219,22 +239,18 @@ def hot_pairs(hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         left, right = pdf[pdf["asked"]], pdf[~pdf["asked"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        names = np.unique(np.concatenate(pdf["sketch"].to_list()))
-
-        def table(side):
-            out = np.zeros((len(side), len(names)), np.float32)
-            for i, values in enumerate(side["sketch"]):
-                out[i, np.searchsorted(names, values)] = 1
-            return out
-
-        p, q = table(left), table(right)
-        near = p @ q.T >= np.minimum.outer(p.sum(1), q.sum(1)) * (percent / 100 - 0.3)
         na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        shared = np.minimum.outer(na - left["own"].to_numpy(), nb - right["own"].to_numpy())
-        fits = shared * (100 + percent) >= np.add.outer(na, nb) * percent
-        apart = np.not_equal.outer(left["c"].to_numpy(), right["c"].to_numpy())
-        i, j = np.nonzero(near & fits & apart)
-        a, b = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
+        least = np.minimum.outer(na - left["own"].to_numpy(), nb - right["own"].to_numpy())
+        total = np.add.outer(na, nb)
+        apart = np.not_equal.outer(left["c"].to_numpy(), right["c"].to_numpy()) & (least * (100 + percent) >= total * percent)
+        # Only rows and columns with a possible partner take part.
+        rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+        if not len(rows):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        same = _overlaps([left["set"].iloc[i] for i in rows], [right["set"].iloc[j] for j in columns])
+        linked = apart[np.ix_(rows, columns)] & (same * (100 + percent) >= total[np.ix_(rows, columns)] * percent - 0.5)
+        i, j = np.nonzero(linked)
+        a, b = left["rep"].to_numpy()[rows[i]], right["rep"].to_numpy()[columns[j]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return every.unionByName(asking).groupBy("v", "x", "y").applyInPandas(compare, "a long, b long")
@@ -284,9 +300,9 @@ def all_links(
     spans = named.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
     open_lists = stored(named.join(spans, "v", "left_semi"), "open-lists")
     named_hot = stored(hot.join(found, "rep", "left").select("v", "rep", "n", "own", component), "named-hot-lists")
-    second = cold_pairs(open_lists, percent).unionByName(hot_pairs(named_hot, classes, percent)).distinct()
-    more = links(second, classes, texts_for, words, percent)
-    both = stored(first.unionByName(more), "all-links")
+    more = links(cold_pairs(open_lists, percent).distinct(), classes, texts_for, words, percent)
+    across = hot_links(named_hot, texts.join(alive.select(F.col("rep").alias("id")), "id", "left_semi"), words, percent)
+    both = stored(first.unionByName(more).unionByName(across), "all-links")
     forget(heat, alive, hot, open_lists, named_hot, first, more, *fetched)
     return both
 
