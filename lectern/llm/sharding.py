@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import stored
 
-DRAWS = 200  # expected sample draws per range
+DRAWS, SAMPLE = 200, 1_000_000  # expected sample draws per range, fewer (20 at least) where they would exceed the sample
 
 
-def splitters(keys: DataFrame, ranges: int, total: int, draws: int = DRAWS) -> list[tuple[int, int]]:
+def splitters(keys: DataFrame, ranges: int, total: int) -> list[tuple[int, int]]:
     """At most ``ranges`` - 1 keys (h, id) that cut the weight into near-equal parts.
 
     A row is drawn ``size * rate`` times on average, by a hash of its key, so a
-    lost task draws the same rows again.  The sample has about ranges * draws
-    rows, whatever the input.
+    lost task draws the same rows again.  The size of the sample follows the
+    number of ranges, not that of the rows.
     """
+    draws = max(20, min(DRAWS, SAMPLE // ranges))
     rate = min(1.0, ranges * draws / max(1, total))
     chance = (F.xxhash64("h", "id", F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
     sample = keys.withColumn("w", F.floor(F.col("size") * F.lit(rate) + chance)).where("w > 0")
