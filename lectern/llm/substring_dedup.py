@@ -72,14 +72,25 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def band_values(hashes: np.ndarray) -> np.ndarray:
-    """One value per band from the minima of a shingle set under BANDS * ROWS bijections."""
+def band_values(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """BANDS values for each paragraph, from the minima of its shingles under BANDS * ROWS bijections.
+
+    ``hashes``: word hashes of paragraphs one after another, ``lengths``: words of
+    each, at least WORDS.
+    """
+    ends = np.cumsum(lengths)
+    # Shingles that run into the next paragraph fall between one's last and the next one's first.
+    bounds = np.stack([ends - lengths, ends - WORDS + 1], axis=1).ravel()
+    values = np.append(shingles(hashes, WORDS), np.uint64(0))
+    out = np.empty((len(lengths), BANDS), np.int64)
     salts = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    least = mixed(hashes[None, :] ^ salts[:, None]).min(axis=1).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + least[:, i])
-    return (out >> np.uint64(1)).astype(np.int64)
+    for band in range(BANDS):
+        joined = np.full(len(lengths), np.uint64(band + 1))
+        for salt in salts[band * ROWS : (band + 1) * ROWS]:
+            least = np.minimum.reduceat(mixed(values ^ salt), bounds)[::2]
+            joined = mixed(joined * np.uint64(0x9E3779B97F4A7C15) + least)
+        out[:, band] = (joined >> np.uint64(1)).astype(np.int64)
+    return out
 
 
 def _passages(text: str) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
@@ -94,17 +105,24 @@ def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Stored (doc_id, paragraph, start, n_chars, n_words, fp, bands) of every passage of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "paragraph", "start", "n_chars", "n_words", "fp", "bands"]
+        names = ["doc_id", "paragraph", "start", "n_chars", "n_words", "fp"]
+
+        def finished(rows, hashes):
+            out = pd.DataFrame(rows, columns=names)
+            return out.assign(bands=list(band_values(np.concatenate(hashes), out["n_words"].to_numpy())))
+
         for batch in batches:
-            rows = []
+            rows, hashes, size = [], [], 0
             for doc, text in batch.itertuples(index=False):
                 for i, a, b, fp, words in _passages(text):
-                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-                    rows.append((doc, i, a, b - a, len(words), fp, band_values(shingles(hashes, WORDS))))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
+                    hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+                    rows.append((doc, i, a, b - a, len(words), fp))
+                    size += len(words)
+                    if size > 200_000:
+                        yield finished(rows, hashes)
+                        rows, hashes, size = [], [], 0
+            if rows:
+                yield finished(rows, hashes)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text")).where("doc_id is not null")
     schema = "doc_id long, paragraph int, start long, n_chars long, n_words int, fp long, bands array<long>"
