@@ -60,6 +60,15 @@ def features(word: str) -> tuple[int, ...]:
     )
 
 
+def hashed_features(words: list[str], part: int = 20_000) -> np.ndarray:
+    """Features of words 1, 2, ...; word 0 is padding.  Filled in parts, so that few Python numbers exist at once."""
+    out = np.zeros((len(words) + 1, FEATURES), np.uint64)
+    for at in range(0, len(words), part):
+        some = words[at : at + part]
+        out[at + 1 : at + 1 + len(some)] = [features(w) for w in some]
+    return out
+
+
 @dataclass
 class Model:
     hashes: np.ndarray  # of features with a row, ascending; row 0 stands for all others
@@ -103,17 +112,18 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        # Row 0 is padding; one row per kept word; then the words of one chunk.
-        self.tables = {w: np.zeros((w, WORD_TABLE + 1, FILTERS), np.float32) for w in WIDTHS}
+        # Row 0 is padding; one row per kept word; then the words of one chunk.  The tables grow as they fill.
+        self.tables = {w: np.zeros((w, 1, FILTERS), np.float32) for w in WIDTHS}
 
     def _place(self, words: list[str], first: int) -> None:
         m = self.model
-        vectors = m.rows[m.find(np.array([features(w) for w in words], np.uint64))].sum(axis=1)
+        vectors = m.rows[m.find(hashed_features(words)[1:])].sum(axis=1)
         end = first + len(words)
         for w in WIDTHS:
             if end > self.tables[w].shape[1]:
-                more = np.zeros((w, end + CHUNK - self.tables[w].shape[1], FILTERS), np.float32)
-                self.tables[w] = np.concatenate([self.tables[w], more], axis=1)
+                grown = np.zeros((w, end + end // 2, FILTERS), np.float32)
+                grown[:, : self.tables[w].shape[1]] = self.tables[w]
+                self.tables[w] = grown
             for o in range(w):
                 self.tables[w][o, first:end] = vectors @ m.kernels[w][o]
 
@@ -161,19 +171,22 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
         return Model(empty, np.zeros((1, SIZE), np.float32), {}, empty, empty, 0.0, constant=share)
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number) + 1) for w in tokens(t)], np.int64) for t in texts]
-    hashed = np.array([(0,) * FEATURES, *map(features, number)], np.uint64)
+    docs = [np.fromiter((number.setdefault(w, len(number) + 1) for w in tokens(t)), np.int32) for t in texts]
+    hashed = hashed_features(list(number))
+    number.clear()
     # Documents per feature, by label.
     every, inverse = np.unique(hashed, return_inverse=True)
-    inverse = inverse.reshape(hashed.shape)
-    seen = np.zeros((2, len(every)))
+    inverse = inverse.reshape(hashed.shape).astype(np.int32)
+    del hashed
+    seen = np.zeros((2, len(every)), np.float32)
     for doc, y in zip(docs, labels, strict=True):
         seen[int(y), np.unique(inverse[doc])] += 1
     keep = (seen.sum(0) >= LEAST_DOCS) & (every != 0)
     hashes = every[keep]
-    place = np.zeros(len(every), np.int64)
+    place = np.zeros(len(every), np.int32)
     place[keep] = np.arange(1, len(hashes) + 1)
     rows_of = place[inverse]  # word -> rows of its features
+    del every, inverse, place
     n1, n0 = labels.sum(), (1 - labels).sum()
     odds = np.log((seen[1, keep] + 0.5) / (n1 + 1)) - np.log((seen[0, keep] + 0.5) / (n0 + 1))
     rows = np.zeros((len(hashes) + 1, SIZE), np.float32)

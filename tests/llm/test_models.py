@@ -54,7 +54,6 @@ def test_toxic_stems_are_learnt_and_unseen_forms_found():
     # Words beyond the table, and texts that do not fit a chunk, score alike.
     texts = [r[1] for r in rows]
     small = toxicity.Scorer(model)
-    small.tables = {w: np.zeros((w, 11, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS}
     before = toxicity.WORD_TABLE, toxicity.CHUNK
     try:
         toxicity.WORD_TABLE, toxicity.CHUNK = 10, 50
