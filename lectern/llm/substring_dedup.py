@@ -1,9 +1,11 @@
-"""Substring dedup by paragraphs: MinHash bands, exact Jaccard, components of repeated passages.
+"""Substring dedup: paragraphs by MinHash bands, exact Jaccard and components; verbatim runs of words anywhere.
 
 A paragraph is a line; a long line is cut at sentence ends that its own content
 chooses, so a passage inside two different lines is cut alike.  Paragraphs whose
 bands collide are compared on their full shingle sets (five words, 0.8); linked
-paragraphs are one passage, of which the first place stays.
+paragraphs are one passage, of which the first place stays.  Runs of RUN (50)
+words or more that occur twice are passages as well, wherever they begin and end
+(``runs``), unless all their later places lie in paragraphs that go anyhow.
 
 Input: rows with an id and a text.  Null, empty and blank texts have no
 paragraphs.  Paragraphs of fewer than LEAST words are not passages.  Rows with a
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import components, empty_text, forget, join_hot, mixed, shingles, stored, words_of
 from lectern.llm.minhash import all_links, sketches
+from lectern.llm.runs import repeated_runs
 
 LEAST = 20  # words of a passage
 LONG = 64  # words from which a line is cut
@@ -151,11 +154,8 @@ def passage_texts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     return texts
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every place of every passage with more than one place.
-
-    Columns: doc_id, paragraph, start, n_chars, n_words, passage_id, places,
-    first_doc_id, removed (false for the first place only).  Equal paragraphs are
+def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every place of every paragraph with more than one place.  Equal paragraphs are
     one class by a 63-bit fingerprint of their words, combined map-side, so the
     lists of a band hold different paragraphs only.
     """
@@ -211,6 +211,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every place of every passage with more than one place.
+
+    Columns: doc_id, paragraph (of the first word), start, n_chars, n_words,
+    passage_id, places, first_doc_id, removed (false for the first place only).
+    """
+    lines = stored(repeated_paragraphs(docs, id_col, text_col), "repeated-paragraphs")
+    later, origin = repeated_runs(docs, paragraphs, id_col, text_col)
+    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    inside = F.size(F.filter("gone", lambda p: (p >= F.col("p0")) & (p <= F.col("p1"))))
+    rows = later.join(gone, "doc_id", "left").withColumn("open", F.coalesce(inside, F.lit(0)) <= F.col("p1") - F.col("p0")).drop("gone")
+    rows = stored(rows, "runs")
+    shown = rows.groupBy("passage_id").agg(F.max("open").alias("open"), F.count("*").alias("later")).where("open").drop("open")
+    shown = shown.join(origin.select("passage_id", F.col("doc_id").alias("first_doc_id")), "passage_id")
+    shown = stored(shown.withColumn("places", F.col("later") + 1), "run-passages")
+    total = shown.agg(F.coalesce(F.sum("places"), F.lit(1))).first()[0]
+    rows = rows.drop("open").withColumn("removed", F.lit(True)).unionByName(origin.withColumn("removed", F.lit(False)))
+    runs = join_hot(rows, shown, "passage_id", "places", total).select(
+        "doc_id",
+        F.col("p0").alias("paragraph"),
+        F.col("sc").cast("long").alias("start"),
+        (F.col("ec") - F.col("sc")).cast("long").alias("n_chars"),
+        (F.col("e") - F.col("s")).alias("n_words"),
+        "passage_id",
+        "places",
+        "first_doc_id",
+        "removed",
+    )
+    return lines.unionByName(runs)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): every text without the paragraphs to be removed; the rest is unchanged."""
     gone = repeated_passages(docs, id_col, text_col).where("removed").distinct()
@@ -222,7 +253,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out, at = [], 0
             for gap in gaps if gaps is not None else []:
                 out.append(text[at : gap["start"]])
-                at = gap["start"] + gap["n_chars"]
+                at = max(at, gap["start"] + gap["n_chars"])
             return "".join([*out, text[at:]])
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])

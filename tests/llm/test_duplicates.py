@@ -1,11 +1,12 @@
 """Components, near duplicates, repeated passages and decontamination against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
 
-from lectern.llm import decontamination, minhash, substring_dedup
+from lectern.llm import decontamination, minhash, runs, substring_dedup
 from lectern.llm.common import components
 
 
@@ -161,6 +162,67 @@ def test_repeated_passages_find_all_links(spark):
     assert got == want
 
 
+def verbatim_rows(seed=11):
+    """Passages of 50 to 60 words mid-line, unpunctuated, in sentences and over short lines; shorter ones; loops."""
+    rng = random.Random(seed)
+    make = lambda n: [rng.choice(WORDS) for _ in range(n)]
+
+    def sentences(words, n):
+        return " ".join(w + "." if k % n == n - 1 else w for k, w in enumerate(words))
+
+    texts = []
+    for n in (49, 50, 51, 55, 60):
+        for style in (
+            " ".join, lambda w: sentences(w, 9), lambda w: sentences(w, 15), lambda w: sentences(w, 100),
+            lambda w: "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7)),
+        ):
+            passage = style(make(n))
+            for _ in range(3):
+                texts.append(f"{sentences(make(rng.randrange(70)), 12)} {passage} {sentences(make(rng.randrange(70)), 12)}")
+        line = make(n)
+        texts += [" ".join(make(30) + line + make(1)) + "\n" + " ".join(make(3)), "é\u00a0ü  " + "  ".join(line).upper()]
+    loop = make(7)
+    texts += [" ".join(loop * 20), " ".join(make(9) + loop * 12), "a " * 130, "", None, "x"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_verbatim_runs_equal_brute_force(spark, monkeypatch):
+    rows = verbatim_rows()
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), rows[3]], "doc_id long, text string").repartition(3)
+    got = substring_dedup.repeated_passages(docs).collect()
+    words = {i: minhash.words_of(t) for i, t in rows}
+    spans = {i: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for i, t in rows}
+    seen, later, kept = {}, defaultdict(set), defaultdict(set)
+    for i, own in words.items():
+        for k in range(len(own) - 49):
+            first, at = seen.setdefault(tuple(own[k : k + 50]), (i, k))
+            if (first, at) != (i, k):
+                later[i] |= set(range(max(k, at + 50) if first == i else k, k + 50))
+                kept[first] |= set(range(at, at + 50))
+    held = {True: defaultdict(set), False: defaultdict(set)}
+    texts = dict(rows)
+    for r in got:
+        i, place = r["doc_id"], (r["start"], r["start"] + r["n_chars"])
+        inside = {k for k, (a, b) in enumerate(spans[i]) if place[0] <= a and b <= place[1]}
+        assert len(inside) == r["n_words"]
+        # Paragraphs are passages from 20 words on; whatever else goes is a later run.
+        assert not r["removed"] or inside <= later[i] or place in substring_dedup.paragraphs(texts[i])
+        held[r["removed"]][i] |= inside
+    assert any(later.values()) and all(later[i] <= held[True][i] for i in words)
+    assert all(kept[i] <= held[False][i] | held[True][i] for i in words)
+    count = defaultdict(list)
+    for r in got:
+        count[r["passage_id"]].append(r)
+    for places in count.values():
+        assert {r["places"] for r in places} == {len(places)} and [r["removed"] for r in places].count(False) == 1
+        assert all(r["first_doc_id"] == next(x["doc_id"] for x in places if not x["removed"]) for r in places)
+    monkeypatch.setattr(runs, "BROADCAST_ANCHORS", 0)
+    monkeypatch.setattr(runs, "BROADCAST_IDS", 0)
+    left = {r["doc_id"]: minhash.words_of(r["text"]) for r in substring_dedup.without_repeats(docs.dropna().distinct()).collect()}
+    assert left and all(left[i] == [w for k, w in enumerate(words[i]) if k not in held[True][i]] for i in left)
+
+
 ITEMS = [
     (1, "A train leaves Oslo at 9 and runs 60 km to Bergen before Anna from Oslo boards it at noon with 3 bags"),
     (2, "the quick brown fox jumps over the lazy dog while seven grey geese watch from the far bank of the river"),
