@@ -29,7 +29,6 @@ from lectern.llm.common import components, empty_text, forget, join_hot, shingle
 SKETCH = 64  # values kept per document
 KEYS = 16  # of these, values with an inverted list; two documents at 0.85 share none once in 1e13
 COLD = 64  # an inverted list of more distinct texts is hot
-ENOUGH = 8  # cold values a document needs for its hot lists to be superfluous
 HOT_LISTS = 6  # hot lists in which a document without enough cold values is looked for
 BLOCK = 256  # documents of a hot list that are compared with another such block at once
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be sent to every executor
@@ -256,22 +255,19 @@ def hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return every.unionByName(asking).groupBy("v", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def all_links(
-    lists: DataFrame, classes: DataFrame, fetch: Callable, words: int, percent: int, keys: Column, enough: int = ENOUGH
-) -> DataFrame:
+def all_links(lists: DataFrame, classes: DataFrame, fetch: Callable, words: int, percent: int) -> DataFrame:
     """Stored links (a, b) whose components are those of all links among members of a list.
 
     ``lists``: v, rep, n, members, leader, leader_n, a row per list and member.
-    ``keys``: number of lists that a class may have.  ``fetch``: texts of ids.
+    ``fetch``: texts of ids.
 
     The first round links every member of a short list to its leader, and every
     member of a long list to its hub.  The second compares members that are still
     in different components: all pairs of short lists, blocks of long lists.
 
-    Long lists matter to classes without ``enough`` cold values only: they consist
-    of passages that very many texts share.  Of their full sets the values are
-    counted that no other such set has: a set with too many of its own has no link,
-    and two sets whose rest is too small for the similarity are no pair.  Copies of
+    Of the full sets of all classes in long lists the values are counted that no
+    other such set has: a set with too many of its own has no link within a long
+    list, and two sets whose rest is too small for the similarity are no pair.  Copies of
     one text with changes of their own, however many, thus need no comparison
     among each other: what is close enough to another copy is close to the hub.
     """
@@ -283,7 +279,7 @@ def all_links(
         return fetched[-1]
 
     heat = lists.where(F.col("members") > COLD).groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("hots"))
-    heat = classes.join(heat, "rep").where(keys - F.size("hots") < enough).select("rep", "n", "hots")
+    heat = classes.join(heat, "rep").select("rep", "n", "hots")
     heat = stored(heat, "hot-classes")
     texts = texts_for(heat.select(F.col("rep").alias("id")))
     own = heat.join(own_values(texts, words), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -329,7 +325,7 @@ def near_groups(
     lists = stored(join_hot(keys, heads, "v", "members", most), "lists")
     forget(heads)
     fetch = lambda ids: texts_of(docs, ids, id_col, text_col)
-    found = all_links(lists, classes, fetch, words, percent, F.least(prefix_of(percent), F.lit(KEYS)))
+    found = all_links(lists, classes, fetch, words, percent)
     forget(lists)
     joined = stored(components(found, docs.sparkSession), "components")
     per_class = classes.join(joined, classes["rep"] == joined["id"], "left").select(

@@ -181,7 +181,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     lists = stored(lists.select("v", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"), "members"), "band-heads")
     most = lists.agg(F.coalesce(F.sum("members"), F.lit(1))).first()[0]
     lists = stored(join_hot(members, lists, "v", "members", most), "band-lists")
-    edges = all_links(lists, classes, lambda _: texts, WORDS, PERCENT, F.lit(BANDS), BANDS + 1)
+    edges = all_links(lists, classes, lambda _: texts, WORDS, PERCENT)
     joined = stored(components(edges, spark), "passage-components")
     forget(shared, pairs, texts, classes, lists, edges)
 

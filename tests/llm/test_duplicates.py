@@ -85,6 +85,21 @@ def test_near_groups(spark, monkeypatch, words, percent, cold):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_shared_text_with_many_small_values_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COLD", 4)
+    rng = random.Random(2)
+    while True:  # at least 8 of the 16 keys occur nowhere else
+        base = [rng.choice(WORDS) for _ in range(102)]
+        text = " ".join(base + [rng.choice(WORDS) for _ in range(17)])
+        keys = minhash.shingle_set(text, 3)[: minhash.KEYS]
+        if len(set(keys.tolist()) - set(minhash.shingle_set(" ".join(base), 3).tolist())) >= 8:
+            break
+    texts = [" ".join(base), *(" ".join([*base, f"own{k}"]) for k in range(11)), text]
+    rows = list(enumerate(texts))
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 3, 85)[1] == dict.fromkeys(range(13), 0)
+
+
 def test_one_of_each_keeps_columns_and_null_ids(spark):
     text = " ".join(WORDS[:40])
     docs = spark.createDataFrame([(2, text, "a"), (1, text, "b"), (None, text, "c"), (3, None, "d")], "doc_id long, text string, _gone string")
