@@ -29,7 +29,6 @@ from lectern.llm.common import components, empty_text, forget, join_hot, shingle
 SKETCH = 64  # values kept per document
 KEYS = 16  # of these, values with an inverted list; two documents at 0.85 share none once in 1e13
 COLD = 64  # an inverted list of more distinct texts is hot
-HOT_LISTS = 6  # hot lists in which a document without enough cold values is looked for
 BLOCK = 256  # documents of a hot list that are compared with another such block at once
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be sent to every executor
 
@@ -284,8 +283,8 @@ def all_links(lists: DataFrame, classes: DataFrame, fetch: Callable, words: int,
     texts = texts_for(heat.select(F.col("rep").alias("id")))
     own = heat.join(own_values(texts, words), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     alive = stored(own.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "alive")
-    # Each class in its first hot lists; two that belong together share one of six but once in many thousands of pairs.
-    hot = stored(alive.select(F.explode(F.slice("hots", 1, HOT_LISTS)).alias("v"), "rep", "n", "own"), "hot-lists")
+    # Each class in all its hot lists: at most KEYS, or one per band.
+    hot = stored(alive.select(F.explode("hots").alias("v"), "rep", "n", "own"), "hot-lists")
     cold = lists.where(F.col("members") <= COLD)
 
     pairs = leader_pairs(cold, percent).unionByName(hub_pairs(hot, percent)).distinct()

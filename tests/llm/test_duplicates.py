@@ -155,6 +155,22 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_link_in_any_of_many_hot_lists(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COLD", 2)
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    texts = {1: " ".join(base), 2: " ".join(["other", *base[1:]])}
+    texts |= {i: " ".join(rng.choice(WORDS) for _ in range(60)) for i in range(10, 40)}
+    # Each of both is in eight lists of three and more; only the last of the first one's is common.
+    members = {v: {1, 10 + v, 20 + v} for v in range(1, 8)} | {v: {2, 10 + v - 8, 20 + v - 8} for v in range(9, 16)} | {8: {1, 2, 30}}
+    rows = [(v, i, 56, len(m), min(m), 56) for v, m in members.items() for i in m]
+    lists = spark.createDataFrame(rows, "v long, rep long, n long, members long, leader long, leader_n long")
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    classes = minhash.sketches(docs, 5, id_col="id").select(minhash.F.col("id").alias("rep"), "n", "sketch")
+    fetch = lambda ids: docs.join(ids, "id", "left_semi")
+    assert {tuple(r) for r in minhash.all_links(lists, classes, fetch, 5, 80).collect()} == {(1, 2)}
+
+
 def test_repeated_passages_find_all_links(spark):
     rng = random.Random(4)
     texts = []
