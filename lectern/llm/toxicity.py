@@ -28,8 +28,9 @@ from lectern.llm.common import WORD_TABLE, empty_text
 
 FOLDS = 5
 #: The classifier learns from a bounded sample: so many labelled rows of either kind at most, the smallest by a hash of
-#: their ids, among texts of at most LONGEST characters; thresholds from CALIBRATION rows of either kind.
-TOXIC, CLEAN, CALIBRATION, LONGEST = 2000, 5000, 1500, 30_000
+#: their ids, among texts of at most LONGEST characters.  Thresholds come from all labelled rows of fold 1, whatever their length.
+TOXIC, CLEAN, LONGEST = 2000, 5000, 30_000
+STEPS = 16  # score bins per unit of log odds; scores lie within +-30
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
 LEAST_DOCS = 3  # training documents that a feature must occur in to have a row
 FEATURES = 5
@@ -252,14 +253,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
     return Model(hashes, rows, kernels, bias, weights, float(base[0]))
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 25) -> dict[str | None, float]:
-    """Threshold of best F1 for each language with enough toxic rows, and for all (key None): the middle of the best interval."""
+def calibrated(
+    scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 25, counts: np.ndarray | None = None
+) -> dict[str | None, float]:
+    """Threshold of best F1 for each language with enough toxic rows, and for all (key None): the middle of the best interval.
 
-    def best(s: np.ndarray, y: np.ndarray) -> float:
+    ``counts``: rows that each entry stands for, one where not given.
+    """
+    counts = np.ones(len(scores)) if counts is None else counts
+
+    def best(s: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
         order = np.argsort(-s, kind="stable")
-        s, y = s[order], y[order]
-        hits = np.cumsum(y)
-        f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+        s, y, n = s[order], y[order], n[order]
+        hits = np.cumsum(y * n)
+        f1 = 2 * hits / (np.cumsum(n) + (y * n).sum())
         f1[:-1][s[:-1] == s[1:]] = -1  # equal scores stand or fall together
         i = int(f1.argmax())
         low = s[i + 1] if i + 1 < len(s) else 0.0
@@ -267,36 +274,51 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, least: int =
 
     if not len(labels) or not labels.any():
         return {None: 0.5}
-    out: dict[str | None, float] = {None: best(scores, labels)}
+    out: dict[str | None, float] = {None: best(scores, labels, counts)}
     langs = np.array([x or "" for x in langs], object)
     for lang in set(langs) - {""}:
         own = langs == lang
-        if labels[own].sum() >= least and (labels[own] == 0).sum() >= least:
-            out[lang] = best(scores[own], labels[own])
+        if (labels * counts)[own].sum() >= least and ((labels == 0) * counts)[own].sum() >= least:
+            out[lang] = best(scores[own], labels[own], counts[own])
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: list[int], most: dict[int, int], lang_col: str | None):
-    """At most ``most[y]`` rows of each label y from the given folds, by a hash of their ids, with their texts."""
+def labelled(labels: DataFrame, folds: list[int]) -> DataFrame:
+    """(doc_id, y) of the given folds, a row per id."""
     rows = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    rows = rows.where(fold("doc_id").isin(folds)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(3)))
-    texts = docs.select("doc_id", empty_text().alias("text"), (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang"))
+    return rows.where(fold("doc_id").isin(folds)).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, folds: list[int], most: dict[int, int]):
+    """At most ``most[y]`` rows of each label y from the given folds, by a hash of their ids, with their texts."""
+    rows = labelled(labels, folds).withColumn("draw", F.xxhash64("doc_id", F.lit(3)))
+    texts = docs.select("doc_id", empty_text().alias("text"))
     texts = texts.where((F.length("text") <= LONGEST) & fold("doc_id").isin(folds))
     parts = []
     for y, n in most.items():
         drawn = rows.where(F.col("y") == y).orderBy("draw", "doc_id").limit(n)  # a few thousand ids
-        parts.append(texts.join(F.broadcast(drawn), "doc_id").select("draw", "text", "lang", "y"))
+        parts.append(texts.join(F.broadcast(drawn), "doc_id").select("draw", "text", "y"))
     found = parts[0].unionByName(parts[1]).orderBy("draw", "text").toPandas()
-    return found["text"].tolist(), found["y"].to_numpy(np.float32), found["lang"].tolist()
+    return found["text"].tolist(), found["y"].to_numpy(np.float32)
+
+
+def calibration(docs: DataFrame, labels: DataFrame, model: Model, lang_col: str | None) -> dict[str | None, float]:
+    """Thresholds from every labelled row of fold 1, summed by language, label and bin: at most 961 rows each for a language and label."""
+    lang = (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang")
+    texts = docs.select("doc_id", empty_text().alias("text"), lang).where(fold("doc_id") == 1)
+    rows = score(texts.join(labelled(labels, [1]), "doc_id"), model, "p")
+    # Beyond the ends the odds are those of a score of 0 or 1.
+    odds = F.least(F.greatest(F.log(F.col("p") / (F.lit(1.0) - F.col("p"))), F.lit(-30.0)), F.lit(30.0))
+    odds = F.when(F.col("p") <= 0, F.lit(-30.0)).when(F.col("p") >= 1, F.lit(30.0)).otherwise(odds)
+    bins = rows.groupBy("lang", "y", F.round(odds * STEPS).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    scores = 1 / (1 + np.exp(-bins["bin"].to_numpy(np.float64) / STEPS))
+    return calibrated(scores, bins["y"].to_numpy(np.float64), bins["lang"].tolist(), counts=bins["n"].to_numpy(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, lang_col: str | None = "lang") -> Model:
     """Trains on folds 2 to 4 and calibrates thresholds on fold 1; fold 0 is never read."""
-    texts, y, _ = sample(docs, labels, [2, 3, 4], {1: TOXIC, 0: CLEAN}, None)
-    model = train(texts, y)
-    texts, y, langs = sample(docs, labels, [1], {1: CALIBRATION, 0: CALIBRATION}, lang_col)
-    model.thresholds = calibrated(Scorer(model).scores(texts), y, langs)
+    model = train(*sample(docs, labels, [2, 3, 4], {1: TOXIC, 0: CLEAN}))
+    model.thresholds = calibration(docs, labels, model, lang_col)
     return model
 
 

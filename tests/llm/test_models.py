@@ -87,6 +87,34 @@ def test_thresholds_by_language():
     assert toxicity.calibrated(np.empty(0), np.empty(0), []) == {None: 0.5}
 
 
+def test_thresholds_from_all_rows_of_any_length(spark, monkeypatch):
+    """Scores are planted in the texts: clean ones outnumber what a sample of each kind would hold, and the long ones decide."""
+    planted = lambda docs, model, name: docs.withColumn(name, F.split("text", " ")[0].cast("double"))
+    monkeypatch.setattr(toxicity, "score", planted)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40_000):
+        if zlib.crc32(str(i).encode()) % 5 == 1:
+            y = int(i % 40 == 0)
+            rows.append((i, f"{0.3 + 0.4 * y + 0.3 * rng.uniform():.3f}" + " x" * (16_000 if i % 400 == 0 else 1), "en", y))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    seen = {}
+    real = toxicity.calibrated
+
+    def spy(scores, y, langs, least=25, counts=None):
+        seen.update({int(k): int(counts[y == k].sum()) for k in (0, 1)})
+        return real(scores, y, langs, least, counts)
+
+    monkeypatch.setattr(toxicity, "calibrated", spy)
+    got = toxicity.calibration(docs, labels, None, "lang")
+    y = np.array([r[3] for r in rows])
+    assert seen == {0: int((y == 0).sum()), 1: int(y.sum())} and seen[0] > 7000
+    s = np.array([float(r[1].split()[0]) for r in rows])
+    f1 = lambda t: 2 * y[s >= t].sum() / ((s >= t).sum() + y.sum())
+    assert set(got) == {None, "en"} and f1(got["en"]) >= max(f1(t) for t in s) - 0.02
+
+
 def test_quality_on_held_out_rows(tables):
     docs, labels = tables
     got = {r["doc_id"]: r for r in quality.quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
