@@ -14,6 +14,16 @@ from lectern.session import checkpoint_dir
 WORD_TABLE = 300_000  # most entries of a worker's word table
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among the shared ones, removed when the driver's file system closes."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut lineage through a written table in the shared folder.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
-    decontamination, exact_dedup, html_text, minhash, packing, quality, sharding, substring_dedup, tokens, toxicity,
+    alignment, clusters, decontamination, exact_dedup, html_text, minhash, packing, quality, sharding, substring_dedup, token_files,
+    tokens, toxicity,
 )
 
 
@@ -57,6 +58,19 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_groups(table(spark, folder, "documents"), words=3, percent=85)
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.cluster(table(spark, folder, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    return token_files.written_and_read(table(spark, folder, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,10 +84,14 @@ QUERIES = {
         op8_sharding,
         op9_html_extraction,
         op10_minhash_dedup,
+        op11_centroid_clustering,
+        op12_token_files,
+        op13_tokenizer_alignment,
     )
 }
 
 SQL = {
+    "op11_centroid_clustering": clusters.sql(),
     "op5_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
