@@ -56,29 +56,105 @@ def rate_limit_stream(spark, folder):
     rows = stream_events(spark, folder).select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"), numbers.wall_micros(F.col("ts")).alias("ts_us")
     )
-    done = jobs.run_available(jobs.rate_limit_stream(rows, limit=3, window_seconds=86_400), "append")
+    done = jobs.run_available(jobs.rate_limit_stream(rows, limit=3, window_seconds=86_400, delay="40 days"), "append")
     return done.select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "accepted")
 
 
-@query(
-    "budget_stream",
-    """SELECT c.event_id, CASE WHEN input_bytes > 1000 THEN 'request_bytes' WHEN c.seq >= k.seq THEN k.reason END AS reason FROM v_calls c LEFT JOIN v_closing k USING (session_id)""",
+view(
+    "v_budget_events",
+    """SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, seq) AS pos FROM (
+         SELECT session_id, 'reserve' AS kind, call_id, 2 * event_id AS seq, epoch_us(ts) AS t, input_bytes, false AS ok, 0 AS tin, 0 AS tout, 0 AS nano FROM v_paired
+         UNION ALL
+         SELECT session_id, 'settle', call_id, 2 * event_id + 1, epoch_us(ts) + raw_output * 200000000, 0, ok, CASE WHEN ok THEN raw_input ELSE 0 END,
+           CASE WHEN ok THEN raw_output ELSE 0 END, CAST(round(coalesce(estimated_usd, 0) * 1000000000) AS BIGINT) FROM v_paired)""",
 )
-def budget_stream(spark, folder):
-    calls = suite_data.as_calls(stream_events(spark, folder))
+view("v_paired", "SELECT *, 'c' || (event_id - CASE WHEN raw_cached % 10 = 9 THEN 1 ELSE 0 END) AS call_id FROM v_calls")
+view(
+    "v_budget_runs",
+    """SELECT session_id, pos, kind, seq, call_id,
+         CASE WHEN kind = 'settle' THEN 'settled_or_missing' WHEN input_bytes > 1000 THEN 'request_bytes' END AS reason,
+         CASE WHEN kind = 'reserve' AND input_bytes <= 1000 THEN [call_id] ELSE CAST([] AS VARCHAR[]) END AS known_ids,
+         CASE WHEN kind = 'reserve' AND input_bytes <= 1000 THEN [call_id] ELSE CAST([] AS VARCHAR[]) END AS open_ids,
+         CASE WHEN kind = 'reserve' AND input_bytes <= 1000 THEN 1 ELSE 0 END AS unknown,
+         CAST(0 AS HUGEINT) AS tin, CAST(0 AS HUGEINT) AS tout, CAST(0 AS HUGEINT) AS nano FROM v_budget_events WHERE pos = 1
+       UNION ALL SELECT session_id, pos, kind, seq, call_id, reason,
+         CASE WHEN kind = 'reserve' AND reason IS NULL THEN list_append(known_ids, call_id) ELSE known_ids END,
+         CASE WHEN reason IS NOT NULL THEN open_ids WHEN kind = 'reserve' THEN list_append(open_ids, call_id)
+           ELSE list_filter(open_ids, lambda x: x <> call_id) END,
+         unknown + CASE WHEN reason IS NOT NULL THEN 0 WHEN kind = 'reserve' THEN 1 WHEN ok THEN -1 ELSE 0 END,
+         tin + CASE WHEN reason IS NULL AND kind = 'settle' THEN e_tin ELSE 0 END, tout + CASE WHEN reason IS NULL AND kind = 'settle' THEN e_tout ELSE 0 END,
+         nano + CASE WHEN reason IS NULL AND kind = 'settle' THEN e_nano ELSE 0 END FROM (
+         SELECT e.session_id, e.pos, e.kind, e.seq, e.call_id, e.ok, e.tin AS e_tin, e.tout AS e_tout, e.nano AS e_nano, r.known_ids, r.open_ids, r.unknown, r.tin, r.tout, r.nano,
+           CASE WHEN e.kind = 'settle' THEN CASE WHEN NOT list_contains(r.open_ids, e.call_id) THEN 'settled_or_missing' END
+             WHEN list_contains(r.known_ids, e.call_id) THEN 'duplicate_invocation' WHEN e.input_bytes > 1000 THEN 'request_bytes'
+             WHEN len(r.known_ids) >= 40 THEN 'invocation_limit' WHEN r.unknown > 0 THEN 'unaccounted_invocation'
+             WHEN r.tin >= 60000 THEN 'reported_input_token_threshold' WHEN r.tout >= 9000 THEN 'reported_output_token_threshold'
+             WHEN r.nano >= 900000000 THEN 'estimated_cost_threshold' END AS reason
+         FROM v_budget_runs r JOIN v_budget_events e ON e.session_id = r.session_id AND e.pos = r.pos + 1)""",
+    recursive=True,
+)
+
+
+def budget_events(calls):
+    """Each call as two events: its reservation, and later its settlement with the usage.
+
+    Some calls name their predecessor's id, so that reservations and settlements
+    also come twice or without a partner.
+    """
     known = F.col("usage").isNotNull() & F.col("estimated_usd").isNotNull()
-    rows = calls.select(
-        F.col("session_id").alias("key"),
-        F.col("event_id").alias("seq"),
-        F.col("event_id").alias("ts_us"),
-        "input_bytes",
-        known.alias("known"),
-        F.coalesce("usage.input_tokens", F.lit(0)).alias("tokens_in"),
-        F.coalesce("usage.output_tokens", F.lit(0)).alias("tokens_out"),
-        F.round(F.coalesce("estimated_usd", F.lit(0.0)) * 1_000_000_000).cast("long").alias("nano_usd"),
+    call = F.concat(F.lit("c"), (F.col("event_id") - F.when(F.col("raw_cached") % 10 == 9, 1).otherwise(0)).cast("string"))
+    at = numbers.wall_micros(F.col("ts"))
+    zero = F.lit(0).cast("long")
+    nano = F.round(F.coalesce("estimated_usd", F.lit(0.0)) * 1_000_000_000).cast("long")
+    halves = F.array(
+        F.struct(
+            F.lit("reserve").alias("kind"), (F.col("event_id") * 2).alias("seq"), at.alias("ts_us"), "input_bytes",
+            F.lit(False).alias("known"), zero.alias("tokens_in"), zero.alias("tokens_out"), zero.alias("nano_usd"),
+        ),
+        F.struct(
+            F.lit("settle").alias("kind"), (F.col("event_id") * 2 + 1).alias("seq"),
+            (at + F.col("raw_output") * 200_000_000).alias("ts_us"), zero.alias("input_bytes"), known.alias("known"),
+            F.coalesce("usage.input_tokens", zero).alias("tokens_in"), F.coalesce("usage.output_tokens", zero).alias("tokens_out"),
+            nano.alias("nano_usd"),
+        ),
     )
+    return calls.select(F.col("session_id").alias("key"), call.alias("call_id"), F.inline(halves))
+
+
+@query("budget_stream", "SELECT session_id, seq, kind, call_id, reason FROM v_budget_runs")
+def budget_stream(spark, folder):
+    rows = budget_events(suite_data.as_calls(stream_events(spark, folder)))
     done = jobs.run_available(jobs.budget_stream(rows, qs.LIMITS), "append")
-    return done.select(F.col("seq").alias("event_id"), "reason")
+    return done.select(F.col("key").alias("session_id"), "seq", "kind", "call_id", "reason")
+
+
+view(
+    "v_progress",
+    """SELECT session_id, event_id, pos + 1 AS revision,
+         CAST(sum(gained) OVER (PARTITION BY session_id ORDER BY pos) AS BIGINT) AS visible, total
+       FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS pos,
+               greatest(0, coalesce(reach, 0) - coalesce(max(coalesce(reach, 0)) OVER (PARTITION BY session_id, spine_index ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gained
+             FROM (SELECT f.*, t.total, CASE WHEN f.event_type IN ('view', 'click') AND f.ord IS NOT NULL THEN p.chars_before + least(f.char_offset, p.n_chars) END AS reach
+                   FROM (SELECT session_id, user_id, event_id, ts, event_type, spine_index, ord, char_offset FROM v_located WHERE error IS NULL
+                         UNION ALL SELECT session_id, user_id, event_id, ts, event_type, spine_index, ord, char_offset FROM v_events WHERE NOT is_location) f
+                   LEFT JOIN (SELECT spine_index, ord, n_chars, sum(n_chars) OVER (PARTITION BY spine_index ORDER BY ord) - n_chars AS chars_before FROM v_blocks) p USING (spine_index, ord)
+                   LEFT JOIN (SELECT book_id, sum(n_chars) AS total FROM v_blocks GROUP BY 1) t ON t.book_id = 'src' || (f.user_id % 20)))""",
+)
+
+
+@query(
+    "session_progress_stream",
+    """SELECT session_id, event_id, revision, visible, CASE WHEN total > 0 THEN CAST(least(10000, visible * 10000 // total) AS BIGINT) ELSE 0 END AS progress_basis_points
+       FROM v_progress""",
+)
+def session_progress_stream(spark, folder):
+    blocks = durable(base.blocks(spark, folder).select("book_id", "spine_index", "ord", "block_id", "n_chars"))
+    feed = reader.patches(spark, folder, stream_events(spark, folder), ["event_type"]).where("error is null").select(
+        "session_id", "book_id", F.col("event_id").alias("seq"), numbers.wall_micros(F.col("ts")).alias("ts_us"), "spine_index", "ord",
+        "char_offset", (F.col("event_type").isin("view", "click") & F.col("ord").isNotNull()).alias("is_read"),
+    )
+    done = jobs.run_available(jobs.session_progress_stream(feed, blocks), "append")
+    return done.select("session_id", F.col("seq").alias("event_id"), "revision", "visible", "progress_basis_points")
 
 
 view(
@@ -113,19 +189,40 @@ def job_state_stream(spark, folder):
         numbers.wall_micros(F.col("ts")).alias("ts_us"),
         kinds[F.col("event_type")].alias("kind"),
         F.concat(F.lit("key"), (F.col("k") % 2).cast("string")).alias("analysis_key"),
+        "at",
     )
-    done = jobs.run_available(jobs.job_state_stream(rows), "append")
+    done = jobs.run_available(jobs.job_state_stream(rows, keep_seconds=90 * 86_400), "append")
     return done.select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "decision", "state")
 
 
-@query(
-    "annotation_stream",
-    """SELECT event_id, CASE WHEN b.block_id IS NULL THEN 'block_outside_chapter' WHEN h.start_char >= h.end_char OR h.end_char > b.n_chars THEN 'invalid_range'
+def _annotations(spark, folder):
+    blocks = base.blocks(spark, folder)
+    known = base.table(spark, folder, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id")).distinct()
+    return jobs.annotation_tables(qr.as_highlights(stream_events(spark, folder), blocks), blocks, known)
+
+
+view(
+    "v_annotations",
+    """SELECT event_id, h.session_id, h.text, CASE WHEN b.block_id IS NULL THEN 'block_outside_chapter' WHEN h.start_char >= h.end_char OR h.end_char > b.n_chars THEN 'invalid_range'
          WHEN substring(b.text, h.start_char + 1, h.end_char - h.start_char) <> h.text THEN 'text_mismatch' END AS error
        FROM v_highlights h LEFT JOIN v_blocks b ON b.spine_index = h.spine_index AND b.block_id = h.block_id""",
 )
+
+
+@query("annotation_stream", "SELECT event_id, error FROM v_annotations")
 def annotation_stream(spark, folder):
-    blocks = base.blocks(spark, folder)
-    known = base.table(spark, folder, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id")).distinct()
-    stream = jobs.annotation_stream(qr.as_highlights(stream_events(spark, folder), blocks), blocks, known)
-    return jobs.run_available(stream.select("event_id", "error"), "append").select("event_id", "error")
+    """Both tables together."""
+    accepted, rejected = _annotations(spark, folder)
+    return accepted.select("event_id", F.lit(None).cast("string").alias("error")).unionByName(rejected.select("event_id", "error"))
+
+
+@query("annotation_accepted", "SELECT event_id, session_id, text FROM v_annotations WHERE error IS NULL")
+def annotation_accepted(spark, folder):
+    """The table of accepted highlights."""
+    return _annotations(spark, folder)[0].select("event_id", "session_id", "text")
+
+
+@query("annotation_rejects", "SELECT event_id, session_id, error FROM v_annotations WHERE error IS NOT NULL")
+def annotation_rejects(spark, folder):
+    """Its side table: what was turned away, and why."""
+    return _annotations(spark, folder)[1].select("event_id", "session_id", "error")

@@ -2,21 +2,21 @@
 
 Where the state is a commutative aggregate it is a streaming aggregate, so a
 hot session combines map-side.  Where order matters, state is keyed by user,
-run or book and a micro-batch is ordered by event time before it is applied.
+run or book and a micro-batch is applied in the order of event time by the
+processors of ``processors``.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lectern.functions.numbers import wall_micros
 from lectern.session import checkpoint_dir
+from lectern.streaming.processors import Budget, Coverage, Jobs, Progress, RateLimit, stateful
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -97,107 +97,72 @@ def usage_stream(requests: DataFrame, *, agent_micros: int, compile_micros: int,
     )
 
 
-def _ordered(frames) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(["ts_us", "seq"])
+def timed(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with ``at`` and its watermark; a feed that has ``at`` has its watermark already."""
+    if "at" in rows.columns:
+        return rows
+    return rows.withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", delay)
 
 
-def rate_limit_stream(requests: DataFrame, *, limit: int, window_seconds: int) -> DataFrame:
-    """Accept or refuse each request; state is the accepted times of the trailing window."""
-    span = window_seconds * 1_000_000
+def rate_limit_stream(requests: DataFrame, *, limit: int, window_seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Accept or refuse each request; state is the accepted times of the trailing window.
 
-    def apply(key, frames, state):
-        recent = list(state.get[0]) if state.exists else []
-        accepted = []
-        pdf = _ordered(frames)
-        for at in pdf["ts_us"]:
-            recent = [t for t in recent if at - t < span]
-            ok = len(recent) < limit
-            if ok:
-                recent.append(int(at))
-            accepted.append(ok)
-        state.update((recent,))
-        yield pd.DataFrame({"key": [key[0]] * len(pdf), "seq": list(pdf["seq"]), "accepted": accepted})
-
-    return requests.groupBy("key").applyInPandasWithState(
-        apply, "key bigint, seq bigint, accepted boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+    requests(key, seq, ts_us).  A key's state is gone once the watermark has
+    passed the end of its last window; requests older than the watermark get no
+    decision.
+    """
+    rows = timed(requests.select("key", "seq", "ts_us", *[c for c in requests.columns if c == "at"]), delay)
+    return stateful(rows, RateLimit(limit, window_seconds * 1_000_000), "key bigint, seq bigint, accepted boolean")
 
 
-def budget_stream(calls: DataFrame, limits: dict) -> DataFrame:
-    """Admit or refuse calls of a run; totals of admitted calls are the state.
+def budget_stream(events: DataFrame, limits: dict, *, keep_seconds: int | None = None, delay: str = "1 day") -> DataFrame:
+    """Decision on every reservation and settlement of a run's calls.
 
-    calls(key, seq, ts_us, input_bytes, known, tokens_in, tokens_out, nano_usd).
-    Money is in whole billionths, so the threshold is exact.
+    events(key, seq, ts_us, kind, call_id, input_bytes, known, tokens_in,
+    tokens_out, nano_usd); kind is reserve / settle.  Reservations carry the
+    size, settlements the usage.  Money is in whole billionths, so the threshold
+    is exact.  reason: null for what is admitted or settled.  With
+    ``keep_seconds`` a run without events for so long is forgotten.
     """
-    stop_usd = round(limits["stop_after_estimated_usd"] * 1_000_000_000)
-
-    def reason_for(size, n, unknown, tokens_in, tokens_out, usd):
-        if size > limits["max_request_bytes"]:
-            return "request_bytes"
-        if n >= limits["max_invocations"]:
-            return "invocation_limit"
-        if unknown:
-            return "unaccounted_invocation"
-        if tokens_in >= limits["stop_after_input_tokens"]:
-            return "reported_input_token_threshold"
-        if tokens_out >= limits["stop_after_output_tokens"]:
-            return "reported_output_token_threshold"
-        return "estimated_cost_threshold" if usd >= stop_usd else None
-
-    def apply(key, frames, state):
-        totals = list(state.get) if state.exists else [0, 0, 0, 0, 0]
-        pdf = _ordered(frames)
-        reasons = []
-        for row in pdf.itertuples(index=False):
-            reason = reason_for(row.input_bytes, *totals)
-            if reason is None:
-                added = (1, 0, row.tokens_in, row.tokens_out, row.nano_usd) if row.known else (1, 1, 0, 0, 0)
-                totals = [int(a + b) for a, b in zip(totals, added)]
-            reasons.append(reason)
-        state.update(tuple(totals))
-        yield pd.DataFrame({"key": [key[0]] * len(pdf), "seq": list(pdf["seq"]), "reason": reasons})
-
-    return calls.groupBy("key").applyInPandasWithState(
-        apply,
-        "key string, seq bigint, reason string",
-        "n bigint, unknown bigint, tokens_in bigint, tokens_out bigint, usd bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    keep = None if keep_seconds is None else keep_seconds * 1_000_000
+    rows = events if keep is None else timed(events, delay)
+    return stateful(rows, Budget(limits, keep), "key string, seq bigint, kind string, call_id string, reason string")
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
+def job_state_stream(events: DataFrame, *, keep_seconds: int | None = None, delay: str = "1 day") -> DataFrame:
     """Decision on every compile request and the job state after every event.
 
     events(key, seq, ts_us, kind, analysis_key); kind is request / processing /
     ready / failed.  A request joins a running or finished job of the same key,
     conflicts with a running job of another key, and otherwise queues a new one.
+    With ``keep_seconds`` a job without events for so long is forgotten.
     """
+    keep = None if keep_seconds is None else keep_seconds * 1_000_000
+    rows = events if keep is None else timed(events, delay)
+    return stateful(rows, Jobs(keep), "key bigint, seq bigint, decision string, state string")
 
-    def apply(key, frames, state):
-        current, owner = state.get if state.exists else (None, None)
-        pdf = _ordered(frames)
-        decisions, states = [], []
-        for kind, wanted in zip(pdf["kind"], pdf["analysis_key"]):
-            decision = None
-            if kind == "request":
-                if current in ("queued", "processing") and owner != wanted:
-                    decision = "conflict"
-                elif current is not None and current != "failed" and owner == wanted:
-                    decision = "joined"
-                else:
-                    decision, current, owner = "queued", "queued", wanted
-            elif current is not None:
-                current = kind
-            decisions.append(decision)
-            states.append(current)
-        state.update((current, owner))
-        yield pd.DataFrame(
-            {"key": [key[0]] * len(pdf), "seq": list(pdf["seq"]), "decision": decisions, "state": states}
-        )
 
-    return events.groupBy("key").applyInPandasWithState(
-        apply, "key bigint, seq bigint, decision string, state string", "state string, owner string", "append", GroupStateTimeout.NoTimeout
+def session_progress_stream(patches: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Progress of a session after every accepted patch, from two chained stateful steps.
+
+    patches(session_id, book_id, seq, ts_us, spine_index, ord?, char_offset?,
+    is_read).  Against the static prefix table of chapters a read location becomes
+    a number of characters.  State per session and chapter turns it into what the
+    patch adds, state per session into the progress.  Late and repeated patches
+    add nothing but their revision.
+    """
+    from lectern.operators.reading import BLOCK, book_chars, chapter_prefix
+
+    prefix = chapter_prefix(blocks).select(*BLOCK, "n_chars", "chars_before")
+    place = F.col("chars_before") + F.least(F.coalesce("char_offset", F.lit(0)), F.col("n_chars"))
+    rows = patches.join(prefix, BLOCK, "left").join(book_chars(blocks), "book_id", "left").select(
+        "session_id", "book_id", "spine_index", "seq", "ts_us", F.when(F.col("is_read"), place).cast("long").alias("reach"), "total"
+    )
+    added = stateful(
+        rows, Coverage(), "session_id string, book_id string, spine_index bigint, ts_us bigint, seq bigint, gained bigint, total bigint"
+    )
+    return stateful(
+        added, Progress(), "session_id string, book_id string, seq bigint, visible bigint, progress_basis_points bigint, revision bigint"
     )
 
 
@@ -207,7 +172,53 @@ def deduplicated(events: DataFrame, keys: list[str], at: str, delay: str = "1 da
 
 
 def annotation_stream(highlights: DataFrame, blocks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Highlights checked against the static blocks, one error or null each; rejects are a filter away."""
+    """Highlights checked against the static blocks, one error or null each."""
     from lectern.operators.reading import validate_highlights
 
     return validate_highlights(highlights, blocks, sessions)
+
+
+def save_routes(root: str):
+    """Writer of a micro-batch into one table per value of ``route``.
+
+    One job writes all tables of an epoch into the epoch's folder, replacing what
+    an earlier attempt left there, so a replayed epoch leaves no copies and no
+    table is ahead of another.
+    """
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").partitionBy("route").parquet(f"{root}/data/epoch={epoch}")
+
+    return save
+
+
+def run_routes(stream: DataFrame, path: str | None = None) -> str:
+    """Process what is there and return the folder; ``stream`` has a string column ``route``."""
+    spark = stream.sparkSession
+    root = path or f"{checkpoint_dir(spark)}/lectern-routes-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(save_routes(root))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return root
+
+
+def read_route(spark: SparkSession, root: str, route: str, schema: StructType) -> DataFrame:
+    """One of the tables; a route that no row took is an empty table."""
+    fields = [f for f in schema.fields if f.name != "route"]
+    whole = StructType([*fields, StructField("epoch", IntegerType()), StructField("route", StringType())])
+    return spark.read.schema(whole).parquet(f"{root}/data").where(F.col("route") == route).drop("route")
+
+
+def annotation_tables(highlights: DataFrame, blocks: DataFrame, sessions: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): one stream into two tables, rejects with their error."""
+    checked = annotation_stream(highlights, blocks, sessions)
+    routed = checked.withColumn("route", F.when(F.col("error").isNull(), "accepted").otherwise("rejected"))
+    root = run_routes(routed, path)
+    spark = highlights.sparkSession
+    accepted, rejected = (read_route(spark, root, r, routed.schema) for r in ("accepted", "rejected"))
+    return accepted.drop("error"), rejected
