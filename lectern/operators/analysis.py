@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.prefix import numbered, with_previous
-from lectern.operators.retrieval import WEIGHT, term_rows, top_ranked
+from lectern.operators.retrieval import WEIGHT, max_score, term_rows
 from lectern.rules import blank, violations
+from lectern.session import durable
 
 EXCERPT_BYTES = 8192
 # Instruction and synthesis caps of the three profiles.
@@ -94,11 +95,12 @@ def prior_context(blocks: DataFrame, k: int = 8) -> DataFrame:
     blocks(book_id, spine_index, ord, text).  A chapter's query is all its
     blocks, so query terms are the chapter's own postings.  A term counts only
     the blocks of earlier chapters, which is a running sum over per-chapter
-    counts; terms worth nothing are dropped before the join.  Blocks above 8192
+    counts; terms worth nothing are dropped before the join, and of the others
+    only the lists that can decide the best ``k`` are joined.  Blocks above 8192
     bytes count for the frequency but are not returned.
     """
-    postings = term_rows(
-        blocks.withColumn("bytes", F.octet_length("text").cast("long")), ["book_id", "spine_index", "ord", "bytes"]
+    postings = durable(
+        term_rows(blocks.withColumn("bytes", F.octet_length("text").cast("long")), ["book_id", "spine_index", "ord", "bytes"])
     )
     counted = postings.groupBy("book_id", "term", "spine_index").agg(F.count(F.lit(1)).alias("n"))
     before = (
@@ -111,18 +113,21 @@ def prior_context(blocks: DataFrame, k: int = 8) -> DataFrame:
             "book_id",
             "term",
             F.col("spine_index").alias("for_chapter"),
+            "df",
             F.expr(f"{WEIGHT} div (df + 1)").alias("weight"),
         )
         .where("weight > 0")
     )
-    scored = (
-        postings.where(F.col("bytes") <= EXCERPT_BYTES)
-        .join(asked, ["book_id", "term"])
-        .where("spine_index < for_chapter")
-        .groupBy("book_id", "for_chapter", "spine_index", "ord")
-        .agg(F.sum("weight").alias("score"))
+    return max_score(
+        postings.where(F.col("bytes") <= EXCERPT_BYTES).drop("bytes"),
+        asked,
+        on=["book_id", "term"],
+        query=["book_id", "for_chapter"],
+        block=["book_id", "spine_index", "ord"],
+        position=["spine_index", "ord"],
+        k=k,
+        admissible=F.col("spine_index") < F.col("for_chapter"),
     )
-    return top_ranked(scored, ["book_id", "for_chapter"], ["spine_index", "ord"], k)
 
 
 def earlier_chapters(chapters: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import corpus, grounding, reading
+from lectern.operators import sections as section_operators
 from lectern.plans import base, package, reader, suite_data
 from lectern.plans import queries_reading as qr
 from lectern.plans import queries_scoring as qs
@@ -460,19 +461,99 @@ def manifest(spark, folder):
     return exports.manifest_rows(counts.withColumn("source_hash", F.sha2("book_id", 256)), overlaid, "standard").drop("created_at")
 
 
+def _sql_json(sql: str) -> str:
+    return f"CAST(to_json({sql}) AS VARCHAR)"
+
+
+# Contents of three levels: parts of 25 chapters, groups of 5, chapters.
+view(
+    "v_contents",
+    f"""SELECT book_id, n // 25 AS a, n % 25 // 5 AS b, n % 5 AS c, coalesce(nullif(title, ''), 'untitled') AS title, href FROM (
+          SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS n FROM v_chapters)""",
+)
+view(
+    "v_nested",
+    f"""SELECT book_id, '[' || string_agg(left(j, length(j) - 1) || ',"children":[' || kids || ']}}', ',' ORDER BY a) || ']' AS contents FROM (
+          SELECT book_id, a, {_sql_json("{'label': 'Part ' || (a + 1), 'href': arg_min(href, b)}")} AS j,
+            string_agg(left(j, length(j) - 1) || ',"children":[' || kids || ']}}', ',' ORDER BY b) AS kids FROM (
+            SELECT book_id, a, b, arg_min(href, c) AS href, {_sql_json("{'label': 'Group ' || (b + 1), 'href': arg_min(href, c)}")} AS j,
+              string_agg({_sql_json("{'label': title, 'href': href}")}, ',' ORDER BY c) AS kids FROM v_contents GROUP BY book_id, a, b)
+          GROUP BY book_id, a) GROUP BY book_id""",
+)
+
+
+def contents(spark, folder):
+    """Chapters of a book in parts and groups: (book_id, path, label, href) of all three levels."""
+    from lectern.operators.prefix import numbered
+
+    rows = numbered(base.chapters(spark, folder), ["book_id"], "spine_index", "n")
+    a, b, c = (F.expr(f"cast({e} as int)") for e in ("n div 25", "n % 25 div 5", "n % 5"))
+    title = F.when(F.col("title") == "", "untitled").otherwise(F.col("title"))
+    leaves = rows.select("book_id", F.array(a, b, c).alias("path"), title.alias("label"), "href")
+    groups = rows.where("n % 5 = 0").select(
+        "book_id", F.array(a, b).alias("path"), F.concat(F.lit("Group "), (b + 1).cast("string")).alias("label"), "href"
+    )
+    parts = rows.where("n % 25 = 0").select(
+        "book_id", F.array(a).alias("path"), F.concat(F.lit("Part "), (a + 1).cast("string")).alias("label"), "href"
+    )
+    return leaves.unionByName(groups).unionByName(parts)
+
+
 @query(
     "book_ir",
-    """SELECT book_id, 1 AS section, count(*) AS n FROM v_chapters GROUP BY ALL UNION ALL SELECT book_id, 2, count(*) FROM v_blocks GROUP BY ALL
-       UNION ALL SELECT book_id, 0, count(*) FROM v_chapters GROUP BY ALL""".replace("1 AS section", "CAST(1 AS BIGINT) AS section"),
+    f"""SELECT book_id, CAST(0 AS BIGINT) AS section, 0 AS pos, 0 AS ord, {_sql_json("{'title': book_id || ' collected', 'identifier': 'urn:' || book_id, 'language': NULL::VARCHAR, 'package_version': '3.0'}")} AS json
+          FROM (SELECT DISTINCT book_id FROM v_chapters)
+        UNION ALL SELECT book_id, 1, section_index, 0, sha256({_sql_json("{'chapter_id': printf('chapter_%03d', section_index + 1), 'title': title, 'ranges': list(r ORDER BY r.spine_index)}")})
+          FROM (SELECT book_id, section_index, title, {{'spine_index': spine_index, 'block_ids': list(block_id ORDER BY section_ord)}} AS r FROM v_section_blocks GROUP BY book_id, section_index, title, spine_index)
+          GROUP BY book_id, section_index, title
+        UNION ALL SELECT book_id, 2, 0, 0, contents FROM v_nested
+        UNION ALL SELECT book_id, 3, spine_index, 0, {_sql_json("{'spine_index': spine_index, 'idref': 'doc-' || spine_index, 'href': href, 'linear': NOT is_noise}")} FROM v_chapters
+        UNION ALL SELECT book_id, 4, spine_index, 0, sha256({_sql_json("{'spine_index': spine_index, 'href': href, 'title': title, 'block_count': block_count, 'visible_text': visible_text, 'content_hash': sha256(visible_text), 'first_block_id': first_block_id, 'last_block_id': last_block_id, 'is_noise': is_noise}")}) FROM v_chapter_rows
+        UNION ALL SELECT book_id, 5, spine_index, ord, sha256({_sql_json("{'block_id': block_id, 'chapter_index': spine_index, 'order': ord, 'kind': 'paragraph', 'text': text, 'text_fingerprint': fp, 'heading_level': NULL::INTEGER, 'merged_from': []::VARCHAR[], 'footnote_id': NULL::VARCHAR, 'footnote_refs': []::VARCHAR[], 'referenced_by': []::VARCHAR[], 'image': NULL::VARCHAR, 'starts_chapter': false, 'ends_chapter': false, 'source_ref': {'chapter_href': href, 'spine_index': spine_index, 'node_id': ord, 'cfi': NULL::VARCHAR}}")}) FROM v_blocks""",
 )
 def book_ir(spark, folder):
-    """Whole-book documents written as ordered parts and read back."""
+    """Whole-book documents written as ordered parts, read back and compared whole; long parts by their hash."""
+    from lectern.plans import queries_corpus, queries_sections
+    from lectern.sinks import book_document
+
     path = scratch(spark)
-    chapters = corpus.chapter_rows(corpus.chapter_items(base.chapters_raw(spark, folder)))
-    toc = chapters.select("book_id", F.col("spine_index").alias("pos"), F.col("title").alias("label"), "href")
-    exports.write_rows(exports.book_ir_rows(chapters, base.blocks(spark, folder), toc), path, "section", "pos", "ord")
-    rows = spark.read.schema("book_id string, section bigint, pos bigint, ord bigint, json string").json(path)
-    return rows.groupBy("book_id", "section").agg(F.count("json").alias("n"))
+    chapters = corpus.chapter_rows(queries_corpus.normal_chapters(spark, folder))
+    listed = base.chapters(spark, folder)
+    blocks = base.blocks(spark, folder)
+    sections = queries_sections.built(spark, folder)
+    none = F.lit(None).cast("string")
+    metadata = listed.select("book_id").distinct().select(
+        "book_id", F.concat("book_id", F.lit(" collected")).alias("title"), F.concat(F.lit("urn:"), "book_id").alias("identifier"),
+        none.alias("language"), F.lit("3.0").alias("package_version"),
+    )
+    spine = listed.select(
+        "book_id", "spine_index", F.concat(F.lit("doc-"), F.col("spine_index").cast("string")).alias("idref"), "href",
+        (~F.col("is_noise")).alias("linear"),
+    )
+    parts = book_document.document_parts(
+        metadata, sections, section_operators.section_blocks(sections, blocks), contents(spark, folder), spine, chapters, blocks
+    )
+    book_document.write_documents(parts, path)
+    rows = book_document.read_documents(spark, path)
+    return rows.withColumn("json", F.when(F.col("section").isin(1, 4, 5), F.sha2("json", 256)).otherwise(F.col("json")))
+
+
+@query(
+    "contents_by_path",
+    """SELECT book_id, max(CASE WHEN a = 0 AND b = 0 AND c = 0 THEN title END) AS first_title, max(CASE WHEN a = 0 AND b = 0 AND c = 1 THEN href END) AS second_href,
+         count(DISTINCT a) AS parts FROM v_contents GROUP BY book_id""",
+)
+def contents_by_path(spark, folder):
+    """Nested contents as a variant: values at a path, and the number of parts."""
+    from lectern.sinks import book_document
+
+    nested = book_document.nested_contents(contents(spark, folder)).select("book_id", F.parse_json("contents").alias("v"))
+    return nested.select(
+        "book_id",
+        F.expr("variant_get(v, '$[0].children[0].children[0].label', 'string')").alias("first_title"),
+        F.expr("try_variant_get(v, '$[0].children[0].children[1].href', 'string')").alias("second_href"),
+        F.size(F.expr("cast(v as array<variant>)")).cast("long").alias("parts"),
+    )
 
 
 @query(

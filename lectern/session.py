@@ -1,11 +1,13 @@
-"""Session helpers: input splitting, size-checked broadcast, durable cuts."""
+"""Session helpers: input splitting, size-checked broadcast, durable cuts in the shared folder."""
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        # local-cluster has executors of its own: only one process may use a folder of its own.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="lectern-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -47,9 +50,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a Parquet table in the shared folder (survives executor loss).
+
+    One job writes it; readers keep column pruning, pushed filters and sizes for
+    the planner.  The folder goes with ``forget``, at the latest when the driver's
+    file system closes.  Columns without a type become strings.
+    """
+    spark = df.sparkSession
+    void = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if f.dataType.typeName() == "void"}
+    rows = df.withColumns(void) if void else df
+    path = f"{checkpoint_dir(spark)}/lectern-cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table.cut_at = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete cuts that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "cut_at", None)
+        if path is not None:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
