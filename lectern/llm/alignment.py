@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 
 from lectern.llm.byte_level import byte_coder, byte_pieces, pieces, spelled
 from lectern.llm.common import WordTable, join_hot, stored
+from lectern.llm.tokens import PLAIN
 
 BROADCAST_PAIRS = 2_000_000
 ALIGNED = "key binary, copies long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, links array<long>"
-NONE = (0, 0, 0, "", b"")
+LETTER, MARK = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[.,;:!?%$#&*()|\[\]]"  # as in PLAIN
 
 
 def default_paths() -> tuple[str, str]:
@@ -38,89 +41,110 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def sentence_pieces(model) -> dict[int, bytes]:
-    """id -> bytes of every piece: U+2581 is a space, a byte piece its byte."""
-    out = {}
+def sentence_pieces(model) -> list[bytes]:
+    """Bytes of every piece: U+2581 is a space, a byte piece its byte."""
+    out = []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
-        out[i] = bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
+        out.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
     return out
 
 
-def align(a: list[int], b: list[int], a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> tuple[int, str, list[int]]:
-    """(groups, text form, links) of two token sequences over the same bytes.  Every token has a byte at least.
-
-    A link is a pair of tokens that end together: the last ones of a group, as
-    A's id and B's id in one number.
-    """
-    i = j = x = y = 0
-    forms, links = [], []
-    while i < len(a):
-        i0, j0 = i, j
-        x, i = x + len(a_bytes[a[i]]), i + 1
-        while x != y:
-            if x < y:
-                x, i = x + len(a_bytes[a[i]]), i + 1
-            else:
-                y, j = y + len(b_bytes[b[j]]), j + 1
-        forms.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-        links.append(a[i - 1] << 32 | b[j - 1])
-    return len(links), ";".join(forms), links
-
-
 class Aligner:
     """Aligned texts.
 
     A white-space character after another kind begins a token of both, so both
     have a common end before it: pieces between such places are aligned once per
-    worker and joined.  Whether B's vocabulary allows it is checked, not assumed;
-    a text with a piece that does not come out as its own bytes is aligned whole.
+    worker and joined, and within a piece of letters and marks both parts.
+    Whether B's vocabulary allows it is checked, not assumed; a text with a piece
+    that does not come out as its own bytes is aligned whole.  A record is (text
+    form, links as bytes, n_a, n_b), or None where bytes differ.
     """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
         self.a, self.b = byte_coder(a_path, True), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes, self.b_bytes = byte_pieces(self.a.tokenizer), sentence_pieces(self.b)
+        known = byte_pieces(self.a.tokenizer)
+        self.a_bytes, self.b_bytes = [known.get(i, b"") for i in range(max(known) + 1)], sentence_pieces(self.b)
+        self.a_len, self.b_len = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_form, self.b_form = [str(i) for i in range(len(self.a_len))], [str(i) for i in range(len(self.b_len))]
         self.space = self.b.piece_to_id("▁")
-        ordinary = (self.b.id_to_piece(i) for i in self.b_bytes if not self.b.is_byte(i))
+        ordinary = [self.b.id_to_piece(i) for i in range(len(self.b_len)) if not self.b.is_byte(i)]
         self.by_piece = self.a.by_piece and not any(re.search(r"[^▁]▁|\n", p) for p in ordinary)
-        self.later, self.exact = WordTable(lambda p: self._piece(spelled(p))), WordTable(self._piece)
-
-    def _a(self, text: str) -> list[int]:
-        return np.frombuffer(self.a.ids(text), self.a.type).tolist()
+        # Marks that no piece has after a letter begin a token of both.
+        joint = set("".join(re.findall(rf"{LETTER}({MARK})", "\n".join(ordinary))))
+        self.apart = self.a.short_cut and (lambda marks: marks and marks[0] not in joint)
+        self.later, self.exact = WordTable(self._later), WordTable(self._piece)
+        self.cores, self.marks = WordTable(lambda p: self._piece(" " + p)), WordTable(self._marks)
+
+    def align(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
+        """(text form, links) of two token sequences over the same bytes.  Every token has a byte at least.
+
+        A link is a pair of tokens that end together, the last ones of a group, as
+        A's id and B's id in one number.
+        """
+        a_len, b_len, a_form, b_form = self.a_len, self.b_len, self.a_form, self.b_form
+        forms, links = [], []
+        x = y = i0 = j0 = j = 0
+        for i, t in enumerate(a):
+            x += a_len[t]
+            while y < x:
+                y += b_len[b[j]]
+                j += 1
+            if x == y:
+                left = a_form[t] if i == i0 else ",".join([a_form[k] for k in a[i0 : i + 1]])
+                right = b_form[b[j0]] if j == j0 + 1 else ",".join([b_form[k] for k in b[j0:j]])
+                forms.append(f"{left}|{right}")
+                links.append(t << 32 | b[j - 1])
+                i0, j0 = i + 1, j
+        return ";".join(forms), array("q", links).tobytes()
 
     def _record(self, text: str, a: list[int], b: list[int]):
-        """Measures of ids over the same bytes as ``text``, else None."""
         raw = text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        n, form, links = align(a, b, self.a_bytes, self.b_bytes)
-        return len(a), len(b), n, form, np.array(links, "<i8").tobytes()
+        return *self.align(a, b), len(a), len(b)
+
+    def _ids(self, raw: bytes) -> list[int]:
+        return np.frombuffer(raw, self.a.type).tolist()
+
+    def _later(self, piece: str):
+        if self.apart and (m := PLAIN.fullmatch(piece)) and m[1] and self.apart(m[2]):
+            first, second = self.cores[m[1]], self.marks[m[2]]
+            if first is not None and second is not None:
+                return f"{first[0]};{second[0]}", first[1] + second[1], first[2] + second[2], first[3] + second[3]
+        return self._piece(spelled(piece))
+
+    def _marks(self, marks: str):
+        """Marks that follow a letter: no token of B has both."""
+        first, *rest = self.b.encode("a" + marks)
+        return self._record(marks, self._ids(self.a.whole(marks)), rest) if self.b_bytes[first] == b" a" else None
 
     def _piece(self, text: str):
         if not text:
-            return NONE
+            return "", b"", 0, 0
+        a = self._ids(self.a.piece(text))
         if text[0] == " ":
-            return self._record(text, self._a(text), self.b.encode(text[1:]) or [self.space])
+            return self._record(text, a, self.b.encode(text[1:]) or [self.space])
         first, *b = self.b.encode(text)
-        return self._record(text, self._a(text), b) if first == self.space else None
+        return self._record(text, a, b) if first == self.space else None
 
     def whole(self, text: str):
         """The same without pieces."""
-        return self._record(" " + text, np.frombuffer(self.a.whole(" " + text), self.a.type).tolist(), self.b.encode(text)) or NONE
+        return self._record(" " + text, self._ids(self.a.whole(" " + text)), self.b.encode(text))
 
     def __call__(self, text: str):
-        """(n_a, n_b, n_groups, text form, links) of a text that is not empty."""
+        """Record of a text that is not empty."""
         if not self.by_piece:
             return self.whole(text)
         found, plain = pieces(" " + text)
         # The leading space ends an empty first piece of a plain text.
-        parts = [self.later[p] for p in found[1:]] if plain else [self.exact[p] for p in found]
+        parts = list(map(self.later.__getitem__, found[1:])) if plain else list(map(self.exact.__getitem__, found))
         if None in parts:
             return self.whole(text)
-        a, b, n, forms, links = zip(*parts, strict=True)
-        return sum(a), sum(b), sum(n), ";".join(forms), b"".join(links)
+        forms, links, a, b = zip(*parts, strict=True)
+        return ";".join(forms), b"".join(links), sum(a), sum(b)
 
 
 @lru_cache(maxsize=1)
@@ -136,14 +160,9 @@ def most_pairs(a_path: str, b_path: str) -> int:
     of the longer one.
     """
     made = aligner(a_path, b_path)
-    count: dict[bytes, int] = {}
-    for x in made.b_bytes.values():
-        count[x] = count.get(x, 0) + 1
-    shorter = sum(count.get(x[k:], 0) for x in made.a_bytes.values() for k in range(len(x)))
-    count = {}
-    for x in made.a_bytes.values():
-        count[x] = count.get(x, 0) + 1
-    return shorter + sum(count.get(x[k:], 0) for x in made.b_bytes.values() for k in range(1, len(x)))
+    a, b = Counter(made.a_bytes), Counter(made.b_bytes)
+    shorter = sum(b[x[k:]] for x in made.a_bytes for k in range(len(x)))
+    return shorter + sum(a[x[k:]] for x in made.b_bytes for k in range(1, len(x)))
 
 
 def aligned(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -154,10 +173,10 @@ def aligned(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for key, copies, text in batch.itertuples(index=False):
-                n_a, n_b, n, form, links = made(text)
+                form, links, n_a, n_b = made(text) or ("", b"", 0, 0)
                 pairs, times = np.unique(np.frombuffer(links, "<i8"), return_counts=True)
-                digest = hashlib.sha256(form.encode()).hexdigest() if n else ""
-                rows.append((key, copies, n_a, n_b, n, digest, pairs, times))
+                digest = hashlib.sha256(form.encode()).hexdigest() if form else ""
+                rows.append((key, copies, n_a, n_b, len(links) // 8, digest, pairs, times))
             yield pd.DataFrame(rows, columns=["key", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "links"])
 
     return stored(texts.select("key", "copies", "text").mapInPandas(run, ALIGNED), "aligned-texts")

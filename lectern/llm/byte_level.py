@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -54,26 +55,37 @@ class ByteCoder:
         self.specials = () if literal else tuple(t.content for t in added)
         self.type = np.dtype("<i4")
         self.letters = byte_letters()
-        self.runs = WordTable(self._run)
+        self.runs, self.cores = WordTable(self._run), WordTable(lambda letters: self._run(" " + letters))
         self.exact, self.later = WordTable(self.whole), WordTable(self._later)
         self.short_cut = True
-        probe = lambda s: self.whole(s) == self._later(s[1:])
-        self.short_cut = all(probe(s) for s in (" Hello", " ÀÉé", " été.,", " xqzzj!?", " Straße(", " %%%", " a"))
+        words = ("Hello", "ÀÉé", "été.,", "xqzzj!?", "Straße(", "%%%", "a", "\nHello", "\nété.,", "\n%%%", "\n")
+        self.short_cut = array("i").itemsize == 4 and all(self.whole(spelled(w)) == self._later(w) for w in words)
         self.by_piece = all(self.whole(s) == self._joined(s) for s in PROBES)
 
     def _run(self, run: str) -> bytes:
-        mapped = run.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.type).tobytes()
+        """Ids of one run of letters or marks, with or without a leading space."""
+        if run.isascii() and run[0] == " ":
+            mapped = "Ġ" + run[1:]
+        else:
+            mapped = run.encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _later(self, piece: str) -> bytes:
-        text = spelled(piece)
-        if self.short_cut and text[0] == " " and (m := PLAIN.fullmatch(piece)):
+        line = piece[:1] == "\n"
+        if self.short_cut and (m := PLAIN.fullmatch(piece, line)):
             letters, marks = m.groups()
             if letters:
-                return self._run(" " + letters) + (self.runs[marks] if marks else b"")
+                ids = self.runs["\n"] + self.runs[letters] if line else self.cores[letters]
+                return ids + self.runs[marks] if marks else ids
             if marks:
-                return self.runs[text]
-        return self.whole(text)
+                return self.runs["\n"] + self.runs[marks] if line else self.runs[" " + marks]
+        return self.whole(spelled(piece))
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text that may be a later piece, without a table of its own."""
+        if text[0] == " " and text[1:2] != "\n":
+            return self._later(text[1:])
+        return self._later(text) if text[0] == "\n" else self.whole(text)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
