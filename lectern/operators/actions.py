@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import clip
+
 # Texts the offline answers must equal.
 TITLE_INSUFFICIENT = "证据不足"
 TITLE_EVIDENCE = "相关原文"
@@ -203,6 +205,73 @@ def explain_requests(requests: DataFrame, visible: DataFrame, passages: DataFram
 NO_ANALYSIS = "该段暂无章节分析。"
 
 
+def assemble_context(
+    requests: DataFrame, near: DataFrame, cover: DataFrame, readable: DataFrame, analyses: DataFrame, related: DataFrame, concepts: DataFrame
+) -> DataFrame:
+    """What an answer may draw on, one row per request.
+
+    requests(request_id, session_id, book_id, spine_index, block_id?), near as
+    ``reading.nearby_blocks`` gives it with text, cover(session_id, book_id,
+    spine_index, end_ord, end_offset), readable(request_id) may see their
+    chapter's analysis, related(request_id, concept_id) their concepts.
+
+    Columns: error (the current chapter lies beyond the boundary: nothing else is
+    given), selected_block and nearby_blocks with their text clipped to what has
+    been read (blocks without any are left out), chapter_analysis as JSON,
+    argument_flow, related_concepts as JSON objects by id, allowed_chapters.  A
+    request has at most three nearby blocks and the concepts of one chapter.
+    """
+    place = ["session_id", "book_id", "spine_index"]
+    asked = requests.select("request_id", *place, F.col("block_id").alias("_selected"))
+    reach = cover.select(*place, "end_ord", "end_offset")
+    inside = asked.join(reach, place, "left").withColumn("error", F.when(F.col("end_ord").isNull(), "outside_boundary"))
+    # The endpoint alone says how much of a nearby block has been read: chapters are not expanded.
+    seen = F.when(F.col("ord") < F.col("end_ord"), F.char_length("text")).when(F.col("ord") == F.col("end_ord"), F.col("end_offset"))
+    block = F.struct("ord", "block_id", clip(F.col("text"), F.col("_seen")).alias("text"))
+    shown = (
+        near.select("request_id", "ord", "block_id", "text")
+        .join(inside.where("error is null").select("request_id", "_selected", "end_ord", "end_offset"), "request_id")
+        .withColumn("_seen", F.coalesce(seen, F.lit(0)).cast("int"))
+        .where("_seen > 0")
+        .groupBy("request_id")
+        .agg(
+            F.array_sort(F.collect_list(block)).alias("nearby_blocks"),
+            F.max(F.when(F.col("block_id") == F.col("_selected"), block)).alias("selected_block"),
+        )
+    )
+    flow = F.col("argument_flow") if "argument_flow" in analyses.columns else F.array().cast("array<string>")
+    held = analyses.select("book_id", "spine_index", F.to_json(F.struct(*analyses.columns)).alias("chapter_analysis"), flow.alias("argument_flow"))
+    known = asked.join(readable.select("request_id"), "request_id", "left_semi").join(held, ["book_id", "spine_index"])
+    fields = [c for c in concepts.columns if c != "book_id"]
+    facts = concepts.select("book_id", "concept_id", F.to_json(F.struct(*fields)).alias("concept"))
+    listed = (
+        related.join(asked.select("request_id", "book_id"), "request_id")
+        .join(facts, ["book_id", "concept_id"])
+        .groupBy("request_id")
+        .agg(F.array_sort(F.collect_list(F.struct("concept_id", "concept"))).alias("related_concepts"))
+    )
+    reached = cover.groupBy("session_id", "book_id").agg(F.count(F.lit(1)).alias("allowed_chapters"))
+    joined = (
+        inside.select("request_id", *place, "error")
+        .join(shown, "request_id", "left")
+        .join(known.select("request_id", "chapter_analysis", "argument_flow"), "request_id", "left")
+        .join(listed, "request_id", "left")
+        .join(reached, ["session_id", "book_id"], "left")
+    )
+    ok = F.col("error").isNull()
+    empty = lambda c: F.coalesce(F.when(ok, F.col(c)), F.array().cast(joined.schema[c].dataType)).alias(c)
+    return joined.select(
+        "request_id",
+        "error",
+        "selected_block",
+        empty("nearby_blocks"),
+        F.when(ok, F.col("chapter_analysis")).alias("chapter_analysis"),
+        empty("argument_flow"),
+        empty("related_concepts"),
+        F.coalesce("allowed_chapters", F.lit(0).cast("long")).alias("allowed_chapters"),
+    )
+
+
 def append_unseen(nearby: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Nearby blocks, then retrieved blocks that are not among them."""
     new = retrieved.join(nearby.select("request_id", "block_id"), ["request_id", "block_id"], "left_anti")

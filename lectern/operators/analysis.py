@@ -139,13 +139,18 @@ def earlier_chapters(chapters: DataFrame) -> DataFrame:
     return numbered(chapters, ["book_id"], "spine_index", "place")
 
 
-def chapter_requests(chapters: DataFrame, excerpts: DataFrame, blocks: DataFrame, *, profile: str) -> DataFrame:
+def chapter_requests(
+    chapters: DataFrame, excerpts: DataFrame, blocks: DataFrame, *, profile: str, contents: DataFrame | None = None
+) -> DataFrame:
     """One request row per chapter: its blocks, its excerpts with id and text, how many chapters precede it.
 
     chapters(book_id, spine_index, title, blocks array<string>),
     excerpts(book_id, for_chapter, spine_index, ord, rank) are at most eight per
     chapter, blocks(book_id, spine_index, ord, block_id, text).  The earlier
     chapters themselves are the first ``prior_chapters`` rows of ``earlier_chapters``.
+    contents(book_id, contents) is a book's nested contents as JSON
+    (``book_document.nested_contents``); every request of the book carries it, an
+    empty array where the book has none.
     """
     content = earlier_chapters(chapters).withColumnRenamed("place", "prior_chapters")
     texts = excerpts.join(blocks.select("book_id", "spine_index", "ord", "block_id", "text"), ["book_id", "spine_index", "ord"])
@@ -154,6 +159,8 @@ def chapter_requests(chapters: DataFrame, excerpts: DataFrame, blocks: DataFrame
         F.array_sort(F.collect_list(entry)).alias("prior_excerpts")
     )
     joined = content.join(chosen, ["book_id", "spine_index"], "left")
+    if contents is not None:
+        joined = joined.join(contents.select("book_id", "contents"), "book_id", "left")
     empty = F.array().cast(chosen.schema["prior_excerpts"].dataType)
     return profile_settings(
         joined.select(
@@ -165,6 +172,7 @@ def chapter_requests(chapters: DataFrame, excerpts: DataFrame, blocks: DataFrame
             "blocks",
             "prior_chapters",
             F.coalesce("prior_excerpts", empty).alias("prior_excerpts"),
+            *([] if contents is None else [F.coalesce("contents", F.lit("[]")).alias("table_of_contents")]),
         )
     )
 
@@ -228,12 +236,29 @@ def extract_answer(context: DataFrame) -> DataFrame:
     return context.withColumn("answer", F.array_join(F.array_distinct("texts"), "\n"))
 
 
-def analyze(requests: DataFrame, analyzer: Callable[[dict], dict], key: str, check: Callable[[dict], str | None], concurrency: int | None = None) -> DataFrame:
+def calls_per_executor(calls: int, cores: int):
+    """Resource profile under which an executor of ``cores`` cores runs at most ``calls`` tasks of a stage at once.
+
+    Every other stage keeps all cores.  For cluster managers that schedule by
+    stage (standalone, YARN, Kubernetes); a local session has no executors.
+    """
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(max(1, -(-cores // max(1, calls))))).build
+
+
+def analyze(
+    requests: DataFrame, analyzer: Callable[[dict], dict], key: str, check: Callable[[dict], str | None], concurrency: int | None = None,
+    profile=None, usage: Callable[[dict], dict | None] | None = None,
+) -> DataFrame:
     """Run a plug-in analyzer over request rows.
 
     requests(key, request_json).  Each row gives (key, status, payload, error);
-    a failing request never stops the others.  The number of partitions bounds
-    how many calls run at once.
+    a failing request never stops the others.  ``profile`` (``calls_per_executor``)
+    bounds how many calls an executor makes at once, ``concurrency`` the number of
+    tasks.  With ``usage``, which takes the provider's usage out of a payload, a
+    completed call without a valid one has the status ``unknown_usage``: its
+    output stands, but nothing may be dispatched after it.
     """
     key_type = requests.schema[key].dataType.simpleString()
     rows = requests.select(key, "request_json")
@@ -247,12 +272,73 @@ def analyze(requests: DataFrame, analyzer: Callable[[dict], dict], key: str, che
                 try:
                     payload = analyzer(json.loads(text))
                     problem = check(payload)
-                    out.append((k, "invalid" if problem else "completed", json.dumps(payload, ensure_ascii=False), problem))
+                    status = "invalid" if problem else "completed"
+                    if status == "completed" and usage is not None and not usage_known(usage(payload)):
+                        status = "unknown_usage"
+                    out.append((k, status, json.dumps(payload, ensure_ascii=False), problem))
                 except Exception as error:  # recorded per request
                     out.append((k, "failed", None, str(error)))
             yield pd.DataFrame(out, columns=[key, "status", "payload", "error"], dtype=object)
 
-    return rows.mapInPandas(run, f"{key} {key_type}, status string, payload string, error string")
+    schema = f"{key} {key_type}, status string, payload string, error string"
+    return rows.mapInPandas(run, schema) if profile is None else rows.mapInPandas(run, schema, profile=profile)
+
+
+def usage_known(usage: dict | None) -> bool:
+    """Whole non-negative token numbers, no more cached than read, no cache writes."""
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
+    if not usage or not whole(usage.get("input_tokens")) or not whole(usage.get("output_tokens")):
+        return False
+    cached = usage.get("cached_input_tokens") or 0
+    return whole(cached) and cached <= usage["input_tokens"] and not usage.get("cache_write_input_tokens")
+
+
+_REF = "struct<block_id:string,start_char:bigint,end_char:bigint,text_fingerprint:string>"
+GENERATED = (
+    f"struct<concepts:array<struct<source_refs:array<{_REF}>>>,claims:array<struct<evidence:array<struct<source_ref:{_REF}>>>>,"
+    f"difficult_passages:array<struct<source_ref:{_REF}>>,entities:array<struct<source_refs:array<{_REF}>>>>"
+)
+
+
+def grounded(outputs: DataFrame, places: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Analyzer outputs with their grounding checked: an ungrounded one is ``invalid`` with its codes.
+
+    outputs as ``analyze`` gives them, places(key, book_id, spine_index),
+    blocks(book_id, block_id, spine_index, n_chars, fp).  Every citation of every
+    completed output is joined with the blocks; a claim without evidence is a code
+    of its own.  Codes are few per output however many citations it has.
+    """
+    from lectern.operators.grounding import resolve_refs
+
+    done = outputs.where("status in ('completed', 'unknown_usage')").join(places.select(key, "book_id", "spine_index"), key)
+    made = done.select(key, "book_id", F.col("spine_index").alias("max_chapter"), F.from_json("payload", GENERATED).alias("g"))
+    some = lambda c, kind: F.coalesce(F.col(f"g.{c}"), F.array().cast(kind))
+    inner = lambda refs: F.coalesce(refs, F.array().cast(f"array<{_REF}>"))
+    object_refs = f"array<struct<source_refs:array<{_REF}>>>"
+    claim = f"array<struct<evidence:array<struct<source_ref:{_REF}>>>>"
+    refs = F.concat(
+        F.flatten(F.transform(some("concepts", object_refs), lambda c: inner(c["source_refs"]))),
+        F.flatten(F.transform(some("claims", claim), lambda c: inner(F.transform(c["evidence"], lambda e: e["source_ref"])))),
+        F.transform(some("difficult_passages", f"array<struct<source_ref:{_REF}>>"), lambda x: x["source_ref"]),
+        F.flatten(F.transform(some("entities", object_refs), lambda e: inner(e["source_refs"]))),
+    )
+    cited = made.select(key, "book_id", "max_chapter", F.explode(refs).alias("r")).select(key, "book_id", "max_chapter", "r.*")
+    bare = made.where(F.exists(some("claims", claim), lambda c: F.coalesce(F.size(c["evidence"]), F.lit(0)) <= 0))
+    found = (
+        resolve_refs(cited, blocks)
+        .select(key, F.explode("codes").alias("code"))
+        .unionByName(bare.select(key, F.lit("claim_without_evidence").alias("code")))
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    )
+    bad = F.col("codes").isNotNull()
+    return outputs.join(found, key, "left").select(
+        key,
+        F.when(bad, "invalid").otherwise(F.col("status")).alias("status"),
+        "payload",
+        F.when(bad, "ungrounded").otherwise(F.col("error")).alias("error"),
+        F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
+    )
 
 
 def check_generated(payload: dict) -> str | None:

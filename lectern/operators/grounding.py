@@ -276,6 +276,28 @@ def synthesis_issues(concepts: DataFrame, claims: DataFrame, entities: DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+def book_map_issues(book_maps: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Broken rules of the books' maps as (book_id, kind, id, code); id names an unknown chapter.
+
+    book_maps(book_id, central_question, thesis, key_chapter_ids array<string>),
+    analyses(book_id, chapter_id).  A book with analyses but without a map has
+    one issue of its own.
+    """
+    rules = [
+        (blank(F.coalesce("central_question", F.lit(""))), "blank_central_question"),
+        (blank(F.coalesce("thesis", F.lit(""))), "blank_thesis"),
+        (F.coalesce(F.size("key_chapter_ids"), F.lit(0)) <= 0, "no_key_chapters"),
+    ]
+    none = F.lit(None).cast("string")
+    own = book_maps.select("book_id", none.alias("id"), F.explode(violations(rules)).alias("code"))
+    analyzed = analyses.select("book_id", F.col("chapter_id").alias("id"))
+    named = book_maps.select("book_id", F.explode(F.array_distinct("key_chapter_ids")).alias("id"))
+    unknown = named.join(analyzed, ["book_id", "id"], "left_anti").select("book_id", "id", F.lit("unknown_key_chapter").alias("code"))
+    lacking = analyses.select("book_id").distinct().join(book_maps.select("book_id"), "book_id", "left_anti")
+    rows = own.unionByName(unknown).unionByName(lacking.select("book_id", none.alias("id"), F.lit("missing_book_map").alias("code")))
+    return rows.select("book_id", F.lit("book_map").alias("kind"), "id", "code")
+
+
 def recall_deck(checkpoints: DataFrame) -> DataFrame:
     """Recall questions, then flashcards, of every checkpoint in chapter order."""
     cards = F.concat(

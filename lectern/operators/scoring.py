@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections import deque
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import basis_points
+from lectern.operators.prefix import running_before
 from lectern.rules import blank, violations
+from lectern.session import broadcast_if_small, durable, forget
 
 # Review dimensions, case dimensions, comparison labels.
 REVIEW_DIMENSIONS = ("attribution", "citation_support", "key_point_coverage", "spoiler_boundary")
@@ -392,7 +395,10 @@ def budget_admission(calls: DataFrame, limits: dict) -> DataFrame:
     ).withColumn("allowed", F.col("reason").isNull()).drop("close")
 
 
-def rate_window(requests: DataFrame, *, limit: int = 60, window_seconds: int = 60) -> DataFrame:
+CHUNK_ROWS = 1_000_000
+
+
+def rate_window(requests: DataFrame, *, limit: int = 60, window_seconds: int = 60, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Accept a request when fewer than ``limit`` were accepted in the trailing window.
 
     requests(key, ts_us, seq).  A key is cut where the outcome cannot depend on
@@ -401,7 +407,8 @@ def rate_window(requests: DataFrame, *, limit: int = 60, window_seconds: int = 6
     handed to the next segment as its starting state).  Cuts are found on
     per-window counts, so a busy key becomes many independent segments; inside
     one the fold streams over sorted rows with at most ``limit`` timestamps of
-    state.
+    state.  A segment of more than ``chunk_rows`` requests, a key that is
+    overloaded for long, is folded in chunks (``_in_chunks``).
     """
     span = window_seconds * 1_000_000
     bucketed = requests.withColumn("bucket", F.expr(f"ts_us div {span}"))
@@ -416,21 +423,29 @@ def rate_window(requests: DataFrame, *, limit: int = 60, window_seconds: int = 6
         "silent", F.coalesce(F.col("first_us") - previous("last_us") >= span, F.lit(True))
     )
     marked = marked.withColumn("after_light", F.coalesce(previous("light") & adjacent, F.lit(False)))
-    segments = marked.withColumn("segment", F.last(F.when(F.col("silent") | F.col("after_light"), F.col("bucket")), True).over(order))
+    segments = durable(
+        marked.withColumn("segment", F.last(F.when(F.col("silent") | F.col("after_light"), F.col("bucket")), True).over(order))
+    )
     warm = (
         segments.where("after_light and not silent")
         .select("key", (F.col("bucket") - 1).alias("bucket"), F.col("bucket").alias("segment"))
         .withColumn("warm", F.lit(True))
     )
     own = segments.select("key", "bucket", "segment").withColumn("warm", F.lit(False))
-    rows = (
-        bucketed.join(own.unionByName(warm), ["key", "bucket"])
-        .select("key", "segment", "ts_us", "seq", "warm")
-        .repartition("key", "segment")
-        .sortWithinPartitions("key", "segment", "ts_us", "seq")
-    )
+    rows = bucketed.join(own.unionByName(warm), ["key", "bucket"]).select("key", "segment", "ts_us", "seq", "warm")
     key_type = requests.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(_rate_fold(limit, span), f"key {key_type}, seq bigint, accepted boolean")
+    schema = f"key {key_type}, seq bigint, accepted boolean"
+    long = durable(segments.groupBy("key", "segment").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows).drop("n"))
+    if long.isEmpty():
+        return _streamed(rows, limit, span, schema)
+    side = broadcast_if_small(long)
+    chunked = _in_chunks(rows.join(side, ["key", "segment"], "left_semi"), limit, span, chunk_rows, key_type)
+    return _streamed(rows.join(side, ["key", "segment"], "left_anti"), limit, span, schema).unionByName(chunked)
+
+
+def _streamed(rows: DataFrame, limit: int, span: int, schema: str) -> DataFrame:
+    dealt = rows.repartition("key", "segment").sortWithinPartitions("key", "segment", "ts_us", "seq")
+    return dealt.mapInPandas(_rate_fold(limit, span), schema)
 
 
 def _rate_fold(limit: int, span: int):
@@ -441,18 +456,86 @@ def _rate_fold(limit: int, span: int):
             for key, segment, at, warm in zip(pdf["key"], pdf["segment"], pdf["ts_us"], pdf["warm"]):
                 if (key, segment) != current:
                     current, recent = (key, segment), deque()
-                while recent and at - recent[0] >= span:
-                    recent.popleft()
-                ok = warm or len(recent) < limit
-                if ok:
-                    recent.append(at)
-                accepted.append(ok)
+                accepted.append(_admit(recent, at, warm, limit, span))
             out = pdf[["key", "seq"]].assign(accepted=accepted)
             yield out[~pdf["warm"]]
 
     return run
 
 
+def _admit(recent: deque, at: int, warm: bool, limit: int, span: int) -> bool:
+    while recent and at - recent[0] >= span:
+        recent.popleft()
+    ok = warm or len(recent) < limit
+    if ok:
+        recent.append(at)
+    return ok
+
+
+CHUNK = ["key", "segment", "chunk"]
+SLOTS = 256  # cuts of a window at which a chunk may end
+
+
+def _in_chunks(rows: DataFrame, limit: int, span: int, chunk_rows: int, key_type: str) -> DataFrame:
+    """Overloaded segments folded chunk by chunk, all chunks at once, from assumed entry states.
+
+    A chunk is a stretch of time with about ``chunk_rows`` requests; the state
+    between two chunks is at most ``limit`` timestamps.  Every chunk is first
+    folded from no state.  Then each gets the state that the chunk before it
+    left, and only chunks whose entry has changed are folded again, until none
+    has.  A fold forgets its entry wherever traffic thins out, so few rounds are
+    needed; a key that stays saturated throughout settles one chunk a round, which
+    costs rounds but never puts more than one chunk into a task.
+    """
+    slot = max(1, span // SLOTS)
+    slotted = rows.withColumn("slot", F.expr(f"ts_us div {slot}"))
+    sizes = slotted.groupBy("key", "segment", "slot").agg(F.count(F.lit(1)).alias("n"))
+    numbered_slots = running_before(sizes, ["key", "segment"], "slot", "n", "_before")
+    chunks = numbered_slots.select("key", "segment", "slot", F.expr(f"_before div {chunk_rows}").alias("chunk"))
+    dealt = durable(slotted.join(chunks, ["key", "segment", "slot"]).drop("slot"))
+    state = f"key {key_type}, segment bigint, chunk bigint, first_us bigint, entry array<bigint>, leaving array<bigint>"
+
+    def fold(ident, pdf, given, accepted):
+        recent = deque(int(t) for t in given["entry"].iloc[0])
+        pdf = pdf.sort_values(["ts_us", "seq"], kind="stable")
+        for at, warm in zip(pdf["ts_us"].tolist(), pdf["warm"].tolist()):
+            accepted.append(_admit(recent, at, warm, limit, span))
+        return pdf, list(recent)
+
+    def states(ident, pdf, given):
+        if not len(given):
+            return pd.DataFrame(columns=["key", "segment", "chunk", "first_us", "entry", "leaving"])
+        done, recent = fold(ident, pdf, given, [])
+        first = int(done["ts_us"].iloc[0])
+        return pd.DataFrame([(*ident, first, list(given["entry"].iloc[0]), recent)], columns=["key", "segment", "chunk", "first_us", "entry", "leaving"])
+
+    def outcomes(ident, pdf, given):
+        accepted = []
+        done, _ = fold(ident, pdf, given, accepted)
+        out = done[["key", "seq"]].assign(accepted=accepted)
+        return out[~done["warm"]]
+
+    def folded(entries: DataFrame, run, schema: str) -> DataFrame:
+        wanted = dealt.join(broadcast_if_small(entries.select(*CHUNK)), CHUNK, "left_semi")
+        return wanted.groupBy(*CHUNK).cogroup(entries.groupBy(*CHUNK)).applyInPandas(run, schema)
+
+    none = F.array().cast("array<bigint>")
+    now = durable(folded(durable(dealt.select(*CHUNK).distinct().withColumn("entry", none)), states, state))
+    along = Window.partitionBy("key", "segment").orderBy("chunk")
+    while True:
+        handed = F.coalesce(F.lag("leaving").over(along), none)
+        live = F.filter(handed, lambda t: F.col("first_us") - t < span)
+        wanted = durable(now.withColumn("given", live))
+        changed = wanted.where("given <> entry").select(*CHUNK, F.col("given").alias("entry"))
+        if changed.isEmpty():
+            break
+        again = folded(durable(changed), states, state)
+        before = now
+        now = durable(now.join(changed.select(*CHUNK), CHUNK, "left_anti").unionByName(again))
+        forget(before, wanted)
+    return folded(now.select(*CHUNK, "entry"), outcomes, f"key {key_type}, seq bigint, accepted boolean")
+
+
 def usage_totals(requests: DataFrame, *, agent_micros: int, compile_micros: int) -> DataFrame:
     """Request, byte and cost totals by operation, and over all (operation null)."""
     agent = F.col("operation").isin("explain", "ask", "reflect")

@@ -14,8 +14,9 @@ NS = {
     "container": "urn:oasis:names:tc:opendocument:xmlns:container",
     "opf": "http://www.idpf.org/2007/opf",
     "dc": "http://purl.org/dc/elements/1.1/",
+    "ncx": "http://www.daisy.org/z3986/2005/ncx/",
 }
-PACKAGE_TYPE, PAGE_TYPE = "application/oebps-package+xml", "application/xhtml+xml"
+PACKAGE_TYPE, PAGE_TYPE, NCX_TYPE = "application/oebps-package+xml", "application/xhtml+xml", "application/x-dtbncx+xml"
 FOLDER = "book"
 
 
@@ -41,23 +42,41 @@ def _container() -> bytes:
     return ET.tostring(root)
 
 
-def _package(title: str, names: list[str]) -> bytes:
+def _package(title: str, names: list[str], own_navigation: bool) -> bytes:
     root = _tree("package", "opf", version="3.0")
     about = _add(root, "metadata", "opf")
     for field, value in (("title", title), ("identifier", "rows"), ("language", "en")):
         _add(about, field, "dc", value)
     listed, order = _add(root, "manifest", "opf"), _add(root, "spine", "opf")
-    _add(listed, "item", "opf", **{"id": "contents", "href": "contents.xhtml", "media-type": PAGE_TYPE, "properties": "nav"})
+    if own_navigation:
+        _add(listed, "item", "opf", **{"id": "ncx", "href": "toc.ncx", "media-type": NCX_TYPE})
+        order.set("toc", "ncx")
+    else:
+        _add(listed, "item", "opf", **{"id": "contents", "href": "contents.xhtml", "media-type": PAGE_TYPE, "properties": "nav"})
     for name in names:
         _add(listed, "item", "opf", **{"id": name, "href": f"{name}.xhtml", "media-type": PAGE_TYPE})
         _add(order, "itemref", "opf", idref=name)
     return ET.tostring(root)
 
 
-def archive(title: str, pages: dict[str, str], contents: str = "") -> bytes:
-    """EPUB bytes: a page per (name, markup) in spine order, and the markup of the contents page."""
-    parts = {"META-INF/container.xml": _container(), f"{FOLDER}/package.opf": _package(title, list(pages))}
-    parts |= {f"{FOLDER}/{name}.xhtml": document(markup) for name, markup in {"contents": contents, **pages}.items()}
+def navigation(entries: list[tuple[str, str]]) -> bytes:
+    """A package's own navigation document, one level."""
+    root = _tree("ncx", "ncx", version="2005-1")
+    points = _add(root, "navMap", "ncx")
+    for i, (label, href) in enumerate(entries):
+        point = _add(points, "navPoint", "ncx", id=f"p{i}")
+        _add(_add(point, "navLabel", "ncx"), "text", "ncx", label)
+        _add(point, "content", "ncx", src=href)
+    return ET.tostring(root)
+
+
+def archive(title: str, pages: dict[str, str], contents: str = "", ncx: bytes | None = None) -> bytes:
+    """EPUB bytes: a page per (name, markup) in spine order, and the markup of the contents page or an NCX instead."""
+    parts = {"META-INF/container.xml": _container(), f"{FOLDER}/package.opf": _package(title, list(pages), ncx is not None)}
+    held = pages if ncx is not None else {"contents": contents, **pages}
+    parts |= {f"{FOLDER}/{name}.xhtml": document(markup) for name, markup in held.items()}
+    if ncx is not None:
+        parts[f"{FOLDER}/toc.ncx"] = ncx
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
         for path, data in parts.items():
@@ -71,12 +90,34 @@ def paragraph(text: str) -> str:
     return ET.tostring(node, encoding="unicode")
 
 
-def archives(rows: DataFrame) -> DataFrame:
-    """rows(path, texts array<string>) to (path, content), one page of one paragraph per text."""
+def write_archives(rows: DataFrame, folder: str) -> int:
+    """rows(name, texts array<string>, own_navigation) to files in ``folder``; a page of one paragraph per text.
+
+    Contents name every page by its number and its first 20 characters, in a nav
+    document or the package's own navigation.  Each task writes its files.
+    """
 
     def run(batches):
-        for batch in batches:
-            made = [archive(p, {f"c{i}": paragraph(t) for i, t in enumerate(ts)}) for p, ts in zip(batch["path"], batch["texts"])]
-            yield pd.DataFrame({"path": batch["path"].tolist(), "content": made}, dtype=object)
+        from pyarrow import fs
 
-    return rows.mapInPandas(run, "path string, content binary")
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, texts, own in zip(batch["name"], batch["texts"], batch["own_navigation"]):
+                entries = [(f"{i}: {' '.join(t[:20].split())}", f"c{i}.xhtml") for i, t in enumerate(texts)]
+                items = "".join(f"<li>{link(label, href)}</li>" for label, href in entries)
+                made = archive(
+                    name, {f"c{i}": paragraph(t) for i, t in enumerate(texts)}, f'<nav epub:type="toc"><ol>{items}</ol></nav>',
+                    navigation(entries) if own else None,
+                )
+                with store.open_output_stream(f"{root}/{name}.epub") as out:
+                    out.write(made)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("name", "texts", "own_navigation").mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
+def link(label: str, href: str) -> str:
+    node = ET.Element("a", href=href)
+    node.text = label
+    return ET.tostring(node, encoding="unicode")

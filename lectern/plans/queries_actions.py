@@ -106,6 +106,57 @@ def assemble_context(spark, folder):
     )
 
 
+view(
+    "v_near_text",
+    """SELECT s.session_id, b.ord, b.block_id, substring(b.text, 1, CASE WHEN b.ord < c.end_ord THEN b.n_chars WHEN b.ord = c.end_ord THEN least(c.end_offset, b.n_chars) ELSE 0 END) AS text
+       FROM v_selection s JOIN v_coverage c ON c.session_id = s.session_id AND c.spine_index = s.spine_index
+       JOIN (SELECT *, row_number() OVER (PARTITION BY spine_index ORDER BY ord) AS pos FROM v_blocks) b ON b.spine_index = s.spine_index
+       LEFT JOIN (SELECT spine_index, block_id, row_number() OVER (PARTITION BY spine_index ORDER BY ord) AS pos FROM v_blocks) a
+         ON a.spine_index = s.spine_index AND a.block_id = s.block_id
+       WHERE CASE WHEN s.block_id IS NULL THEN b.pos <= 3 ELSE b.pos BETWEEN a.pos - 1 AND a.pos + 1 END""",
+)
+
+
+@query(
+    "request_context",
+    """WITH near AS (SELECT session_id, string_agg(block_id || ':' || text, chr(10) ORDER BY ord) AS texts, count(*) AS n FROM v_near_text WHERE text <> '' GROUP BY session_id),
+       related AS (SELECT s.session_id, string_agg(n.concept_id || '=' || k.name, ',' ORDER BY n.concept_id) AS concepts FROM (
+           SELECT request_id AS session_id, concept_id FROM (
+             SELECT s.session_id AS request_id, h.concept_id, h.book_id, bool_and(NOT n.invalid AND coalesce(n.need <= c.end_ord * 1000000 + c.end_offset, false)) AS ok
+             FROM v_selection s JOIN v_needs h ON h.spine_index = s.spine_index JOIN v_needs n ON n.book_id = h.book_id AND n.concept_id = h.concept_id
+             LEFT JOIN v_coverage c ON c.session_id = s.session_id AND c.spine_index = n.spine_index GROUP BY ALL) WHERE ok) n
+         JOIN v_selection s USING (session_id) JOIN v_concepts k USING (concept_id) GROUP BY s.session_id),
+       reach AS (SELECT session_id, count(*) AS n FROM v_coverage GROUP BY session_id)
+       SELECT s.session_id AS request_id, CASE WHEN c.session_id IS NULL THEN 'outside_boundary' END AS error,
+         t.block_id AS selected_id, sha256(t.text) AS selected_hash, coalesce(near.n, 0) AS nearby, sha256(near.texts) AS nearby_hash,
+         CASE WHEN c.session_id IS NOT NULL AND s.session_id IN (SELECT session_id FROM v_readable) THEN substring(a.joined, 1, 400) END AS deep,
+         CASE WHEN c.session_id IS NOT NULL THEN coalesce(r.concepts, '') ELSE '' END AS concepts, coalesce(reach.n, 0) AS allowed_chapters
+       FROM v_selection s LEFT JOIN v_coverage c ON c.session_id = s.session_id AND c.spine_index = s.spine_index
+       LEFT JOIN v_near_text t ON t.session_id = s.session_id AND t.block_id = s.block_id AND t.text <> '' LEFT JOIN near ON near.session_id = s.session_id
+       LEFT JOIN related r ON r.session_id = s.session_id LEFT JOIN v_analyses a ON a.spine_index = s.spine_index LEFT JOIN reach ON reach.session_id = s.session_id""",
+)
+def request_context(spark, folder):
+    """The context of every explain request: clipped blocks, analysis and concepts, each compared by its content."""
+    blocks, cover, analyses, asked, readable = _context(spark, folder)
+    near = reading.nearby_blocks(asked.select("request_id", "book_id", "spine_index", "block_id"), blocks)
+    needs = actions.concept_needs(appearances(analyses), blocks)
+    related = actions.related_concepts(asked.select("request_id", "session_id", "book_id", "spine_index"), needs, cover)
+    made = actions.assemble_context(asked, near, cover, readable, analyses, related, package.concepts(analyses))
+    line = lambda b: F.concat(b["block_id"], F.lit(":"), b["text"])
+    named = lambda c: F.concat(c["concept_id"], F.lit("="), F.get_json_object(c["concept"], "$.name"))
+    return made.select(
+        "request_id",
+        "error",
+        F.col("selected_block.block_id").alias("selected_id"),
+        F.sha2("selected_block.text", 256).alias("selected_hash"),
+        F.size("nearby_blocks").cast("long").alias("nearby"),
+        F.when(F.size("nearby_blocks") > 0, F.sha2(F.array_join(F.transform("nearby_blocks", line), "\n"), 256)).alias("nearby_hash"),
+        F.get_json_object("chapter_analysis", "$.summary.deep").alias("deep"),
+        F.array_join(F.transform("related_concepts", named), ",").alias("concepts"),
+        "allowed_chapters",
+    )
+
+
 view(
     "v_passages",
     """SELECT spine_index, block_id, arg_min('Passage: ' || substring(text, 1, 20), idx) AS explanation FROM v_ref_rows WHERE kind = 2 GROUP BY ALL""",

@@ -315,3 +315,45 @@ def block_rules(spark, folder):
     )
     limits = blocks.select("book_id").distinct().withColumn("max_spine", F.lit(180).cast("long"))
     return grounding.block_rules(blocks, limits)
+
+
+view(
+    "v_book_maps",
+    """SELECT book_id, CASE WHEN num % 5 = 1 THEN '  ' ELSE 'What does ' || book_id || ' ask?' END AS central_question,
+         CASE WHEN num % 6 = 2 THEN '' WHEN num % 6 = 4 THEN NULL ELSE first_text END AS thesis,
+         CASE WHEN num % 4 = 3 THEN [] ELSE [printf('chapter_%03d', lo + 1), printf('chapter_%03d', hi + 1 + num % 3)] END AS key_chapter_ids
+       FROM (SELECT book_id, CAST(substring(book_id, 4) AS BIGINT) AS num, min(spine_index) AS lo, max(spine_index) AS hi, arg_min(first_text, spine_index) AS first_text
+             FROM v_analyses GROUP BY book_id) WHERE num % 10 <> 9""",
+)
+
+
+def book_maps(analyses):
+    """Maps of the books: blank fields, missing and unknown key chapters, every tenth book without one."""
+    number = F.substring("book_id", 4, 9).cast("long")
+    per = analyses.groupBy("book_id").agg(
+        F.min("spine_index").alias("lo"), F.max("spine_index").alias("hi"), F.min_by("summary.one_sentence", "spine_index").alias("first")
+    )
+    name = lambda c: F.format_string("chapter_%03d", c + 1)
+    return per.where(number % 10 != 9).select(
+        "book_id",
+        F.when(number % 5 == 1, "  ").otherwise(F.format_string("What does %s ask?", "book_id")).alias("central_question"),
+        F.when(number % 6 == 2, "").when(number % 6 != 4, F.col("first")).alias("thesis"),
+        F.when(number % 4 == 3, F.array().cast("array<string>"))
+        .otherwise(F.array(name(F.col("lo")), name(F.col("hi") + number % 3)))
+        .alias("key_chapter_ids"),
+    )
+
+
+@query(
+    "book_map_rules",
+    """SELECT book_id, 'book_map' AS kind, id, code FROM (
+         SELECT book_id, CAST(NULL AS VARCHAR) AS id, 'blank_central_question' AS code FROM v_book_maps WHERE trim(central_question) = ''
+         UNION ALL SELECT book_id, NULL, 'blank_thesis' FROM v_book_maps WHERE coalesce(trim(thesis), '') = ''
+         UNION ALL SELECT book_id, NULL, 'no_key_chapters' FROM v_book_maps WHERE len(key_chapter_ids) = 0
+         UNION ALL SELECT m.book_id, m.id, 'unknown_key_chapter' FROM (SELECT DISTINCT book_id, unnest(key_chapter_ids) AS id FROM v_book_maps) m
+           WHERE NOT EXISTS (SELECT 1 FROM v_analyses a WHERE a.book_id = m.book_id AND a.chapter_id = m.id)
+         UNION ALL SELECT DISTINCT book_id, NULL, 'missing_book_map' FROM v_analyses WHERE book_id NOT IN (SELECT book_id FROM v_book_maps))""",
+)
+def book_map_rules(spark, folder):
+    analyses = package.stored_analyses(spark, folder)
+    return grounding.book_map_issues(book_maps(analyses), analyses)

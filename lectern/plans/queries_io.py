@@ -682,19 +682,44 @@ def reader_event_files(spark, folder):
     return files.read_reader_events(spark, path, feed.schema)
 
 
-@query(
-    "epub_documents",
-    """SELECT spine_index AS doc_id, count(*) AS items, CAST(NULL AS VARCHAR) AS error FROM v_blocks GROUP BY spine_index""",
-)
-def epub_documents(spark, folder):
-    """Each chapter packed as an EPUB with one item per block, then parsed."""
-    from lectern.plans.epub_rows import archives
-    from lectern.sources.epub import parse_epubs
+def _books(spark, folder):
+    """Every chapter as an EPUB file in the shared folder, one page per block; odd ones with a navigation of their own."""
+    from lectern.plans.epub_rows import write_archives
+    from lectern.sources import epub
 
-    items = corpus.chapter_items(base.chapters_raw(spark, folder)).where("size(items) > 0").select(
-        F.col("spine_index").cast("string").alias("path"), F.transform("items", lambda b: b["text"]).alias("texts")
+    path = scratch(spark)
+    items = corpus.chapter_items(base.chapters_raw(spark, folder)).where("size(items) > 0")
+    write_archives(
+        items.select(
+            F.concat(F.lit("doc-"), F.col("spine_index").cast("string")).alias("name"),
+            F.transform("items", lambda b: b["text"]).alias("texts"),
+            (F.col("spine_index") % 2 == 1).alias("own_navigation"),
+        ),
+        path if "://" in path else "file://" + path.removeprefix("file:"),
     )
-    rows = parse_epubs(archives(items)).where("not is_nav or is_nav is null")
-    return rows.groupBy(F.col("path").cast("long").alias("doc_id")).agg(
-        F.count("html").alias("items"), F.max("error").alias("error")
+    epub.register(spark)
+    rows = spark.read.format("epub").load(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return rows.withColumn("doc_id", F.regexp_extract("path", r"doc-(\d+)\.epub$", 1).cast("long"))
+
+
+view("v_pages", "SELECT spine_index AS doc_id, row_number() OVER (PARTITION BY spine_index ORDER BY ord) - 1 AS item, text FROM v_blocks")
+
+
+@query("epub_documents", "SELECT doc_id, item, sha256(text) AS text_hash, CAST(NULL AS VARCHAR) AS error FROM v_pages")
+def epub_documents(spark, folder):
+    """EPUB files read by the data source; the text of every page by its hash."""
+    rows = _books(spark, folder).where("is_nav = false or error is not null")
+    body = F.regexp_extract("html", "(?s)<body>(.*)</body>", 1)
+    return rows.select(
+        "doc_id", F.col("spine_index").alias("item"), F.sha2(T.decode_entities(T.strip_markup(body)), 256).alias("text_hash"), "error"
     )
+
+
+@query(
+    "package_toc",
+    "SELECT doc_id, item AS pos, item || ': ' || rtrim(substring(text, 1, 20)) AS label, 'c' || item || '.xhtml' AS href FROM v_pages",
+)
+def package_toc(spark, folder):
+    """Contents of EPUB files, from nav documents where there are any and from the packages' navigation elsewhere."""
+    found = markup.package_toc(_books(spark, folder))
+    return found.select(F.regexp_extract("book", r"doc-(\d+)\.epub$", 1).cast("long").alias("doc_id"), "pos", "label", "href")

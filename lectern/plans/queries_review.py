@@ -312,6 +312,26 @@ def chapter_requests(spark, folder):
     )
 
 
+@query(
+    "request_contents",
+    """SELECT c.book_id, c.spine_index, n.contents AS table_of_contents, row_number() OVER (PARTITION BY c.book_id ORDER BY c.spine_index) - 1 AS n_prior
+       FROM (SELECT DISTINCT book_id, spine_index FROM v_blocks) c JOIN v_nested n USING (book_id)""",
+)
+def request_contents(spark, folder):
+    """Requests of all chapters with the nested contents of their book."""
+    from lectern.plans import queries_io
+    from lectern.sinks import book_document
+
+    blocks = durable(base.blocks(spark, folder))
+    chapters = blocks.groupBy("book_id", "spine_index").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("b")).select(
+        "book_id", "spine_index", F.lit("").alias("title"), F.transform("b", lambda x: x["text"]).alias("blocks")
+    )
+    nested = book_document.nested_contents(queries_io.contents(spark, folder))
+    none = blocks.select("book_id", F.col("spine_index").alias("for_chapter"), "spine_index", "ord", F.lit(1).alias("rank")).where("false")
+    made = analysis.chapter_requests(chapters, none, blocks, profile="standard", contents=nested)
+    return made.select("book_id", "spine_index", "table_of_contents", F.col("prior_chapters").alias("n_prior"))
+
+
 view(
     "v_changed",
     """SELECT DISTINCT c.book_id, c.spine_index FROM v_chapter_cites c LEFT JOIN v_blocks b ON b.book_id = c.book_id AND b.block_id = c.block_id
@@ -484,6 +504,44 @@ def judge(spark, folder):
     return analysis.analyze(rows, length_judge, "packet_id", analysis.check_judgment).select("packet_id", "status", "error")
 
 
+def citing(request):
+    """Plug-in analyzer used by the query: cites every block of a chapter, some of them badly."""
+    refs = []
+    for block in request["blocks"]:
+        end = block["n"] + 5 if block["ord"] % 11 == 5 else block["n"]
+        fp = block["fp"][::-1] if block["ord"] % 13 == 6 else block["fp"]
+        name = "nowhere" if block["ord"] % 17 == 9 else block["block_id"]
+        refs.append({"block_id": name, "start_char": 0, "end_char": end, "text_fingerprint": fp})
+    text = request["title"] or "untitled"
+    return {
+        "summary": {"one_sentence": text, "short": text, "deep": text, "role_in_book": "part"},
+        "concepts": [{"source_refs": refs}],
+        "claims": [{"evidence": [] if request["spine_index"] % 7 == 3 else [{"source_ref": r} for r in refs[:2]]}],
+        "usage": None if request["spine_index"] % 5 == 2 else {"input_tokens": 10, "output_tokens": 1},
+    }
+
+
+@query(
+    "analyze_grounded",
+    """SELECT spine_index, CASE WHEN codes <> '' THEN 'invalid' WHEN spine_index % 5 = 2 THEN 'unknown_usage' ELSE 'completed' END AS status,
+         CASE WHEN codes <> '' THEN 'ungrounded' END AS error, codes FROM (
+         SELECT spine_index, concat_ws(',', CASE WHEN spine_index % 7 = 3 THEN 'claim_without_evidence' END,
+             CASE WHEN bool_or(ord % 13 = 6 AND ord % 17 <> 9) THEN 'fingerprint_mismatch' END, CASE WHEN bool_or(ord % 11 = 5 AND ord % 17 <> 9) THEN 'invalid_char_range' END,
+             CASE WHEN bool_or(ord % 17 = 9) THEN 'missing_source_ref' END) AS codes
+         FROM v_blocks GROUP BY spine_index)""",
+)
+def analyze_grounded(spark, folder):
+    """Every chapter through an analyzer, its citations joined with the blocks behind the call."""
+    blocks = base.blocks(spark, folder)
+    entry = F.struct("ord", "block_id", F.col("n_chars").alias("n"), "fp")
+    chapters = blocks.groupBy("book_id", "spine_index").agg(F.array_sort(F.collect_list(entry)).alias("blocks"))
+    named = chapters.join(base.chapters(spark, folder).select("spine_index", "title"), "spine_index")
+    rows = named.select("spine_index", F.to_json(F.struct("spine_index", "title", "blocks")).alias("request_json"))
+    outputs = durable(analysis.analyze(rows, citing, "spine_index", analysis.check_generated, usage=lambda p: p["usage"]))
+    made = analysis.grounded(outputs, chapters, blocks, "spine_index")
+    return made.select("spine_index", "status", "error", F.array_join("codes", ",").alias("codes"))
+
+
 # --- package life ---------------------------------------------------------------
 
 
@@ -641,3 +699,40 @@ def review_dashboard(chapters, analyses):
     from lectern.operators.review import book_dashboard as build
 
     return build(chapters, analyses, package.concepts(analyses), package.claims(analyses))
+
+
+view(
+    "v_published",
+    """SELECT book_no, arg_max(version_id, seq) AS version_id, max(seq) AS seq FROM (
+         SELECT book_no, event_id % 3 AS round, max(seq) AS seq, arg_max(version_id, seq) AS version_id,
+           arg_max(complete AND violations = 0 AND starts_with(version_id, left(source_hash, 16)), seq) AS ok
+         FROM (SELECT *, seq AS event_id FROM v_versions) GROUP BY ALL) WHERE ok GROUP BY book_no""",
+)
+
+
+@query(
+    "published_packages",
+    """SELECT c.book_id, p.version_id, c.spine_index AS pos, sha256(CAST(to_json({'title': c.title, 'version': p.version_id}) AS VARCHAR)) AS json_hash
+       FROM v_published p JOIN v_chapters c ON c.book_id = 'src' || p.book_no""",
+)
+def published_packages(spark, folder):
+    """Three rounds of candidates, one per book and round, written, audited and published; what readers see then."""
+    import uuid
+
+    from lectern.session import checkpoint_dir
+    from lectern.sinks import publish
+
+    root = f"{checkpoint_dir(spark)}/lectern-packages-{uuid.uuid4().hex}"
+    fields = ["version_id", "seq", "complete", "violations", "source_hash"]
+    chapters = base.chapters(spark, folder)
+    rows = versions(spark, folder)
+    for number in range(3):
+        newest = rows.where(F.col("seq") % 3 == number).groupBy("book_id").agg(F.max_by(F.struct(*fields), "seq").alias("v"))
+        candidates = newest.select(F.concat(F.lit("src"), F.col("book_id").cast("string")).alias("book_id"), "v.*")
+        documents = chapters.join(candidates.select("book_id", "version_id"), "book_id").select(
+            "book_id", "version_id", F.lit("structure.json").alias("document"), F.col("spine_index").alias("pos"),
+            F.to_json(F.struct("title", F.col("version_id").alias("version"))).alias("json"),
+        )
+        publish.run(spark, root, documents, candidates)
+    seen = publish.read_active(spark, root)
+    return seen.select("book_id", "version_id", "pos", F.sha2("json", 256).alias("json_hash"))

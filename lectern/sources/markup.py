@@ -5,10 +5,14 @@ The parser is a small per-document helper; Spark splits and moves the documents.
 
 from __future__ import annotations
 
+import posixpath
+import re
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 BLOCK_TAGS = set(HEADINGS) | set(
@@ -34,6 +38,7 @@ class _Blocks(HTMLParser):
         self.links: list[dict] = []
         self.loose_ids: list[str] = []
         self.hidden = 0
+        self.href: str | None = None
 
     # -- element handling
     def handle_starttag(self, tag, attrs):
@@ -134,7 +139,7 @@ class _Blocks(HTMLParser):
 
     def _image(self, attrs):
         src = attrs.get("src")
-        image = {"src": src, "resolved_path": src, "alt": attrs.get("alt"), "title": attrs.get("title")}
+        image = {"src": src, "resolved_path": resolved(self.href, src), "alt": attrs.get("alt"), "title": attrs.get("title")}
         for node in self.open:
             if node["tag"] == "figure" and node["image"] is None:
                 node["image"] = image
@@ -183,25 +188,41 @@ class _Blocks(HTMLParser):
         self.links, self.loose_ids = [], []
 
 
-def parse_blocks(html: str) -> list[dict]:
+def resolved(href: str | None, src: str | None) -> str | None:
+    """Path in the package of what a document at ``href`` refers to; addresses with a scheme stay as they are."""
+    if not src or href is None or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", src):
+        return src
+    path = unquote(src.split("#", 1)[0].split("?", 1)[0])
+    if path.startswith("/"):
+        return posixpath.normpath(path).lstrip("/")
+    return posixpath.normpath(posixpath.join(posixpath.dirname(href), path))
+
+
+def parse_blocks(html: str, href: str | None = None) -> list[dict]:
     parser = _Blocks()
+    parser.href = href
     parser.feed(html or "")
     return parser.finish()
 
 
-def extract_blocks(docs: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """One row per text block of each document, in document order."""
+def extract_blocks(docs: DataFrame, keys: list[str], html: str = "html", href: str | None = None) -> DataFrame:
+    """One row per text block of each document, in document order.
+
+    With ``href``, the column of the document's own path in its package, images
+    get their path in the package.
+    """
     key_schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for record in zip(*[pdf[k] for k in keys], pdf[html]):
-                for block in parse_blocks(record[-1]):
+            places = [None] * len(pdf) if href is None else pdf[href]
+            for place, *record in zip(places, *[pdf[k] for k in keys], pdf[html]):
+                for block in parse_blocks(record[-1], place):
                     rows.append(dict(zip(keys, record)) | block)
             yield pd.DataFrame(rows, columns=[*keys, *_names()], dtype=object)
 
-    return docs.select(*keys, html).mapInPandas(run, f"{key_schema}, {BLOCK_FIELDS}")
+    return docs.select(*dict.fromkeys([*keys, html, *([href] if href else [])])).mapInPandas(run, f"{key_schema}, {BLOCK_FIELDS}")
 
 
 def _names():
@@ -277,16 +298,63 @@ def parse_toc(html: str) -> list[tuple]:
     return rows
 
 
+def parse_ncx(xml: str) -> list[tuple]:
+    """The same rows from a package's own navigation document (nested navPoint elements)."""
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    root = ElementTree.fromstring(xml)
+    rows: list[tuple] = []
+
+    def entries(parent):
+        made = []
+        for point in (e for e in parent if local(e) == "navPoint"):
+            label = next((" ".join("".join(e.itertext()).split()) for e in point if local(e) == "navLabel"), "")
+            href = next((e.get("src") or "" for e in point if local(e) == "content"), "")
+            if label and href.strip():
+                made.append((label, href, entries(point)))
+        return made
+
+    def walk(found, path):
+        for i, (label, href, children) in enumerate(found):
+            rows.append(([*path, i], len(path) + 1, label, href, not children))
+            walk(children, [*path, i])
+
+    walk([x for nav in root.iter() if local(nav) == "navMap" for x in entries(nav)], [])
+    return rows
+
+
+def package_toc(documents: DataFrame) -> DataFrame:
+    """Contents of every book from rows of the EPUB source: its nav document, else the package's navigation.
+
+    A book whose nav document has no entries falls back too.
+    """
+    navs = documents.where("is_nav and html is not null").select(
+        "path", (F.col("media_type") == "application/x-dtbncx+xml").alias("own"), F.col("idref"), "html"
+    )
+    found = extract_toc(navs, ["path", "own", "idref"])
+    chosen = found.groupBy("path").agg(F.min(F.struct("own", "idref")).alias("first")).select("path", "first.*")
+    return found.join(chosen, ["path", "own", "idref"]).select(
+        F.col("path").alias("book"), "pos", F.col("path_in_tree").alias("path"), "depth", "label", "href", "is_leaf"
+    )
+
+
 def extract_toc(docs: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """Navigation entries as flat rows with their path and depth-first position."""
+    """Navigation entries as flat rows with their path and depth-first position.
+
+    XHTML navigation or NCX, by what a document holds.  Where ``path`` is a key the
+    place in the tree is ``path_in_tree``.
+    """
+    place = "path_in_tree" if "path" in keys else "path"
     key_schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for record in zip(*[pdf[k] for k in keys], pdf[html]):
-                rows += [(*record[:-1], pos, *entry) for pos, entry in enumerate(parse_toc(record[-1]))]
-            yield pd.DataFrame(rows, columns=[*keys, "pos", "path", "depth", "label", "href", "is_leaf"], dtype=object)
+                parse = parse_ncx if "<navMap" in (record[-1] or "") or ":navMap" in (record[-1] or "") else parse_toc
+                rows += [(*record[:-1], pos, *entry) for pos, entry in enumerate(parse(record[-1]))]
+            yield pd.DataFrame(rows, columns=[*keys, "pos", place, "depth", "label", "href", "is_leaf"], dtype=object)
 
-    schema = f"{key_schema}, pos bigint, path array<int>, depth bigint, label string, href string, is_leaf boolean"
+    schema = f"{key_schema}, pos bigint, {place} array<int>, depth bigint, label string, href string, is_leaf boolean"
     return docs.select(*keys, html).mapInPandas(run, schema)

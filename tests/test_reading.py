@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import actions, analysis, packages, reading, retrieval, review, scoring
@@ -123,6 +124,35 @@ def test_rate_window_segments_equal_the_plain_fold(spark):
     assert got == wanted
 
 
+@pytest.mark.parametrize("chunk_rows", [150, 320])
+def test_overloaded_key_in_chunks_equals_the_plain_fold(spark, chunk_rows, monkeypatch):
+    """One saturated key, another with lulls, ties within a microsecond; no task gets more than a chunk and a slot."""
+    rng = random.Random(chunk_rows)
+    rows, wanted = [], {}
+    for key, gaps in ((0, [0, 400_000, 900_000]), (1, [100_000, 700_000, 95_000_000])):
+        t, times = 10**12, []
+        for _ in range(700 if key == 0 else 400):
+            t += rng.choice(gaps)
+            times.append(t)
+        for at, ok in zip(times, accept(times, 5, 20_000_000)):
+            wanted[len(rows)] = ok
+            rows.append((key, at, len(rows)))
+    df = spark.createDataFrame(rows, "key long, ts_us long, seq long").repartition(6)
+    sizes = []
+    plain = scoring.durable
+
+    def seen(table):
+        made = plain(table)
+        if "chunk" in made.columns and "warm" in made.columns:
+            sizes.append(made.groupBy("key", "segment", "chunk").count().agg({"count": "max"}).first()[0])
+        return made
+
+    monkeypatch.setattr(scoring, "durable", seen)
+    got = {r.seq: r.accepted for r in scoring.rate_window(df, limit=5, window_seconds=20, chunk_rows=chunk_rows).collect()}
+    assert got == wanted
+    assert sizes and max(sizes) <= chunk_rows + 60
+
+
 def admit(calls):
     n = unknown = tin = tout = 0
     usd, out = 0.0, []
