@@ -141,7 +141,7 @@ def test_pruned_ranking_equals_scoring_everything(spark, head, monkeypatch):
     blocks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "at long, text string")
     asked = spark.createDataFrame(list(enumerate(questions)), "q long, question string")
     plain = retrieval.max_score
-    monkeypatch.setattr(retrieval, "max_score", lambda *a, **b: plain(*a, **b, head=head))
+    monkeypatch.setattr(retrieval, "max_score", lambda *a, **b: plain(*a, **b, head=head, direct=0))
     got = retrieval.rank_blocks(blocks, asked, query_key="q", block_key=["at"], position=["at"], k=5).collect()
     for q, question in enumerate(questions):
         mine = sorted((r["rank"], r["at"], r["score"]) for r in got if r["q"] == q)
