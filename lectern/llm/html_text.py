@@ -3,7 +3,8 @@
 First pass: stop-word density, length and link density decide blocks; containers
 that never hold an article (menus, forms, comments, ...) decide theirs.  Second
 pass: blocks too short or too mixed to decide take the label of the nearest
-decided block of the same container.
+decided block of the same container.  A page where nothing is surely the article
+keeps every block that is not surely something else.
 
 Input: pages with an id, a url and html.  Null and empty html give an empty text;
 markup cut off anywhere is read as far as it goes.  Every row is extracted for
@@ -58,10 +59,14 @@ BOILER_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article content main post entry story body text".split())
 
-ATTRIBUTES = r"\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-SKIP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW}){ATTRIBUTES}.*?(?:</\1\s*>|\Z)|<({SILENT}){ATTRIBUTES}.*?</\2\s*>", re.S | re.I
+# Those of them that stand even beside a word for the article.
+STRONG_NAMES = BOILER_NAMES - frozenset(
+    "header masthead banner notice notices notification legal copyright disclaimer alert discussion reply tags taglist metadata byline widget widgets aside skip overlay".split()
 )
+
+ATTRIBUTES = r"\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+SILENCE = re.compile(rf"<!--|<({RAW}){ATTRIBUTES}|<({SILENT}){ATTRIBUTES}", re.S | re.I)
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RAW.split("|"), *SILENT.split("|"))}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z")
 NAMES = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PARTS = re.compile(r"[a-z]+")
@@ -97,15 +102,45 @@ def _kind(tag: str, attributes: str, inside: bool, names: bool) -> tuple[bool, b
         if names and name in ("class", "id"):
             words.update(PARTS.findall(value))
     own = tag in ("article", "main")
-    named = words & BOILER_NAMES and not (words & ARTICLE_NAMES and not words & {"comment", "comments", "ad", "ads", "sidebar"})
+    named = words & BOILER_NAMES and not (words & ARTICLE_NAMES and not words & STRONG_NAMES)
     if tag in BOILER_TAGS or tag == "header" and not inside:
         return True, False
     return bool(named) and not own, own
 
 
+def spoken(page: str) -> str:
+    """The page without comments and elements that are never text.
+
+    An end that was once sought in vain is not sought again, so elements left
+    open cost no more than closed ones.
+    """
+    out, at, endless = [], 0, set()
+    while m := SILENCE.search(page, at):
+        name = (m[1] or m[2] or "").lower()
+        if name in endless:
+            out.append(page[at : m.end()])
+            at = m.end()
+            continue
+        if name:
+            end = ENDS[name].search(page, m.end())
+            stop = end.end() if end else None
+        else:
+            stop = page.find("-->", m.end())
+            stop = stop + 3 if stop >= 0 else None
+        if stop is None and m[2]:
+            endless.add(name)
+            out.append(page[at : m.end()])
+            at = m.end()
+            continue
+        out.append(page[at : m.start()])
+        at = len(page) if stop is None else stop
+    out.append(page[at:])
+    return "".join(out)
+
+
 def blocks_of(page: str, names: bool = True) -> list[Block]:
     """Blocks in page order, with what their containers say about them."""
-    page = SKIP.sub("", page)
+    page = spoken(page)
     stack: list[tuple[str, bool, bool, int]] = []  # tag, boiler, inside an article, number of the article's box
     found: list[Block] = []
     text: list[str] = []
@@ -176,19 +211,26 @@ def decide(found: list[Block]) -> None:
             elif b.inside and links < 0.2:
                 b.good = True
     labels = [b.good for b in found]
+    before, after = _neighbours(found, labels, 1), _neighbours(found, labels, -1)
+    # Nothing on the page is surely the article: what is not surely something else is all there is.
+    only = not any(labels) and not any(b.inside and labels[i] is None for i, b in enumerate(found))
     for i, b in enumerate(found):
         if labels[i] is not None:
             continue
-        best = None
-        for step in range(1, len(found)):
-            # A heading belongs to what follows; otherwise what precedes comes first.
-            for j in (i + step, i - step) if b.heading else (i - step, i + step):
-                if 0 <= j < len(found) and labels[j] is not None and found[j].box == b.box and not found[j].boiler:
-                    best = labels[j]
-                    break
-            if best is not None or i - step < 0 and i + step >= len(found):
-                break
-        b.good = best if best is not None else b.inside
+        near = [(abs(i - j), side, j) for side, j in ((b.heading, before[i]), (not b.heading, after[i])) if j is not None]
+        # A heading belongs to what follows; otherwise what precedes comes first.
+        b.good = True if only else labels[min(near)[2]] if near else b.inside
+
+
+def _neighbours(found: list[Block], labels: list, step: int) -> list[int | None]:
+    """For every block the nearest decided one of its box on one side, boilerplate left out."""
+    last: dict[int, int] = {}
+    out: list[int | None] = [None] * len(found)
+    for i in range(len(found))[::step]:
+        out[i] = last.get(found[i].box)
+        if labels[i] is not None and not found[i].boiler:
+            last[found[i].box] = i
+    return out
 
 
 def main_text(page: str | None) -> str:
