@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions import text as T
 from lectern.operators import corpus, grounding, reading
@@ -142,27 +143,30 @@ def jsonl_equals_book(spark, folder):
 
 @query(
     "read_packages",
-    """SELECT spine_index % 5 = 0 AS corrupt, count(*) AS n, count(*) FILTER (spine_index % 5 <> 0) AS ids FROM v_chapters WHERE spine_index % 7 <> 0 GROUP BY ALL""",
+    f"""SELECT CASE WHEN spine_index % 5 <> 0 THEN book_id END AS book_id, CASE WHEN spine_index % 5 <> 0 THEN href END AS block_id,
+         CASE WHEN spine_index % 5 <> 0 THEN spine_index END AS chapter_index, CASE WHEN spine_index % 5 <> 0 THEN title END AS text,
+         CASE WHEN spine_index % 5 = 0 THEN sha256('{{' || CAST(to_json({{'book_id': book_id, 'block_id': href, 'chapter_index': spine_index, 'text': title}}) AS VARCHAR)) END AS corrupt
+       FROM v_chapters WHERE spine_index % 7 <> 0""",
 )
 def read_packages(spark, folder):
-    """One JSON line per chapter; some lines are cut short, some are blank."""
+    """One JSON line per chapter, some cut short, some blank: every row as it is read back, broken lines by their hash."""
     path = scratch(spark)
     s = F.col("spine_index")
-    line = F.to_json(F.struct(F.col("book_id"), F.col("href").alias("block_id"), s.alias("chapter_index")))
+    line = F.to_json(F.struct(F.col("book_id"), F.col("href").alias("block_id"), s.alias("chapter_index"), F.col("title").alias("text")))
     lines = base.chapters(spark, folder).select(
         F.when(s % 7 == 0, F.lit("")).when(s % 5 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("value")
     )
     lines.write.text(path)
     rows = files.read_packages(spark, path)
-    return rows.groupBy(F.col(files.BAD).isNotNull().alias("corrupt")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("block_id").alias("ids")
-    )
+    good = F.col(files.BAD).isNull()
+    kept = [F.when(good, F.col(c)).alias(c) for c in ("book_id", "block_id", "chapter_index", "text")]
+    return rows.select(*kept, F.sha2(files.BAD, 256).alias("corrupt"))
 
 
 @query(
     "read_call_ledger",
-    """SELECT CASE WHEN k = 13 THEN 'interrupted' WHEN k % 10 = 1 THEN 'interrupted' ELSE 'completed' END AS status, count(*) AS calls,
-         count(*) FILTER (NOT (k = 13)) AS readable FROM v_events GROUP BY ALL""",
+    """SELECT CASE WHEN k <> 13 THEN CAST(event_id AS VARCHAR) END AS id, CASE WHEN k = 13 THEN 'interrupted' WHEN k % 10 = 1 THEN 'interrupted' ELSE 'completed' END AS status,
+         CASE WHEN k <> 13 THEN k * 11 END AS input_bytes FROM v_events""",
 )
 def read_call_ledger(spark, folder):
     """Call events written as JSON; some have no status, some are unreadable."""
@@ -177,8 +181,9 @@ def read_call_ledger(spark, folder):
         )
     )
     ev.select(F.when(k == 13, F.lit('{"id": ')).otherwise(body).alias("value")).write.text(path)
-    rows = files.read_call_ledger(spark, path)
-    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("calls"), F.count("input_bytes").alias("readable"))
+    # An unreadable event is named after its file.
+    known = F.when(F.col("input_bytes").isNotNull(), F.col("id"))
+    return files.read_call_ledger(spark, path).select(known.alias("id"), "status", "input_bytes")
 
 
 def suite_tables(spark, folder):
@@ -558,22 +563,44 @@ def contents_by_path(spark, folder):
 
 @query(
     "chapter_analysis_files",
-    "SELECT book_id, spine_index, chapter_id, rtrim(substring(first_text, 1, 80)) AS one_sentence FROM v_analyses",
+    """SELECT a.book_id, a.spine_index, a.chapter_id, rtrim(substring(first_text, 1, 80)) AS one_sentence, sha256(substring(joined, 1, 400)) AS deep_hash,
+         CASE WHEN a.spine_index % 10 = 3 THEN '  ' ELSE substring(first_text, 1, 160) END AS short, 'Chapter ' || a.spine_index AS role_in_book,
+         source_content_hash, array_to_string(key_ideas, '|') AS key_ideas, coalesce(r.refs, '') AS cited
+       FROM v_analyses a LEFT JOIN (SELECT spine_index, string_agg(block_id || ':' || end_char || ':' || text_fingerprint, ',' ORDER BY ord) AS refs FROM v_ref_rows WHERE kind = 0 GROUP BY spine_index) r
+         USING (spine_index)""",
 )
 def chapter_analysis_files(spark, folder):
+    """Analyses of all chapters written, one document each, and read back: texts, hashes and citations."""
     path = scratch(spark)
-    exports.write_chapter_analyses(package.chapter_analyses(spark, folder).select("book_id", "spine_index", "chapter_id", "summary"), path)
-    rows = spark.read.schema("book_id string, spine_index bigint, chapter_id string, summary struct<one_sentence:string>").json(path)
-    return rows.select("book_id", "spine_index", "chapter_id", F.rtrim("summary.one_sentence").alias("one_sentence"))
+    made = package.chapter_analyses(spark, folder).select(
+        "book_id", "spine_index", "chapter_id", "summary", "source_content_hash", "key_ideas", "concepts"
+    )
+    exports.write_chapter_analyses(made, path)
+    rows = spark.read.schema(made.schema).json(path)
+    name = lambda r: F.concat_ws(":", r["block_id"], r["end_char"].cast("string"), r["text_fingerprint"])
+    return rows.select(
+        "book_id", "spine_index", "chapter_id", F.rtrim("summary.one_sentence").alias("one_sentence"), F.sha2("summary.deep", 256).alias("deep_hash"),
+        F.col("summary.short").alias("short"), F.col("summary.role_in_book").alias("role_in_book"), "source_content_hash",
+        F.array_join("key_ideas", "|").alias("key_ideas"),
+        F.array_join(F.transform(F.col("concepts")[0]["source_refs"], name), ",").alias("cited"),
+    )
+
+
+def _stamped(df):
+    """Schema of a book-level table as it is written."""
+    return StructType([*df.schema.fields, StructField("schema_version", StringType()), StructField("source_hash", StringType())])
 
 
 @query(
     "synthesis_documents",
     """SELECT *, '0.1' AS schema_version, sha256(book_id) AS source_hash FROM (
-         SELECT book_id, 'concepts' AS document, concept_id AS id FROM v_concepts UNION ALL SELECT book_id, 'claims', claim_id FROM v_claims
-         UNION ALL SELECT book_id, 'entities', entity_id FROM v_entities UNION ALL SELECT book_id, 'checkpoints', 'checkpoint-' || spine_index FROM v_analyses
-         UNION ALL SELECT book_id, 'book_map', 'role-' || spine_index FROM v_cover WHERE subject = 'role'
-         UNION ALL SELECT book_id, 'recall_cards', id FROM v_deck)""",
+         SELECT book_id, 'concepts' AS document, concept_id AS id, name || '/' || importance || '/' || grounding AS content FROM v_concepts
+         UNION ALL SELECT c.book_id, 'claims', claim_id, substring(r.text, 1, 60) || '/' || importance || '/' || grounding || '/' || depends_on FROM v_claims c
+           JOIN v_ref_rows r ON r.spine_index = c.spine_index AND 'claim-' || r.spine_index || '-' || r.ord = c.claim_id
+         UNION ALL SELECT book_id, 'entities', entity_id, n_refs || '/grounded' FROM v_entities
+         UNION ALL SELECT book_id, 'checkpoints', 'checkpoint-' || spine_index, array_to_string(['a', 'b', 'c', 'd', 'e', 'f'][1:spine_index % 7], '') FROM v_analyses
+         UNION ALL SELECT book_id, 'book_map', 'role-' || spine_index, 'Carries the argument.' FROM v_cover WHERE subject = 'role'
+         UNION ALL SELECT book_id, 'recall_cards', id, kind FROM v_deck)""",
 )
 def synthesis_documents(spark, folder):
     """Six book-level documents written and read back, a row per object."""
@@ -591,11 +618,19 @@ def synthesis_documents(spark, folder):
         "recall_cards": grounding.recall_deck(package.checkpoints(analyses)),
     }
     exports.write_synthesis_documents(documents, hashes, "0.1", path)
+    content = {
+        "concepts": F.concat_ws("/", "name", F.col("importance").cast("string"), "grounding"),
+        "claims": F.concat_ws("/", "claim", F.col("importance").cast("string"), "grounding", F.col("depends_on")[0]),
+        "entities": F.concat_ws("/", F.size("appearances").cast("string"), "grounding"),
+        "checkpoints": F.array_join("must_understand", ""),
+        "book_map": F.col("role"),
+        "recall_cards": F.col("kind"),
+    }
     rows = [
-        spark.read.schema("book_id string, id string, schema_version string, source_hash string")
+        spark.read.schema(_stamped(df))
         .json(f"{path}/{name}")
-        .select("book_id", F.lit(name).alias("document"), "id", "schema_version", "source_hash")
-        for name in documents
+        .select("book_id", F.lit(name).alias("document"), "id", content[name].alias("content"), "schema_version", "source_hash")
+        for name, df in documents.items()
     ]
     return base.union_all(rows)
 
@@ -605,16 +640,26 @@ def synthesis_documents(spark, folder):
     "SELECT book_id, source_ref_count, error_count FROM v_report",
 )
 def eval_report_files(spark, folder):
+    path = _eval_report(spark, folder)
+    stats = spark.read.schema("book_id string, source_ref_count bigint").json(f"{path}/stats")
+    issues = exports.read_eval_issues(spark, path, "book_id string, path string, code string")
+    return stats.join(issues.groupBy("book_id").agg(F.count(F.lit(1)).alias("error_count")), "book_id")
+
+
+def _eval_report(spark, folder):
     from lectern.plans import queries_grounding as qg
 
     path = scratch(spark)
     analyses, checked = qg.resolved(spark, folder)
     unsupported = grounding.claims_without_evidence(analyses, package.claims(analyses))
-    issues = grounding.grounding_issues(checked, unsupported)
-    exports.write_eval_report(qg.report(spark, folder), issues, path)
-    stats = spark.read.schema("book_id string, source_ref_count bigint").json(f"{path}/stats")
-    errors = spark.read.schema("book_id string, code string").json(f"{path}/issues").groupBy("book_id").agg(F.count(F.lit(1)).alias("error_count"))
-    return stats.join(errors, "book_id")
+    exports.write_eval_report(qg.report(spark, folder), grounding.grounding_issues(checked, unsupported), path)
+    return path
+
+
+@query("eval_report_issues", "SELECT book_id, path, code FROM v_issues")
+def eval_report_issues(spark, folder):
+    """Every issue of the written reports as it is read back."""
+    return exports.read_eval_issues(spark, _eval_report(spark, folder), "book_id string, path string, code string")
 
 
 @query(

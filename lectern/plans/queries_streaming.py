@@ -129,7 +129,7 @@ def budget_stream(spark, folder):
 
 
 view(
-    "v_progress",
+    "v_stream_progress",
     """SELECT session_id, event_id, pos + 1 AS revision,
          CAST(sum(gained) OVER (PARTITION BY session_id ORDER BY pos) AS BIGINT) AS visible, total
        FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS pos,
@@ -145,7 +145,7 @@ view(
 @query(
     "session_progress_stream",
     """SELECT session_id, event_id, revision, visible, CASE WHEN total > 0 THEN CAST(least(10000, visible * 10000 // total) AS BIGINT) ELSE 0 END AS progress_basis_points
-       FROM v_progress""",
+       FROM v_stream_progress""",
 )
 def session_progress_stream(spark, folder):
     blocks = durable(base.blocks(spark, folder).select("book_id", "spine_index", "ord", "block_id", "n_chars"))

@@ -19,6 +19,8 @@ RECURSIVE: set[str] = set()
 
 
 def view(name: str, sql: str, recursive: bool = False) -> None:
+    if name in VIEWS:
+        raise ValueError(f"duplicate view {name}")
     VIEWS[name] = sql
     if recursive:
         RECURSIVE.add(name)

@@ -119,15 +119,29 @@ def write_chapter_analyses(analyses: DataFrame, path: str) -> None:
 
 
 def write_synthesis_documents(documents: dict[str, DataFrame], source_hash: DataFrame, version: str, path: str) -> None:
-    """Each book-level table with its schema version and source hash."""
+    """Each book-level table with its schema version and source hash; other books' documents stay."""
     for name, df in documents.items():
         rows = df.join(source_hash, "book_id", "left").withColumn("schema_version", F.lit(version))
-        rows.write.mode("overwrite").partitionBy("book_id").json(f"{path}/{name}")
+        _replacing(rows).partitionBy("book_id").json(f"{path}/{name}")
 
 
 def write_eval_report(stats: DataFrame, issues: DataFrame, path: str) -> None:
-    stats.write.mode("overwrite").json(f"{path}/stats")
-    issues.write.mode("overwrite").partitionBy("book_id").json(f"{path}/issues")
+    """Counts and issues of the evaluated books; a book without issues loses those it had, other books keep theirs."""
+    _replacing(stats).partitionBy("book_id").json(f"{path}/stats")
+    clean = stats.select("book_id").distinct().join(issues.select("book_id").distinct(), "book_id", "left_anti")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in issues.schema.fields if f.name != "book_id"]
+    rows = issues.withColumn("_none", F.lit(False)).unionByName(clean.select("book_id", *none, F.lit(True).alias("_none")))
+    _replacing(rows).partitionBy("book_id").json(f"{path}/issues")
+
+
+def read_eval_issues(spark, path: str, schema: str) -> DataFrame:
+    """The issues of all books that have been evaluated."""
+    return spark.read.schema(f"{schema}, _none boolean").json(f"{path}/issues").where("not _none").drop("_none")
+
+
+def _replacing(df: DataFrame):
+    """Writer that replaces the books it is given and no others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
 def export_scope(chapters: DataFrame, requests: DataFrame, covered: DataFrame) -> DataFrame:
