@@ -128,6 +128,8 @@ def json_diff(pairs: DataFrame, key: str, limit: int = DIFF_LIMIT) -> DataFrame:
         F.parse_json("left_json").alias("l"),
         F.parse_json("right_json").alias("r"),
     )
+    # A scan may open values before the filter on their kind has left others out.
+    opened = lambda c, kind: F.try_variant_get(c, "$", kind).alias(c)
     leaves = None
     while True:
         level = durable(rows.withColumn("kl", _kind(F.col("l"))).withColumn("kr", _kind(F.col("r"))))
@@ -139,7 +141,7 @@ def json_diff(pairs: DataFrame, key: str, limit: int = DIFF_LIMIT) -> DataFrame:
         found = level.where(~objects & ~arrays & ~equal).select(key, "path", "place", left.alias("left"), right.alias("right"))
         leaves = found if leaves is None else leaves.unionByName(found)
         fields = level.where(objects).select(
-            key, "path", "place", F.col("l").cast("map<string,variant>").alias("l"), F.col("r").cast("map<string,variant>").alias("r")
+            key, "path", "place", opened("l", "map<string,variant>"), opened("r", "map<string,variant>")
         )
         fields = fields.select("*", F.explode(F.array_union(F.map_keys("l"), F.map_keys("r"))).alias("name")).select(
             key,
@@ -149,7 +151,7 @@ def json_diff(pairs: DataFrame, key: str, limit: int = DIFF_LIMIT) -> DataFrame:
             F.try_element_at("r", F.col("name")).alias("r"),
         )
         items = level.where(arrays).select(
-            key, "path", "place", F.col("l").cast("array<variant>").alias("l"), F.col("r").cast("array<variant>").alias("r")
+            key, "path", "place", opened("l", "array<variant>"), opened("r", "array<variant>")
         )
         longest = F.greatest(F.size("l"), F.size("r"))
         items = items.where(longest > 0).select("*", F.explode(F.sequence(F.lit(0), longest - 1)).alias("at")).select(
