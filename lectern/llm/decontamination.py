@@ -3,7 +3,8 @@
 A document holds an item when enough of the item's windows occur in it with
 consistent slots: along one alignment, equal values of the item stand for equal
 values in the document.  Equal values are a plain copy; other values are the
-same question with new parameters.
+same question with new parameters.  Where equal values of the item stand for
+different ones, only windows that are plain copies count.
 
 Input: documents and benchmark items with an id and a text.  Null, empty and
 blank texts have no words and match nothing; an item of fewer words than a window
@@ -22,6 +23,7 @@ from lectern.llm.common import empty_text, stored
 
 WINDOW = 5
 LEAST_SHARE = 0.4  # of an item's windows
+STRETCH = 1024  # window starts that share a row
 BROADCAST_WINDOWS = 500_000  # windows of the benchmark (about 100 bytes each) that may be sent to every executor
 
 # Units that may follow a number.
@@ -83,21 +85,27 @@ def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> D
 def matched_windows(docs: DataFrame, windows: DataFrame, lengths: list[int], small: bool, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, item_id, windows, ipos, shift, ivals, dvals): every window of every document that is one of an item's."""
     rows = docs.select(F.col(id_col).alias("doc_id"), marked_words(empty_text(text_col)).alias("w")).where("doc_id is not null")
-    rows = rows.withColumn("hs", word_hashes(F.col("w")))
     found = None
     for length in lengths:
         side = windows.where(F.col("len") == length).drop("len")
-        seen = rows.select("doc_id", "w", F.posexplode(window_hashes(F.col("hs"), length)).alias("pos", "h"))
+        # A window takes the words of its stretch along, so a long text costs no more than many short ones.
+        starts = F.when(F.size("w") >= length, F.sequence(F.lit(0), F.size("w") - length, F.lit(STRETCH))).otherwise(
+            F.array().cast("array<int>")
+        )
+        cut = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("w", s + 1, STRETCH + length - 1).alias("w")))
+        stretches = rows.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.first", "c.w")
+        # The hashes are a column of their own: inside the windows they would be made anew for every word.
+        hashed = stretches.withColumn("hs", word_hashes(F.col("w")))
+        seen = hashed.select("doc_id", "first", "w", F.posexplode(window_hashes(F.col("hs"), length)).alias("pos", "h"))
         if small:
-            # The words of the document ride along unread; only a match copies its window.
+            # The words ride along unread; only a match copies its window.
             joined = seen.join(F.broadcast(side), "h")
             values = F.slice("w", F.col("pos") + 1, length)
         else:
-            seen = seen.select("doc_id", "pos", "h", F.slice("w", F.col("pos") + 1, length).alias("dw"))
+            seen = seen.select("doc_id", "first", "pos", "h", F.slice("w", F.col("pos") + 1, length).alias("dw"))
             joined, values = seen.join(side, "h"), F.col("dw")
-        part = joined.select(
-            "doc_id", "item_id", "windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "ivals", values.alias("dvals")
-        )
+        shift = F.col("first") + F.col("pos") - F.col("ipos")
+        part = joined.select("doc_id", "item_id", "windows", "ipos", shift.alias("shift"), "ivals", values.alias("dvals"))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -124,11 +132,14 @@ def contaminated(
     matches = matches.where((literal >= F.least(F.size("ivals"), F.lit(2))) | (F.col("ivals") == F.col("dvals")))
     along = matches.groupBy("doc_id", "item_id", "windows", "shift").agg(
         F.collect_set("ipos").alias("at"),
+        F.collect_set(F.when(F.col("ivals") == F.col("dvals"), F.col("ipos"))).alias("same"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     values = F.size(F.array_distinct(F.transform("slots", lambda p: p["ivals"])))
-    along = along.where(values == F.size("slots")).withColumn("new", F.exists("slots", lambda p: p["ivals"] != p["dvals"]))
-    whole = along.select("doc_id", "item_id", "windows", "new", F.explode("at").alias("ipos"))
+    # Where a slot stands for two values, only windows that are plain copies count.
+    steady = values == F.size("slots")
+    along = along.withColumn("new", steady & F.exists("slots", lambda p: p["ivals"] != p["dvals"]))
+    whole = along.select("doc_id", "item_id", "windows", "new", F.explode(F.when(steady, F.col("at")).otherwise(F.col("same"))).alias("ipos"))
     return (
         whole.groupBy("doc_id", "item_id", "windows")
         .agg(F.countDistinct("ipos").alias("matched_windows"), F.max("new").alias("new_values"))
