@@ -132,7 +132,7 @@ def ranked_plainly(texts, question, k):
     return [(i, -s) for s, i in sorted(x for x in scored if x[0] < 0)[:k]]
 
 
-@pytest.mark.parametrize("head", [1, 8, 10_000])
+@pytest.mark.parametrize("head", [1, 10_000])
 def test_pruned_ranking_equals_scoring_everything(spark, head, monkeypatch):
     rng = random.Random(head)
     weights = [1 / (i + 1) for i in range(60)]

@@ -124,7 +124,7 @@ def test_rate_window_segments_equal_the_plain_fold(spark):
     assert got == wanted
 
 
-@pytest.mark.parametrize("chunk_rows", [150, 320])
+@pytest.mark.parametrize("chunk_rows", [250])
 def test_overloaded_key_in_chunks_equals_the_plain_fold(spark, chunk_rows, monkeypatch):
     """One saturated key, another with lulls, ties within a microsecond; no task gets more than a chunk and a slot."""
     rng = random.Random(chunk_rows)
