@@ -32,7 +32,7 @@ def test_a_template_with_two_values_for_one_slot_is_not_the_item(spark):
     assert found(spark, [(1, changed.replace("Naples", "Rome"))]) == {(1, 1): (len(ITEM.split()) - 4, len(ITEM.split()) - 4, True)}
 
 
-@pytest.mark.parametrize("stretch", [1, 3, 7, 64])
+@pytest.mark.parametrize("stretch", [1, 7])
 def test_stretches_change_nothing(spark, monkeypatch, stretch):
     filler = " ".join(f"word{i}" for i in range(50))
     docs = [(i, f"{' '.join(filler.split()[:i])} {ITEM} {filler} {ITEMS[1][1]}") for i in range(0, 12)] + [(50, None), (51, ""), (52, "one two")]
@@ -45,13 +45,10 @@ def test_stretches_change_nothing(spark, monkeypatch, stretch):
 def test_a_long_text_costs_in_proportion(spark):
     def seconds(words):
         text = " ".join(f"w{i % 5000}" for i in range(words)) + " " + ITEMS[1][1]
-        best = []
-        for _ in range(2):
-            start = time.perf_counter()
-            assert (1, 2) in found(spark, [(1, text)])
-            best.append(time.perf_counter() - start)
-        return min(best)
+        start = time.perf_counter()
+        assert (1, 2) in found(spark, [(1, text)])
+        return time.perf_counter() - start
 
     seconds(1000)
-    short, long = seconds(40_000), seconds(320_000)
+    short, long = seconds(20_000), seconds(160_000)
     assert long < 8 * short + 5
