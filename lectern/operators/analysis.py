@@ -199,20 +199,17 @@ def synthesis_chapters(analyses: DataFrame) -> DataFrame:
 
 
 def registration_analysis(chapters: DataFrame) -> DataFrame:
-    """Deterministic placeholder analysis that proves the package path.
-
-    The four sentences are fixed values.
-    """
+    """Analysis without a model: the same four sentences for every chapter, so that a package can be made and checked."""
     label = F.when(blank(F.col("title")), F.col("chapter_id")).otherwise(F.col("title"))
     return chapters.withColumn(
         "summary",
         F.struct(
-            F.format_string("Offline registration baseline for %s.", label).alias("one_sentence"),
-            F.format_string("Deterministic placeholder summary for %s.", label).alias("short"),
+            F.format_string("No model has read %s.", label).alias("one_sentence"),
+            F.format_string("Nothing has been written about %s yet.", label).alias("short"),
             F.format_string(
-                "This placeholder proves the package and Studio registration path; it is not a quality judgment of %s.", label
+                "The text of %s stands as it is; this entry only keeps its place in the package.", label
             ).alias("deep"),
-            F.lit("Preserves chapter order for the offline registration baseline.").alias("role_in_book"),
+            F.lit("Keeps the order of the chapters.").alias("role_in_book"),
         ),
     )
 

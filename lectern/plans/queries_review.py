@@ -440,7 +440,7 @@ def earlier_chapters(spark, folder):
 
 @query(
     "registration_analysis",
-    """SELECT spine_index, 'Deterministic placeholder summary for ' || CASE WHEN title = '' THEN printf('chapter_%03d', spine_index + 1) ELSE title END || '.' AS short,
+    """SELECT spine_index, 'Nothing has been written about ' || CASE WHEN title = '' THEN printf('chapter_%03d', spine_index + 1) ELSE title END || ' yet.' AS short,
          'Source-only baseline: no precomputed interpretation.' AS source_only FROM v_chapters WHERE NOT is_noise""",
 )
 def registration_analysis(spark, folder):

@@ -30,7 +30,7 @@ def test_merge_paragraphs_matches_a_plain_loop(spark):
     long = "x" * 700
     cases = [
         ["The road", "went on", "and on.", "then stopped", "here"],
-        ["青铜，", "罗盘", "米拉。", "x"],
+        ["茶壶，", "灯笼", "船夫。", "x"],
         [f"A {long}", long, long, long, "tail"],
         ["One."],
         [],
