@@ -78,6 +78,54 @@ def test_byte_budget_continues_past_the_head(spark):
         assert sorted(r["rank"] for r in got if r.request_id == request) == ranks
 
 
+def test_scopes_are_ranked_in_cells_without_a_row_per_match(spark, monkeypatch):
+    """Budgets, ranks and ties against brute force; scoring everything into rows is not on the way."""
+    rng = random.Random(5)
+    texts = {
+        scope: [" ".join(rng.choices([f"w{i}" for i in range(12)], k=rng.choice([2, 3, 40, 90]))) for _ in range(n)]
+        for scope, n in (("b:big", 150), ("s:u1", 20))
+    }
+    asked = [(f"r{i}", rng.choice(list(texts)), " ".join(rng.sample([f"w{i}" for i in range(14)], 4))) for i in range(10)]
+    candidates = spark.createDataFrame(
+        [(s, i // 10, i % 10, f"{s}{i}", "f", len(t), t) for s, rows in texts.items() for i, t in enumerate(rows)],
+        "scope_id string, spine_index long, ord long, block_id string, fp string, visible long, text string",
+    )
+    bounds = spark.createDataFrame(
+        [(r, s, q, None) for r, s, q in asked], "request_id string, scope_id string, question string, error string"
+    )
+    monkeypatch.setattr(retrieval, "top_ranked", lambda found, *a, plain=retrieval.top_ranked: plain(few(found), *a))
+    shown = []
+
+    def few(found):
+        shown.append(found.count())
+        return found
+
+    scores = retrieval.ScopeScores.__init__
+    monkeypatch.setattr(retrieval.ScopeScores, "__init__", lambda self, *a: scores(self, *a, cell=200))
+    for limit in (800, 3000, 1_000_000):
+        shown.clear()
+        evidence, matched = reading.retrieve_matched(bounds, candidates, context_limit=limit, head=4)
+        got = {(r.request_id, r["rank"], r.block_id, r.score) for r in evidence.collect()}
+        wanted, some = set(), set()
+        for r, s, q in asked:
+            ranked = rank_by_hand_whole(texts[s], q)
+            some |= {r} if ranked else set()
+            for rank in greedy([len(texts[s][i]) for i, _ in ranked], limit // 2):
+                at, score = ranked[rank - 1]
+                wanted.add((r, rank, f"{s}{at}", score))
+        assert got == wanted
+        assert {r.request_id for r in matched.collect()} == some
+        # At most four blocks per request and cell in a round: far from every match of every request.
+        assert max(shown) <= 4 * 40 * len(asked)
+
+
+def rank_by_hand_whole(texts, question):
+    docs = [set(t.split()) for t in texts]
+    df = {t: sum(t in d for d in docs) for t in set(question.split())}
+    scored = [(-sum(100_000 // (df[t] + 1) for t in df if t in d), i) for i, d in enumerate(docs)]
+    return [(i, -s) for s, i in sorted(x for x in scored if x[0] < 0)]
+
+
 def test_visible_chars_and_progress(spark):
     rows = [("b", 0, o, f"b{o}", "f", n) for o, n in enumerate([10, 20, 30])] + [("b", 1, 0, "c0", "f", 40)]
     blocks = spark.createDataFrame(rows, "book_id string, spine_index long, ord long, block_id string, fp string, n_chars long")
