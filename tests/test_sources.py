@@ -60,6 +60,15 @@ def test_rewriting_a_chapter_leaves_the_others(spark, tmp_path):
     assert {(r.book_id, r.chapter_id, r.note) for r in rows} == {("A", "chapter_001", "old"), ("A", "chapter_002", "new"), ("B", "chapter_001", "old")}
 
 
+def test_files_of_chapter_analyses_do_not_grow_with_the_chapters(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("'A' as book_id", "id as spine_index", "concat('c', id) as chapter_id", "if(id % 2 = 0, 'old', null) as note")
+    exports.write_chapter_analyses(rows, str(tmp_path / "out"))
+    exports.write_chapter_analyses(rows.where("spine_index < 40").selectExpr("book_id", "spine_index", "chapter_id", "'new' as note", "1 as more"), str(tmp_path / "out"))
+    assert len({p.parent for p in (tmp_path / "out").rglob("part-*")}) <= exports.ANALYSIS_BUCKETS
+    got = {r.chapter_id: (r.note, r.more) for r in spark.read.schema("book_id string, chapter_id string, note string, more int").json(str(tmp_path / "out")).collect()}
+    assert got == {f"c{i}": ("new", 1) if i < 40 else ("old" if i % 2 == 0 else None, None) for i in range(3000)}
+
+
 def test_package_lines_report_bad_ones_and_skip_blanks(spark, tmp_path):
     (tmp_path / "blocks.jsonl").write_text('{"block_id": "a", "chapter_index": 0}\n\n{"block_id": "b"\n')
     rows = files.read_packages(spark, str(tmp_path)).cache()
