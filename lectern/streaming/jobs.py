@@ -16,7 +16,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lectern.functions.numbers import wall_micros
 from lectern.session import checkpoint_dir
-from lectern.streaming.processors import Budget, Coverage, Jobs, Progress, RateLimit, stateful
+from lectern.streaming.processors import Budget, Jobs, Progress, RateLimit, stateful
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -143,26 +143,24 @@ def job_state_stream(events: DataFrame, *, keep_seconds: int | None = None, dela
 
 
 def session_progress_stream(patches: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Progress of a session after every accepted patch, from two chained stateful steps.
+    """Progress of a session after every accepted patch, from one stateful step.
 
     patches(session_id, book_id, seq, ts_us, spine_index, ord?, char_offset?,
     is_read).  Against the static prefix table of chapters a read location becomes
-    a number of characters.  State per session and chapter turns it into what the
-    patch adds, state per session into the progress.  Late and repeated patches
-    add nothing but their revision.
+    a number of characters.  The state of a session holds how far each of its
+    chapters has been read, which turns it into what the patch adds, and the
+    progress.  Late and repeated patches add nothing but their revision.
     """
     from lectern.operators.reading import BLOCK, book_chars, chapter_prefix
 
     prefix = chapter_prefix(blocks).select(*BLOCK, "n_chars", "chars_before")
     place = F.col("chars_before") + F.least(F.coalesce("char_offset", F.lit(0)), F.col("n_chars"))
     rows = patches.join(prefix, BLOCK, "left").join(book_chars(blocks), "book_id", "left").select(
-        "session_id", "book_id", "spine_index", "seq", "ts_us", F.when(F.col("is_read"), place).cast("long").alias("reach"), "total"
-    )
-    added = stateful(
-        rows, Coverage(), "session_id string, book_id string, spine_index bigint, ts_us bigint, seq bigint, gained bigint, total bigint"
+        "session_id", "book_id", F.col("spine_index").cast("string").alias("chapter"), "seq", "ts_us",
+        F.when(F.col("is_read"), place).cast("long").alias("reach"), "total",
     )
     return stateful(
-        added, Progress(), "session_id string, book_id string, seq bigint, visible bigint, progress_basis_points bigint, revision bigint"
+        rows, Progress(), "session_id string, book_id string, seq bigint, visible bigint, progress_basis_points bigint, revision bigint"
     )
 
 

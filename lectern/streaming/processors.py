@@ -170,7 +170,11 @@ class Budget(Ordered):
         self.totals = handle.getValueState("totals", "n long, unknown long, tokens_in long, tokens_out long, nano long")
 
     def start(self):
-        self.now = [int(x) for x in self.totals.get()] if self.totals.exists() else [0] * 5
+        known = self.totals.exists()
+        self.now = [int(x) for x in self.totals.get()] if known else [0] * 5
+        # Only admitted calls are held, at most ``max_invocations`` of them.
+        self.held = {k[0]: bool(v[0]) for k, v in self.calls.iterator()} if known else {}
+        self.changed = set()
 
     def step(self, row):
         reason = self.reserve(row) if row.kind == "reserve" else self.settle(row)
@@ -179,7 +183,7 @@ class Budget(Ordered):
     def reserve(self, row) -> str | None:
         n, unknown, tokens_in, tokens_out, nano = self.now
         limits = self.limits
-        if self.calls.containsKey((row.call_id,)):
+        if row.call_id in self.held:
             return "duplicate_invocation"
         if row.input_bytes > limits["max_request_bytes"]:
             return "request_bytes"
@@ -193,23 +197,28 @@ class Budget(Ordered):
             return "reported_output_token_threshold"
         if nano >= self.stop_nano:
             return "estimated_cost_threshold"
-        self.calls.updateValue((row.call_id,), (True,))
+        self.mark(row.call_id, True)
         self.now[0] += 1
         self.now[1] += 1
         return None
 
     def settle(self, row) -> str | None:
-        held = self.calls.getValue((row.call_id,)) if self.calls.containsKey((row.call_id,)) else None
-        if held is None or not held[0]:
+        if not self.held.get(row.call_id):
             return "settled_or_missing"
-        self.calls.updateValue((row.call_id,), (False,))
+        self.mark(row.call_id, False)
         if row.known:
             self.now[1] -= 1
             for i, x in ((2, row.tokens_in), (3, row.tokens_out), (4, row.nano_usd)):
                 self.now[i] += int(x)
         return None
 
+    def mark(self, call_id, is_open: bool) -> None:
+        self.held[call_id] = is_open
+        self.changed.add(call_id)
+
     def finish(self):
+        for call_id in self.changed:
+            self.calls.updateValue((call_id,), (self.held[call_id],))
         self.totals.update(tuple(self.now))
 
     def forget(self):
@@ -249,52 +258,41 @@ class Jobs(Ordered):
         self.job.clear()
 
 
-class Coverage(Ordered):
-    """Characters that each patch adds to what its session has read of a chapter."""
-
-    keys, columns = ("session_id", "book_id", "spine_index"), ("ts_us", "seq", "gained", "total")
-
-    def opened(self, handle):
-        self.reach = handle.getValueState("reach", "chars long")
-
-    def start(self):
-        self.read = int(self.reach.get()[0]) if self.reach.exists() else 0
-
-    def step(self, row):
-        gained = 0
-        if pd.notna(row.reach) and row.reach > self.read:
-            gained, self.read = int(row.reach) - self.read, int(row.reach)
-        return row.ts_us, row.seq, gained, row.total
-
-    def finish(self):
-        self.reach.update((self.read,))
-
-    def forget(self):
-        self.reach.clear()
-
-
 class Progress(Ordered):
-    """Progress and revision of a session after each of its patches."""
+    """Progress and revision of a session after each of its patches.
+
+    State: the totals, and per chapter the characters read, which is read and written at once.
+    """
 
     keys, columns = ("session_id", "book_id"), ("seq", "visible", "progress_basis_points", "revision")
 
     def opened(self, handle):
         self.totals = handle.getValueState("totals", "visible long, revision long")
+        self.reach = handle.getListState("reach", "chapter string, chars long")
 
     def start(self):
-        self.visible, self.revision = (int(x) for x in self.totals.get()) if self.totals.exists() else (0, 1)
+        known = self.totals.exists()
+        self.visible, self.revision = (int(x) for x in self.totals.get()) if known else (0, 1)
+        self.read = {c: int(n) for c, n in self.reach.get()} if known and self.reach.exists() else {}
+        self.further = False
 
     def step(self, row):
-        self.visible += int(row.gained)
+        if pd.notna(row.reach) and row.reach > self.read.get(row.chapter, 0):
+            self.visible += int(row.reach) - self.read.get(row.chapter, 0)
+            self.read[row.chapter] = int(row.reach)
+            self.further = True
         self.revision += 1
         points = min(10_000, self.visible * 10_000 // int(row.total)) if pd.notna(row.total) and row.total else 0
         return row.seq, self.visible, points, self.revision
 
     def finish(self):
         self.totals.update((self.visible, self.revision))
+        if self.further:
+            self.reach.put(list(self.read.items()))
 
     def forget(self):
         self.totals.clear()
+        self.reach.clear()
 
 
 def stateful(stream, processor: Ordered, schema: str):

@@ -208,3 +208,71 @@ def test_a_restart_without_its_last_commit_replays_the_epoch(spark, tmp_path):
     jobs.run_routes(routed(), root)
     for route, ids in (("accepted", [1, 3]), ("rejected", [2, 4])):
         assert sorted(r["id"] for r in jobs.read_route(spark, root, route, routed().schema).collect()) == ids
+
+
+def test_progress_is_one_stateful_step(spark, tmp_path):
+    """A session's chapters share its state, over several micro-batches too."""
+    patches = "session_id string, book_id string, seq long, ts_us long, spine_index long, ord long, char_offset long, is_read boolean"
+    first = [("s", "b", 1, 10, 0, 1, 5, True), ("s", "b", 2, 20, 1, 0, 4, True), ("s", "b", 3, 30, 0, 0, 3, True), ("t", "c", 4, 5, 9, 0, 1, False)]
+    second = [("s", "b", 5, 40, 0, 1, 7, True), ("s", "b", 6, 50, 1, 0, 9, True), ("s", "b", 7, 60, 2, 0, 9, True)]
+    for n, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, patches).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+    blocks = spark.createDataFrame(
+        [("b", 0, 0, 10), ("b", 0, 1, 10), ("b", 1, 0, 20)], "book_id string, spine_index long, ord long, n_chars long"
+    )
+    stream = spark.readStream.schema(patches).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    made = jobs.session_progress_stream(stream, blocks)
+    assert made._jdf.queryExecution().logical().toString().count("TransformWithStateInPySpark") == 1
+    got = {r["seq"]: (r["visible"], r["revision"], r["progress_basis_points"]) for r in jobs.run_available(made, "append").collect()}
+    assert got == {1: (15, 2, 3750), 2: (19, 3, 4750), 3: (19, 4, 4750), 4: (0, 2, 0), 5: (21, 5, 5250), 6: (26, 6, 6500), 7: (26, 7, 6500)}
+
+
+def test_budget_reads_the_calls_of_a_run_at_once():
+    from lectern.streaming.processors import Budget
+
+    class State:
+        def __init__(self):
+            self.asked = 0
+            self.rows, self.value = {}, None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def iterator(self):
+            self.asked += 1
+            return iter([((k,), v) for k, v in self.rows.items()])
+
+        def containsKey(self, key):  # noqa: N802
+            self.asked += 1
+            return key[0] in self.rows
+
+        def getValue(self, key):  # noqa: N802
+            self.asked += 1
+            return self.rows[key[0]]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.rows[key[0]] = value
+
+    from types import SimpleNamespace
+
+    limits = {
+        "max_request_bytes": 10, "max_invocations": 3, "stop_after_input_tokens": 99, "stop_after_output_tokens": 99, "stop_after_estimated_usd": 1,
+    }
+    run = Budget(limits)
+    run.calls, run.totals = State(), State()
+    row = lambda seq, kind, call, known=True: SimpleNamespace(
+        seq=seq, kind=kind, call_id=call, input_bytes=1, known=known, tokens_in=1, tokens_out=1, nano_usd=1
+    )
+    reasons = []
+    for batch in ([row(1, "reserve", "a"), row(2, "reserve", "b")], [row(3, "settle", "a"), row(4, "settle", "a"), row(5, "reserve", "a"), row(6, "reserve", "b")]):
+        run.start()
+        reasons += [run.step(r)[3] for r in batch]
+        run.finish()
+    assert reasons == [None, "unaccounted_invocation", None, "settled_or_missing", "duplicate_invocation", None]
+    assert run.calls.rows == {"a": (False,), "b": (True,)} and run.calls.asked == 1
