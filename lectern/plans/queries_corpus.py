@@ -137,7 +137,7 @@ def repeated_boundary_lines(spark, folder):
 
 @query("boundary_line_removal", "SELECT spine_index, ord, text FROM v_kept")
 def boundary_line_removal(spark, folder):
-    chapters = items(spark, folder)
+    chapters = durable(items(spark, folder))
     kept = corpus.drop_boundary_lines(chapters, corpus.repeated_boundary_lines(chapters, *RATIO))
     return kept.select("spine_index", F.explode("items").alias("b")).select("spine_index", "b.ord", "b.text")
 
