@@ -68,3 +68,20 @@ def test_visible_chars_of_wanted_blocks_only(spark):
     expected = whole.join(wanted.distinct(), keys, "left_semi").select(*keys, "ord", "visible")
     assert sorted(some.select(*keys, "ord", "visible").collect()) == sorted(expected.collect())
     assert some.where(F.col("session_id") == "s").select("visible").collect() == [(2,)]
+
+
+@pytest.mark.parametrize("name", ["analysis_view", "partition_check", "section_blocks", "rejected_overlays"])
+def test_sections_derive_blocks_once(monkeypatch, spark, folder, name):
+    _, calls = derived(monkeypatch, spark, folder, name)
+    assert calls["blocks"] == 1
+
+
+@pytest.mark.parametrize("name", ["eval_report_files", "eval_metrics", "evaluate_packages", "studio_snapshot", "metric_baseline"])
+def test_reports_derive_blocks_and_analyses_once(monkeypatch, spark, folder, name):
+    rows, calls = derived(monkeypatch, spark, folder, name)
+    assert calls == {"blocks": 1, "analyses": 1} and rows
+
+
+def test_packages_derive_shared_tables_once(monkeypatch, spark, folder):
+    rows, calls = derived(monkeypatch, spark, folder, "validate_packages")
+    assert calls == {"blocks": 1, "analyses": 1} and rows
