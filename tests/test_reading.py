@@ -315,6 +315,23 @@ def test_nothing_of_another_book_is_visible(spark):
     assert offered == {("s:s", "A ope")} | {("c:A:0", t[4]) for t in TWO[:2]} | {("c:B:0", t[4]) for t in TWO[2:]}
 
 
+def test_excluded_chapters_are_not_shuffled_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(reading, "LISTED", 2)
+    books = [("A", i, i == 4) for i in range(7)] + [("A", 6, False), ("A", None, False), ("B", 0, False), (None, 1, False)]
+    chapters = spark.createDataFrame(books, "book_id string, spine_index long, is_noise boolean")
+    readers = [("s", "A"), ("s", "A"), ("t", "B"), (None, "A"), ("u", None), ("v", "C")]
+    sessions = spark.createDataFrame(readers, "session_id string, book_id string")
+    seen = [("s", "A", 0), ("s", "A", 6), ("s", "B", 0), ("t", "A", 1), (None, "A", 2)]
+    cover = spark.createDataFrame(seen, "session_id string, book_id string, spine_index long")
+    found = reading.excluded_chapters(sessions, chapters, cover)
+    expected = [(s, b, i) for s, b in readers for c, i, noise in books
+                if b is not None and b == c and not noise and not (s is not None and (s, b, i) in seen)]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(expected, key=key)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftAnti" not in plan and plan.index("Generate") < plan.index("Join")
+
+
 def test_rejected_patches_do_not_move_a_session(spark):
     rows = [("s", 1, 10, 0, 0, 1, None, True, None), ("s", 2, 20, 9, None, None, None, True, "unknown_chapter"), ("s", 3, 30, None, None, None, "full_book", False, None)]
     feed = spark.createDataFrame(rows, "session_id string, event_id long, ts long, spine_index long, ord long, char_offset long, mode string, is_location boolean, error string")
