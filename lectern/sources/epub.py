@@ -29,7 +29,8 @@ SCHEMA = (
     "media_type string, linear boolean, is_nav boolean, html string, error string"
 )
 FIELDS = [part.strip().split(" ")[0] for part in SCHEMA.split(",")]
-PARTITION_BYTES, FILE_COST = 64 << 20, 1 << 20
+PARTITION_BYTES, FILE_COST = 64 << 20, 64 << 10
+LEAST_FILES, FEW_GROUPS = 64, 64  # a small folder is dealt to FEW_GROUPS groups of LEAST_FILES files or more
 
 
 def _local(element) -> str:
@@ -37,7 +38,16 @@ def _local(element) -> str:
 
 
 def _all(root, name):
-    return [e for e in root.iter() if isinstance(e.tag, str) and _local(e) == name]
+    return _by_name(root).get(name, [])
+
+
+def _by_name(root) -> dict[str, list]:
+    """The elements of a tree by local name, in document order."""
+    found: dict[str, list] = {}
+    for e in root.iter():
+        if isinstance(e.tag, str):
+            found.setdefault(_local(e), []).append(e)
+    return found
 
 
 def book_rows(path: str, file, wanted=lambda row: True) -> list[dict]:
@@ -49,16 +59,16 @@ def book_rows(path: str, file, wanted=lambda row: True) -> list[dict]:
     with zipfile.ZipFile(file) as archive:
         container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
         package_path = _all(container, "rootfile")[0].get("full-path")
-        package = ElementTree.fromstring(archive.read(package_path))
+        package = _by_name(ElementTree.fromstring(archive.read(package_path)))
         folder = posixpath.dirname(package_path)
 
         def first(name):
-            found = _all(package, name)
+            found = package.get(name)
             return "".join(found[0].itertext()).strip() if found else None
 
         base = {"path": path, "title": first("title"), "identifier": first("identifier"), "language": first("language")}
-        manifest = {item.get("id"): item for item in _all(package, "item")}
-        spine = _all(package, "itemref")
+        manifest = {item.get("id"): item for item in package.get("item", [])}
+        spine = package.get("itemref", [])
         rows = []
 
         def add(item, **fields):
@@ -77,7 +87,7 @@ def book_rows(path: str, file, wanted=lambda row: True) -> list[dict]:
         for index, ref in enumerate(spine):
             linear = ref.get("linear") != "no"
             add(manifest.get(ref.get("idref")), spine_index=index, idref=ref.get("idref"), linear=linear, is_nav=False)
-        toc = next((e.get("toc") for e in _all(package, "spine")), None)
+        toc = next((e.get("toc") for e in package.get("spine", [])), None)
         for ident, item in manifest.items():
             if "nav" in (item.get("properties") or "").split() or item.get("media-type") == NCX or (toc and ident == toc):
                 add(item, is_nav=True, idref=ident)
@@ -137,13 +147,14 @@ class EpubReader(DataSourceReader):
         store, root = self._store()
         infos = store.get_file_info(fs.FileSelector(root, recursive=True))
         chosen = sorted((i.path, i.size or 0) for i in infos if i.is_file and i.path.lower().endswith(".epub"))
+        chosen = [(path, size) for path, size in chosen if all(self._holds(each, path) for each in self.paths)]
+        whole = sum(size + FILE_COST for _, size in chosen)
+        limit = min(PARTITION_BYTES, max(whole // FEW_GROUPS, LEAST_FILES * FILE_COST))
         groups: list[Files] = []
-        filled = PARTITION_BYTES
+        filled = limit
         for path, size in chosen:
-            if not all(self._holds(each, path) for each in self.paths):
-                continue
             cost = size + FILE_COST
-            if filled + cost > PARTITION_BYTES:
+            if filled + cost > limit:
                 groups.append(Files([]))
                 filled = 0
             groups[-1].paths.append(path)

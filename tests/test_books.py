@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from lectern.plans.epub_rows import archive, navigation
+from lectern.plans.epub_rows import archive, document, link, navigation, paragraph
 from lectern.sinks import book_document
 from lectern.sources import epub, markup
 
@@ -61,6 +61,34 @@ def test_groups_are_bounded_by_bytes(tmp_path, monkeypatch):
     assert [len(p.paths) for p in epub.EpubReader(str(tmp_path)).partitions()] == [2, 2, 1]
 
 
+def test_many_small_files_share_a_task(tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"{i}.epub").write_bytes(b"x")
+    assert [len(p.paths) for p in epub.EpubReader(str(tmp_path)).partitions()] == [63, 63, 63, 63, 48]
+    monkeypatch.setattr(epub, "FEW_GROUPS", 1)
+    assert [len(p.paths) for p in epub.EpubReader(str(tmp_path)).partitions()] == [300]
+
+
+def test_contents_open_every_file_once(spark, shelf):
+    found = markup.package_toc(spark.read.format("epub").load(str(shelf)))
+    assert found.count() == 2
+    assert "BatchScan" not in found._jdf.queryExecution().executedPlan().toString()  # choice and entries come from the stored rows
+
+
+def test_written_package_parts_are_whole(spark, tmp_path):
+    """Labels and pages with markup characters, and members on both sides of the packing limit, come back as they were."""
+    pages = {"a": paragraph('x < y & "z"\x01'), "b": paragraph("long " * 400)}
+    entries = [('A & "B" <c>', "a.xhtml"), ("B", 'b.xhtml?q="1"&r')]
+    (tmp_path / "one.epub").write_bytes(archive('T & "u"', pages, ncx=navigation(entries)))
+    (tmp_path / "two.epub").write_bytes(archive("U", pages, f"<nav><ol>{''.join(f'<li>{link(*e)}</li>' for e in entries)}</ol></nav>"))
+    kinds = {i.compress_type for i in zipfile.ZipFile(tmp_path / "one.epub").infolist()}
+    assert kinds == {zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED}
+    epub.register(spark)
+    rows = spark.read.format("epub").load(str(tmp_path))
+    assert {(r["title"], r["html"]) for r in rows.where("not is_nav").collect()} == {(t, document(p)) for t in ('T & "u"', "U") for p in pages.values()}
+    assert sorted((r["label"], r["href"]) for r in markup.package_toc(rows).collect()) == sorted(entries * 2)
+
+
 def test_empty_folder_is_an_empty_table(spark, tmp_path):
     epub.register(spark)
     assert spark.read.format("epub").load(str(tmp_path)).collect() == []
