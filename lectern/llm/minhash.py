@@ -29,6 +29,7 @@ from lectern.llm.common import components, empty_text, forget, join_hot, shingle
 SKETCH = 64  # values kept per document
 KEYS = 16  # of these, values with an inverted list; two documents at 0.85 share none once in 1e13
 COLD = 64  # an inverted list of more distinct texts is hot
+SOME = 3  # one in so many values is counted first
 BLOCK = 256  # documents of a hot list that are compared with another such block at once
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be sent to every executor
 
@@ -122,8 +123,10 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     small = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("long").alias("id"), empty_text(text_col).alias("text"))
     found = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    # A repeated id counts with one of its rows.
-    found = stored(found.groupBy("id").agg(F.min("text").alias("text")), "wanted-texts")
+    found = stored(found, "wanted-texts")
+    if found.count() > ids.count():  # a repeated id counts with one of its rows
+        rows, found = found, stored(found.groupBy("id").agg(F.min("text").alias("text")), "wanted-texts")
+        forget(rows)
     forget(ids)
     return found
 
@@ -136,14 +139,19 @@ def links(pairs: DataFrame, classes: DataFrame, fetch: Callable, words: int, per
     return found
 
 
-def own_values(texts: DataFrame, words: int) -> DataFrame:
-    """(rep, own): how many shingles of each full set occur in no other of these sets."""
+def own_values(texts: DataFrame, words: int, one_in: int = 1) -> DataFrame:
+    """(rep, own): how many shingles of each full set occur in no other of these sets.
+
+    With ``one_in``, only that part of all values is counted, the same values in
+    every set: never more than a set has of its own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
                 sets = [shingle_set(t, words) for t in part["text"]]
+                sets = [s[s % np.uint64(one_in) == 0] for s in sets] if one_in > 1 else sets
                 values = np.concatenate(sets).astype(np.int64)
                 yield pd.DataFrame({"v": values, "rep": np.repeat(part["id"].to_numpy(), [len(s) for s in sets])})
 
@@ -154,6 +162,12 @@ def own_values(texts: DataFrame, words: int) -> DataFrame:
     )
 
 
+def _with_own(classes: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The classes with the number of values of their own, where it does not exclude every link."""
+    rows = classes.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return rows.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+
+
 def _possible(percent: int, na: str, nb: str, oa: str, ob: str) -> Column:
     """Whether two sets with so many values of their own can reach the similarity: those values are not shared."""
     most = F.least(F.col(na) - F.col(oa), F.col(nb) - F.col(ob))
@@ -265,7 +279,7 @@ def all_links(lists: DataFrame, classes: DataFrame, fetch: Callable, words: int,
     in different components: all pairs of short lists, blocks of long lists.
 
     Of the full sets of all classes in long lists the values are counted that no
-    other such set has: a set with too many of its own has no link within a long
+    other such set has, first one in SOME of them, then all of what is left: a set with too many of its own has no link within a long
     list, and two sets whose rest is too small for the similarity are no pair.  Copies of
     one text with changes of their own, however many, thus need no comparison
     among each other: what is close enough to another copy is close to the hub.
@@ -281,8 +295,10 @@ def all_links(lists: DataFrame, classes: DataFrame, fetch: Callable, words: int,
     heat = classes.join(heat, "rep").select("rep", "n", "hots")
     heat = stored(heat, "hot-classes")
     texts = texts_for(heat.select(F.col("rep").alias("id")))
-    own = heat.join(own_values(texts, words), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    alive = stored(own.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "alive")
+    # What a third of the values rules out needs no count of all; classes without a link take no values from others.
+    maybe = stored(_with_own(heat, own_values(texts, words, SOME), percent).select(*heat.columns), "maybe-alive")
+    left = texts.join(maybe.select(F.col("rep").alias("id")), "id", "left_semi")
+    alive = stored(_with_own(maybe, own_values(left, words), percent), "alive")
     # Each class in all its hot lists: at most KEYS, or one per band.
     hot = stored(alive.select(F.explode("hots").alias("v"), "rep", "n", "own"), "hot-lists")
     cold = lists.where(F.col("members") <= COLD)
@@ -298,7 +314,7 @@ def all_links(lists: DataFrame, classes: DataFrame, fetch: Callable, words: int,
     more = links(cold_pairs(open_lists, percent).distinct(), classes, texts_for, words, percent)
     across = hot_links(named_hot, texts.join(alive.select(F.col("rep").alias("id")), "id", "left_semi"), words, percent)
     both = stored(first.unionByName(more).unionByName(across), "all-links")
-    forget(heat, alive, hot, open_lists, named_hot, first, more, *fetched)
+    forget(heat, maybe, alive, hot, open_lists, named_hot, first, more, *fetched)
     return both
 
 

@@ -155,6 +155,38 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_values_of_their_own_are_counted_in_full_only_for_what_a_part_leaves(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COLD", 2)
+    rng = random.Random(7)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    texts = {i: " ".join([*base[:i], f"w{i}", *base[i + 1 :]]) for i in range(5)}
+    texts |= {i: " ".join([*base[:12], *(rng.choice(WORDS) + str(rng.random()) for _ in range(150))]) for i in range(10, 30)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    full, part = ({r["rep"]: r["own"] for r in minhash.own_values(docs, 5, k).collect()} for k in (1, 3))
+    assert all(0 < part.get(i, 0) < full[i] for i in range(10, 30)) and all(part.get(i, 0) <= full[i] for i in range(5))
+    counted = []
+    own_values = minhash.own_values
+
+    def noted(some, words, one_in=1):
+        counted.append((one_in, some.count()))
+        return own_values(some, words, one_in)
+
+    monkeypatch.setattr(minhash, "own_values", noted)
+    rows = [(1, i, len(minhash.shingle_set(t, 5)), len(texts), 0, 196) for i, t in texts.items()]
+    lists = spark.createDataFrame(rows, "v long, rep long, n long, members long, leader long, leader_n long")
+    classes = minhash.sketches(docs, 5, id_col="id").select(minhash.F.col("id").alias("rep"), "n", "sketch")
+    fetch = lambda ids: docs.join(ids, "id", "left_semi")
+    links = minhash.all_links(lists, classes, fetch, 5, 85)
+    assert {x for r in links.collect() for x in r} == set(range(5))
+    assert counted == [(3, 25), (1, 5)]
+
+
+def test_wanted_texts_hold_an_id_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    got = lambda *ids: {tuple(r) for r in minhash.texts_of(docs, spark.createDataFrame([(i,) for i in ids], "id long"), "doc_id", "text").collect()}
+    assert got(1, 2, 2) == {(1, "a"), (2, "")} and got(3, 2) == {(3, "c"), (2, "")}
+
+
 def test_link_in_any_of_many_hot_lists(spark, monkeypatch):
     monkeypatch.setattr(minhash, "COLD", 2)
     rng = random.Random(6)
