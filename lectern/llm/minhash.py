@@ -20,24 +20,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, empty_text, forget, join_hot, shingles, stored, words_of
+from lectern.llm.common import components, empty_text, forget, grouped, join_hot, lower_bytes, shingles, stored, word_places
+from lectern.llm.common import words_of  # noqa: F401  (named here too)
 
 SKETCH = 64  # values kept per document
 KEYS = 16  # of these, values with an inverted list; two documents at 0.85 share none once in 1e13
 COLD = 64  # an inverted list of more distinct texts is hot
 SOME = 3  # one in so many values is counted first
+OWN_BITS = 40  # of 63, by which values are counted
 BLOCK = 256  # documents of a hot list that are compared with another such block at once
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that may be sent to every executor
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
-    found = words_of(text)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    return np.unique(shingles(hashes, words) >> np.uint64(1))
+    return shingle_sets([text], words)[0]
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The ascending distinct shingles of each text; hashed for many texts at once."""
+    out = []
+    texts = list(texts)
+    for some in grouped(texts):
+        hashes = [h for h, _, _ in word_places([lower_bytes(texts[i]) for i in some])]
+        long = [len(h) >= words for h in hashes]
+        joined = shingles(np.concatenate(hashes), words) if any(long) else None
+        at = 0
+        for own, enough in zip(hashes, long, strict=True):
+            found = joined[at : at + len(own) - words + 1] if enough else shingles(own, words)
+            out.append(np.unique(found >> np.uint64(1)))
+            at += len(own)
+    return out
 
 
 def sketches(docs: DataFrame, words: int, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,7 +60,7 @@ def sketches(docs: DataFrame, words: int, size: int = SKETCH, id_col: str = "doc
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
+            sets = shingle_sets(batch["text"], words)
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
@@ -79,8 +94,12 @@ def _near_size(a: str, b: str, percent: int):
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int, size: int = SKETCH) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule the similarity out at five standard errors."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
+    """Pairs (a, b) whose union sketch does not rule the similarity out at five standard errors.
+
+    Values are compared by the upper 31 of 63 bits, half of what would be shuffled else.
+    """
+    upper = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
+    side = lambda x: classes.select(F.col("rep").alias(x), upper.alias(f"s{x}"))
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, size)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
@@ -143,16 +162,18 @@ def own_values(texts: DataFrame, words: int, one_in: int = 1) -> DataFrame:
     """(rep, own): how many shingles of each full set occur in no other of these sets.
 
     With ``one_in``, only that part of all values is counted, the same values in
-    every set: never more than a set has of its own.
+    every set: never more than a set has of its own.  Values travel as their upper
+    ``OWN_BITS`` bits; where two agree in those, both count as shared, which again
+    is never more.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
-                sets = [shingle_set(t, words) for t in part["text"]]
+                sets = shingle_sets(part["text"], words)
                 sets = [s[s % np.uint64(one_in) == 0] for s in sets] if one_in > 1 else sets
-                values = np.concatenate(sets).astype(np.int64)
+                values = (np.concatenate(sets) >> np.uint64(63 - OWN_BITS)).astype(np.int64)
                 yield pd.DataFrame({"v": values, "rep": np.repeat(part["id"].to_numpy(), [len(s) for s in sets])})
 
     values = texts.mapInPandas(run, "v long, rep long")
@@ -229,7 +250,7 @@ def hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["id"], "set": [shingle_set(t, words).astype(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"rep": batch["id"], "set": [s.astype(np.int64) for s in shingle_sets(batch["text"], words)]})
 
     rows = (
         join_hot(hot, sizes, "v", "all", total)

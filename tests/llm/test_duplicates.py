@@ -344,3 +344,40 @@ def test_contaminated_equals_brute_force(spark):
             if t in text:
                 want[r["doc_id"]].add(i)
     assert got == want and want
+
+
+def test_words_of_many_texts_are_hashed_at_once():
+    from lectern.llm.common import lower_bytes, word_hashes, word_places
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab cD\t\n.! 　é\x0b\x85'") for _ in range(rng.choice([0, 1, 9, 400]))) for _ in range(200)]
+    texts += ["x" * n + " " + "x" * (n + 1) for n in range(1, 90)]
+    lower = [lower_bytes(t) for t in texts]
+    for text, own, (hashes, first, behind) in zip(texts, lower, word_places(lower), strict=True):
+        words = minhash.words_of(text)
+        assert [own[a:b] for a, b in zip(first, behind, strict=True)] == words
+        assert hashes.tolist() == [int(word_hashes(w.decode())[0]) for w in words]
+        assert len(set(hashes.tolist())) == len(set(words))
+    assert [s.tolist() for s in minhash.shingle_sets(texts, 3)] == [minhash.shingle_set(t, 3).tolist() for t in texts]
+
+
+def test_sketches_travel_as_halves(spark):
+    high = [i << 40 for i in range(1, 65)]
+    classes = spark.createDataFrame(
+        [(1, high), (2, [v + 1 for v in high]), (3, [v + (1 << 50) for v in high])], "rep long, sketch array<long>"
+    )
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    near = minhash.estimated(pairs, classes, 85)
+    assert "as int" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in near.collect()] == [(1, 2)]
+
+
+def test_windows_of_one_alignment_are_one_row(spark):
+    span = "struct<doc_id:long, t:long, s:int, e:int, sc:int, ec:int, p0:int, p1:int>"
+    row = lambda s, f: (9, 5, s, s + 50, 6 * s, 6 * (s + 50), 0, s // 40, (1, 4, f, f + 50, 6 * f, 6 * (f + 50), 0, f // 40))
+    rows = [row(200 + i, 64 + i) for i in range(32)] + [row(700 + i, 64 + i) for i in (0, 31)]
+    schema = f"doc_id long, t long, s int, e int, sc int, ec int, p0 int, p1 int, first {span}"
+    got = runs._aligned(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["s"], r["e"], r["first"]["s"], r["first"]["e"]) for r in got) == [(200, 281, 64, 145), (700, 781, 64, 145)]
+    cut = [(9, 5, 50 + i, 60 + i, 0, 1, 0, 0, (9, 5, i, 10 + i + 0, 0, 1, 0, 0)) for i in (0, 20)]
+    assert runs._aligned(spark.createDataFrame(cut, schema)).count() == 2
