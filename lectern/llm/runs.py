@@ -25,6 +25,7 @@ from lectern.llm.common import empty_text, forget, join_hot, mixed, stored
 RUN, GRAM = 50, 20
 SIDE = RUN - GRAM  # words before an anchor that a window around it reaches; behind its first word RUN
 CHUNK = 200_000  # words hashed at once
+CELL = 32  # words; windows that begin so near one another overlap
 BROADCAST_ANCHORS = 1_000_000  # anchors (8 bytes each) that may be sent to every executor
 BROADCAST_IDS = 2_000_000
 
@@ -165,20 +166,39 @@ def _later(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
     return both.where("s < e")
 
 
+def _aligned(rows: DataFrame) -> DataFrame:
+    """Later windows with their first ones, up to CELL neighbours of one alignment as one row.
+
+    Windows whose first ones begin within CELL words overlap, and so do the first ones, hence
+    their union is one span.  Windows that were cut keep a row each.
+    """
+    first = F.col("first")
+    cut = F.col("e") - F.col("s") < RUN
+    cell = F.when(cut, F.col("s")).otherwise(F.floor(first["s"] / CELL)).cast("long")
+    ends = [F.min(c).alias(c) for c in ("s", "sc", "p0")] + [F.max(c).alias(c) for c in ("e", "ec", "p1")]
+    firsts = [F.min(f"first.{c}").alias(f"f{c}") for c in ("s", "sc", "p0")] + [F.max(f"first.{c}").alias(f"f{c}") for c in ("e", "ec", "p1")]
+    keys = [first["doc_id"].alias("fdoc"), first["t"].alias("ft"), (F.col("e") - first["e"]).alias("shift"), cut.alias("cut"), cell.alias("cell")]
+    whole = rows.groupBy("doc_id", "t", *keys).agg(*ends, *firsts)
+    named = F.struct(F.col("fdoc").alias("doc_id"), F.col("ft").alias("t"), *[F.col(f"f{c}").alias(c) for c in SPAN])
+    return whole.select("doc_id", "t", *SPAN, named.alias("first"))
+
+
 def _united(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, span, s0): overlapping spans of a text with the start of their union."""
+    # Characters and paragraphs grow with the words of a text, so each end is taken for itself.
     rows = rows.groupBy(*by, "s").agg(
-        F.max(F.struct("e", "ec", "p1")).alias("z"), F.min("sc").alias("sc"), F.min("p0").alias("p0"), F.count("*").alias("m")
+        F.max("e").alias("e"), F.max("ec").alias("ec"), F.max("p1").alias("p1"), F.min("sc").alias("sc"), F.min("p0").alias("p0"),
+        F.count("*").alias("m"),
     )
     order = Window.partitionBy(*by).orderBy("s")
-    before = F.max("z.e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", F.when(before.isNull() | (F.col("s") > before), F.col("s")))
     return rows.withColumn("s0", F.max("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _unions(rows: DataFrame, by: list[str]) -> DataFrame:
-    whole = rows.groupBy(*by, "s0").agg(F.max("z").alias("z"), F.min(F.struct("s", "sc", "p0")).alias("a"))
-    return whole.select(*by, F.col("a.s").alias("s"), "z.e", "a.sc", "z.ec", "a.p0", "z.p1")
+    first, last = [F.min(c).alias(c) for c in ("s", "sc", "p0")], [F.max(c).alias(c) for c in ("e", "ec", "p1")]
+    return rows.groupBy(*by, "s0").agg(*first, *last).select(*by, *SPAN)
 
 
 def repeated_runs(docs: DataFrame, paragraphs, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +226,7 @@ def repeated_runs(docs: DataFrame, paragraphs, id_col: str, text_col: str) -> tu
     wanted = stored(wanted, "wanted-anchors")
     windows = window_places(texts, wanted, paragraphs)
     firsts = stored(windows.groupBy("h").agg(F.min(place()).alias("first"), F.count("*").alias("m")).where("m > 1"), "window-classes")
-    later = stored(_later(rows, heads, "ctx").unionByName(_later(windows, firsts, "h")), "later-places")
+    later = stored(_later(rows, heads, "ctx").unionByName(_aligned(_later(windows, firsts, "h"))), "later-places")
     forget(rows, heads, several, wanted, windows, firsts)
 
     pieces = _united(later.select("first.*"), ["doc_id", "t"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, empty_text, forget, join_hot, mixed, shingles, stored, words_of
+from lectern.llm.common import components, empty_text, forget, grouped, join_hot, lower_bytes, mixed, shingles, stored, word_hashes, word_places, words_of
 from lectern.llm.minhash import all_links, sketches
 from lectern.llm.runs import repeated_runs
 
@@ -64,7 +64,11 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
             out.append((at, end))
         else:
             ends = [m.end() for m in SENTENCE.finditer(line)]
-            marks = [xxhash.xxh3_64_intdigest(line[max(0, e - 24) : e].lower().encode("utf-8", "surrogatepass")) for e in ends]
+            if line.isascii():
+                low = line.lower().encode()
+                marks = [xxhash.xxh3_64_intdigest(low[e - 24 if e > 24 else 0 : e]) for e in ends]
+            else:
+                marks = [xxhash.xxh3_64_intdigest(line[max(0, e - 24) : e].lower().encode("utf-8", "surrogatepass")) for e in ends]
             start = 0
             for i, e in enumerate(ends):
                 if (i == 0 or marks[i] < marks[i - 1]) and (i + 1 == len(ends) or marks[i] <= marks[i + 1]):
@@ -86,22 +90,52 @@ def band_values(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     bounds = np.stack([ends - lengths, ends - WORDS + 1], axis=1).ravel()
     values = np.append(shingles(hashes, WORDS), np.uint64(0))
     out = np.empty((len(lengths), BANDS), np.int64)
-    salts = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # Shingles are mixed already: a product with an odd number is a bijection whose order depends on all their bits.
+    salts = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for band in range(BANDS):
         joined = np.full(len(lengths), np.uint64(band + 1))
         for salt in salts[band * ROWS : (band + 1) * ROWS]:
-            least = np.minimum.reduceat(mixed(values ^ salt), bounds)[::2]
+            least = np.minimum.reduceat(values * salt, bounds)[::2]
             joined = mixed(joined * np.uint64(0x9E3779B97F4A7C15) + least)
         out[:, band] = (joined >> np.uint64(1)).astype(np.int64)
     return out
 
 
-def _passages(text: str) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
-    """number, start, end, fingerprint of the words, and the words, of each paragraph that can be a passage."""
-    for i, (a, b) in enumerate(paragraphs(text)):
-        words = words_of(text[a:b])
-        if len(words) >= LEAST:
-            yield i, a, b, xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1, words
+def _passages(text: str, lower: bytes, hashes: np.ndarray, first: np.ndarray, behind: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """number, start, end, fingerprint of the words, and hashes of the words, of each paragraph that can be a passage."""
+    found = paragraphs(text)
+    a = b = np.array(found, np.int64).reshape(-1, 2)
+    if len(lower) > len(text):  # bytes of characters
+        raw = np.frombuffer(lower, np.uint8)
+        a = b = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[a]
+    a, b = a[:, 0], b[:, 1]
+    lo, hi = np.searchsorted(first, a), np.searchsorted(behind, b, "right")
+    # A sentence may end before a space that is none between words; such a word is cut.
+    cut = (lo != np.searchsorted(behind, a, "right")) | (hi != np.searchsorted(first, b))
+    raw = np.frombuffer(lower, np.uint8)
+    wide = np.r_[0, np.cumsum((first[1:] != behind[:-1] + 1) | (raw[behind[:-1]] != 32))]  # not just one space behind a word
+    some = np.flatnonzero(cut | (hi - lo >= LEAST))
+    cut, lo, hi = cut[some], lo[some], hi[some]
+    wide = wide[hi - 1] > wide[lo - (lo == len(first))]
+    spans = first[lo - (lo == len(first))], behind[hi - 1]
+    for i, odd, p, q, gaps, x, y in zip(*(c.tolist() for c in (some, cut, lo, hi, wide, *spans)), strict=True):
+        s, e = found[i]
+        if odd:
+            words = words_of(text[s:e])
+            if len(words) >= LEAST:
+                yield i, s, e, xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1, word_hashes(text[s:e])
+            continue
+        whole = b" ".join(lower[x:y].split()) if gaps else lower[x:y]
+        yield i, s, e, xxhash.xxh3_64_intdigest(whole) >> 1, hashes[p:q]
+
+
+def _with_words(batch: pd.DataFrame) -> Iterator[tuple]:
+    """(other column, text, (text in lower case, places of its words)) of each row."""
+    other, texts = (batch[c].tolist() for c in batch.columns)
+    for some in grouped(texts):
+        lower = [lower_bytes(texts[i]) for i in some]
+        for i, own, found in zip(some, lower, word_places(lower), strict=True):
+            yield other[i], texts[i], (own, *found)
 
 
 def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,9 +150,9 @@ def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             rows, hashes, size = [], [], 0
-            for doc, text in batch.itertuples(index=False):
-                for i, a, b, fp, words in _passages(text):
-                    hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+            for doc, text, found in _with_words(batch):
+                for i, a, b, fp, words in _passages(text, *found):
+                    hashes.append(words)
                     rows.append((doc, i, a, b - a, len(words), fp))
                     size += len(words)
                     if size > 200_000:
@@ -143,9 +177,9 @@ def passage_texts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, numbers in batch[["text", "wanted"]].itertuples(index=False):
+            for numbers, text, found in _with_words(batch[["wanted", "text"]]):
                 numbers = set(numbers)
-                out += [(fp, " ".join(text[a:b].split())) for i, a, b, fp, _ in _passages(text) if i in numbers]
+                out += [(fp, " ".join(text[a:b].split())) for i, a, b, fp, _ in _passages(text, *found) if i in numbers]
             yield pd.DataFrame(out, columns=["id", "text"])
 
     texts = rows.mapInPandas(run, "id long, text string")
