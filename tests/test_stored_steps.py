@@ -86,3 +86,24 @@ def test_reports_derive_blocks_and_analyses_once(monkeypatch, spark, folder, nam
 def test_packages_derive_shared_tables_once(monkeypatch, spark, folder):
     rows, calls = derived(monkeypatch, spark, folder, "validate_packages")
     assert calls == {"blocks": 1, "analyses": 1} and rows
+
+
+def test_assembled_context_holds_concepts_analysis_and_selection(monkeypatch, spark, folder):
+    """Every part of a context, not only how many blocks are near."""
+    from lectern.operators import actions
+
+    made = []
+    assemble = actions.assemble_context
+    monkeypatch.setattr(actions, "assemble_context", lambda *given: made.append(assemble(*given)) or made[-1])
+    rows, _ = derived(monkeypatch, spark, folder, "assemble_context")
+    assert len(made) == 1  # by the operator, not beside it
+    contexts = {r["request_id"]: r for r in made[0].collect()}
+    assert rows and {r["request_id"] for r in rows} == set(contexts)
+    for r in rows:
+        whole = contexts[r["request_id"]]
+        assert r["selected_id"] == (whole["selected_block"] and whole["selected_block"]["block_id"])
+        assert (r["nearby"], r["nearby_chars"]) == (len(whole["nearby_blocks"]), sum(len(b["text"]) for b in whole["nearby_blocks"]))
+        assert r["has_analysis"] == (r["deep"] is not None) == (whole["chapter_analysis"] is not None)
+        assert r["concepts"].count("=") == len(whole["related_concepts"])
+        assert r["allowed_chapters"] == whole["allowed_chapters"] and r["allowed"] == (whole["error"] is None)
+    assert any(r["selected_id"] for r in rows)
