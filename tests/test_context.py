@@ -161,3 +161,73 @@ def test_pruning_joins_fewer_postings(spark):
     bar = 4 * (100_000 // 5) // 4  # eight blocks hold a rare term each
     essential = sum(r["df"] for r in terms if r["rest"] >= bar)
     assert essential * 20 < everything
+
+
+def _random_book_rows(seed, books):
+    """(book, chapter, order, text, id) rows with repeated places, missing keys, long and empty blocks."""
+    rnd = random.Random(seed)
+    words = "ferry toll river bridge lantern harbour the and".split() + [f"w{i}" for i in range(40)]
+    rows = []
+    for b in [*range(books), None]:
+        for c in [*range(rnd.randint(1, 7)), None]:
+            for o in range(rnd.randint(1, 4)):
+                text = " ".join(rnd.choices(words, k=rnd.randint(0, 12))) + (" " + "x" * 9000 if rnd.random() < 0.05 else "")
+                rows.append((b, c, o, text, f"{b}.{c}.{o}"))
+                if rnd.random() < 0.1:
+                    rows.append((b, c, o, text + " ferry", f"{b}.{c}.{o}b"))
+    rnd.shuffle(rows)
+    return rows
+
+
+PRIOR = "book_id long, spine_index long, ord long, text string, block_id string"
+
+
+def test_prior_context_of_whole_books_shuffles_no_posting(spark, monkeypatch):
+    blocks = spark.createDataFrame(_random_book_rows(3, 12), PRIOR).repartition(5)
+    by_term = sorted(map(str, analysis.prior_context(blocks, whole=-1).collect()))
+    assert by_term == sorted(map(str, analysis.prior_context(blocks, whole=300).collect()))  # some books one way, some the other
+    monkeypatch.setattr(analysis, "max_score", None)  # what joins posting lists
+    assert by_term == sorted(map(str, analysis.prior_context(blocks).collect()))
+
+
+def test_prior_context_in_small_portions(spark):
+    """Books that lie in several batches give the same rows."""
+    blocks = spark.createDataFrame(_random_book_rows(4, 6), PRIOR).coalesce(1)
+    expected = sorted(map(str, analysis.prior_context(blocks, whole=-1).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, analysis.prior_context(blocks).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_prior_context_scores_chapters_in_turns():
+    import pyarrow as pa
+
+    rows = sorted(r for r in _random_book_rows(6, 5) if None not in r)
+    columns = dict(zip(("book_id", "spine_index", "ord", "text"), zip(*rows)))
+    texts = columns.pop("text")
+    table = pa.table({k: list(v) for k, v in columns.items()} | {"bytes": [len(t) for t in texts], "_terms": [sorted(set(t.split())) for t in texts]})
+    at_once, in_turns = analysis._best_earlier(table, 8), analysis._best_earlier(table, 8, most=3)
+    assert len(at_once[0]) > 20
+    assert [x.tolist() for x in in_turns] == [x.tolist() for x in at_once]
+
+
+def test_chapters_meet_their_excerpts_in_one_shuffle(spark):
+    blocks = spark.createDataFrame(_random_book_rows(5, 10), PRIOR).repartition(5)
+    chapters = blocks.groupBy("book_id", "spine_index").agg(F.min("text").alias("title"), F.sort_array(F.collect_list("text")).alias("blocks"))
+    chapters = chapters.unionByName(chapters.where("book_id % 4 = 1")).unionByName(spark.createDataFrame([(2, 50, "x", []), (90, 0, "y", ["z"])], chapters.schema))
+    joined = analysis.chapter_requests(chapters, analysis.prior_context(blocks, whole=-1), blocks, profile="standard")
+    expected = sorted(map(str, joined.collect()))
+    for whole in (analysis.WHOLE_BOOK, 300):
+        made = analysis.chapter_requests(analysis.prior_context(blocks, beside=chapters, whole=whole), None, blocks, profile="standard")
+        assert made.columns == joined.columns
+        assert sorted(map(str, made.collect())) == expected
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        narrow = chapters.select("book_id", "spine_index", "title", "blocks").localCheckpoint()
+        made = analysis.chapter_requests(analysis.prior_context(blocks.localCheckpoint(), beside=narrow), None, blocks, profile="standard")
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
