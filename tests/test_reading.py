@@ -427,3 +427,44 @@ def test_edits_are_judged_with_their_whole_package(spark):
         "plain": "", "range": "violates_grounding", "bare claim": "grounded_without_refs,claim_not_grounded", "other kind": "unknown_document",
         "mends": "", "beside": "package_invalid",
     }
+
+
+def test_picked_rows_are_joined_without_shuffling_the_rest(spark):
+    """Above the limit of a broadcast a bitmap of the keys keeps other rows from the join; repeated and null keys as in a plain join."""
+    from lectern import session
+
+    rows = [(f"s{i % 7}", i if i % 50 else None, f"t{i}") for i in range(20_000)] + [("s1", 1, "again")]
+    many = spark.createDataFrame(rows, "scope_id string, ord long, text string")
+    picked = spark.createDataFrame([(f"s{i % 7}", i, i) for i in range(0, 20_000, 97)] + [("s1", 1, 5), ("s1", 1, 6), ("s0", None, 7)], "scope_id string, ord long, n long")
+    plain = sorted(map(str, many.join(picked, ["scope_id", "ord"]).collect()))
+    assert sorted(map(str, session.join_picked(many, picked, ["scope_id", "ord"], max_rows=10).select("scope_id", "ord", "text", "n").collect())) == plain
+    passed = session._maybe_among(many, picked, ["scope_id", "ord"])
+    assert passed.columns == many.columns and len(plain) <= passed.count() < 2_000
+    assert session._maybe_among(many, picked.where("false"), ["scope_id", "ord"]).count() == 0
+
+
+def test_scope_scores_pack_postings_and_keep_stripes_together(spark):
+    """Postings are stored packed, not a row each, and one task hands on the best blocks of several buckets once."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(4000)]
+    candidates = spark.createDataFrame(
+        [("b:x", i // 50, i % 50, len(t), len(t), t) for i, t in enumerate(texts)] + [("b:x", 0, 0, len(texts[0]), len(texts[0]), texts[0])],
+        "scope_id string, spine_index long, ord long, bytes long, visible long, text string",
+    )
+    asked = spark.createDataFrame([("b:x", "r1", "w1 w2 w3"), ("b:x", "r2", "w4 none"), ("b:x", "r2", "w4")], "scope_id string, request_id string, question string")
+    scores = retrieval.ScopeScores(candidates, asked, cell=100)
+    postings = sum(len(set(t.split()) & {"w1", "w2", "w3", "w4"}) for t in texts)
+    assert scores.packed.count() * 5 < postings
+    found = scores._cells(None, retrieval._best_of_cell(4), retrieval.ScopeScores.KEEP)
+    stripes = scores.packed.select("stripe").distinct().count()
+    assert 1 < stripes < scores.packed.count()
+    assert found.count() <= 2 * 4 * stripes
+    docs = [set(t.split()) for t in [*texts, texts[0]]]
+    df = {w: sum(w in d for d in docs) for w in words}
+    for request, terms in (("r1", ["w1", "w2", "w3"]), ("r2", ["w4", "w4"])):
+        by = [[sum(100_000 // (df[w] + 1) for w in terms if w in d), -i] for i, d in enumerate(docs[:-1])]
+        by[0][0] *= 2  # its copy
+        best = sorted((x for x in by if x[0]), reverse=True)[:4]
+        got = scores.best(4).where(F.col("request_id") == request).orderBy("rank").collect()
+        assert [(r["score"], -(r["spine_index"] * 50 + r["ord"])) for r in got] == [tuple(x) for x in best]
