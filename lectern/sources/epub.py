@@ -13,6 +13,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -30,6 +31,7 @@ SCHEMA = (
 )
 FIELDS = [part.strip().split(" ")[0] for part in SCHEMA.split(",")]
 PARTITION_BYTES, FILE_COST = 64 << 20, 64 << 10
+NAMED = 10_000  # files up to which the driver names each
 LEAST_FILES, FEW_GROUPS = 64, 64  # a small folder is dealt to FEW_GROUPS groups of LEAST_FILES files or more
 
 
@@ -104,6 +106,7 @@ def _guarded(path: str, file, wanted=lambda row: True) -> list[dict]:
 @dataclass
 class Files(InputPartition):
     paths: list[str]
+    folders: list[str]
 
 
 class EpubReader(DataSourceReader):
@@ -141,30 +144,50 @@ class EpubReader(DataSourceReader):
 
         return fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("/") else "file:" + self.root)
 
-    def partitions(self) -> list[Files]:
+    def _files(self, store, folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+        """The wanted files of one folder with their sizes, in order, and the folders in it."""
         from pyarrow import fs
 
+        infos = store.get_file_info(fs.FileSelector(folder))
+        found = sorted((i.path, i.size or 0) for i in infos if i.is_file and i.path.lower().endswith(".epub"))
+        found = [(path, size) for path, size in found if all(self._holds(each, path) for each in self.paths)]
+        return found, [i.path for i in infos if i.type == fs.FileType.Directory]
+
+    def partitions(self) -> list[Files]:
+        """Groups of files by size.  Above ``NAMED`` files a folder that fits a group goes in by its own name
+        and is listed again by the task, so that the driver never holds the names of all files."""
         store, root = self._store()
-        infos = store.get_file_info(fs.FileSelector(root, recursive=True))
-        chosen = sorted((i.path, i.size or 0) for i in infos if i.is_file and i.path.lower().endswith(".epub"))
-        chosen = [(path, size) for path, size in chosen if all(self._holds(each, path) for each in self.paths)]
-        whole = sum(size + FILE_COST for _, size in chosen)
+        folders, waiting, n = [], [root], 0
+        while waiting:
+            folder = waiting.pop()
+            found, inner = self._files(store, folder)
+            waiting += inner
+            if found:
+                n += len(found)
+                folders.append([folder, sum(size + FILE_COST for _, size in found), found])
+            if n > NAMED and not self.paths:
+                for each in folders if n - len(found) <= NAMED else folders[-1:]:
+                    each[2] = each[2] if each[1] > PARTITION_BYTES else None
+        whole = sum(cost for _, cost, _ in folders)
         limit = min(PARTITION_BYTES, max(whole // FEW_GROUPS, LEAST_FILES * FILE_COST))
+        named = sorted(file for _, _, found in folders for file in found or ())
         groups: list[Files] = []
         filled = limit
-        for path, size in chosen:
-            cost = size + FILE_COST
+        for name, cost, kind in [
+            *((path, size + FILE_COST, "paths") for path, size in named),
+            *((folder, cost, "folders") for folder, cost, found in sorted(folders, key=lambda f: f[0]) if found is None),
+        ]:
             if filled + cost > limit:
-                groups.append(Files([]))
+                groups.append(Files([], []))
                 filled = 0
-            groups[-1].paths.append(path)
+            getattr(groups[-1], kind).append(name)
             filled += cost
-        return groups or [Files([])]
+        return groups or [Files([], [])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         store, _ = self._store()
         wanted = lambda row: all(self._holds(each, row.get(each.attribute[0])) for each in self.members)
-        for path in partition.paths:
+        for path in chain(partition.paths, (path for folder in partition.folders for path, _ in self._files(store, folder)[0])):
             try:
                 with store.open_input_file(path) as file:
                     rows = _guarded(path, file, wanted)

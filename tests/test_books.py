@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from lectern.plans.epub_rows import archive, document, link, navigation, paragraph
+from lectern.plans.epub_rows import archive, document, link, navigation, paragraph, write_archives
 from lectern.sinks import book_document
 from lectern.sources import epub, markup
 
@@ -69,6 +69,21 @@ def test_many_small_files_share_a_task(tmp_path, monkeypatch):
     assert [len(p.paths) for p in epub.EpubReader(str(tmp_path)).partitions()] == [300]
 
 
+def test_driver_names_folders_instead_of_many_files(spark, tmp_path, monkeypatch):
+    """Above a bound the driver deals whole folders, the tasks list them; every file is read once."""
+    rows = spark.createDataFrame([(f"doc-{i}", [f"text {i}"], i % 2 == 1) for i in range(60)], "name string, texts array<string>, own_navigation boolean")
+    assert write_archives(rows.repartition(3), f"file://{tmp_path}", 7) == 60
+    reader = lambda: epub.EpubReader(str(tmp_path))
+    few = {tuple(x) for p in reader().partitions() for x in reader().read(p)}
+    monkeypatch.setattr(epub, "NAMED", 20)
+    parts = reader().partitions()
+    assert not any(p.paths for p in parts) and len([f for p in parts for f in p.folders]) == 7
+    read = [tuple(x) for p in parts for x in reader().read(p)]
+    assert len(read) == len(few) == 120 and set(read) == few
+    monkeypatch.setattr(epub, "PARTITION_BYTES", epub.FILE_COST)  # no folder fits a group: its files are dealt
+    assert sorted(len(p.paths) for p in reader().partitions()) == [1] * 60
+
+
 def test_contents_open_every_file_once(spark, shelf):
     found = markup.package_toc(spark.read.format("epub").load(str(shelf)))
     assert found.count() == 2
