@@ -181,3 +181,14 @@ def test_writing_one_book_leaves_the_others(spark, tmp_path):
     book_document.write_documents(parts(spark, "x", "three"), path)
     rows = book_document.read_documents(spark, path).where("section = 0").collect()
     assert {r["book_id"]: json.loads(r["json"])["title"] for r in rows} == {"x": "three", "y": "two"}
+
+
+def test_book_documents_are_written_packed(spark, tmp_path):
+    rows = [("b", 5, s, o, json.dumps({"text": "Ferry toll " * 50, "ord": o})) for s in range(3) for o in range(20)]
+    parts = spark.createDataFrame(rows, book_document.PARTS)
+    book_document.write_documents(parts, f"{tmp_path}/out")
+    written = [p for p in (tmp_path / "out").rglob("part-*") if p.is_file()]
+    assert written and all(p.name.endswith(".json.gz") for p in written)
+    assert sum(p.stat().st_size for p in written) * 5 < sum(len(r[4]) for r in rows)
+    back = book_document.read_documents(spark, f"{tmp_path}/out").select(*parts.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
